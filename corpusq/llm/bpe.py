@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import map_text
 
@@ -279,7 +280,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str]
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add the decoded text of a binary ``ids`` column; null ids give ''."""
-    schema = df.schema.add(decoded, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())])
     at = df.columns.index(ids)
 
     def run(batches):

@@ -10,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import prepare, table
+from .common import prepare, scratch, table
 from .token_count import token_count
+from .token_store import read_tokens, write_tokens
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by word_bpe_49k.json, written and read back."""
+    prepare(spark)
+    path = scratch(spark)
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +48,7 @@ def digests(coded: DataFrame) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_token_store,
         op4_token_count,
         op6_bpe_codec,
     )
