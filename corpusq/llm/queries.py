@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import prepare, scratch, table
+from .common import crc_bucket, prepare, scratch, table
+from .language_id import learn_profiles, predict_language
 from .token_count import token_count
 from .token_store import read_tokens, write_tokens
 
@@ -23,6 +24,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles of the learning share."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 4) == 2)
+    profiles = learn_profiles(docs.where(~F.col("held_out")))
+    return predict_language(docs, profiles, keep=["doc_id", "held_out"])
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by byte_bpe_50k.json."""
     prepare(spark)
@@ -49,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_store,
+        op2_language_id,
         op4_token_count,
         op6_bpe_codec,
     )
