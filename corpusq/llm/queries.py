@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import crc_bucket, prepare, scratch, table
 from .language_id import learn_profiles, predict_language
+from .simhash import simhash_groups
 from .token_count import token_count
 from .token_store import read_tokens, write_tokens
 
@@ -54,6 +55,13 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by SimHash."""
+    prepare(spark)
+    found = simhash_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op4_token_count,
         op6_bpe_codec,
+        op10_simhash,
     )
 }
 
