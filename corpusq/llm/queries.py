@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import crc_bucket, prepare, scratch, table
+from .embedding_dedup import embedding_links
 from .language_id import learn_profiles, predict_language
 from .simhash import simhash_groups
 from .token_count import token_count
@@ -55,6 +56,12 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.93 inside labels."""
+    prepare(spark)
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by SimHash."""
     prepare(spark)
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op4_token_count,
         op6_bpe_codec,
+        op9_embedding_dedup,
         op10_simhash,
     )
 }
