@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import crc_bucket, prepare, scratch, table
+from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
 from .language_id import learn_profiles, predict_language
 from .simhash import simhash_groups
@@ -40,6 +41,13 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: one row for each document and item."""
+    prepare(spark)
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document by byte_bpe_50k.json, as digests."""
     prepare(spark)
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_store,
         op2_language_id,
         op4_token_count,
+        op5_decontaminate,
         op6_bpe_codec,
         op9_embedding_dedup,
         op10_simhash,
