@@ -99,7 +99,7 @@ def map_text(
     )
     schema = T.StructType(src.schema.fields[:-1])
     for name, kind in add:
-        schema = schema.add(name, kind)
+        schema = schema.add(T.StructType.fromDDL(f"{name} {kind}").fields[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -14,6 +14,7 @@ from .common import crc_bucket, prepare, scratch, table
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
 from .language_id import learn_profiles, predict_language
+from .quality import learn_quality, score_quality
 from .simhash import simhash_groups
 from .token_count import token_count
 from .token_store import read_tokens, write_tokens
@@ -64,6 +65,14 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by an additive model of the learning share."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 3) == 1)
+    model = learn_quality(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.93 inside labels."""
     prepare(spark)
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_count,
         op5_decontaminate,
         op6_bpe_codec,
+        op7_quality,
         op9_embedding_dedup,
         op10_simhash,
     )
