@@ -13,6 +13,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import crc_bucket, prepare, scratch, table
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
+from .html_text import extract_text, learn_pages
 from .language_id import learn_profiles, predict_language
 from .quality import learn_quality, score_quality
 from .simhash import simhash_groups
@@ -73,6 +74,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, keep=["doc_id", "held_out"])
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by a chain over its leaf blocks."""
+    prepare(spark)
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, learn_pages(pages))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.93 inside labels."""
     prepare(spark)
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_decontaminate,
         op6_bpe_codec,
         op7_quality,
+        op8_html_text,
         op9_embedding_dedup,
         op10_simhash,
     )
