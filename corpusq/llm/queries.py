@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
-from .common import crc_bucket, prepare, scratch, table
+from .common import crc_bucket, prepare, scratch, stored, table
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
 from .html_text import extract_text, learn_pages
 from .language_id import learn_profiles, predict_language
+from .language_model import count_words, learn_lexicon, learn_model, score_documents
 from .quality import learn_quality, score_quality
 from .simhash import simhash_groups
 from .token_count import token_count
@@ -37,6 +38,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, profiles, keep=["doc_id", "held_out"])
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 likelihood of every document, learnt from the learning share."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 7) == 2)
+    learning = docs.where(~F.col("held_out"))
+    counts = stored(count_words(learning))
+    lexicon = learn_lexicon(counts)
+    return score_documents(docs, counts, lexicon, learn_model(learning, lexicon), keep=["doc_id", "held_out"])
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by byte_bpe_50k.json."""
     prepare(spark)
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_store,
         op2_language_id,
+        op3_language_model,
         op4_token_count,
         op5_decontaminate,
         op6_bpe_codec,
