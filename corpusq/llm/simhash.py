@@ -166,7 +166,8 @@ def near_fingerprints(fps: DataFrame, radius: int = 2, shard: int = SHARD) -> Da
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: ``fp``, ``component_id`` and the ``keep`` columns.
+    """One row per document: ``fp``, ``class_fp`` (the smallest fingerprint of its
+    class), ``component_id`` and the ``keep`` columns.
 
     Documents link when their fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest id reachable (null if every id there is
@@ -174,10 +175,11 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     equal fingerprints are one node, so copies are never expanded into pairs.
     """
     keep = [id_col] if keep is None else keep
-    marked = stored(add_fingerprint(docs, text_col, keep))
+    marked = stored(add_fingerprint(docs, text_col, [*dict.fromkeys([id_col, *keep])]))
     nodes = marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("first"))
     found = connected_components(near_fingerprints(nodes.select("fp"), radius))
     classes = nodes.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least.hint("merge"), "component").select("fp", "component_id")
-    return marked.join(named.hint("merge"), "fp").select(*[F.col(quoted(c)) for c in keep if c.lower() not in ("fp", "component_id")], "fp", "component_id")
+    named = classes.join(least.hint("merge"), "component").select("fp", F.col("component").alias("class_fp"), "component_id")
+    new = ("fp", "class_fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select(*[F.col(quoted(c)) for c in keep if c.lower() not in new], *new)
