@@ -24,14 +24,22 @@ from .common import map_text
 #: The pre-token pattern of byte-level vocabularies, and the
 #: characters with the Unicode White_Space property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = "\\t-\\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0  -     　"
 
 #: Words remembered by a Python worker before its memory of them is dropped.
 REMEMBERED = 700_000
 
-_pre_token = regex.compile(PRE_TOKEN)
-_unit = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_odd = re.compile("[\x01\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+
+
+def spaced(pattern: str) -> str:
+    """The pattern with exactly White_Space for \\s; Python's also has four separators."""
+    return pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+
+
+_pre_token = regex.compile(spaced(PRE_TOKEN))
+_unit = re.compile(spaced(r" ?\S+|\s+(?!\S)|\s+"))
+#: anything that the cut at blanks and line ends cannot handle
+_odd = re.compile(r"[\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def byte_symbols() -> dict[int, str]:

@@ -9,18 +9,19 @@ a segment of consecutive documents: ``part`` and ``segment`` (its place),
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bpe import REMEMBERED, SPACE
+from .bpe import REMEMBERED, SPACE, byte_symbols, spaced
 from .common import pieces, quoted
 
 #: ids in a segment, about
@@ -28,39 +29,69 @@ SEGMENT_IDS = 500_000
 
 STORE_SCHEMA = "part int, segment int, base long, n_ids long, doc_id array<long>, lengths binary, ids binary"
 
+_symbol = byte_symbols()
 _blank = re.compile(f"[{SPACE}]+")
 
 
-class ChunkEncoder:
-    """Ids of texts by the tokenizers library, which is asked once for each
-    distinct run of characters between white space.  For a vocabulary whose
-    pre-tokeniser drops white space the ids of a text are those of its runs."""
+class Pieces(dict):
+    """Ids of a normalised pre-token by the library's model, when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        plain = piece if piece.isascii() and piece.isprintable() else "".join(map(_symbol.__getitem__, piece.encode()))
+        found = self.tokenize(plain)
+        ids = self[piece] = struct.pack(f"<{len(found)}I", *(t.id for t in found))
+        return ids
+
+
+class ChunkEncoder(dict):
+    """Ids of texts by the tokenizers library, for a lower-casing vocabulary whose
+    pre-tokeniser drops white space.  The ids of a text are then those of its
+    runs of other characters, each normalised, cut and merged by the library
+    once; a run that holds a special-token string goes through it whole."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        cut, byte = spec["pre_tokenizer"]["pretokenizers"]
+        if steps != ["NFC", "Replace", "Lowercase"] or not cut["invert"] or cut["behavior"] != "Removed" or byte["use_regex"] or byte["add_prefix_space"]:
+            raise ValueError("a lower-casing vocabulary that drops white space is needed")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = self.tokenizer.encode("a b", add_special_tokens=False).ids
-        if probe != [i for x in ("a", "b") for i in self.tokenizer.encode(x, add_special_tokens=False).ids]:
-            raise ValueError("a vocabulary that drops white space is needed")
-        self.known: dict[str, bytes] = {}
+        self.normalize = self.tokenizer.normalizer.normalize_str
+        self.cut = regex.compile(spaced(cut["pattern"]["Regex"])).findall
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.pieces = Pieces(self.tokenizer.model)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        low = chunk.lower() if chunk.isascii() else self.normalize(chunk)
+        if low.isalpha():
+            ids = self.pieces[low]
+        elif any(s in chunk for s in self.special):
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        else:
+            ids = b"".join(map(self.pieces.__getitem__, self.cut(low)))
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        get = self.__getitem__
         # str.split() also cuts at the four information separators, which are not White_Space
-        cut = [[x for x in _blank.split(t) if x] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set(chain.from_iterable(cut)) - self.known.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return [b"".join(map(get, filter(None, _blank.split(t)) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())) for t in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
