@@ -13,6 +13,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import pieces, quoted
 
 #: ids in a segment, about
 SEGMENT_IDS = 500_000
+#: Runs of characters remembered by a Python worker before its memory of them is dropped
+CHUNKS = 1_200_000
 
 STORE_SCHEMA = "part int, segment int, base long, n_ids long, doc_id array<long>, lengths binary, ids binary"
 
@@ -33,22 +36,6 @@ _symbol = byte_symbols()
 _blank = re.compile(f"[{SPACE}]+")
 
 
-class Pieces(dict):
-    """Ids of a normalised pre-token by the library's model, when first asked for."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.tokenize = model.tokenize
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        plain = piece if piece.isascii() and piece.isprintable() else "".join(map(_symbol.__getitem__, piece.encode()))
-        found = self.tokenize(plain)
-        ids = self[piece] = struct.pack(f"<{len(found)}I", *(t.id for t in found))
-        return ids
-
-
 class ChunkEncoder(dict):
     """Ids of texts by the tokenizers library, for a lower-casing vocabulary whose
     pre-tokeniser drops white space.  The ids of a text are then those of its
@@ -72,26 +59,49 @@ class ChunkEncoder(dict):
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.cut = regex.compile(spaced(cut["pattern"]["Regex"])).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.pieces = Pieces(self.tokenizer.model)
+        self.merge = self.tokenizer.model.tokenize
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a normalised pre-token by the library's model."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join(map(_symbol.__getitem__, piece.encode()))
+        ids = [t.id for t in self.merge(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > CHUNKS:
             self.clear()
-        low = chunk.lower() if chunk.isascii() else self.normalize(chunk)
+        low = chunk.lower() if plain(chunk) else self.normalize(chunk)
         if low.isalpha():
-            ids = self.pieces[low]
+            ids = self.piece(low)
         elif any(s in chunk for s in self.special):
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
+        elif low[:-1].isalpha():
+            # a run of letters and one other character
+            ids = self[low[:-1]] + self[low[-1]]
         else:
-            ids = b"".join(map(self.pieces.__getitem__, self.cut(low)))
+            parts = self.cut(low)
+            ids = self.piece(low) if parts == [low] else b"".join(map(self.__getitem__, parts))
         self[chunk] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.__getitem__
-        # str.split() also cuts at the four information separators, which are not White_Space
-        return [b"".join(map(get, filter(None, _blank.split(t)) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())) for t in texts]
+        get, out = self.__getitem__, []
+        for t in texts:
+            # words that differ in case only are remembered once
+            if plain(t) and not any(s in t for s in self.special):
+                t = t.lower()
+            # str.split() also cuts at the four information separators, which are not White_Space
+            words = filter(None, _blank.split(t)) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
+            out.append(b"".join(map(get, words)))
+        return out
+
+
+def plain(text: str) -> bool:
+    """The library's normaliser does to it just what str.lower() does: it is
+    composed, and no letter of it is lowered by context or to two letters."""
+    return text.isascii() or ("\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
