@@ -2,44 +2,53 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusq.operators.chunk import chunk_pages
 from corpusq.operators.pages import line_pages, segment_pages
 from corpusq.shared import scratch
 
 
-def ingest_stream(landing: DataFrame, archive: str, chunks: str, checkpoint: str, watermark: str = "1 hour") -> None:
+def ingest_stream(landing: DataFrame, archive: str, chunks: str, checkpoint: str, watermark: str | None = None) -> None:
     """Take documents (doc_pk, sha256, text, retrieved_at) from a stream until
-    nothing is left: repeats inside the watermark are dropped by state, others by
-    the archive; the rest go to ``archive`` and, cut, to ``chunks``."""
+    nothing is left.  The smallest key of each hash in a batch goes on, unless
+    the archive has the hash; new documents go to ``archive`` and, cut, to
+    ``chunks``.  With a ``watermark``, state drops repeats inside it first (any
+    one of them stays)."""
     spark = landing.sparkSession
-    fresh = landing.withWatermark("retrieved_at", watermark).dropDuplicatesWithinWatermark(["sha256"])
+    fresh = landing.withWatermark("retrieved_at", watermark).dropDuplicatesWithinWatermark(["sha256"]) if watermark else landing
+    kept = T.StructType([*fresh.schema.fields, T.StructField("epoch", T.IntegerType())])
 
     def append(batch: DataFrame, epoch: int) -> None:
-        batch = batch.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "sha256"]), "doc_pk").alias("d")).select("sha256", "d.*")
+        names = batch.columns
+        batch = batch.groupBy("sha256").agg(F.min_by(F.struct(*names), "doc_pk").alias("d")).select("d.*")
         try:
             # a batch that is run again after a failure replaces what it wrote
-            known = spark.read.parquet(archive).where(F.col("epoch") != epoch).select("sha256")
-            batch = batch.join(known.hint("merge"), "sha256", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            known = spark.read.schema(kept).parquet(archive).where(F.col("epoch") != epoch).select("sha256")
+            batch = batch.join(known.hint("merge"), "sha256", "left_anti").select(*names)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        batch = batch.withColumn("epoch", F.lit(epoch))
-        write = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
-        write(batch, archive)
-        cut = chunk_pages(segment_pages(spark.read.parquet(archive).where(F.col("epoch") == epoch), line_pages(F.col("text"))))
-        write(cut.withColumn("epoch", F.lit(epoch)), chunks)
+        batch.write.mode("overwrite").parquet(f"{archive}/epoch={epoch}")
+        new = spark.read.schema(fresh.schema).parquet(f"{archive}/epoch={epoch}")
+        chunk_pages(segment_pages(new, line_pages(F.col("text")))).write.mode("overwrite").parquet(f"{chunks}/epoch={epoch}")
 
     fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def as_glob(path: str) -> str:
+    """A pattern for the path alone: a stream may then read a table of one file."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def ingest_folder(spark: SparkSession, path: str, schema, prepare) -> tuple[DataFrame, DataFrame]:
     """Stream a folder of Parquet files through ``ingest_stream`` and return the
     archive and its chunks."""
     base = scratch(spark)
-    landing = prepare(spark.readStream.schema(schema).parquet(path))
+    landing = prepare(spark.readStream.schema(schema).parquet(as_glob(path)))
     ingest_stream(landing, f"{base}/archive", f"{base}/chunks", f"{base}/state")
     return spark.read.parquet(f"{base}/archive"), spark.read.parquet(f"{base}/chunks")
 
@@ -48,9 +57,9 @@ def live_counts(spark: SparkSession, path: str, schema, by, watermark: str | Non
     """Counts of a stream of Parquet files by a label (or by time window and label),
     as they stand when nothing is left."""
     base = scratch(spark)
-    rows = spark.readStream.schema(schema).parquet(path)
+    rows = spark.readStream.schema(schema).parquet(as_glob(path))
     if watermark:
-        rows = rows.withWatermark("ts", watermark)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
 
     def put(batch: DataFrame, epoch: int) -> None:
