@@ -63,7 +63,14 @@ def gram_counts(texts: list[str], owner: np.ndarray) -> tuple[np.ndarray, np.nda
         return e, e, e
     if len(found) == 1:
         return found[0]
+    return _merged(found)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal owners and grams added up."""
     o, g, n = (np.concatenate(x) for x in zip(*found))
+    if not len(o):
+        return o, g, n
     order = np.lexsort((g, o))
     o, g, n = o[order], g[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1])]))
@@ -119,13 +126,6 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         names: dict[str, int] = {}
         held, size = [], 0
 
-        def flush():
-            o, g, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((g, o))
-            o, g, n = o[order], g[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1])]))
-            return o[first], g[first], np.add.reduceat(n, first)
-
         for b in batches:
             for p in pieces(b):
                 owner = np.array([names.setdefault(x, len(names)) for x in p.column(0).to_pylist()], np.int64)
@@ -134,10 +134,10 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                 held.append(gram_counts([texts[i] for i in order], owner[order]))
                 size += len(held[-1][0])
                 if size > 1_000_000:
-                    held = [flush()]
+                    held = [_merged(held)]
                     size = 0
         if held:
-            o, g, n = flush()
+            o, g, n = _merged(held)
             back = np.array(list(names), object)
             for a in range(0, len(o), 100_000):
                 yield pa.RecordBatch.from_arrays(
