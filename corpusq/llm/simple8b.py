@@ -27,7 +27,14 @@ _most = max(FIELDS)
 _count = np.array([1, *FIELDS], np.int64)
 
 
+#: bits of each value under 2^16
+_small = np.ceil(np.log2(np.arange(1, 1 << 16, dtype=np.float64) + 0.5)).astype(np.uint8)
+_small = np.concatenate([np.zeros(1, np.uint8), _small])
+
+
 def bit_length(v: np.ndarray) -> np.ndarray:
+    if not len(v) or v.max() < 1 << 16:
+        return _small[v.astype(np.uint16)]
     high = (v >> np.uint64(32)).astype(np.float64)
     low = (v & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
@@ -70,12 +77,14 @@ def encode(values: np.ndarray) -> bytes:
     row, col = row[order], col[order]
     sel = choice[row, col]
     words = sel.astype(np.uint64) << np.uint64(60)
+    place, cells = row * grid.shape[1] + col, grid.ravel()
     for s in range(1, 15):
         mine = np.flatnonzero(sel == s)
         if len(mine):
-            k = np.arange(FIELDS[s - 1])
-            fields = grid[row[mine, None], col[mine, None] + k] << (k * BITS[s - 1]).astype(np.uint64)
-            words[mine] |= np.bitwise_or.reduce(fields, axis=1)
+            at, word = place[mine], words[mine]
+            for k in range(FIELDS[s - 1]):
+                word |= cells[at + k] << np.uint64(k * BITS[s - 1])
+            words[mine] = word
     escapes = np.flatnonzero(sel == 0)
     raw = grid[row[escapes], col[escapes]]
     first_word = np.searchsorted(row, np.arange(blocks)).astype(np.uint64)

@@ -26,7 +26,7 @@ from .bpe import REMEMBERED, SPACE, byte_symbols, spaced
 from .common import pieces, quoted
 
 #: ids in a segment, about
-SEGMENT_IDS = 500_000
+SEGMENT_IDS = 1_000_000
 #: Runs of characters remembered by a Python worker before its memory of them is dropped
 CHUNKS = 1_200_000
 
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             for part in pieces(b):
                 coded += [x + end for x in encode(part.column(1).to_pylist())]
                 docs_ += part.column(0).to_pylist()
-                size = sum(map(len, coded)) // 4
+                size = sum(map(len, coded)) // 4  # of this segment
                 if size >= SEGMENT_IDS:
                     yield segment()
                     docs_, coded, base, ordinal = [], [], base + size, ordinal + 1
