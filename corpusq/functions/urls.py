@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -60,8 +61,12 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-@F.arrow_udf("string")
-def _join(base: pa.Array, href: pa.Array) -> pa.Array:
+def _join(base: Column, href: Column) -> Column:
+    # made when it is used: a user function needs a session
+    return F.arrow_udf(_joined, T.StringType())(base, href)
+
+
+def _joined(base: pa.Array, href: pa.Array) -> pa.Array:
     def one(b, h):
         try:
             return None if b is None or h is None else urljoin(b, h)

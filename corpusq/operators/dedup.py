@@ -20,25 +20,37 @@ def dedup_archive(arrivals: DataFrame, seq: str = "seq", sha: str = "sha256", ur
     """
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     rows = stored(arrivals.select(F.col(seq).alias("seq"), blank(sha).alias("h"), blank(url).alias("u")))
-    undecided, done = rows, None
+    undecided, accepted = rows, None
     while True:
         first_h = undecided.where("h is not null").groupBy("h").agg(F.min("seq").alias("first_h"))
         first_u = undecided.where("u is not null").groupBy("u").agg(F.min("seq").alias("first_u"))
         marked = undecided.join(first_h.hint("merge"), "h", "left").join(first_u.hint("merge"), "u", "left")
         won = stored(marked.where("coalesce(first_h, seq) = seq and coalesce(first_u, seq) = seq").select("seq", "h", "u"))
-        by_h = won.where("h is not null").select("h", F.col("seq").alias("own_h"))
-        by_u = won.where("u is not null").select("u", F.col("seq").alias("own_u"))
-        rest = undecided.join(won.select("seq").hint("merge"), "seq", "left_anti").join(by_h.hint("merge"), "h", "left").join(by_u.hint("merge"), "u", "left")
-        seen = F.when(F.col("own_h") < F.col("seq"), F.col("own_h")), F.when(F.col("own_u") < F.col("seq"), F.col("own_u"))
-        judged = stored(rest.select("seq", "h", "u", seen[0].alias("by_h"), seen[1].alias("by_u")))
-        lost = judged.where("by_h is not null or by_u is not null").select(
-            "seq", F.lit(False).alias("accepted"), F.coalesce("by_h", "by_u").alias("duplicate_of"), F.when(F.col("by_h").isNotNull(), "sha256").otherwise("url").alias("reason")
-        )
-        settled = won.select("seq", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("duplicate_of"), F.lit(None).cast("string").alias("reason")).union(lost)
-        done = settled if done is None else done.union(settled)
-        undecided = judged.where("by_h is null and by_u is null").select("seq", "h", "u")
+        accepted = won if accepted is None else accepted.union(won)
+        rest = undecided.join(won.select("seq").hint("merge"), "seq", "left_anti")
+        undecided = stored(_matched(rest, won).where("by_h is null and by_u is null").select("seq", "h", "u"))
         if undecided.isEmpty():
-            return done
+            break
+    # which row a rejected one repeats is known when all accepted ones are
+    own = accepted.select("seq", F.lit(True).alias("accepted"))
+    judged = _matched(rows, accepted).join(own.hint("merge"), "seq", "left")
+    lost = F.col("accepted").isNull()
+    return judged.select(
+        "seq",
+        (~lost).alias("accepted"),
+        F.when(lost, F.coalesce("by_h", "by_u")).alias("duplicate_of"),
+        F.when(lost, F.when(F.col("by_h").isNotNull(), "sha256").otherwise("url")).alias("reason"),
+    )
+
+
+def _matched(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Rows with the earlier accepted rows of their hash and of their URL; among
+    accepted rows each hash and each URL stands once."""
+    by_h = accepted.where("h is not null").select("h", F.col("seq").alias("own_h"))
+    by_u = accepted.where("u is not null").select("u", F.col("seq").alias("own_u"))
+    earlier = lambda c: F.when(F.col(c) < F.col("seq"), F.col(c))
+    both = rows.join(by_h.hint("merge"), "h", "left").join(by_u.hint("merge"), "u", "left")
+    return both.select("seq", "h", "u", earlier("own_h").alias("by_h"), earlier("own_u").alias("by_u"))
 
 
 def dedup_by_hash(docs: DataFrame, key: str = "doc_pk", sha: str = "sha256") -> DataFrame:
