@@ -160,3 +160,35 @@ def parse_answers(spark, sf):
     body = F.concat(F.lit('{"answer":"x","citations":[{'), ref, F.lit('"chunk_id":"'), "chunk_id", F.lit('"'), F.coalesce(F.concat(F.lit(',"page":'), "page"), F.lit("")), F.lit("}]}"))
     text = F.when(k % 9 == 0, F.concat(F.lit("oops "), F.substring(body, 1, 20))).when(k % 2 == 1, F.concat(F.lit("Sure! Here it is:\n"), body, F.lit("\nDone."))).otherwise(body)
     return V.parse_answers(c.select("run_id", text.alias("answer_text"))).select("run_id", "citation_ref", "chunk_id", "page")
+
+
+@query(f"""WITH pool AS (SELECT * FROM fx_chunks), {_HITS}, k AS ({_KEYWORD})
+SELECT k.question_id, k.chunk_id, k.rank, d.document_id, d.title, d.doc_date AS date, c.page_number, md5(substr(c.text, 1, 500)) AS passage_md5, 'Keyword match: ' || k.matched AS reason
+FROM k JOIN fx_chunks c USING (chunk_id) LEFT JOIN fx_documents d ON d.doc_pk = c.doc_pk""")
+def search_results(spark, sf):
+    """Hits with their document's fields; a document may be missing."""
+    docs = fx.documents(spark, sf).select("doc_pk", "document_id", "title", F.col("doc_date").alias("date"))
+    found = R.keyword_search(fx.questions(spark), fx.chunks(spark, sf)).join(docs, "doc_pk", "left")
+    passage = F.md5(F.substring("text", 1, 500).cast("binary"))
+    return found.select("question_id", "chunk_id", "rank", "document_id", "title", "date", "page_number", passage.alias("passage_md5"), F.concat(F.lit("Keyword match: "), "matched").alias("reason"))
+
+
+@query(f"{_EVIDENCE} SELECT question_id, ref, e.chunk_id, round(keyword_score, 4) AS keyword_score, md5(substr(c.text, 1, 600)) AS passage_md5 FROM e JOIN fx_chunks c USING (chunk_id)")
+def source_rows(spark, sf):
+    """The sources shown beside an answer."""
+    c = fx.chunks(spark, sf).select("chunk_id", F.md5(F.substring("text", 1, 600).cast("binary")).alias("passage_md5"))
+    return _evidence(spark, sf).join(c, "chunk_id").select("question_id", "ref", "chunk_id", F.round("keyword_score", 4).alias("keyword_score"), "passage_md5")
+
+
+@query("""SELECT conv_id, turn, substr(text, 1, 120) AS title, '[{"conv_id":' || conv_id || ',"turn":' || turn || '}]' AS citations_json FROM conversations WHERE role = 'user'""")
+def research_sessions(spark, sf):
+    """Saved questions: title and citations as JSON."""
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", F.substring("text", 1, 120).alias("title"), F.to_json(F.array(F.struct("conv_id", "turn"))).alias("citations_json"))
+
+
+@query(f"""{_VALID} SELECT run_id, CAST(1 AS BIGINT) AS runs, count(*) AS citations, CAST(sum(CASE WHEN note = '' THEN 1 ELSE 0 END) AS BIGINT) AS validated, string_agg(citation_ref || '=' || CASE WHEN note = '' THEN 'ok' ELSE note END, '|' ORDER BY citation_ref) AS notes FROM v GROUP BY run_id""")
+def answer_audit(spark, sf):
+    """What an audit keeps of each run: its citations and their notes."""
+    note = F.concat_ws("=", "citation_ref", "note")
+    return _validated(spark, sf).groupBy("run_id").agg(F.lit(1).cast("long").alias("runs"), F.count("*").alias("citations"), F.count_if("valid").alias("validated"), F.array_join(F.sort_array(F.collect_list(note)), "|").alias("notes"))
