@@ -77,6 +77,15 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def lowest(df: DataFrame, *by: str, limit: int, total: int) -> DataFrame:
+    """The ``limit`` rows with the lowest hashes of the ``by`` columns.  ``total``
+    is about the number of rows: a task offers only rows that can be among them,
+    so what reaches the driver does not grow with the number of tasks."""
+    share = F.pmod(F.xxhash64(*by), F.lit(1 << 31))
+    likely = min(1.0, (2 * limit + 200) / max(total, 1))
+    return df.where(share < int(likely * (1 << 31))).orderBy(share, *by).limit(limit)
+
+
 def map_text(
     df: DataFrame,
     text_col: str,

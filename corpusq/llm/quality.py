@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, quoted
+from .common import lowest, map_text, quoted
 
 #: Labelled rows that a model is fitted on, at most: those whose id hashes lowest
 FIT_ROWS = 20_000
@@ -186,7 +186,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     label = F.col(quoted(label_col)).cast("int")
     known = labels.where(label.isin(0, 1)).groupBy(F.col(quoted(id_col)).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     x = add_features(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), ["id"])
-    fit = x.join(known.hint("merge"), "id").select("features", "y", F.xxhash64("id").alias("h")).orderBy("h", "features").limit(rows).collect()
+    fit = lowest(x.join(known.hint("merge"), "id"), "id", "features", limit=rows, total=known.count()).collect()
     return Model(np.array([r.features for r in fit], float).reshape(-1, len(FEATURES)), np.array([r.y for r in fit], float))
 
 
