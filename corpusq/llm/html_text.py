@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, quoted
+from .common import lowest, map_text, quoted
 
 #: Labelled pages of the table that the model is trained on, at most, and made-up ones
 FIT_PAGES, MADE_PAGES = 200, 240
@@ -323,7 +323,8 @@ def learn_pages(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES
     other signs carry weight too.
     """
     col = F.col(quoted(html_col)).cast("string")
-    chosen = pages.where(col.rlike("(?i)<(article|main)[ >]")).select(col.alias("html")).orderBy(F.xxhash64("html"), "html").limit(limit).collect()
+    marked = pages.where(col.rlike("(?i)<(article|main)[ >]")).select(col.alias("html"))
+    chosen = lowest(marked, "html", limit=limit, total=pages.count()).collect()
     rng, train = random.Random(SEED), []
     for r in chosen:
         page = blocks(r.html)
