@@ -71,8 +71,7 @@ def classify_fetches(log: DataFrame, domains: list[str], extensions: list[str])
 def crawl_report(log: DataFrame, errors: int = 100) -> DataFrame:
     """Per run: counters, duration in seconds and the first errors."""
     n = lambda x: F.count_if(F.col("outcome") == x)
-    numbered = log.withColumn("__n", F.when(F.col("outcome") == "failed", F.row_number().over(Window.partitionBy("run_id", F.col("outcome") == "failed").orderBy("ts", "url"))))
-    return numbered.groupBy("run_id").agg(
+    counts = log.groupBy("run_id").agg(
         F.count("*").alias("urls_seen"),
         n("blocked").alias("urls_blocked"),
         n("failed").alias("urls_failed"),
@@ -80,8 +79,11 @@ def crawl_report(log: DataFrame, errors: int = 100) -> DataFrame:
         n("skipped").alias("urls_skipped"),
         n("page").alias("pages_read"),
         F.round((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1e6, 2).alias("duration_seconds"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= errors, F.struct("ts", "url")))), lambda x: x["url"]), "\n").alias("errors"),
     )
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "url"))
+    shown = log.where("outcome = 'failed'").select("run_id", "ts", "url").withColumn("n", first).where(F.col("n") <= errors)
+    texts = shown.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "url"))), lambda x: x["url"]), "\n").alias("errors"))
+    return counts.join(texts, "run_id", "left").withColumn("errors", F.coalesce("errors", F.lit("")))
 
 
 def allowed_by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

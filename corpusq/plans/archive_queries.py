@@ -224,9 +224,9 @@ def _classified(spark, sf):
 
 
 @query(f"""{_OUTCOMES} SELECT run_id, count(*) AS urls_seen, count(*) FILTER (WHERE outcome = 'blocked') AS urls_blocked, count(*) FILTER (WHERE outcome = 'failed') AS urls_failed, count(*) FILTER (WHERE outcome = 'downloaded') AS urls_downloaded,
-count(*) FILTER (WHERE outcome = 'skipped') AS urls_skipped, count(*) FILTER (WHERE outcome = 'page') AS pages_read, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_seconds, coalesce(string_agg(CASE WHEN outcome = 'failed' THEN url END, chr(10) ORDER BY ts, url), '') AS errors FROM o GROUP BY run_id""")
+count(*) FILTER (WHERE outcome = 'skipped') AS urls_skipped, count(*) FILTER (WHERE outcome = 'page') AS pages_read, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_seconds, coalesce(string_agg(CASE WHEN outcome = 'failed' AND n <= 5 THEN url END, chr(10) ORDER BY ts, url), '') AS errors FROM (SELECT *, row_number() OVER (PARTITION BY run_id, outcome ORDER BY ts, url) AS n FROM o) GROUP BY run_id""")
 def crawl_report(spark, sf):
-    return C.crawl_report(_classified(spark, sf), errors=1_000_000)
+    return C.crawl_report(_classified(spark, sf), errors=5)
 
 
 @query("SELECT page_id, gap_seconds FROM (SELECT page_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts, url)) / 1e6 AS gap_seconds FROM fx_fetches) WHERE gap_seconds < 20")
