@@ -8,9 +8,13 @@ of their own; the other words stand in classes by their last two letters, and
 within these by add-one relative frequency, so that every word, seen or not, has
 a probability.
 
-The recurrent weights are trained by truncated backpropagation on a bounded
-sample of the learning share; scoring carries the state across windows from a
-document's first token to its last.
+The recurrent weights are trained by truncated backpropagation on the whole
+learning share, one pass of it dealt over ``ROUNDS`` rounds.  In a round every
+partition goes on from the same weights over its own documents of that round;
+then the weights are averaged by tokens.  What a task returns and what the
+driver holds has a fixed size.  The weights depend on how the rows are
+partitioned, not on the order in which tasks end.  Scoring carries the state
+across windows from a document's first token to its last.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, pieces, quoted, stored
+from .common import pieces, quoted, stored
 
 #: Words whose count every task holds; the others' counts are joined
 HEAD = 200_000
 VOCABULARY, CLASS, ENDINGS = 8192, 64, 64
 UNITS, WINDOW, LANES, BLOCK = 32, 64, 384, 2048
-#: Documents (lowest hash) and tokens that the recurrent weights are trained on, at most
-FIT_DOCS, FIT_TOKENS = 2500, 1_200_000
-FIT_WINDOW, FIT_LANES, RATE, SEED = 24, 48, 0.08, 3
+#: Where the rounds of training end, in shares of the documents
+ROUNDS = (1 / 16, 6 / 16, 1)
+FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 24, 48, 256, 0.08, 3
+#: Tokens trained on together in a task, about; floats in a row of averaged weights
+FIT_POOL, ROW = 1_000_000, 8192
 #: Tokens scored together in a task, about
 POOL = 3_000_000
 END = "\n"
@@ -218,61 +224,75 @@ class Model:
             total += np.bincount(who[real], self.log10(states.reshape(-1, UNITS)[real], symbol.T.ravel()[real]), len(docs))
         return total
 
-    def fit(self, stream: np.ndarray, lanes: int = FIT_LANES, window: int = FIT_WINDOW) -> None:
-        """Truncated backpropagation over one pass of a stream of documents."""
-        lanes = max(1, min(lanes, len(stream) // (window + 1)))
-        length = len(stream) // lanes
-        if length < 2:
-            return
-        grid = stream[: lanes * length].reshape(lanes, length)
-        k = UNITS
-        names = ("x", "u", "b", "w", "a", "v", "d")
-        seen = {n: np.full_like(getattr(self, n), 1e-2) for n in names}
+    def fresh(self) -> dict[str, np.ndarray]:
+        """Sums of squared gradients before any step: one for each symbol's
+        input, else one for each weight."""
+        return {n: np.full((len(self.x), 1) if n == "x" else getattr(self, n).shape, 1e-2, np.float32) for n in WEIGHTS}
 
-        def move(name, g, rows=None):
-            p, s = getattr(self, name), seen[name]
+    def fit(self, stream: np.ndarray, lanes: int = FIT_LANES, window: int = FIT_WINDOW, seen: dict[str, np.ndarray] | None = None) -> None:
+        """Truncated backpropagation over one pass of a stream of documents.
+        Each symbol after the first is predicted once.  ``seen`` is carried on."""
+        size = len(stream) - 1
+        if size < 1:
+            return
+        seen = self.fresh() if seen is None else seen
+        lanes = max(1, min(lanes, size // window))
+        length = -(-size // lanes)
+        grid = np.zeros((2, lanes * length), np.int64)
+        grid[0, :size], grid[1, :size] = stream[:-1], stream[1:]
+        grid = grid.reshape(2, lanes, length)
+        real = (np.arange(lanes * length) < size).reshape(lanes, length)
+        k, scale = UNITS, np.float32(1 / lanes)
+
+        def move(p, s, g):
             np.clip(g, -1, 1, out=g)
-            if rows is None:
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
-            else:
-                s[rows] += g * g
-                p[rows] -= RATE * g / np.sqrt(s[rows])
+            s += g * g
+            p -= RATE * g / np.sqrt(s)
 
         h = np.zeros((lanes, k), np.float32)
-        for start in range(0, length - 1, window):
-            given, wanted = grid[:, start : min(start + window, length - 1)], grid[:, start + 1 : start + window + 1]
+        for start in range(0, length, window):
+            given, wanted = grid[:, :, start : start + window]
             width = given.shape[1]
             kept = []
             for t in range(width):
                 kept.append(self.step(given[:, t], h))
                 h = kept[-1][-1]
             flat = np.concatenate([s[-1] for s in kept])
-            symbol = wanted.T.ravel()
+            symbol, live = wanted.T.ravel(), real[:, start : start + window].T.ravel()
             cls = self.class_of(symbol)
-            scale = np.float32(1 / lanes)
-            logits = flat @ self.w + self.a
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), cls] -= 1
-            p *= scale
-            dh = p @ self.w.T
-            dw, da = flat.T @ p, p.sum(0)
-            for c in np.unique(cls[cls < self.classes]):
-                at = np.flatnonzero(cls == c)
-                q = flat[at] @ self.v[c] + self.d[c]
-                q = np.exp(q - q.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), symbol[at] - c * CLASS] -= 1
-                q *= scale
-                dh[at] += q @ self.v[c].T
-                dv, dd = flat[at].T @ q, q.sum(0)
-                move("v", dv[None], [c])
-                move("d", dd[None], [c])
-            move("w", dw)
-            move("a", da)
+            dh, dw, da = np.empty_like(flat), np.zeros_like(self.w), np.zeros_like(self.a)
+            for i in range(0, len(flat), BLOCK):
+                part, own = flat[i : i + BLOCK], cls[i : i + BLOCK]
+                p = part @ self.w
+                p += self.a
+                p -= p.max(1, keepdims=True)
+                np.exp(p, out=p)
+                p *= scale / p.sum(1, keepdims=True)
+                p[np.arange(len(p)), own] -= scale
+                p[~live[i : i + BLOCK]] = 0
+                dh[i : i + BLOCK] = p @ self.w.T
+                dw += part.T @ p
+                da += p.sum(0)
+            order = np.argsort(np.where(live, cls, len(self.a)), kind="stable")
+            edge = np.searchsorted(cls[order[: int(live.sum())]], np.arange(self.classes + 1)).tolist()
+            grouped, places, inner = flat[order], symbol[order] % CLASS, np.zeros_like(flat)
+            for c in range(self.classes):
+                i, j = edge[c], edge[c + 1]
+                if i < j:
+                    q = grouped[i:j] @ self.v[c]
+                    q += self.d[c]
+                    q -= q.max(1, keepdims=True)
+                    np.exp(q, out=q)
+                    q *= scale / q.sum(1, keepdims=True)
+                    q[np.arange(j - i), places[i:j]] -= scale
+                    inner[i:j] = q @ self.v[c].T
+                    move(self.v[c], seen["v"][c], grouped[i:j].T @ q)
+                    move(self.d[c], seen["d"][c], q.sum(0))
+            dh[order] += inner
+            move(self.w, seen["w"], dw)
+            move(self.a, seen["a"], da)
             dh = dh.reshape(width, lanes, k)
-            du, db = np.zeros_like(self.u), np.zeros_like(self.b)
+            du = np.zeros_like(self.u)
             dx = np.empty((width, lanes, 3 * k), np.float32)
             back = np.zeros((lanes, k), np.float32)
             for t in range(width - 1, -1, -1):
@@ -285,35 +305,99 @@ class Model:
                 dx[t, :, : 2 * k], dx[t, :, 2 * k :] = gate[:, : 2 * k], dn
                 du += before.T @ gate
                 back = (back * z + gate @ self.u.T) * (given[:, t] != 0)[:, None]
-            db = dx.sum((0, 1))
-            rows, where = np.unique(given.T.ravel(), return_inverse=True)
-            gx = np.zeros((len(rows), 3 * k), np.float32)
-            np.add.at(gx, where, dx.reshape(-1, 3 * k))
-            move("u", du)
-            move("b", db)
-            move("x", gx, rows)
+            dx = dx.reshape(-1, 3 * k)
+            order = np.argsort(given.T.ravel(), kind="stable")
+            rows, first = np.unique(given.T.ravel()[order], return_index=True)
+            gx = np.clip(np.add.reduceat(dx[order], first), -1, 1)
+            move(self.u, seen["u"], du)
+            move(self.b, seen["b"], dx.sum(0))
+            seen["x"][rows] += (gx * gx).mean(1, keepdims=True)
+            self.x[rows] -= RATE * gx / np.sqrt(seen["x"][rows])
 
 
-def learn_model(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id", docs_limit: int = FIT_DOCS, tokens: int = FIT_TOKENS) -> Model:
-    """Train the recurrent weights on the documents with the lowest hashes, in one task."""
-    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    named = docs.select(text.alias("text"), F.col(quoted(id_col)).alias("id"))
-    sample = lowest(named, "id", "text", limit=docs_limit, total=docs.count()).select("text")
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+WEIGHTS = ("x", "u", "b", "w", "a", "v", "d")
 
-    def run(batches):
-        lex, parts, size = shared.value, [np.zeros(1, np.int64)], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if size < tokens:
-                    parts.append(symbols(lex, words_of(t))[0][: tokens - size])
-                    size += len(parts[-1])
-        m = Model(lex)
-        m.fit(np.concatenate(parts))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], names=["model"])
-
-    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(found.model) if found else Model(lexicon)
+
+def flat_weights(m: Model, seen: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x[n].ravel() for x in (vars(m), seen) for n in WEIGHTS])
+
+
+def put_weights(m: Model, seen: dict[str, np.ndarray], flat: np.ndarray) -> None:
+    at = 0
+    for box in (vars(m), seen):
+        for n in WEIGHTS:
+            size = box[n].size
+            box[n] = flat[at : at + size].reshape(box[n].shape).astype(np.float32)
+            at += size
+
+
+def learn_model(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Train the recurrent weights on all documents, inside their partitions.
+
+    Each document belongs to one round, by its hash, and is read there from its
+    first token to its last.
+    """
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    share = F.pmod(F.xxhash64(F.col(quoted(id_col)), text), F.lit(1 << 20))
+    named = docs.select(share.alias("share"), text.alias("text"))
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast(lexicon)
+    model = Model(lexicon)
+    seen, low = model.fresh(), 0
+    for end in ROUNDS:
+        high = int(end * (1 << 20))
+        given = sc.broadcast(pickle.dumps((model, seen)))
+
+        def run(batches, given=given):
+            lex, (m, seen) = shared.value, pickle.loads(given.value)
+            parts, size, total = [np.zeros(1, np.int64)], 0, 0
+
+            def fit():
+                m.fit(np.concatenate(parts), max(FIT_LANES, min(MOST_LANES, size // 4096)), seen=seen)
+
+            for b in batches:
+                for part in pieces(b):
+                    for t in part.column(0).to_pylist():
+                        parts.append(symbols(lex, words_of(t))[0])
+                        size += len(parts[-1])
+                        if size > FIT_POOL:
+                            fit()
+                            parts, size, total = [np.zeros(1, np.int64)], 0, total + size
+            total += size
+            if size:
+                fit()
+            if total:
+                flat = flat_weights(m, seen)
+                for a in range(0, len(flat), ROW * 8):
+                    rows = range(a, min(a + ROW * 8, len(flat)), ROW)
+                    arrays = [pa.array([i // ROW for i in rows], pa.int32()), pa.array([total] * len(rows), pa.int64()), pa.array([flat[i : i + ROW].tobytes() for i in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", "weights"])
+
+        trained = named.where((F.col("share") >= low) & (F.col("share") < high)).select("text").mapInArrow(run, "row int, tokens long, weights binary")
+        averaged = stored(trained.repartition("row").mapInArrow(add_weights, "row int, tokens long, weights binary")).orderBy("row").collect()
+        if averaged:
+            put_weights(model, seen, np.concatenate([np.frombuffer(r.weights, np.int64) / (r.tokens * POINT) for r in averaged]))
+        low = high
+    return model
+
+
+#: Weights times tokens are added as whole numbers of this part of one, so that their order does not matter
+POINT = 1 << 16
+
+
+def add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weights times tokens, and of tokens, by row."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for row, n, w in zip(*(c.to_pylist() for c in b.columns)):
+            part = np.rint(np.frombuffer(w, np.float32).astype(float) * (n * POINT)).astype(np.int64)
+            if row in sums:
+                sums[row][0] += n
+                sums[row][1] += part
+            else:
+                sums[row] = [n, part]
+    for row, (n, w) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["row", "tokens", "weights"])
 
 
 def symbols(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from corpusq.llm import html_text as H
 from corpusq.llm import language_id as L
@@ -126,6 +127,32 @@ def test_language_model_gradient():
     assert m.score([stream[1:]])[0] > before + 30
 
 
+def test_language_model_learns_from_every_document(spark):
+    """Each document has a word of its own, whose input weights must move."""
+    d = spark.range(3000).selectExpr("id AS doc_id", "concat('both w', id, ' end') AS text").repartition(3)
+    lex = M.learn_lexicon(M.stored(M.count_words(d)))
+    m = M.learn_model(d, lex)
+    moved = np.abs(m.x - M.Model(lex).x).max(1)
+    assert (moved[[lex.rank[f"w{i}".encode()] for i in range(3000)]] > 1e-5).all()
+
+
+def test_language_model_averages_by_tokens():
+    rows = [(0, 1, [1.0, -3.0]), (0, 3, [2.0, 5.0]), (1, 4, [0.5])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([np.array(r[2], np.float32).tobytes() for r in rows], pa.binary())], names=["row", "tokens", "weights"])
+    got = {r["row"]: np.frombuffer(r["weights"], np.int64) / (r["tokens"] * M.POINT) for b in M.add_weights(iter([batch])) for r in b.to_pylist()}
+    assert np.allclose(got[0], [1.75, 3.0]) and np.allclose(got[1], [0.5])
+
+
+def test_language_model_predicts_every_symbol():
+    """The last symbols of a stream count, however many lanes there are."""
+    lex = small_model()
+    stream = np.array([0] + [1, 2] * 50 + [9])
+    m = M.Model(lex)
+    seen = m.fresh()
+    m.fit(stream, lanes=7, window=3, seen=seen)
+    assert (seen["v"][0][:, 9] > 1e-2).any() and np.isfinite(m.x).all()
+
+
 def test_language_model_odd(spark):
     d = odd(spark)
     counts = M.stored(M.count_words(d))
