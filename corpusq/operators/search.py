@@ -1,13 +1,15 @@
 """Retrieval for a table of questions: keyword, full-text, vector, hybrid.
 
-Questions are sent to every task, so their table has a bound, which is checked:
-``MOST_QUESTIONS`` rows at once.  ``vector_topk`` reads larger tables in blocks.
+Where questions are sent to every task, their table is read in blocks of about
+``MOST_QUESTIONS`` rows.  ``fulltext_search`` joins their terms instead.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.dates import within
 from corpusq.functions.text import occurrences, query_terms
+from corpusq.shared import stored
 
 MOST_QUESTIONS = 4096
 #: Words too common to search for.
@@ -65,11 +68,12 @@ def eligible(docs: DataFrame, f: Filters, topics: DataFrame | None = None, entit
     return found
 
 
-def bounded(questions: DataFrame) -> DataFrame:
-    """Questions for every task, if there are few enough."""
-    if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
-        raise ValueError(f"more than {MOST_QUESTIONS} questions at once")
-    return F.broadcast(questions)
+def in_blocks(questions: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``search`` finds for blocks of questions that every task gets; a
+    question's rows are all in one block."""
+    blocks = max(1, math.ceil(questions.select("question_id").distinct().count() / MOST_QUESTIONS))
+    of = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [search(F.broadcast(questions.where(of == n))) for n in range(blocks)])
 
 
 def best(scored: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -84,12 +88,17 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10) -> Data
 
     Blank questions find nothing.  Ties: smaller chunk id first.
     """
-    asked = bounded(questions.select("question_id", query_terms(F.col("question")).alias("terms")).where("size(terms) > 0"))
+    every = questions.select("question_id", query_terms(F.col("question")).alias("terms")).where("size(terms) > 0")
     low = chunks.select("chunk_id", "doc_pk", "page_number", "text", F.lower("text").alias("low"))
-    hit = low.join(asked, F.exists("terms", lambda t: F.contains(F.col("low"), t)))
     count = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + occurrences(F.col("low"), t))
-    scored = hit.select("question_id", "chunk_id", "doc_pk", "page_number", "text", count.alias("hits"), F.array_join(F.filter("terms", lambda t: F.contains(F.col("low"), t)), ", ").alias("matched"))
-    top = best(scored, k, F.desc("hits"), F.col("chunk_id"))
+    matched = F.array_join(F.filter("terms", lambda t: F.contains(F.col("low"), t)), ", ")
+
+    def search(asked):
+        hit = low.join(asked, F.exists("terms", lambda t: F.contains(F.col("low"), t)))
+        scored = hit.select("question_id", "chunk_id", "doc_pk", "page_number", "text", count.alias("hits"), matched.alias("matched"))
+        return best(scored, k, F.desc("hits"), F.col("chunk_id"))
+
+    top = in_blocks(every, search)
     most = F.max("hits").over(Window.partitionBy("question_id"))
     return top.withColumn("keyword_score", F.col("hits") / most)
 
@@ -131,35 +140,54 @@ def parse_web_query(text: str) -> dict[str, list]:
     return out
 
 
-def fulltext_search(questions: list[tuple[int, str]], chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Web-style questions over the inverted index, ranked by BM25, over the
-    question's best.  Words are not stemmed."""
+def parsed_questions(questions: DataFrame) -> DataFrame:
+    """``(question_id, kind, part, term)``: the alternatives of each part of a
+    question (``word``), words to leave out (``out``) and phrases (``phrase``)."""
+    asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
+    kind = asked.schema["question_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                p = parse_web_query(text)
+                groups = [[w] for w in dict.fromkeys(p["words"])] + p["any"]
+                found = [("word", n, w) for n, g in enumerate(groups) for w in dict.fromkeys(g)] + [("out", -1, w) for w in dict.fromkeys(p["out"])] + [("phrase", -1, x) for x in dict.fromkeys(p["phrases"])]
+                at += [i] * len(found)
+                rows += found
+            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=["question_id", "kind", "part", "term"])
+
+    return asked.mapInArrow(run, f"question_id {kind.simpleString()}, kind string, part int, term string")
+
+
+def fulltext_search(questions: DataFrame | list[tuple[int, str]], chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Web-style questions, one for each ``question_id``, over the inverted
+    index, ranked by BM25, over the question's best.  Words are not stemmed.
+    Any number of questions: their terms are joined."""
     spark, index = chunks.sparkSession, inverted_index(chunks)
-    rows, needs, phrases = [], [], []
-    for q, text in questions:
-        p = parse_web_query(text)
-        groups = [[w] for w in dict.fromkeys(p["words"])] + p["any"]
-        needs.append((q, len(groups)))
-        rows += [(q, n, w, False) for n, g in enumerate(groups) for w in g] + [(q, -1, w, True) for w in p["out"]]
-        phrases += [(q, x) for x in p["phrases"]]
-    asked = F.broadcast(spark.createDataFrame(rows, "question_id long, part int, term string, minus boolean"))
-    wanted = F.broadcast(spark.createDataFrame(needs, "question_id long, parts int"))
+    if isinstance(questions, list):
+        questions = spark.createDataFrame(questions, "question_id long, question string")
+    parsed = stored(parsed_questions(questions))
+    asked = parsed.where("kind <> 'phrase'").select("question_id", "part", "term", (F.col("kind") == "out").alias("minus"))
+    wanted = asked.groupBy("question_id").agg((F.max("part") + 1).alias("parts"))
     size = chunks.agg(F.count("*").alias("total"))
     length = index.select("chunk_id", "dl").distinct().agg(F.avg("dl").alias("mean"))
     found = index.join(asked, "term")
     df = index.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    # one row each: corpus size, mean length; one row for each asked word: its spread
-    joined = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(length))
+    # one row each: corpus size, mean length
+    joined = found.join(df, "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(length))
     scored = joined.groupBy("question_id", "chunk_id").agg(
         F.sum(F.when(~F.col("minus"), weight)).alias("score"), F.count_distinct(F.when(~F.col("minus"), F.col("part"))).alias("have"), F.bool_or("minus").alias("bad")
     )
     kept = scored.join(wanted, "question_id").where("have = parts and not bad and parts > 0")
-    if phrases:
-        needed = F.broadcast(spark.createDataFrame(phrases, "question_id long, phrase string"))
+    needed = parsed.where("kind = 'phrase'").select("question_id", F.col("term").alias("phrase"))
+    if not needed.isEmpty():
         text = chunks.select("chunk_id", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), " "), F.lit(" ")).alias("words"))
-        miss = text.join(needed, ~F.contains("words", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("question_id", "chunk_id")
+        pairs = kept.select("question_id", "chunk_id").join(needed, "question_id").join(text, "chunk_id")
+        miss = pairs.where(~F.contains("words", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("question_id", "chunk_id")
         kept = kept.join(miss, ["question_id", "chunk_id"], "left_anti")
     top = best(kept.select("question_id", "chunk_id", F.round("score", 9).alias("score")), k, F.desc("score"), F.col("chunk_id"))
     return top.withColumn("fulltext_score", F.col("score") / F.max("score").over(Window.partitionBy("question_id")))
@@ -168,9 +196,12 @@ def fulltext_search(questions: list[tuple[int, str]], chunks: DataFrame, k: int
 def sparse_topk(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Best chunks by inner product of sparse unit vectors ``(key, idx, weight)``:
     an equi-join on the dimension."""
-    asked = F.broadcast(questions.select("question_id", "idx", F.col("weight").alias("qw")))
-    scored = chunks.join(asked, "idx").groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("semantic_score"))
-    return best(scored.withColumn("semantic_score", F.round("semantic_score", 9)), k, F.desc("semantic_score"), F.col("chunk_id"), rank="semantic_rank")
+
+    def search(asked):
+        scored = chunks.join(asked, "idx").groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("semantic_score"))
+        return best(scored.withColumn("semantic_score", F.round("semantic_score", 9)), k, F.desc("semantic_score"), F.col("chunk_id"), rank="semantic_rank")
+
+    return in_blocks(questions.select("question_id", "idx", F.col("weight").alias("qw")), search)
 
 
 def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = MOST_QUESTIONS) -> DataFrame:

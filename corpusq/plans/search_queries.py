@@ -10,7 +10,7 @@ from corpusq.operators.embed import hash_weights
 from corpusq.shared import table
 
 from . import fixtures as fx
-from .registry import query
+from .registry import query, query_over
 
 _TERMS = r"list_filter(regexp_split_to_array(lower(question), '\s+'), lambda x: x <> '')"
 _HITS = f"""
@@ -21,16 +21,16 @@ _KEYWORD = "SELECT question_id, chunk_id, hits, matched, CAST(n AS INTEGER) AS r
 
 
 @query(f"WITH pool AS (SELECT * FROM fx_chunks), {_HITS} {_KEYWORD}")
-def keyword_search(spark, sf):
-    found = R.keyword_search(fx.questions(spark), fx.chunks(spark, sf))
+def keyword_search(spark, sf, ask=fx.questions):
+    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf))
     return found.select("question_id", "chunk_id", "hits", "matched", "rank", F.round("keyword_score", 6).alias("keyword_score"))
 
 
 @query(f"""WITH pool AS (SELECT * FROM fx_chunks WHERE doc_pk IN (SELECT doc_pk FROM fx_documents WHERE NOT is_demo AND contains(lower(author), 'author 1') AND language = 'en' AND doc_date >= '1962' AND doc_date <= '1990')
   AND doc_pk IN (SELECT doc_pk FROM fx_topic_tags WHERE topic_key = 'english')), {_HITS} {_KEYWORD}""")
-def filtered_keyword_search(spark, sf):
+def filtered_keyword_search(spark, sf, ask=fx.questions):
     allowed = R.eligible(fx.documents(spark, sf), R.Filters(author="Author 1", language="en", date_from="1962", date_to="1990", topic_key="english"), topics=fx.topic_tags(spark, sf))
-    found = R.keyword_search(fx.questions(spark), fx.chunks(spark, sf).join(allowed, "doc_pk", "left_semi"))
+    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf).join(allowed, "doc_pk", "left_semi"))
     return found.select("question_id", "chunk_id", "hits", "matched", "rank", F.round("keyword_score", 6).alias("keyword_score"))
 
 
@@ -44,9 +44,9 @@ semtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id
 
 
 @query(f"WITH {_BUCKET} SELECT question_id, chunk_id, round(semantic_score, 6) AS semantic_score, CAST(sr AS INTEGER) AS semantic_rank FROM semtop WHERE sr <= 10")
-def vector_topk_sparse(spark, sf):
+def vector_topk_sparse(spark, sf, ask=fx.questions):
     weights = hash_weights(fx.chunks(spark, sf), "chunk_id")
-    found = R.sparse_topk(hash_weights(fx.questions(spark), "question_id", "question"), weights, 10)
+    found = R.sparse_topk(hash_weights(ask(spark, sf), "question_id", "question"), weights, 10)
     return found.select("question_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"), "semantic_rank")
 
 
@@ -67,13 +67,13 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY comb
 
 
 @query(f"{_HYBRID} SELECT question_id, chunk_id, round(keyword_score, 6) AS keyword_score, round(semantic_score, 6) AS semantic_score, round(combined_score, 6) AS combined_score, rank, 'hybrid' AS effective_mode FROM top WHERE rank <= 10")
-def hybrid_search(spark, sf):
+def hybrid_search(spark, sf, ask=fx.questions):
     r = lambda c: F.round(c, 6).alias(c)
-    return _hybrid(spark, sf).select("question_id", "chunk_id", r("keyword_score"), r("semantic_score"), r("combined_score"), "rank", "effective_mode")
+    return _hybrid(spark, sf, ask).select("question_id", "chunk_id", r("keyword_score"), r("semantic_score"), r("combined_score"), "rank", "effective_mode")
 
 
-def _hybrid(spark, sf, k=10):
-    c, q = fx.chunks(spark, sf), fx.questions(spark)
+def _hybrid(spark, sf, ask, k=10):
+    c, q = fx.chunks(spark, sf), ask(spark, sf)
     return R.hybrid_search(q, c, hash_weights(q, "question_id", "question"), hash_weights(c, "chunk_id"), k)
 
 
@@ -97,30 +97,30 @@ _EVIDENCE = f"""{_HYBRID}, five AS (SELECT * FROM top WHERE rank <= 5), e AS (SE
 FROM (SELECT *, max(combined_score) OVER (PARTITION BY question_id) AS mx FROM five) WHERE combined_score >= 0.01 OR mx < 0.01)"""
 
 
-def _evidence(spark, sf):
-    return V.evidence_set(_hybrid(spark, sf, 10).where("rank <= 5"))
+def _evidence(spark, sf, ask):
+    return V.evidence_set(_hybrid(spark, sf, ask).where("rank <= 5"))
 
 
 @query(f"{_EVIDENCE} SELECT question_id, chunk_id, ref, round(combined_score, 4) AS score FROM e")
-def evidence_set(spark, sf):
-    return _evidence(spark, sf).select("question_id", "chunk_id", "ref", F.round("combined_score", 4).alias("score"))
+def evidence_set(spark, sf, ask=fx.questions):
+    return _evidence(spark, sf, ask).select("question_id", "chunk_id", "ref", F.round("combined_score", 4).alias("score"))
 
 
 @query(f"""{_EVIDENCE}, p AS (SELECT e.question_id, e.rank, '[' || ref || '] document_id=' || d.document_id || ' chunk_id=' || e.chunk_id || ' page=' || c.page_number || ' title=''' || d.title || '''' || chr(10) || trim(c.text, chr(10) || ' ') || chr(10) || '---' AS piece
   FROM e JOIN fx_chunks c USING (chunk_id) JOIN fx_documents d ON d.doc_pk = c.doc_pk)
 SELECT question_id, md5('{V.BEGIN}' || chr(10) || string_agg(piece, chr(10) ORDER BY rank) || chr(10) || '{V.END}') AS block_md5 FROM p GROUP BY question_id""")
-def evidence_block(spark, sf):
+def evidence_block(spark, sf, ask=fx.questions):
     c = fx.chunks(spark, sf).select("chunk_id", "doc_pk", "page_number", "text")
     d = fx.documents(spark, sf).select("doc_pk", "document_id", "title")
-    e = _evidence(spark, sf).select("question_id", "rank", "ref", "chunk_id").join(c, "chunk_id").join(d, "doc_pk")
+    e = _evidence(spark, sf, ask).select("question_id", "rank", "ref", "chunk_id").join(c, "chunk_id").join(d, "doc_pk")
     return V.evidence_block(e).select("question_id", F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
 @query(f"""{_EVIDENCE}, n AS (SELECT question_id, count(*) AS chunks, count(DISTINCT split_part(chunk_id, '-', 1)) AS docs FROM e GROUP BY 1)
 SELECT q.question_id, CASE WHEN chunks IS NULL THEN 'insufficient' ELSE 'answer' END AS route, coalesce(docs, 0) AS documents_retrieved, coalesce(chunks, 0) AS chunks_retrieved FROM fx_questions q LEFT JOIN n USING (question_id)""")
-def question_routes(spark, sf):
-    e = _evidence(spark, sf).withColumn("doc_pk", F.split_part("chunk_id", F.lit("-"), F.lit(1)))
-    return V.route(fx.questions(spark), e, configured=True)
+def question_routes(spark, sf, ask=fx.questions):
+    e = _evidence(spark, sf, ask).withColumn("doc_pk", F.split_part("chunk_id", F.lit("-"), F.lit(1)))
+    return V.route(ask(spark, sf), e, configured=True)
 
 
 _VALID = f"""WITH pc AS (SELECT doc_pk, count(*) AS page_count FROM fx_pages GROUP BY 1), nz AS (SELECT c.*, k.doc_pk, k.page_number AS kp, trim(regexp_replace(lower(k.text), '\\s+', ' ', 'g')) AS kt, trim(regexp_replace(lower(coalesce(c.quote, '')), '\\s+', ' ', 'g')) AS nq, coalesce(c.page, k.page_number) AS resolved
@@ -165,19 +165,19 @@ def parse_answers(spark, sf):
 @query(f"""WITH pool AS (SELECT * FROM fx_chunks), {_HITS}, k AS ({_KEYWORD})
 SELECT k.question_id, k.chunk_id, k.rank, d.document_id, d.title, d.doc_date AS date, c.page_number, md5(substr(c.text, 1, 500)) AS passage_md5, 'Keyword match: ' || k.matched AS reason
 FROM k JOIN fx_chunks c USING (chunk_id) LEFT JOIN fx_documents d ON d.doc_pk = c.doc_pk""")
-def search_results(spark, sf):
+def search_results(spark, sf, ask=fx.questions):
     """Hits with their document's fields; a document may be missing."""
     docs = fx.documents(spark, sf).select("doc_pk", "document_id", "title", F.col("doc_date").alias("date"))
-    found = R.keyword_search(fx.questions(spark), fx.chunks(spark, sf)).join(docs, "doc_pk", "left")
+    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf)).join(docs, "doc_pk", "left")
     passage = F.md5(F.substring("text", 1, 500).cast("binary"))
     return found.select("question_id", "chunk_id", "rank", "document_id", "title", "date", "page_number", passage.alias("passage_md5"), F.concat(F.lit("Keyword match: "), "matched").alias("reason"))
 
 
 @query(f"{_EVIDENCE} SELECT question_id, ref, e.chunk_id, round(keyword_score, 4) AS keyword_score, md5(substr(c.text, 1, 600)) AS passage_md5 FROM e JOIN fx_chunks c USING (chunk_id)")
-def source_rows(spark, sf):
+def source_rows(spark, sf, ask=fx.questions):
     """The sources shown beside an answer."""
     c = fx.chunks(spark, sf).select("chunk_id", F.md5(F.substring("text", 1, 600).cast("binary")).alias("passage_md5"))
-    return _evidence(spark, sf).join(c, "chunk_id").select("question_id", "ref", "chunk_id", F.round("keyword_score", 4).alias("keyword_score"), "passage_md5")
+    return _evidence(spark, sf, ask).join(c, "chunk_id").select("question_id", "ref", "chunk_id", F.round("keyword_score", 4).alias("keyword_score"), "passage_md5")
 
 
 @query("""SELECT conv_id, turn, substr(text, 1, 120) AS title, '[{"conv_id":' || conv_id || ',"turn":' || turn || '}]' AS citations_json FROM conversations WHERE role = 'user'""")
@@ -192,3 +192,22 @@ def answer_audit(spark, sf):
     """What an audit keeps of each run: its citations and their notes."""
     note = F.concat_ws("=", "citation_ref", "note")
     return _validated(spark, sf).groupBy("run_id").agg(F.lit(1).cast("long").alias("runs"), F.count("*").alias("citations"), F.count_if("valid").alias("validated"), F.array_join(F.sort_array(F.collect_list(note)), "|").alias("notes"))
+
+
+@query(rf"""WITH w AS (SELECT chunk_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS})) AS ws FROM fx_chunks),
+i AS (SELECT chunk_id, len(ws) AS dl, unnest(ws) AS term FROM w), t AS (SELECT chunk_id, dl, term, count(*) AS tf FROM i GROUP BY ALL),
+n AS (SELECT count(*) AS total FROM fx_chunks), a AS (SELECT avg(dl) AS mean FROM (SELECT DISTINCT chunk_id, dl FROM t)), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT DISTINCT question_id, unnest(list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS}))) AS term FROM fx_turns),
+p AS (SELECT question_id, count(*) AS parts FROM q GROUP BY 1),
+s AS (SELECT question_id, chunk_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score, count(*) AS have FROM t JOIN q USING (term) JOIN df USING (term), n, a GROUP BY ALL),
+r AS (SELECT question_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s JOIN p USING (question_id) WHERE have = parts)
+SELECT question_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def fulltext_search_turns(spark, sf):
+    """The words of user turns; "or" is a word here, and a stop word."""
+    words = F.filter(F.regexp_extract_all(F.lower("question"), F.lit(R.WORD), F.lit(0)), lambda x: x != "or")
+    asked = fx.turns(spark, sf).select("question_id", F.array_join(words, " ").alias("question"))
+    return R.fulltext_search(asked, fx.chunks(spark, sf)).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+for _f in (keyword_search, filtered_keyword_search, vector_topk_sparse, hybrid_search, evidence_set, evidence_block, question_routes, search_results, source_rows):
+    query_over(_f, "turns", ask=fx.turns)

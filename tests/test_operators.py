@@ -227,6 +227,27 @@ def test_hybrid_modes(spark):
     assert all(abs(r.n - 1) < 1e-9 for r in norms)
 
 
+def test_many_questions(spark, monkeypatch):
+    """More questions than go to the tasks at once: as if each were alone."""
+    monkeypatch.setattr(R, "MOST_QUESTIONS", 4)
+    q = spark.createDataFrame([(i, f"w{i} the") for i in range(11)], "question_id int, question string")
+    c = spark.createDataFrame([(f"c{i:02}", i, 1, f"the w{i} and w{i + 1}") for i in range(12)], "chunk_id string, doc_pk long, page_number int, text string")
+    got = R.keyword_search(q, c, 2).collect()
+    text = {r.chunk_id: r.text for r in c.collect()}
+    for i in range(11):
+        hits = sorted((-sum(t.count(w) for w in (f"w{i}", "the")), k) for k, t in text.items())[:2]
+        assert [(-r.hits, r.chunk_id) for r in sorted((r for r in got if r.question_id == i), key=lambda r: r.rank)] == hits
+    weights = spark.createDataFrame([(i, i % 3, 1.0) for i in range(11)], "question_id int, idx int, weight double")
+    held = spark.createDataFrame([(f"c{i}", i, 0.5) for i in range(3)], "chunk_id string, idx int, weight double")
+    assert {(r.question_id, r.chunk_id) for r in R.sparse_topk(weights, held, 1).collect()} == {(i, f"c{i % 3}") for i in range(11)}
+
+
+def test_fulltext_over_a_table(spark):
+    q = spark.createDataFrame([("a", '"quick brown"'), ("b", "quick -fox"), ("c", None)], "question_id string, question string")
+    c = spark.createDataFrame([("c1", "the quick brown fox"), ("c2", "brown quick bear")], "chunk_id string, text string")
+    assert {(r.question_id, r.chunk_id) for r in R.fulltext_search(q, c, 5).collect()} == {("a", "c1"), ("b", "c2")}
+
+
 def test_fulltext(spark):
     c = chunks(spark, [("a", 1, 1, "the quick brown fox"), ("b", 2, 1, "brown quick fox"), ("c", 3, 1, "quick snail"), ("d", 4, 1, "brown bear")])
     got = R.fulltext_search([(1, '"quick brown"'), (2, "quick -fox"), (3, "fox OR bear"), (4, "the"), (5, "quick brown")], c).collect()
