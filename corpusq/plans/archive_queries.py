@@ -18,7 +18,7 @@ from corpusq.sources import export as S
 from corpusq.streaming import ingest as Z
 
 from . import fixtures as fx
-from .registry import query
+from .registry import STATEMENTS, query
 
 
 @query("SELECT doc_pk, n = 1 AS accepted, CASE WHEN n > 1 THEN first END AS duplicate_of FROM (SELECT doc_pk, row_number() OVER w AS n, min(doc_pk) OVER (PARTITION BY sha256) AS first FROM fx_documents WINDOW w AS (PARTITION BY sha256 ORDER BY doc_pk))")
@@ -229,6 +229,12 @@ def crawl_report(spark, sf):
     return C.crawl_report(_classified(spark, sf), errors=5)
 
 
+@query(STATEMENTS["crawl_report"].replace("n <= 5 ", "n <= 100 "))
+def crawl_report_100(spark, sf):
+    """With the reference's limit of 100 errors a report."""
+    return C.crawl_report(_classified(spark, sf))
+
+
 @query("SELECT page_id, gap_seconds FROM (SELECT page_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts, url)) / 1e6 AS gap_seconds FROM fx_fetches) WHERE gap_seconds < 20")
 def politeness_gaps(spark, sf):
     return C.politeness_gaps(fx.fetches(spark, sf), 0.05).select("page_id", "gap_seconds")

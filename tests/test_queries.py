@@ -43,3 +43,9 @@ def test_equals_sql(spark, sf, duck, name):
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_crawl_report_lists_up_to_100_errors(spark):
+    rows = QUERIES["crawl_report_100"](spark, "/root/testdata/sf0.1").collect()
+    assert max(r.urls_failed for r in rows) > 5
+    assert all(len(r.errors.split("\n")) == min(100, r.urls_failed) for r in rows)
