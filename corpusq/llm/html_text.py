@@ -317,14 +317,17 @@ def made_pages(n: int, seed: int = SEED) -> list[str]:
 
 
 def learn_pages(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES) -> Chain:
-    """Train on landmark pages (at most ``limit``, by lowest hash) and made-up ones.
+    """Train on distinct landmark pages (at most ``limit``, by lowest hash) and
+    made-up ones.
 
     Half of the pages hide their landmark elements from the model, so that
     other signs carry weight too.
     """
     col = F.col(quoted(html_col)).cast("string")
     marked = pages.where(col.rlike("(?i)<(article|main)[ >]")).select(col.alias("html"))
-    chosen = lowest(marked, "html", limit=limit, total=pages.count()).collect()
+    # copies of a page count once; the total is that of the rows offered
+    total = marked.agg(F.approx_count_distinct(F.xxhash64("html"))).first()[0]
+    chosen = lowest(marked.distinct(), "html", limit=limit, total=total).collect()
     rng, train = random.Random(SEED), []
     for r in chosen:
         page = blocks(r.html)

@@ -304,3 +304,12 @@ def test_chain_decode_is_best():
     gain = c.gains(rows)
     score = lambda y: c.first[y[0]] + sum(g * s for g, s in zip(gain, y)) + sum(c.turn[a][b] for a, b in zip(y, y[1:]))
     assert abs(score(c.decode(rows)) - max(map(score, product((0, 1), repeat=8)))) < 1e-9
+
+
+def test_html_sample_of_rare_landmarks(spark, monkeypatch):
+    """All 60 distinct landmark pages among many others, each once."""
+    held = []
+    monkeypatch.setattr(H.Chain, "learn", lambda self, pages: held.append(len(pages)))
+    page = "CASE WHEN id % 60 = 0 THEN concat('<article><p>Text ', id % 3600, '.</p></article>') ELSE concat('<p>Other ', id, '</p>') END AS html"
+    H.learn_pages(spark.range(7200).selectExpr(page))
+    assert held == [60 + H.MADE_PAGES]
