@@ -27,10 +27,13 @@ EPOCHS, RATE, DECAY, SEED = 10, 0.3, 1e-4, 8
 
 #: Elements whose content is not text; elements without an end;
 #: elements inside a line of text; and what an opening tag closes by itself.
-RAW = frozenset("script style noscript template iframe svg math object textarea select title head canvas audio video".split())
+RAW = frozenset("script style template iframe textarea select title head annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " audio canvas noscript object param source track video"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics"
+    " svg circle clippath defs desc ellipse g line lineargradient path polygon polyline rect stop symbol text textpath tspan use".split()
 )
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "option": ("option", ()), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
 LANDMARKS = frozenset(("article", "main"))
@@ -110,7 +113,8 @@ def blocks(page: str) -> list[Block]:
                 if name == "head" and (body := re.compile(r"<body\b", re.I).search(page, at)) and (not stop or body.start() < stop.start()):
                     at = body.start()
                 else:
-                    at = stop.end() if stop else n
+                    # without its end, a script or style takes the rest, as in browsers
+                    at = stop.end() if stop else n if name in ("script", "style") else at
             text.append(" ")
             continue
         if name in INLINE:

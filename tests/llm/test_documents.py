@@ -313,3 +313,13 @@ def test_html_sample_of_rare_landmarks(spark, monkeypatch):
     page = "CASE WHEN id % 60 = 0 THEN concat('<article><p>Text ', id % 3600, '.</p></article>') ELSE concat('<p>Other ', id, '</p>') END AS html"
     H.learn_pages(spark.range(7200).selectExpr(page))
     assert held == [60 + H.MADE_PAGES]
+
+
+def test_html_formulas_fallbacks_and_unclosed_elements():
+    text = lambda page: [b.text for b in H.blocks(page)]
+    assert text("<p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> hold.</p>") == ["Let x=2 hold."]
+    assert text("<p>See <object data=a.swf>the table</object> <svg><g><text>A</text></g></svg>.</p>") == ["See the table A."]
+    assert text("<noscript><p>Plain.</p></noscript><p>More.</p>") == ["Plain.", "More."]
+    for name in ("object", "math", "noscript", "select", "video", "template"):
+        assert text(f"<p>One.</p><{name}><p>Two.</p>") == ["One.", "Two."]
+    assert text("<p>One.</p><script>var two") == ["One."]
