@@ -32,22 +32,24 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages:
     A level is a join with the edges and an anti-join with what has been seen;
     each is written out, so a level's plan does not hold the levels before it.
     """
-    front = seeds.select(F.col("node"), F.lit(0).alias("depth"), F.col("pos").cast("long").alias("place")).groupBy("node", "depth").agg(F.min("place").alias("place"))
+    front = seeds.select(F.col("node"), F.lit(0).alias("depth"), F.struct(F.lit(0).cast("long").alias("place"), F.col("pos").cast("long").alias("pos")).alias("first")).groupBy("node", "depth").agg(F.min("first").alias("first"))
     seen, depth, left = None, 0, max_pages
     while True:
         if left is not None:
-            front = front.orderBy("place", "node").limit(left)  # no more rows than the cap
-            order = F.row_number().over(Window.orderBy("place", "node"))
+            front = front.orderBy("first", "node").limit(left)  # no more rows than the cap
+            order = F.row_number().over(Window.orderBy("first", "node"))
             front = front.withColumn("place", order.cast("long"))
-        front = stored(front)
+        else:
+            front = front.withColumn("place", F.lit(0).cast("long"))  # without a cap the order inside a level is not asked for
+        front = stored(front.select("node", "depth", "place"))
         seen = front if seen is None else seen.union(front)
         if left is not None:
             left -= front.count()
         if depth == max_depth or left == 0 or front.isEmpty():
             return seen.select("node", "depth")
         depth += 1
-        reached = edges.join(front.select(F.col("node").alias("src"), "place").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", "pos")).alias("first"))
-        front = reached.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), (F.col("first.place") * 1_000_000 + F.col("first.pos")).alias("place"))
+        reached = edges.join(front.select(F.col("node").alias("src"), "place").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("place", F.col("pos").cast("long").alias("pos"))).alias("first"))
+        front = reached.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "first")
 
 
 def classify_fetches(log: DataFrame, domains: list[str], extensions: list[str]) -> DataFrame:

@@ -210,6 +210,21 @@ def crawl_bfs(spark, sf):
     return C.breadth_first(edges, spark.createDataFrame([(0, 0)], "node long, pos int"), 4)
 
 
+@query(rf"""WITH RECURSIVE {_LINKS.removeprefix("WITH ")}, r AS (SELECT src, pos, regexp_extract(src, '^([^:]+)://', 1) || '://' || lower(regexp_extract(src, '^[^:]+://([^/?#]*)', 1)) AS root, CASE WHEN href LIKE '/%' THEN href END AS path FROM k),
+s AS (SELECT DISTINCT src, root || CASE WHEN path = '/' THEN '/' ELSE rtrim(regexp_replace(path, '[?#].*$', ''), '/') END || regexp_extract(path, '(\?[^#]+)?$', 1) AS dst FROM r WHERE path IS NOT NULL AND (root LIKE '%example.org' OR root LIKE '%example.net')),
+p AS (SELECT page_id, url, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 1) AS a, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 2) AS path, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS q FROM pages),
+n AS (SELECT page_id, url, lower(split_part(url, '://', 1)) || '://' || lower(a) || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END || CASE WHEN q = '?' THEN '' ELSE coalesce(q, '') END AS normal FROM p),
+e AS (SELECT DISTINCT n.normal AS src, s.dst FROM s JOIN n ON n.url = s.src),
+b AS (SELECT normal AS node, 0 AS depth FROM n WHERE page_id % 20 = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node""")
+def crawl_bfs_links(spark, sf):
+    """What every 20th page reaches over the links of the pages."""
+    p = table(spark, sf, "pages")
+    links = C.scoped_links(C.extract_links(p), ["example.org", "example.net"])
+    edges = links.select(U.normalize_url(F.col("src")).alias("src"), "dst", "pos")
+    seeds = p.where("page_id % 20 = 0").select(U.normalize_url(F.col("url")).alias("node"), F.col("page_id").alias("pos"))
+    return C.breadth_first(edges, seeds, 4)
+
+
 _OUTCOMES = """WITH o AS (SELECT *, CASE WHEN NOT (host LIKE '%.org' OR host LIKE '%.com') THEN 'blocked' WHEN http_status IS NULL OR http_status >= 400 THEN 'failed' WHEN content_type = 'application/pdf' THEN 'downloaded'
 WHEN content_type = 'text/html' OR url LIKE '%.html' OR url LIKE '%/' THEN 'page' ELSE 'skipped' END AS outcome FROM fx_fetches)"""
 

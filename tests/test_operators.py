@@ -315,3 +315,10 @@ def test_exports(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "x.pdf").write_bytes(b"%PDF-1")
     assert raw_files(spark, str(tmp_path / "f")).first().file_size == 6
+
+
+def test_breadth_first_deep_without_a_cap(spark):
+    """Positions over nine on every level of a long chain."""
+    edges = spark.range(9).selectExpr("id AS src", "id + 1 AS dst", "15 AS pos")
+    got = C.breadth_first(edges, spark.createDataFrame([(0, 12)], "node long, pos int"), 7).collect()
+    assert {(r.node, r.depth) for r in got} == {(i, i) for i in range(8)}
