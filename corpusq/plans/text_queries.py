@@ -45,6 +45,13 @@ def safe_filename(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.safe_filename(F.substring("text", 1, 300)).alias("safe_name"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN b = '' THEN 'file' ELSE substr(b, 1, 200) END AS safe_name
+FROM (SELECT doc_id, trim(regexp_replace(trim(text, chr(10) || ' '), '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS b FROM documents)""")
+def safe_filename_whole(spark, sf):
+    """Of whole texts: only the operator cuts, after runs have collapsed."""
+    return table(spark, sf, "documents").select("doc_id", X.safe_filename(F.col("text")).alias("safe_name"))
+
+
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS normal_md5, CAST(length(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS BIGINT) AS n FROM documents")
 def normalize_text(spark, sf):
     t = X.normalize(F.col("text"))
