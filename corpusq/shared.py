@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths that ``scratch`` has given out and nothing has removed yet
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in ``spark.checkpoint.dir``; a local session without one gets
     a temporary folder."""
@@ -22,14 +28,49 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/corpusq-{uuid.uuid4().hex}"
+    _given.append(f"{base}/corpusq-{uuid.uuid4().hex}")
+    return _given[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write and read back: cuts the lineage and gives a true size."""
+    """Write and read back: cuts the lineage, gives a true size, survives lost
+    executors."""
     at = scratch(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    back._stored_at = at
+    return back
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, [df._stored_at])
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if p in _given:
+            _given.remove(p)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that operators wrote to the shared folder in this
+    session.  Results that were not written yet can't be read after it."""
+    remove(spark, list(_given))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Remove the tables written inside the block when it ends, but for those
+    of ``stored`` that are put in the list."""
+    before, keep = set(_given), []
+    yield keep
+    read = {df._stored_at for df in keep}
+    remove(spark, [p for p in _given if p not in before and p not in read])
 
 
 def ship(spark: SparkSession) -> None:
