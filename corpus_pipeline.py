@@ -6,12 +6,10 @@ return the columns of ``docs``.  Whatever a stage rejects is gone for the next.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm.bpe import bpe_decode, bpe_encode
-from corpusq.llm.common import crc_bucket, prepare, stored, table
+from corpusq.llm.common import crc_bucket, passing, prepare, stored, table
 from corpusq.llm.decontaminate import find_leaks
 from corpusq.llm.language_id import learn_profiles, predict_language
 from corpusq.llm.quality import learn_quality, score_quality
@@ -59,8 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text decoded from them, as counts and digests."""
     prepare(spark)
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(bpe_decode(bpe_encode(docs, path), path))
+    return digests(docs)
 
 
 STAGES = [
@@ -78,8 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        with passing(spark) as kept:  # what a stage wrote for itself goes with it
+            kept.append(docs := stored(stage(spark, docs, sf_dir)))
+    return last(spark, docs, sf_dir)

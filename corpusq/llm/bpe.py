@@ -19,16 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, quoted
 
 #: The pre-token pattern of byte-level vocabularies, and the
 #: characters with the Unicode White_Space property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r \x85\xa0  -     　"
 
-#: Words remembered by a Python worker before its memory of them is dropped.
-REMEMBERED = 700_000
-
+#: Bytes that a Python worker remembers of words it has met, twice at most;
+#: longer units are not remembered
+REMEMBERED, LONGEST = 32_000_000, 200
 
 
 def spaced(pattern: str) -> str:
@@ -127,12 +127,17 @@ class Codec:
         for text, i in v.special.items():
             if self.ids.get(text.encode()) == i:
                 del self.ids[text.encode()]
-        self.known: dict[str, bytes] = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in v.special.items()}
+        #: units met lately, and those met before that: each is bounded in bytes
+        self.forget()
         #: a token is proposed only if merging its own bytes gives it back
         self.ids = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [i]}
-        self.longest: dict[bytes, int] = {}
+        #: lengths of the tokens that begin with three bytes, longest first
+        sizes: dict[bytes, set[int]] = {}
         for t in self.ids:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+            if len(t) > 2:
+                sizes.setdefault(t[:3], set()).add(len(t))
+        self.lengths = {p: tuple(sorted(s, reverse=True)) for p, s in sizes.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the lowest-ranked adjacent pair, leftmost first."""
@@ -176,17 +181,20 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int] | None:
         """Greedy longest match, or None where no valid token fits."""
-        out, at, n, ids, longest = [], 0, len(word), self.ids, self.longest
+        out, at, n, get, lengths = [], 0, len(word), self.ids.get, self.lengths.get
         while at < n:
-            end = at + longest.get(word[at : at + 2], 1)
-            if end > n:
-                end = n
-            while (i := ids.get(word[at:end])) is None:
-                end -= 1
-                if end == at:
+            for size in lengths(word[at : at + 3], ()):
+                if at + size <= n and (i := get(word[at : at + size])) is not None:
+                    at += size
+                    break
+            else:
+                if at + 2 <= n and (i := get(word[at : at + 2])) is not None:
+                    at += 2
+                elif (i := get(word[at : at + 1])) is not None:
+                    at += 1
+                else:
                     return None
             out.append(i)
-            at = end
         return out
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -224,8 +232,8 @@ class Codec:
             a, b = np.where(undo_right, a, self.right[a]), np.where(undo_right, self.left[b], b)
         return ok
 
-    def learn(self, units: set[str]) -> None:
-        """Encode units that are not known yet."""
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not remembered."""
         parts = [(u, [u.encode()] if u.lstrip(" ").isalpha() else [p.encode() for p in _pre_token.findall(u)]) for u in units]
         words = list({w for _, ps in parts for w in ps})
         done: dict[bytes, list[int]] = {}
@@ -245,22 +253,40 @@ class Codec:
             if w not in done:
                 done[w] = self.merge(w)
         pack = lambda n, *ids: struct.pack(f"<{n}I", *ids)
+        found = {}
         for u, ps in parts:
             ids = done[ps[0]] if len(ps) == 1 else [i for p in ps for i in done[p]]
-            self.known[u] = pack(len(ids), *ids)
+            found[u] = pack(len(ids), *ids)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {s: np.array([i], "<u4").tobytes() for s, i in self.v.special.items()}
         cut = [self.v.units(t) for t in texts]
-        self.learn(set(chain.from_iterable(cut)) - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        known = self.known
+        missing = set(chain.from_iterable(cut)) - known.keys()
+        again = missing & self.older.keys()
+        known.update((u, self.older.pop(u)) for u in again)
+        new = self.learn(missing - again)
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, units)) for units in cut]
+        for u, ids in new.items():
+            if len(u) > LONGEST and u not in self.special:
+                del known[u]
+            else:
+                # a string, its ids and their place in the memory take about this much
+                self.size += len(u) + len(ids) + 190
+        if self.size > REMEMBERED:
+            self.known, self.older, self.size = dict(self.special), known, 0
+        return out
+
+    def forget(self) -> None:
+        self.known, self.older, self.size = dict(self.special), {}, 0
 
-    def decode(self, ids: bytes) -> str:
-        """Text of the ids; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.v.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+def decoder(path: str):
+    """A function from ids to text; bytes that are not UTF-8 become U+FFFD."""
+    token = vocabulary(path).token.__getitem__
+    return lambda ids: b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -272,29 +298,42 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def bpe_encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, ids: str = "ids") -> DataFrame:
-    """Add the token ids of ``text_col`` as binary (little-endian unsigned 32-bit).
+def bpe_encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of ``text_col`` as binary (little-endian unsigned
+    32-bit) and, where ``decoded`` names a column, the text decoded from them.
 
-    Keeps the ``keep`` columns (default ``doc_id``); rows map one to one, so
-    nulls, repeated rows and an empty table need no rule beyond null = empty.
+    Keeps the ``keep`` columns (default ``doc_id``; one named like an added
+    column is replaced).  Null text counts as empty, and empty text has no ids.
+    Rows map one to one, so repeated rows and ties give repeated results, and an
+    empty table an empty one.  A text of any length is encoded whole; what a
+    Python worker remembers of its words is bounded in bytes.
     """
+    add = [(ids, "binary"), *([(decoded, "string")] if decoded else [])]
 
     def make():
-        c = codec(path)
-        return lambda texts: [pa.array(c.encode(texts), pa.binary())]
+        c, text_of = codec(path), decoder(path)
+
+        def work(texts):
+            found = c.encode(texts)
+            return [pa.array(found, pa.binary()), *([pa.array(map(text_of, found), pa.string())] if decoded else [])]
+
+        return work
 
-    return map_text(df, text_col, ["doc_id"] if keep is None else keep, [(ids, "binary")], make)
+    return map_text(df, text_col, ["doc_id"] if keep is None else keep, add, make)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add the decoded text of a binary ``ids`` column; null ids give ''."""
-    schema = T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())])
-    at = df.columns.index(ids)
+    """Add the decoded text of a binary ``ids`` column (a column of that name is
+    replaced); null and empty ids give ''.  Only the vocabulary's token list is
+    held.  Rows map one to one; an empty table gives an empty one."""
+    kept = df.select(*[quoted(c) for c in df.columns if c.lower() != decoded.lower()])
+    at = kept.columns.index(ids)
+    schema = T.StructType([*kept.schema.fields, T.StructField(decoded, T.StringType())])
 
     def run(batches):
-        c = codec(path)
+        text_of = decoder(path)
         for b in batches:
-            texts = pa.array([c.decode(x or b"") for x in b.column(at).to_pylist()], pa.string())
+            texts = pa.array([text_of(x or b"") for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)

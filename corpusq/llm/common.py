@@ -1,77 +1,34 @@
-"""Helpers the training-data operators share: shared scratch tables, Arrow
-mapping over a text column, shipping the package, split rules."""
+"""Helpers the training-data operators share: Arrow mapping over a text column,
+split rules, samples, joins on keys of which a few may be hot."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters of text handled at once inside a Python task.
-PIECE_CHARS = 2_000_000
+from corpusq.shared import clean, scratch, ship, stored, table  # noqa: F401  used by the operators
+
+#: Bytes of text handled at once inside a Python task.
+PIECE_CHARS = 500_000
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package: add it as a py-file unless
-    PYTHONPATH already leads to it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root.endswith(".zip") or root in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_corpusq_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "corpusq.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "corpusq")):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(target)
-    sc._corpusq_shipped = True
-
-
 def prepare(spark: SparkSession, records: int = 512) -> None:
-    """Ship the package and keep Arrow batches small, for long texts."""
+    """Ship the package and keep Arrow batches small, for long texts.  A batch
+    size that the user has set stays."""
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.  Only a local
-    session without ``spark.checkpoint.dir`` falls back to a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/corpusq-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    gives honest size estimates, survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -79,13 +36,35 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
 
 def lowest(df: DataFrame, *by: str, limit: int, total: int) -> DataFrame:
     """The ``limit`` rows with the lowest hashes of the ``by`` columns.  ``total``
-    is about the number of rows: a task offers only rows that can be among them,
-    so what reaches the driver does not grow with the number of tasks."""
+    is about the number of rows of ``df``: a task offers only rows that can be
+    among them, so what reaches the driver does not grow with the number of tasks."""
     share = F.pmod(F.xxhash64(*by), F.lit(1 << 31))
     likely = min(1.0, (2 * limit + 200) / max(total, 1))
     return df.where(share < int(likely * (1 << 31))).orderBy(share, *by).limit(limit)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has one row for each key and in ``n`` how
+    many rows of ``left`` hold it; ``total`` is their number.
+
+    A key that holds over a 500th of the rows (so under 500 keys) is broadcast,
+    and its rows stay where they are; only the others are dealt out by the key.
+    """
+    hot = F.col(n) > total // 500 + 64
+    few = right.where(hot)
+    near = left.join(F.broadcast(few), key)
+    far = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).hint("merge"), key)
+    return near.unionByName(far)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, longer if a column of that name (ignoring case) is taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -98,33 +77,35 @@ def map_text(
     ``make()`` is called once per task and returns a function from a list of
     texts (null becomes empty) to one Arrow array per added column.  The
     ``keep`` columns pass through; one whose name equals an added column
-    (ignoring case) is replaced by it.
+    (ignoring case) is replaced by it.  A text that is kept is sent once.
     """
     new = {n.lower() for n, _ in add}
     keep = [c for c in keep if c.lower() not in new]
-    src = df.select(
-        *[F.col(quoted(c)) for c in keep],
-        F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"),
-    )
-    schema = T.StructType(src.schema.fields[:-1])
+    given = [F.col(quoted(c)) for c in keep]
+    if text_col in keep and df.schema[text_col].dataType == T.StringType():
+        at = keep.index(text_col)
+    else:
+        at = len(keep)
+        given.append(F.col(quoted(text_col)).cast("string").alias(fresh("__text", keep)))
+    src = df.select(*given)
+    schema = T.StructType(src.schema.fields[: len(keep)])
     for name, kind in add:
-        schema = schema.add(T.StructType.fromDDL(f"{name} {kind}").fields[0])
+        schema = schema.add(T.StructType.fromDDL(f"{quoted(name)} {kind}").fields[0])
+    names, kept = schema.names, len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for b in batches:
-            for part in pieces(b):
-                arrays = work(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=schema.names)
+            for part in pieces(b, at):
+                arrays = work([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *arrays], names=names)
 
     return src.mapInArrow(run, schema)
 
 
-def pieces(b: pa.RecordBatch, limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``limit`` bytes of text (last column) or one row."""
-    import pyarrow.compute as pc
-
-    sizes = pc.binary_length(b.column(b.num_columns - 1)).to_pylist()
+def pieces(b: pa.RecordBatch, at: int = -1, limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``limit`` bytes of text (column ``at``) or one row."""
+    sizes = pc.binary_length(b.column(at % b.num_columns)).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + (n or 0) > limit:

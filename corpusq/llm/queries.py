@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .common import crc_bucket, prepare, scratch, stored, table
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
@@ -64,11 +64,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document by byte_bpe_50k.json, as digests."""
     prepare(spark)
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return digests(bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path))
+    return digests(table(spark, sf_dir, "documents"))
 
 
-def digests(coded: DataFrame) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
+    coded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

@@ -8,54 +8,74 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import REMEMBERED, Vocabulary, _pre_token, vocabulary
+from .bpe import LONGEST, REMEMBERED, Vocabulary, _pre_token, vocabulary
 from .common import map_text
 
 
 class Counter(dict):
-    """Tokens of a unit of text, computed when first asked for."""
+    """Tokens of a unit of text, computed when first asked for.  What it holds is
+    bounded by ``REMEMBERED`` bytes and as many of an older generation."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v = v
+        self.v, self.old, self.size = v, {}, 0
         #: classes of symbols: merging needs only which pairs join, and in what order
         self.rank, self.merged, self.shift, self.byte_id = v.rank, v.merged, v.shift, v.byte_id
 
     def __missing__(self, unit: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        n = self[unit] = 1 if unit in self.v.special else self.count(unit.encode()) if unit.lstrip(" ").isalpha() else sum(self.count(p.encode()) for p in _pre_token.findall(unit))
+        if (n := self.old.pop(unit, None)) is None:
+            if unit in self.v.special:
+                n = 1
+            elif unit.lstrip(" ").isalpha() or len(parts := _pre_token.findall(unit)) == 1:
+                n = self.count(unit.encode())
+            else:
+                n = sum(map(self.__getitem__, parts))
+        if len(unit) <= LONGEST:
+            self.size += len(unit) + 170
+            if self.size > REMEMBERED:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[unit] = n
         return n
 
     def count(self, word: bytes) -> int:
         """Initial symbols minus merges."""
-        rank, merged, shift = self.rank, self.merged, self.shift
+        get, merged, shift = self.rank.get, self.merged, self.shift
         sym = list(map(self.byte_id.__getitem__, word))
         n = len(sym)
-        get = rank.get
+        #: rank of each symbol's pair with the next one, or None
+        pair = [get(a << shift | b) for a, b in zip(sym, sym[1:])]
         # heap items: rank and left position in one integer
-        heap = [r * n + i for i in range(n - 1) if (r := get(sym[i] << shift | sym[i + 1])) is not None]
+        width = n.bit_length()
+        heap = [r << width | i for i, r in enumerate(pair) if r is not None]
         if not heap:
             return n
         heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, mask = heapq.heappop, heapq.heappush, (1 << width) - 1
+        pair.append(None)
         after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
         while heap:
-            r, i = divmod(pop(heap), n)
-            s, j = sym[i], after[i]
-            if s < 0 or j >= n or get(s << shift | sym[j]) != r:
+            x = pop(heap)
+            i = x & mask
+            r = x >> width
+            if pair[i] != r:
                 continue  # one side has been merged away since
             merges += 1
-            s = sym[i] = merged[r]
-            sym[j] = -1
+            s, j = merged[r], after[i]
+            sym[i], pair[j] = s, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if (r := get(s << shift | sym[k])) is not None:
-                    push(heap, r * n + i)
+                    push(heap, r << width | i)
+                pair[i] = r
+            else:
+                pair[i] = None
             h = before[i]
-            if h >= 0 and (r := get(sym[h] << shift | s)) is not None:
-                push(heap, r * n + h)
+            if h >= 0:
+                if (r := get(sym[h] << shift | s)) is not None:
+                    push(heap, r << width | h)
+                pair[h] = r
         return n - merges
 
 
@@ -65,8 +85,10 @@ _counters: dict[str, Counter] = {}
 def token_count(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, limit: int = 1024) -> DataFrame:
     """Add ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
-    Null text counts as empty: 0 bytes, 0 tokens, not over the limit.  Rows map
-    one to one, whatever repeats or ties they hold.
+    Null and empty texts: 0 bytes, 0 tokens, not over the limit.  A text of any
+    length is counted whole.  Rows map one to one, so repeated rows and ties
+    give repeated results, and an empty table an empty one.  A ``keep`` column
+    named like an added one is replaced by it.
     """
 
     def make():

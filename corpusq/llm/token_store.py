@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bpe import REMEMBERED, SPACE, byte_symbols, spaced
+from .bpe import SPACE, byte_symbols, spaced
 from .common import pieces, quoted
 
 #: ids in a segment, about
 SEGMENT_IDS = 1_000_000
-#: Runs of characters remembered by a Python worker before its memory of them is dropped
-CHUNKS = 1_200_000
+#: Bytes that a Python worker remembers of runs of characters, twice at most;
+#: longer runs are not remembered
+REMEMBERED, LONGEST = 40_000_000, 200
 
 STORE_SCHEMA = "part int, segment int, base long, n_ids long, doc_id array<long>, lengths binary, ids binary"
 
@@ -36,14 +37,24 @@ _symbol = byte_symbols()
 _blank = re.compile(f"[{SPACE}]+")
 
 
+def unassigned(first: int, stop: int) -> re.Pattern:
+    """Characters of a range that this Python's Unicode tables do not know; the library's may."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(first, stop)]
+    edges = [first + k for k in range(len(known)) if known[k] != (k == 0 or known[k - 1])] + [stop]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
 class ChunkEncoder(dict):
     """Ids of texts by the tokenizers library, for a lower-casing vocabulary whose
     pre-tokeniser drops white space.  The ids of a text are then those of its
     runs of other characters, each normalised, cut and merged by the library
-    once; a run that holds a special-token string goes through it whole."""
+    once; a run that holds a special-token string goes through it whole, and so
+    does a text with a character that the library may know and Python does not."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.old, self.size = {}, 0
+        self.unknown, self.unknown_far = unassigned(0, 0x10000).search, unassigned(0x10000, 0x110000).search
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,33 +79,49 @@ class ChunkEncoder(dict):
         ids = [t.id for t in self.merge(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CHUNKS:
-            self.clear()
+        if (ids := self.old.pop(chunk, None)) is None:
+            ids = self.coded(chunk)
+        if len(chunk) <= LONGEST:
+            self.size += len(chunk) + len(ids) + 190
+            if self.size > REMEMBERED:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def coded(self, chunk: str) -> bytes:
+        if not chunk.isascii() and (self.unknown(chunk) or max(chunk) > "\uffff" and self.unknown_far(chunk)):
+            raise LookupError("a character of another Unicode version")
         low = chunk.lower() if plain(chunk) else self.normalize(chunk)
         if low.isalpha():
-            ids = self.piece(low)
-        elif any(s in chunk for s in self.special):
-            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-        elif low[:-1].isalpha():
+            return self.piece(low)
+        if any(s in chunk for s in self.special):
+            return self.whole(chunk)
+        if low[:-1].isalpha():
             # a run of letters and one other character
-            ids = self[low[:-1]] + self[low[-1]]
-        else:
-            parts = self.cut(low)
-            ids = self.piece(low) if parts == [low] else b"".join(map(self.__getitem__, parts))
-        self[chunk] = ids
-        return ids
+            return self[low[:-1]] + self[low[-1]]
+        parts = self.cut(low)
+        return self.piece(low) if parts == [low] else b"".join(map(self.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get, out = self.__getitem__, []
         for t in texts:
-            # words that differ in case only are remembered once
-            if plain(t) and not any(s in t for s in self.special):
-                t = t.lower()
+            raw = t
+            # words that differ in case only are remembered once; a special-token
+            # string counts only as it stands, not where lower-casing makes one
+            if plain(t) and not any(s in (low := t.lower()) for s in self.special):
+                t = low
             # str.split() also cuts at the four information separators, which are not White_Space
             words = filter(None, _blank.split(t)) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
-            out.append(b"".join(map(get, words)))
+            try:
+                out.append(b"".join(map(get, words)))
+            except LookupError:
+                out.append(self.whole(raw))
         return out
 
 
@@ -111,8 +138,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Write the ids of every document, each followed by ``end_id``, to ``path``.
 
     Documents are in ascending ``id_col`` order (null ids first; rows with the
-    same id in the order of their text's hash).  Null text counts as empty: its
-    only id is ``end_id``.  An empty table writes no segment.
+    same id in the order of their text's hash, repeated rows each).  Null and
+    empty texts: their only id is ``end_id``.  A text of any length is encoded
+    whole, and its ids stand in one segment, which is then as long as it needs.
+    An empty table writes no segment.  Other columns are not written, whatever
+    their names.
     """
     src = docs.select(
         F.col(quoted(id_col)).cast("long").alias("doc_id"),
