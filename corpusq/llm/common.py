@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusq.shared import clean, scratch, ship, stored, table  # noqa: F401  used by the operators
+from corpusq.shared import drop_stored, passing, scratch, ship, stored, table  # noqa: F401  used by the operators
 
 #: Bytes of text handled at once inside a Python task.
 PIECE_CHARS = 500_000

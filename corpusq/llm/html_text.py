@@ -14,6 +14,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,15 @@ LANDMARKS = frozenset(("article", "main"))
 ASIDE_TAGS = frozenset("nav aside footer header form button menu dialog".split())
 ASIDE_WORDS = frozenset("comment comments reply replies respond sidebar advert ad ads promo share related cookie newsletter breadcrumb".split())
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A quoted value may hold a >; after this many tags whose quotes never close, a
+#: page's tags end at their first >, so that a page is read in linear time
+UNCLOSED = 8
+#: Elements below this depth, and names of an element beyond this many, describe
+#: no block (their text stays)
+DEPTH, NAMES = 256, 24
+
+_open = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_attributes = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
 _named = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _word = re.compile(r"[a-z]+")
 
@@ -52,15 +61,55 @@ class Block:
         self.text, self.tags, self.words, self.own, self.linked, self.marked = text, tags, words, own, linked, marked
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, name, whether it is an end, attributes) of each tag; comments
+    and declarations have no name.  ``send(place)`` goes on from there.
+
+    Every place is looked at a fixed number of times at most, whatever the page
+    leaves open: a tag without > is text, and a comment or declaration without
+    its end takes the rest.
+    """
+    at, n, last, unclosed = 0, len(page), page.rfind(">"), 0
+    while m := _open.search(page, at):
+        start = m.start()
+        if m[1]:
+            stop = page.find("-->", m.end())
+            tag = start, stop + 3 if stop >= 0 else n, "", False, ""
+        elif m[2]:
+            stop = page.find(">", m.end()) if start < last else -1
+            tag = start, stop + 1 if stop >= 0 else n, "", False, ""
+        elif start > last:
+            # no tag can end here: only a comment or declaration is looked for
+            rest = re.compile("<[!?]").search(page, start)
+            if not rest:
+                return
+            tag = rest.start(), n, "", False, ""
+        else:
+            whole = _attributes.match(page, m.end()) if unclosed < UNCLOSED else None
+            if whole:
+                attributes, stop = whole[1], whole.end()
+            else:
+                unclosed += 1
+                stop = page.index(">", m.end()) + 1
+                attributes = page[m.end() : stop - 1]
+            tag = start, stop, m[4].lower(), m[3] == "/", attributes
+        on = yield tag
+        at = tag[1] if on is None else on
+        if on is not None:
+            yield tag
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, with white space made single blanks."""
     out: list[Block] = []
+    #: open elements: name, words of class, id and role, made-up main text
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     tags: Counter = Counter()
     words: Counter = Counter()
     text: list[str] = []
     linked, in_link, marked = 0, False, 0
     own = ""
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -83,8 +132,8 @@ def blocks(page: str) -> list[Block]:
         own = stack[-1][0] if stack else ""
 
     def close(names: str, barrier: tuple[str, ...]):
-        wanted = names.split()
-        for i in range(len(stack) - 1, -1, -1):
+        wanted = [w for w in names.split() if tags[w]]
+        for i in range(len(stack) - 1, -1, -1) if wanted else ():
             if stack[i][0] in barrier:
                 return
             if stack[i][0] in wanted:
@@ -92,29 +141,37 @@ def blocks(page: str) -> list[Block]:
                     pop()
                 return
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _tag.search(page, at)
-        piece = page[at : m.start() if m else n]
-        if piece:
+    def find(pattern: str, at: int) -> re.Match | None:
+        """The first match, unless there was none before."""
+        if pattern not in endless:
+            if m := re.compile(pattern, re.I).search(page, at):
+                return m
+            endless.add(pattern)
+        return None
+
+    def after(name: str, at: int) -> int:
+        """Where the content of an element that is no text ends."""
+        end = find(rf"</{re.escape(name)}\b", at)
+        stop = page.find(">", end.end()) + 1 if end and "end" not in endless else 0
+        if end and not stop:
+            endless.add("end")
+        if name == "head" and (body := find(r"<body\b", at)) and (not stop or body.start() < stop):
+            return body.start()
+        # without its end, a script or style takes the rest, as in browsers
+        return stop or (len(page) if name in ("script", "style") else at)
+
+    at, scan = 0, tags_of(page)
+    for start, stop, name, ends, attributes in scan:
+        if piece := page[at:start]:
             text.append(piece)
             if in_link:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = stop
         if not name:
             continue
-        ends, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
-            if not ends and not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if name == "head" and (body := re.compile(r"<body\b", re.I).search(page, at)) and (not stop or body.start() < stop.start()):
-                    at = body.start()
-                else:
-                    # without its end, a script or style takes the rest, as in browsers
-                    at = stop.end() if stop else n if name in ("script", "style") else at
+            if not ends and not attributes.rstrip().endswith("/") and (to := after(name, at)) > at:
+                scan.send(at := to)
             text.append(" ")
             continue
         if name in INLINE:
@@ -137,12 +194,15 @@ def blocks(page: str) -> list[Block]:
             close("p", ())
         if name in CLOSES:
             close(*CLOSES[name])
-        named = tuple(dict.fromkeys(w for g in _named.findall(attributes) for w in _word.findall(" ".join(g).lower()))) if "=" in attributes else ()
+        if len(stack) >= DEPTH:
+            continue
+        named = tuple(dict.fromkeys(w for g in _named.findall(attributes) for w in _word.findall(" ".join(g).lower())))[:NAMES] if "=" in attributes else ()
         stack.append((name, named, mark := "data-main" in attributes))
         tags[name] += 1
         words.update(named)
         marked += mark
         own = name
+    text.append(page[at:])
     flush()
     return out
 
@@ -355,7 +415,10 @@ def extract_text(pages: DataFrame, chain: Chain, html_col: str = "html", keep: l
     """Add ``text`` and ``n_chars`` (its code points).
 
     Null or empty html and pages without main text give ''.  Each page stands
-    alone, so repeated rows give repeated results.
+    alone, so repeated rows and ties give repeated results, and an empty table
+    an empty one.  A page of any length is read whole, in time that grows with
+    its length, also where it is malformed.  A ``keep`` column named like an
+    added one is replaced by it.
     """
 
     def make():
