@@ -21,8 +21,10 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages.  Without letters, or far from
-    every language profile: rejected."""
+    """Documents in one of the learned languages.  Null and empty texts, those
+    without letters, and those far from every language profile are rejected.
+    Each row stands alone: repeated rows share their fate, an empty table stays
+    empty, a text of any length is read whole."""
     prepare(spark)
     profiles = learn_profiles(docs.where(crc_bucket("doc_id", 4) != 2))
     found = predict_language(docs, profiles, keep=docs.columns)
@@ -30,7 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model predicts to be good."""
+    """Documents that the quality model predicts to be good (a score of 0.5, as
+    all have where nothing could be learnt, is enough).  Each row stands alone:
+    null and empty texts are scored as well, repeated rows share their fate, an
+    empty table stays empty."""
     prepare(spark)
     model = learn_quality(docs.where(crc_bucket("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
     return score_quality(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
@@ -38,24 +43,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id
-    (then the smallest hash of its text; a row repeated as a whole stays once)."""
+    (null ids last, then the smallest hash of its text; a row repeated as a
+    whole stays once).  Null and empty texts are one class; an empty table
+    stays empty.
+
+    What is kept is one row for each class, so the text is dealt out once, by
+    the columns of both the join and the repeated rows.
+    """
     prepare(spark)
-    marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = docs.select("doc_id", "text", text.alias("hash"))
     least = simhash_groups(marked, keep=["doc_id", "hash"]).groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("kept"))
-    kept = least.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed["__hash"] == kept["kept_hash"])
-    return keyed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    kept = least.select(F.coalesce("kept.doc_id", F.lit(0)).alias("__id"), F.col("kept.last").alias("__last"), F.col("kept.hash").alias("__hash"))
+    keys = ["__id", "__last", "__hash"]
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__last", F.col("doc_id").isNull()).withColumn("__hash", text)
+    return keyed.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs.  Null and empty texts hold
+    none and stay; repeated rows share their fate; an empty table stays empty."""
     prepare(spark)
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the text decoded from them, as counts and digests."""
+    """Token ids, and the text decoded from them, as counts and digests; null
+    text counts as empty.  One row for each row, an empty table gives none."""
     prepare(spark)
     return digests(docs)
 

@@ -1,13 +1,15 @@
 """Connected components of a link table, by alternating large-star and
 small-star steps (Kiveris et al. 2014).  Every step is a join and an
-aggregation; nothing is gathered on the driver but two numbers a round."""
+aggregation; nothing is gathered on the driver but a few numbers a round.  A
+node with a large share of the links is joined by broadcast (see
+``spread_join``), so that its links stay in the tasks that hold them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, spread_join, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,16 +26,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if state == before or state[0] == 0:
             break
-        before = state
+        before, n = state, state[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = stored(
+            spread_join(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             # a node that is not the least of its own neighbours points at their least as well
-            least.where("m < u").select("u", F.col("m").alias("v"))
-        ).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+            .union(least.where("m < u").select("u", F.col("m").alias("v")))
+            .distinct()
+        )
+        fewer = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, fewer, "u", "n", n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(small.union(fewer.select("u", F.col("m").alias("v"))).distinct())
+        drop_stored(edges, least, large, fewer)
+        edges = after
+    # a component's members each have one link, to its least
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

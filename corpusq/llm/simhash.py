@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, quoted, stored
+from .common import map_text, quoted, spread_join, stored
 from .components import Forest, connected_components
 
 #: Fingerprints of one tree, at most (about)
@@ -171,15 +171,18 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     Documents link when their fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest id reachable (null if every id there is
-    null).  Null and wordless texts have fingerprint 0 and link like any other;
-    equal fingerprints are one node, so copies are never expanded into pairs.
+    null).  Null, empty and wordless texts have fingerprint 0 and link like any
+    other; a text of any length is read whole.  Equal fingerprints are one node,
+    so copies and repeated rows are never expanded into pairs.  An empty table
+    gives an empty one; a ``keep`` column named like an added one is replaced.
     """
-    keep = [id_col] if keep is None else keep
+    new = ("fp", "class_fp", "component_id", "__copies")
+    keep = [c for c in ([id_col] if keep is None else keep) if c.lower() not in new]
     marked = stored(add_fingerprint(docs, text_col, [*dict.fromkeys([id_col, *keep])]))
-    nodes = marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("first"))
+    nodes = stored(marked.groupBy("fp").agg(F.min(quoted(id_col)).alias("first"), F.count("*").alias("__copies")))
     found = connected_components(near_fingerprints(nodes.select("fp"), radius))
-    classes = nodes.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least.hint("merge"), "component").select("fp", F.col("component").alias("class_fp"), "component_id")
-    new = ("fp", "class_fp", "component_id")
-    return marked.join(named.hint("merge"), "fp").select(*[F.col(quoted(c)) for c in keep if c.lower() not in new], *new)
+    classes = stored(nodes.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", "__copies", F.coalesce("component", "fp").alias("component")))
+    least = stored(classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    total, rows = classes.agg(F.count("*"), F.coalesce(F.sum("__copies"), F.lit(0))).first()
+    named = stored(spread_join(classes, least, "component", "n", total).select("fp", "__copies", F.col("component").alias("class_fp"), "component_id"))
+    return spread_join(marked, named, "fp", "__copies", rows).select(*[F.col(quoted(c)) for c in keep], *new[:3])
