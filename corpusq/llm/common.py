@@ -43,17 +43,18 @@ def lowest(df: DataFrame, *by: str, limit: int, total: int) -> DataFrame:
     return df.where(share < int(likely * (1 << 31))).orderBy(share, *by).limit(limit)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join with ``right``, which has one row for each key and in ``n`` how
     many rows of ``left`` hold it; ``total`` is their number.
 
     A key that holds over a 500th of the rows (so under 500 keys) is broadcast,
     and its rows stay where they are; only the others are dealt out by the key.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.col(n) > total // 500 + 64
     few = right.where(hot)
-    near = left.join(F.broadcast(few), key)
-    far = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).hint("merge"), key)
+    near = left.join(F.broadcast(few), keys)
+    far = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~hot).hint("merge"), keys)
     return near.unionByName(far)
 
 

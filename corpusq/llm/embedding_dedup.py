@@ -4,12 +4,15 @@ Filters are directions from a structured product code: the dimensions are cut
 into parts, each part has its own random unit vectors, and a filter is one of
 them from every part.  A vector passes the filters whose direction it exceeds
 by a threshold; they are list-decoded part by part with a bound on what the
-remaining parts can add.  Vectors that share a filter are compared.
-
-A pair is counted at the smallest filter that both pass, so links are never
-written out: a filter's vectors give each vector's number of links and a forest
-that holds their components together.  A filter with many vectors (a large
-group of near copies) is cut into tiles that are compared in tasks of their own.
+remaining parts can add.
+
+Vectors are joined on their filters.  Filters with the same leading parts stand
+in one shard, as many as about a tile of vectors needs, so a vector goes out once
+for each of its shards, not of its filters; a shard's vectors are compared.  A
+pair is counted at the smallest shard that both are in, so links are never
+written out: a shard gives each vector's number of links and a forest that holds
+their components together.  A shard with many vectors (a large group of near
+copies) is cut into tiles that are compared in tasks of their own.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import quoted, spread_join, stored
 from .components import connected_components
-from .simhash import groups
 
 #: Vectors of one tile side, at most (about)
-TILE = 1024
+TILE = 1536
 #: Chance of missing a pair exactly at the threshold that the filters are laid out for
-MISS = 1e-6
+MISS = 1e-5
 #: Filters that every vector passes, at least
-LEAST = 16
+LEAST = 12
+#: Shards over a tile of vectors that are broadcast, at most; more are joined
+MOST_LARGE = 100_000
 #: Other vectors of a label expected at a filter
 CROWD = 48
 SEED = 9
@@ -63,6 +67,9 @@ class Caps:
             c = rng.standard_normal((self.base, b - a))
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         self.bound = z / math.sqrt(dim) * math.sqrt(self.parts)
+        #: filters of one shard: those with the same leading parts
+        lead = next((k for k in range(1, self.parts) if n * codes * passing / self.base**k <= 3 * TILE), self.parts)
+        self.shard = self.base ** (self.parts - lead)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for all filters that the unit rows of ``x`` exceed, by
@@ -101,7 +108,8 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def pass_filters(vectors: DataFrame, crowd: int, threshold: float) -> DataFrame:
-    """``(node, label, dim, copies, embedding, filters)`` for distinct vectors."""
+    """``(node, label, dim, copies, embedding, shards)`` for distinct vectors."""
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caps: dict[int, Caps] = {}
@@ -111,31 +119,49 @@ def pass_filters(vectors: DataFrame, crowd: int, threshold: float) -> DataFrame:
                 part = b.filter(pa.array(dims == dim))
                 c = caps.setdefault(int(dim), Caps(int(dim), crowd, threshold))
                 row, code = c.decode(matrix(part.column(4)))
-                offsets = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(code))], names=[*part.schema.names, "filters"])
-
-    return vectors.mapInArrow(run, "node long, label int, dim int, copies long, embedding array<float>, filters array<long>")
-
-
-def tile_links(x: np.ndarray, y: np.ndarray | None, fx: list, fy: list | None, own: int, threshold: float):
-    """Links inside a tile: (linked, counted here) as boolean matrices."""
+                pair = np.unique(np.stack([row, code // c.shard]), axis=1)
+                offsets = np.searchsorted(pair[0], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair[1]))], names=[*part.schema.names, "shards"])
+
+    return vectors.mapInArrow(run, f"node long, label {kind['label']}, dim int, copies long, embedding {kind['embedding']}, shards array<long>")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of equal leading columns in sorted rows."""
+    held, last = [], None
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        edges = [0, *turns.tolist(), b.num_rows] if b.num_rows else []
+        for a, z in zip(edges, edges[1:]):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tile_links(x: np.ndarray, y: np.ndarray | None, mx: np.ndarray, my: np.ndarray | None, threshold: float):
+    """Links inside a tile: (linked, counted here) as boolean matrices; ``mx`` and
+    ``my`` mark the smaller shards that each row is in."""
     near = (x @ (x if y is None else y).T) >= threshold
     if y is None:
         np.fill_diagonal(near, False)
-    smaller = {f: i for i, f in enumerate(sorted({f for row in fx for f in row if f < own}))}
-    if not smaller or not near.any():
+    if not mx.shape[1] or not near.any():
         return near, near
+    return near, near & ((mx @ (mx if my is None else my).T) == 0)
 
-    def marks(rows):
-        m = np.zeros((len(rows), len(smaller)), np.float32)
-        for i, row in enumerate(rows):
-            for f in row:
-                if f in smaller:
-                    m[i, smaller[f]] = 1
-        return m
 
-    mx = marks(fx)
-    return near, near & ((mx @ (mx if fy is None else marks(fy)).T) == 0)
+def marks(lists: pa.ListArray) -> np.ndarray:
+    """A row for each list, a column for each value in any of them: 1 where it is."""
+    size = np.diff(lists.offsets.to_numpy())
+    _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    out = np.zeros((len(lists), int(column.max()) + 1 if len(column) else 0), np.float32)
+    out[np.repeat(np.arange(len(lists)), size), column] = 1
+    return out
 
 
 def components_of(near: np.ndarray) -> np.ndarray:
@@ -150,38 +176,41 @@ def components_of(near: np.ndarray) -> np.ndarray:
 
 
 def compare(passed: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """``(node, links, root)``: links counted at a filter's tile, and a node that
+    """``(node, links, root)``: links counted at a shard's tile, and a node that
     this tile connects it to."""
-    rows = passed.select("node", "label", "dim", "copies", "embedding", "filters", F.explode("filters").alias("filter"))
-    sizes = passed.select("label", "dim", F.explode("filters").alias("filter")).groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
-    cuts = F.ceil(F.col("n") / tile).cast("int")
+    where = ["label", "dim", "shard"]
+    rows = passed.select("label", "dim", F.explode("shards").alias("shard"), "node", "copies", "embedding", "shards")
+    large = stored(passed.select("label", "dim", F.explode("shards").alias("shard")).groupBy(*where).agg(F.count("*").alias("n")).where(F.col("n") > tile))
+    few = large.count() <= MOST_LARGE
     tiles = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("cut", j).alias("one"), F.greatest("cut", j).alias("two")))
     placed = (
-        rows.join(sizes.hint("merge"), ["label", "dim", "filter"])
-        .withColumn("cuts", cuts)
+        rows.join(F.broadcast(large) if few else large.hint("merge"), where, "left")
+        .withColumn("cuts", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
         .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
         .withColumn("t", F.explode(tiles))
-        .select("label", "dim", "filter", "t.one", "t.two", "cut", "node", "copies", "embedding", "filters")
-        .repartition("label", "dim", "filter", "one", "two")
-        .sortWithinPartitions("label", "dim", "filter", "one", "two")
+        .select(*where, "t.one", "t.two", "cut", "node", "copies", "embedding", F.filter("shards", lambda s: s < F.col("shard")).alias("smaller"))
+        .repartition(*where, "one", "two")
+        .sortWithinPartitions(*where, "one", "two")
     )
 
     def run(batches):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-        for _, _, own, one, two, cut, node, copies, vector, filters in groups(batches, 5):
-            x = np.array(vector, np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            node, copies, cut, n = np.array(node), np.array(copies), np.array(cut), len(node)
+        for t in runs(batches, 5):
+            if t.num_rows < 2:
+                continue
+            t = t.combine_chunks()
+            one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+            cut, node, copies = (t.column(c).to_numpy() for c in ("cut", "node", "copies"))
+            x, m, n = matrix(t.column("embedding").chunk(0)), marks(t.column("smaller").chunk(0)), len(node)
             links = np.zeros(n, np.int64)
-            near = np.zeros((n, n), bool)
-            if one[0] == two[0]:
-                near, here = tile_links(x, None, filters, None, own[0], threshold)
+            if one == two:
+                near, here = tile_links(x, None, m, None, threshold)
                 links = here @ copies
             else:
-                a, b = np.flatnonzero(cut == one[0]), np.flatnonzero(cut == two[0])
-                linked, here = tile_links(x[a], x[b], [filters[i] for i in a], [filters[i] for i in b], own[0], threshold)
+                a, b = np.flatnonzero(cut == one), np.flatnonzero(cut == two)
+                linked, here = tile_links(x[a], x[b], m[a], m[b], threshold)
+                near = np.zeros((n, n), bool)
                 near[np.ix_(a, b)] = linked
                 near |= near.T
                 links[a], links[b] = here @ copies[b], here.T @ copies[a]
@@ -204,25 +233,29 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     Vectors link when their labels are equal and not null, their lengths are
     equal, and their cosine in double precision reaches the threshold (which
-    must be positive).  A vector that is null, empty, zero, or holds a null or
-    non-finite component links with nothing: 0 links, its own id, kept.
-    Identical vectors are one node with a count; rows that repeat an id are
-    vectors of their own.  Nothing but the largest label's number of distinct
-    vectors reaches the driver.
+    must be positive; a cosine equal to it links).  A vector that is null,
+    empty, zero, or holds a null or non-finite component links with nothing: 0
+    links, its own id, kept.  Arrays of doubles are compared as doubles, of
+    other numbers as floats.  Identical vectors are one node with a count; rows
+    that repeat an id are vectors of their own.  A vector of any length is
+    compared whole.  An empty table gives an empty one; other columns are not
+    read, whatever their names.  Nothing but numbers of rows reaches the driver.
     """
-    v, label = F.col(quoted(vector_col)).cast("array<float>"), F.col(quoted(label_col)).cast("int")
+    element = "double" if vectors.schema[vector_col].dataType.simpleString() == "array<double>" else "float"
+    v, label = F.col(quoted(vector_col)).cast(f"array<{element}>"), F.col(quoted(label_col))
     fine = F.coalesce(
         (F.size(v) > 0) & F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))) & F.exists(v, lambda c: F.coalesce(c != 0, F.lit(False))),
         F.lit(False),
     ) & label.isNotNull()
     # -0.0 and 0.0 are one value, here as in grouping
-    clean = F.when(fine, F.transform(v, lambda c: F.when(c == 0, F.lit(0).cast("float")).otherwise(c)))
+    clean = F.when(fine, F.transform(v, lambda c: F.when(c == 0, F.lit(0).cast(element)).otherwise(c)))
     rows = vectors.select(F.col(quoted(id_col)).alias("vec_id"), label.alias("label"), clean.alias("embedding"))
-    keyed = rows.withColumn("h", F.xxhash64("label", "embedding"))
+    # equal vectors of a label by two hashes of 64 bits
+    same = ["h", "h2"]
+    hashed = rows.where("embedding is not null").withColumn("h", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit("second"), "embedding", "label"))
     distinct = stored(
-        keyed.where("embedding is not null")
-        .groupBy("h", "label", "embedding")
-        .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+        hashed.groupBy(*same)
+        .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     crowd = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
@@ -230,20 +263,17 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     found = stored(compare(passed, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    classes = (
-        distinct.select("node", "h", "label", "embedding", "copies", "first")
+    classes = stored(
+        distinct.select("node", *same, "copies", "first")
         .join(links.hint("merge"), "node", "left")
         .join(joined.hint("merge"), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least.hint("merge"), "component").select(
-        F.col("h").alias("h2"), F.col("label").alias("label2"), F.col("embedding").alias("embedding2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
-    )
-    same = (F.col("h") == F.col("h2")) & (F.col("label") == F.col("label2")) & (F.col("embedding") == F.col("embedding2"))
-    return keyed.join(named.hint("merge"), same, "left").select(
-        F.col("vec_id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
-    )
+    least = stored(classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    nodes, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    named = stored(spread_join(classes, least, "component", "n", nodes).select(*same, "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    linked = spread_join(hashed.select("vec_id", *same), named, same, "copies", total).select("vec_id", "n_links", "component_id")
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # a vector whose class has no id but null is its own
+    every = linked.unionByName(alone).withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    return every.select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
