@@ -34,16 +34,18 @@ from .common import pieces, quoted, stored
 
 #: Words whose count every task holds; the others' counts are joined
 HEAD = 200_000
-VOCABULARY, CLASS, ENDINGS = 8192, 64, 64
-UNITS, WINDOW, LANES, BLOCK = 32, 64, 384, 2048
+VOCABULARY, CLASS, ENDINGS = 1024, 32, 32
+UNITS, WINDOW, LANES, BLOCK = 16, 16, 384, 256
 #: Where the rounds of training end, in shares of the documents
 ROUNDS = (1 / 16, 6 / 16, 1)
-FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 24, 48, 256, 0.08, 3
+FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 16, 48, 384, 0.1, 3
 #: Tokens trained on together in a task, about; floats in a row of averaged weights
 FIT_POOL, ROW = 1_000_000, 8192
 #: Tokens scored together in a task, about
 POOL = 3_000_000
 END = "\n"
+#: No weight and bias of the output grows beyond this, so that no exponential overflows
+MOST, MOST_BIAS = 3.5, 25
 
 
 def words_of(text: str) -> list[bytes]:
@@ -121,7 +123,10 @@ def learn_lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
 
 
 class Model:
-    """A gated recurrent network over symbols, with a class-factored softmax."""
+    """A gated recurrent network over symbols, with a class-factored softmax.
+
+    The last row of ``w`` and of each class's ``v`` is its bias: states carry a 1.
+    """
 
     def __init__(self, lexicon: Lexicon):
         rng = np.random.default_rng(SEED)
@@ -135,56 +140,81 @@ class Model:
         self.u = normal(k, 3 * k, scale=1 / np.sqrt(k))
         self.b = np.zeros(3 * k, np.float32)
         self.b[:k] = 1
-        self.w = normal(k, c + len(lexicon.leaf), scale=0.01)
+        self.w = normal(k + 1, c + len(lexicon.leaf), scale=0.01)
         mass = np.zeros(c * CLASS)
         mass[:n] = lexicon.count[:n] + 1.0
-        self.a = np.log(np.concatenate([mass.reshape(c, CLASS).sum(1), lexicon.mass])).astype(np.float32)
-        self.a -= np.log(np.exp(self.a).sum())
-        self.v = normal(c, k, CLASS, scale=0.01)
+        bias = np.log(np.concatenate([mass.reshape(c, CLASS).sum(1), lexicon.mass]))
+        self.w[k] = bias - np.log(np.exp(bias).sum())
+        self.v = normal(c, k + 1, CLASS, scale=0.01)
         with np.errstate(divide="ignore"):
-            self.d = np.maximum(np.log(mass.reshape(c, CLASS) / mass.reshape(c, CLASS).sum(1, keepdims=True)), -1e4).astype(np.float32)
+            self.v[:, k] = np.maximum(np.log(mass.reshape(c, CLASS) / mass.reshape(c, CLASS).sum(1, keepdims=True)), -MOST_BIAS)
         self.n, self.classes = n, c
 
     def class_of(self, symbol: np.ndarray) -> np.ndarray:
-        return np.where(symbol < self.n, symbol // CLASS, self.classes + symbol - self.n)
-
-    def step(self, symbol: np.ndarray, h: np.ndarray):
-        """One token: (keep, reset, new, recurrent part of new, state before, state after)."""
-        k = UNITS
-        h = h * (symbol != 0)[:, None]  # an end forgets the document
-        g = self.x[symbol] + self.b
-        hu = h @ self.u
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + hu[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        new = np.tanh(g[:, 2 * k :] + r * hu[:, 2 * k :])
-        return z, r, new, hu[:, 2 * k :], h, new + z * (h - new)
+        return np.where(symbol < self.n, symbol // CLASS, self.classes + symbol - self.n).astype(np.uint8)
+
+    def states(self, given: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States (with a 1) after each row of ``given`` symbols, from ``h`` on, as
+        rows in order; and the last ones.  ``kept`` gets what going back needs.
+
+        Inside, units come first and lanes are next to each other in memory.
+        """
+        k, (width, lanes) = UNITS, given.shape
+        gain = np.ascontiguousarray((self.x + self.b).take(given, axis=0).transpose(0, 2, 1))
+        live, u = (given != 0).astype(np.float32), np.ascontiguousarray(self.u.T)
+        out = np.empty((width, k, lanes), np.float32)
+        for t in range(width):
+            before = h * live[t]  # an end forgets the document
+            hu, zr, new = u @ before, gain[t, : 2 * k], gain[t, 2 * k :]
+            zr += hu[: 2 * k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:k], zr[k:]
+            h = np.multiply(r, hu[2 * k :], out=out[t])
+            new += h
+            # tanh by the exponential, which is faster
+            new *= 2
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1
+            np.subtract(before, new, out=h)
+            h *= z
+            h += new
+            if kept is not None:
+                kept.append((z, r, new, hu[2 * k :], before))
+        flat = np.ones((width, lanes, k + 1), np.float32)
+        flat[:, :, :k] = out.transpose(0, 2, 1)
+        return flat.reshape(-1, k + 1), h
+
+    def by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Rows in order of their class, and where each class of words begins."""
+        order = np.argsort(cls, kind="stable")
+        return order, np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
 
     def log10(self, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 of each symbol's class and of its place in it, given states.
         Rows go in blocks that stay in the processor's cache."""
-        cls = self.class_of(symbol)
+        cls, ones = self.class_of(symbol), np.ones(max(CLASS, self.w.shape[1]), np.float32)
         out = np.empty(len(h), np.float32)
         for a in range(0, len(h), BLOCK):
             logits = h[a : a + BLOCK] @ self.w
-            logits += self.a
-            logits -= logits.max(1, keepdims=True)
             own = logits[np.arange(len(logits)), cls[a : a + BLOCK]]
             np.exp(logits, out=logits)
-            out[a : a + BLOCK] = own - np.log(logits.sum(1))
-        order = np.argsort(cls, kind="stable")
-        order = order[cls[order] < self.classes]
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+            out[a : a + BLOCK] = own - np.log(logits @ ones[: self.w.shape[1]])
+        order, edge = self.by_class(cls)
+        order = order[: edge[-1]]
         grouped, places = h[order], symbol[order] % CLASS
         found = np.empty(len(order), np.float32)
         for c in range(self.classes):
             a, b = edge[c], edge[c + 1]
             if a < b:
                 inner = grouped[a:b] @ self.v[c]
-                inner += self.d[c]
-                inner -= inner.max(1, keepdims=True)
                 own = inner[np.arange(b - a), places[a:b]]
                 np.exp(inner, out=inner)
-                found[a:b] = own - np.log(inner.sum(1))
+                found[a:b] = own - np.log(inner @ ones[:CLASS])
         out[order] += found
         return out.astype(np.float64) / np.log(10)
 
@@ -203,25 +233,24 @@ class Model:
             heapq.heappush(heap, (size + len(docs[d]), i))
         rows = sorted(rows, key=lambda r: -sum(len(docs[d]) for d in r))
         line = [np.concatenate([docs[d] for d in r]) for r in rows]
-        owner = [np.repeat(r, [len(docs[d]) for d in r]) for r in rows]
+        owner = [np.repeat(np.array(r, np.int32), [len(docs[d]) for d in r]) for r in rows]
         sizes = np.array([len(x) for x in line])
-        h, last = np.zeros((lanes, UNITS), np.float32), np.zeros(lanes, np.int64)
+        h, last = np.zeros((UNITS, lanes), np.float32), np.zeros(lanes, np.int16)
         for start in range(0, int(sizes[0]), window):
             live = int(np.searchsorted(-sizes, -start))
-            h, last = h[:live], last[:live]
+            h, last = np.ascontiguousarray(h[:, :live]), last[:live]
             width = min(window, int(sizes[0]) - start)
-            symbol, mine = np.zeros((live, width), np.int64), np.full((live, width), -1)
+            symbol, mine = np.zeros((live, width), np.int16), np.full((live, width), -1, np.int32)
             for i in range(live):
                 part = line[i][start : start + width]
                 symbol[i, : len(part)], mine[i, : len(part)] = part, owner[i][start : start + width]
-            states = np.empty((width, live, UNITS), np.float32)
-            for t in range(width):
-                h = self.step(last, h)[-1]
-                states[t] = h
-                last = symbol[:, t]
-            who = mine.T.ravel()
+            given = np.concatenate([last[None], symbol.T[:-1]])
+            flat, h = self.states(given, h)
+            last, who, wanted = symbol[:, -1], mine.T.ravel(), symbol.T.ravel()
             real = who >= 0
-            total += np.bincount(who[real], self.log10(states.reshape(-1, UNITS)[real], symbol.T.ravel()[real]), len(docs))
+            if not real.all():
+                who, wanted, flat = who[real], wanted[real], flat[real]
+            total += np.bincount(who, self.log10(flat, wanted), len(docs))
         return total
 
     def fresh(self) -> dict[str, np.ndarray]:
@@ -238,84 +267,104 @@ class Model:
         seen = self.fresh() if seen is None else seen
         lanes = max(1, min(lanes, size // window))
         length = -(-size // lanes)
-        grid = np.zeros((2, lanes * length), np.int64)
+        grid = np.zeros((2, lanes * length), np.int16)
         grid[0, :size], grid[1, :size] = stream[:-1], stream[1:]
-        grid = grid.reshape(2, lanes, length)
-        real = (np.arange(lanes * length) < size).reshape(lanes, length)
-        k, scale = UNITS, np.float32(1 / lanes)
+        grid = np.ascontiguousarray(grid.reshape(2, lanes, length).transpose(0, 2, 1))
+        real = (np.arange(lanes * length) < size).reshape(lanes, length).T
+        k, scale, ones = UNITS, np.float32(1 / lanes), np.ones(max(CLASS, self.w.shape[1]), np.float32)
 
         def move(p, s, g):
             np.clip(g, -1, 1, out=g)
             s += g * g
             p -= RATE * g / np.sqrt(s)
 
-        h = np.zeros((lanes, k), np.float32)
+        def move_output(p, s, g):
+            move(p, s, g)
+            np.clip(p[..., :k, :], -MOST, MOST, out=p[..., :k, :])
+            np.clip(p[..., k, :], -MOST_BIAS, MOST_BIAS, out=p[..., k, :])
+
+        h = np.zeros((k, lanes), np.float32)
         for start in range(0, length, window):
-            given, wanted = grid[:, :, start : start + window]
-            width = given.shape[1]
-            kept = []
-            for t in range(width):
-                kept.append(self.step(given[:, t], h))
-                h = kept[-1][-1]
-            flat = np.concatenate([s[-1] for s in kept])
-            symbol, live = wanted.T.ravel(), real[:, start : start + window].T.ravel()
+            given, wanted = grid[:, start : start + window]
+            width, kept = len(given), []
+            flat, h = self.states(given, h, kept)
+            symbol, live = wanted.ravel(), real[start : start + window].ravel()
             cls = self.class_of(symbol)
-            dh, dw, da = np.empty_like(flat), np.zeros_like(self.w), np.zeros_like(self.a)
+            if not live.all():
+                cls[~live] = len(self.w[0])
+            dh, dw = np.empty((len(flat), k), np.float32), np.zeros_like(self.w)
             for i in range(0, len(flat), BLOCK):
                 part, own = flat[i : i + BLOCK], cls[i : i + BLOCK]
                 p = part @ self.w
-                p += self.a
-                p -= p.max(1, keepdims=True)
                 np.exp(p, out=p)
-                p *= scale / p.sum(1, keepdims=True)
-                p[np.arange(len(p)), own] -= scale
-                p[~live[i : i + BLOCK]] = 0
-                dh[i : i + BLOCK] = p @ self.w.T
+                p *= (scale / (p @ ones[: p.shape[1]]))[:, None]
+                if live[i : i + BLOCK].all():
+                    p[np.arange(len(p)), own] -= scale
+                else:
+                    at = np.flatnonzero(live[i : i + BLOCK])
+                    p[at, own[at]] -= scale
+                    p[~live[i : i + BLOCK]] = 0
+                np.matmul(p, self.w[:k].T, out=dh[i : i + BLOCK])
                 dw += part.T @ p
-                da += p.sum(0)
-            order = np.argsort(np.where(live, cls, len(self.a)), kind="stable")
-            edge = np.searchsorted(cls[order[: int(live.sum())]], np.arange(self.classes + 1)).tolist()
-            grouped, places, inner = flat[order], symbol[order] % CLASS, np.zeros_like(flat)
+            order, edge = self.by_class(cls)
+            order = order[: edge[-1]]
+            grouped, places, inner = flat[order], symbol[order] % CLASS, np.empty((len(order), k), np.float32)
+            dv = np.zeros_like(self.v)
             for c in range(self.classes):
                 i, j = edge[c], edge[c + 1]
                 if i < j:
                     q = grouped[i:j] @ self.v[c]
-                    q += self.d[c]
-                    q -= q.max(1, keepdims=True)
                     np.exp(q, out=q)
-                    q *= scale / q.sum(1, keepdims=True)
+                    q *= (scale / (q @ ones[:CLASS]))[:, None]
                     q[np.arange(j - i), places[i:j]] -= scale
-                    inner[i:j] = q @ self.v[c].T
-                    move(self.v[c], seen["v"][c], grouped[i:j].T @ q)
-                    move(self.d[c], seen["d"][c], q.sum(0))
+                    np.matmul(q, self.v[c, :k].T, out=inner[i:j])
+                    np.matmul(grouped[i:j].T, q, out=dv[c])
             dh[order] += inner
-            move(self.w, seen["w"], dw)
-            move(self.a, seen["a"], da)
-            dh = dh.reshape(width, lanes, k)
-            du = np.zeros_like(self.u)
-            dx = np.empty((width, lanes, 3 * k), np.float32)
-            back = np.zeros((lanes, k), np.float32)
-            for t in range(width - 1, -1, -1):
-                z, r, new, hu, before, _ = kept[t]
-                back = back + dh[t]
-                dn = back * (1 - z) * (1 - new * new)
-                dz = back * (before - new) * z * (1 - z)
-                dr = dn * hu * r * (1 - r)
-                gate = np.concatenate([dz, dr, dn * r], axis=1)
-                dx[t, :, : 2 * k], dx[t, :, 2 * k :] = gate[:, : 2 * k], dn
-                du += before.T @ gate
-                back = (back * z + gate @ self.u.T) * (given[:, t] != 0)[:, None]
-            dx = dx.reshape(-1, 3 * k)
-            order = np.argsort(given.T.ravel(), kind="stable")
-            rows, first = np.unique(given.T.ravel()[order], return_index=True)
-            gx = np.clip(np.add.reduceat(dx[order], first), -1, 1)
-            move(self.u, seen["u"], du)
-            move(self.b, seen["b"], dx.sum(0))
-            seen["x"][rows] += (gx * gx).mean(1, keepdims=True)
-            self.x[rows] -= RATE * gx / np.sqrt(seen["x"][rows])
-
-
-WEIGHTS = ("x", "u", "b", "w", "a", "v", "d")
+            move_output(self.w, seen["w"], dw)
+            move_output(self.v, seen["v"], dv)
+            self.back(given, kept, np.ascontiguousarray(dh.reshape(width, lanes, k).transpose(0, 2, 1)), seen, move)
+
+    def back(self, given: np.ndarray, kept: list, dh: np.ndarray, seen: dict[str, np.ndarray], move) -> None:
+        """Gradients of the recurrent weights and inputs, from those of the states."""
+        k, (width, lanes) = UNITS, given.shape
+        gate, over, part = np.empty((width, 3 * k, lanes), np.float32), np.zeros((k, lanes), np.float32), np.empty((k, lanes), np.float32)
+        live, du = (given != 0).astype(np.float32), np.zeros_like(self.u)
+        for t in range(width - 1, -1, -1):
+            z, r, new, hu, before = kept[t]
+            over += dh[t]
+            gz, gr, dn = gate[t, :k], gate[t, k : 2 * k], gate[t, 2 * k :]
+            np.subtract(1, z, out=part)
+            np.multiply(over, part, out=dn)
+            part *= z
+            np.subtract(before, new, out=gz)
+            gz *= over
+            gz *= part
+            np.multiply(new, new, out=part)
+            np.subtract(1, part, out=part)
+            dn *= part
+            np.subtract(1, r, out=part)
+            part *= r
+            np.multiply(dn, hu, out=gr)
+            gr *= part
+            np.multiply(dn, r, out=part)  # what reaches the recurrent part of new
+            du[:, : 2 * k] += before @ gate[t, : 2 * k].T
+            du[:, 2 * k :] += before @ part.T
+            over *= z
+            over += self.u[:, : 2 * k] @ gate[t, : 2 * k]
+            over += self.u[:, 2 * k :] @ part
+            over *= live[t]
+        dx, flat = gate.transpose(0, 2, 1).reshape(-1, 3 * k), given.ravel()
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows, gx = ordered[first], np.clip(np.add.reduceat(dx[order], first), -1, 1)
+        move(self.u, seen["u"], du)
+        move(self.b, seen["b"], dx.sum(0))
+        seen["x"][rows] += (gx * gx).mean(1, keepdims=True)
+        self.x[rows] -= RATE * gx / np.sqrt(seen["x"][rows])
+
+
+WEIGHTS = ("x", "u", "b", "w", "v")
 
 
 def flat_weights(m: Model, seen: dict[str, np.ndarray]) -> np.ndarray:
@@ -331,17 +380,45 @@ def put_weights(m: Model, seen: dict[str, np.ndarray], flat: np.ndarray) -> None
             at += size
 
 
-def learn_model(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Train the recurrent weights on all documents, inside their partitions.
+def code_documents(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """Every text as the model's symbols, written out: ``kept`` (a struct of the
+    ``keep`` columns, so no name can clash), ``symbols`` (16-bit integers, the end
+    last), ``tokens``, ``known``, ``base`` and ``extra`` (the parts of both scores
+    that this task knows), and ``rest`` (words whose count no task holds)."""
+    keep = ["doc_id"] if keep is None else keep
+    kept = F.struct(*[F.col(quoted(c)) for c in keep], F.lit(0).alias("__filler"))
+    src = docs.select(kept.alias("kept"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = ["kept", "symbols", "tokens", "known", "base", "extra", "rest"]
+    schema = f"kept {src.schema['kept'].dataType.simpleString()}, symbols binary, tokens long, known long, base double, extra double, rest map<string, bigint>"
+
+    def run(batches):
+        lex = shared.value
+        for b in batches:
+            for part in pieces(b):
+                rows = []
+                for t in part.column(1).to_pylist():
+                    s, rank, rest = symbols(lex, words_of(t))
+                    held = rank[rank >= 0]
+                    leaf = s >= lex.vocabulary
+                    extra = -lex.leaf[s[leaf] - lex.vocabulary].sum() + lex.log_count[held[held >= lex.vocabulary]].sum()
+                    base = lex.log_count[held].sum() + lex.log_count[0] - lex.base * len(s)
+                    known = int((lex.count[held] > 0).sum()) + int(lex.count[0] > 0)
+                    rows.append((s.astype("<i2").tobytes(), len(s), known, float(base), float(extra), [(w.decode(), n) for w, n in Counter(rest).items()]))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+
+    return stored(src.mapInArrow(run, schema))
+
+
+def learn_model(coded: DataFrame, lexicon: Lexicon) -> Model:
+    """Train the recurrent weights on all coded documents, inside their partitions.
 
     Each document belongs to one round, by its hash, and is read there from its
-    first token to its last.
+    first symbol to its last.
     """
-    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    share = F.pmod(F.xxhash64(F.col(quoted(id_col)), text), F.lit(1 << 20))
-    named = docs.select(share.alias("share"), text.alias("text"))
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(lexicon)
+    share = F.pmod(F.xxhash64("symbols"), F.lit(1 << 20))
+    sc = coded.sparkSession.sparkContext
     model = Model(lexicon)
     seen, low = model.fresh(), 0
     for end in ROUNDS:
@@ -349,20 +426,19 @@ def learn_model(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_co
         given = sc.broadcast(pickle.dumps((model, seen)))
 
         def run(batches, given=given):
-            lex, (m, seen) = shared.value, pickle.loads(given.value)
-            parts, size, total = [np.zeros(1, np.int64)], 0, 0
+            m, seen = pickle.loads(given.value)
+            parts, size, total = [np.zeros(1, "<i2")], 0, 0
 
             def fit():
-                m.fit(np.concatenate(parts), max(FIT_LANES, min(MOST_LANES, size // 4096)), seen=seen)
+                m.fit(np.concatenate(parts), max(FIT_LANES, min(MOST_LANES, size // 2048)), seen=seen)
 
             for b in batches:
-                for part in pieces(b):
-                    for t in part.column(0).to_pylist():
-                        parts.append(symbols(lex, words_of(t))[0])
-                        size += len(parts[-1])
-                        if size > FIT_POOL:
-                            fit()
-                            parts, size, total = [np.zeros(1, np.int64)], 0, total + size
+                for x in b.column(0):
+                    parts.append(np.frombuffer(x.as_buffer(), "<i2"))
+                    size += len(parts[-1])
+                    if size > FIT_POOL:
+                        fit()
+                        parts, size, total = [np.zeros(1, "<i2")], 0, total + size
             total += size
             if size:
                 fit()
@@ -373,7 +449,7 @@ def learn_model(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", id_co
                     arrays = [pa.array([i // ROW for i in rows], pa.int32()), pa.array([total] * len(rows), pa.int64()), pa.array([flat[i : i + ROW].tobytes() for i in rows], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", "weights"])
 
-        trained = named.where((F.col("share") >= low) & (F.col("share") < high)).select("text").mapInArrow(run, "row int, tokens long, weights binary")
+        trained = coded.where((share >= low) & (share < high)).select("symbols").mapInArrow(run, "row int, tokens long, weights binary")
         averaged = stored(trained.repartition("row").mapInArrow(add_weights, "row int, tokens long, weights binary")).orderBy("row").collect()
         if averaged:
             put_weights(model, seen, np.concatenate([np.frombuffer(r.weights, np.int64) / (r.tokens * POINT) for r in averaged]))
@@ -412,64 +488,51 @@ def symbols(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, l
     return out, rank, rest
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
+def score_documents(coded: DataFrame, counts: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
+    """The kept columns of coded documents with ``n_tokens``, ``n_known``,
+    ``train_tokens``, ``base_score`` and ``score`` (a kept column of such a name
+    is replaced).
 
-    Null text counts as empty: its only token is the end.  Words whose count no
-    task holds are joined with the stored ``counts``, each once for a document.
+    Null and empty texts: their only token is the end.  A text of any length is
+    scored whole, the state carried from window to window.  Each row stands
+    alone, so repeated rows and ties give repeated results (but for rounding),
+    and an empty table an empty one.  A model that learnt from nothing scores
+    every word as new.  Words whose count no task holds are joined with the
+    stored ``counts``, each once for a document.
     """
-    keep = ["doc_id"] if keep is None else keep
-    src = docs.select(*[F.col(quoted(c)) for c in keep], F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    names = [*keep, "__tokens", "__known", "__base", "__score", "__rest"]
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+    src = coded.select("kept", "tokens", "known", "base", "extra", "rest", "symbols")
+    schema = f"kept {coded.schema['kept'].dataType.simpleString()}, tokens long, known long, base double, score double, rest map<string, bigint>"
 
     def run(batches):
-        lex, m = shared.value
-        pool, rows, size = [], [], 0
+        m, pool, size = shared.value, [], 0
 
         def flush():
-            score = m.score([r[0] for r in rows])
-            score = [float(s) + r[4] for s, r in zip(score, rows)]
-            kept = pa.Table.from_batches(pool).combine_chunks()
-            rest = pa.array([list(r[5].items()) for r in rows], pa.map_(pa.string(), pa.int64()))
-            arrays = [*(c.combine_chunks() for c in kept.columns), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows]), pa.array(score), rest]
-            arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays]
-            whole = pa.RecordBatch.from_arrays(arrays, names=names)
-            for a in range(0, whole.num_rows, 2000):
-                yield whole.slice(a, 2000)
+            t = pa.Table.from_batches(pool).combine_chunks()
+            score = m.score([np.frombuffer(x.as_buffer(), "<i2") for x in t.column("symbols")]) + t.column("extra").to_numpy()
+            t = t.drop_columns(["symbols", "extra"]).add_column(4, "score", pa.array(score))
+            yield from t.to_batches(max_chunksize=2000)
 
         for b in batches:
-            for part in pieces(b):
-                pool.append(pa.RecordBatch.from_arrays(part.columns[:-1], names=keep) if keep else part.select([]))
-                for t in part.column(part.num_columns - 1).to_pylist():
-                    s, rank, rest = symbols(lex, words_of(t))
-                    held = rank[rank >= 0]
-                    leaf = s >= lex.vocabulary
-                    extra = -lex.leaf[s[leaf] - lex.vocabulary].sum() + lex.log_count[held[held >= lex.vocabulary]].sum()
-                    base = lex.log_count[held].sum() + lex.log_count[0] - lex.base * len(s)
-                    known = int((lex.count[held] > 0).sum()) + int(lex.count[0] > 0)
-                    more = Counter(rest)
-                    rows.append((s, len(s), known, float(base), float(extra), {w.decode(): n for w, n in more.items()}))
-                    size += len(s)
-                if size > POOL:
-                    yield from flush()
-                    pool, rows, size = [], [], 0
-        if rows:
+            pool.append(b)
+            size += b.column(6).nbytes // 2
+            if size > POOL:
+                yield from flush()
+                pool, size = [], 0
+        if pool:
             yield from flush()
 
-    scored = stored(
-        src.mapInArrow(run, (schema + ", " if schema else "") + "__tokens long, __known long, __base double, __score double, __rest map<string,bigint>").withColumn("__row", F.monotonically_increasing_id())
-    )
-    rest = scored.select("__row", F.explode("__rest").alias("word", "n")).join(counts.hint("merge"), "word")
-    sums = rest.groupBy("__row").agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("__log"))
-    every = scored.drop("__rest").join(sums.hint("merge"), "__row", "left")
-    log = F.coalesce("__log", F.lit(0.0))
+    scored = stored(src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    # added up inside the tasks first; a frequent word's rows are split by the join
+    rest = scored.select("row", F.explode("rest").alias("word", "n")).join(counts.hint("merge"), "word")
+    sums = rest.groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"))
+    every = scored.drop("rest").join(sums.hint("merge"), "row", "left")
+    log, new = F.coalesce("log", F.lit(0.0)), ("n_tokens", "n_known", "train_tokens", "base_score", "score", "__filler")
     return every.select(
-        *[F.col(quoted(c)) for c in keep if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")],
-        F.col("__tokens").alias("n_tokens"),
-        (F.col("__known") + F.coalesce("__n", F.lit(0))).alias("n_known"),
+        *[F.col(f"kept.{quoted(c)}") for c in coded.schema["kept"].dataType.names if c.lower() not in new],
+        F.col("tokens").alias("n_tokens"),
+        (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_known"),
         F.lit(lexicon.total).cast("long").alias("train_tokens"),
-        (F.col("__base") + log).alias("base_score"),
-        (F.col("__score") + log).alias("score"),
+        (F.col("base") + log).alias("base_score"),
+        (F.col("score") + log).alias("score"),
     )

@@ -15,7 +15,7 @@ from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
 from .html_text import extract_text, learn_pages
 from .language_id import learn_profiles, predict_language
-from .language_model import count_words, learn_lexicon, learn_model, score_documents
+from .language_model import code_documents, count_words, learn_lexicon, learn_model, score_documents
 from .quality import learn_quality, score_quality
 from .simhash import simhash_groups
 from .token_count import token_count
@@ -42,10 +42,10 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 likelihood of every document, learnt from the learning share."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket("doc_id", 7) == 2)
-    learning = docs.where(~F.col("held_out"))
-    counts = stored(count_words(learning))
+    counts = stored(count_words(docs.where(~F.col("held_out"))))
     lexicon = learn_lexicon(counts)
-    return score_documents(docs, counts, lexicon, learn_model(learning, lexicon), keep=["doc_id", "held_out"])
+    coded = code_documents(docs, lexicon, keep=["doc_id", "held_out"])
+    return score_documents(coded, counts, lexicon, learn_model(coded.where("not kept.held_out"), lexicon))
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

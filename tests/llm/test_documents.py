@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusq.llm import html_text as H
 from corpusq.llm import language_id as L
@@ -103,7 +104,8 @@ def small_model():
 def test_language_model_sums_to_one():
     lex = small_model()
     m = M.Model(lex)
-    h = np.random.default_rng(0).standard_normal((5, M.UNITS)).astype(np.float32)
+    h = np.random.default_rng(0).standard_normal((5, M.UNITS + 1)).astype(np.float32)
+    h[:, -1] = 1
     symbols = np.arange(lex.vocabulary + 2)
     p = np.array([[10 ** m.log10(h[i : i + 1], np.array([s]))[0] for s in symbols] for i in range(5)])
     assert np.allclose(p.sum(1), 1, atol=1e-4)
@@ -129,11 +131,11 @@ def test_language_model_gradient():
 
 def test_language_model_learns_from_every_document(spark):
     """Each document has a word of its own, whose input weights must move."""
-    d = spark.range(3000).selectExpr("id AS doc_id", "concat('both w', id, ' end') AS text").repartition(3)
+    d = spark.range(900).selectExpr("id AS doc_id", "concat('both w', id, ' end') AS text").repartition(3)
     lex = M.learn_lexicon(M.stored(M.count_words(d)))
-    m = M.learn_model(d, lex)
+    m = M.learn_model(M.code_documents(d, lex), lex)
     moved = np.abs(m.x - M.Model(lex).x).max(1)
-    assert (moved[[lex.rank[f"w{i}".encode()] for i in range(3000)]] > 1e-5).all()
+    assert (moved[[lex.rank[f"w{i}".encode()] for i in range(900)]] > 1e-5).all()
 
 
 def test_language_model_averages_by_tokens():
@@ -154,16 +156,52 @@ def test_language_model_predicts_every_symbol():
 
 
 def test_language_model_odd(spark):
-    d = odd(spark)
+    d = odd(spark).withColumn("row", F.lit(1)).withColumn("__filler", F.lit(2))
+    keep = ["doc_id", "score", "row", "__filler"]
     counts = M.stored(M.count_words(d))
     lex = M.learn_lexicon(counts)
-    got = M.score_documents(d, counts, lex, M.learn_model(d, lex)).collect()
-    assert len(got) == len(ODD) and all(math.isfinite(r.score) for r in got)
+    coded = M.code_documents(d, lex, keep=keep[:3])
+    got = M.score_documents(coded, counts, lex, M.learn_model(coded, lex)).collect()
+    assert len(got) == len(ODD) and all(math.isfinite(r.score) and r.score < 0 and r.row == 1 for r in got)
     none = d.limit(0)
     counts = M.stored(M.count_words(none))
     lex = M.learn_lexicon(counts)
-    assert M.score_documents(none, counts, lex, M.learn_model(none, lex)).count() == 0
-    assert all(math.isfinite(r.score) and r.n_known == 0 for r in M.score_documents(d, counts, lex, M.learn_model(none, lex)).collect())
+    empty = M.code_documents(none, lex)
+    assert M.score_documents(empty, counts, lex, M.learn_model(empty, lex)).count() == 0
+    coded = M.code_documents(d, lex)
+    assert all(math.isfinite(r.score) and r.n_known == 0 for r in M.score_documents(coded, counts, lex, M.learn_model(empty, lex)).collect())
+
+
+def test_language_model_score_by_plain_loop(spark):
+    """The query's score against one token after the other, in plain Python."""
+    d = spark.createDataFrame([(k, " ".join(random.Random(k).choices(["a", "b", "cc", "dd", "rare%d" % k], k=40))) for k in range(60)], "doc_id long, text string")
+    counts = M.stored(M.count_words(d))
+    lex = M.learn_lexicon(counts, head=20)
+    coded = M.code_documents(d, lex)
+    m = M.learn_model(coded, lex)
+    got = {r.doc_id: r.score for r in M.score_documents(coded, counts, lex, m).collect()}
+    n = {r.word: r.c for r in counts.collect()}
+    text = {r.doc_id: r.text for r in d.collect()}
+    k, sigmoid = M.UNITS, lambda v: 1 / (1 + np.exp(-v))
+    for i in range(0, 60, 7):
+        h, last, total = np.zeros(k), 0, 0.0
+        for w in [*text[i].split(), M.END]:
+            s = lex.of_rank[lex.rank[w.encode()]] if w.encode() in lex.rank else lex.symbol(w.encode())
+            g, hu = (m.x[last] + m.b).astype(float), h @ m.u
+            z, r = sigmoid(g[:k] + hu[:k]), sigmoid(g[k : 2 * k] + hu[k : 2 * k])
+            new = np.tanh(g[2 * k :] + r * hu[2 * k :])
+            h = z * h + (1 - z) * new
+            one = np.append(h, 1)
+            p = np.exp(one @ m.w)
+            p /= p.sum()
+            if s < lex.vocabulary:
+                q = np.exp(one @ m.v[s // M.CLASS])
+                total += math.log10(p[s // M.CLASS] * q[s % M.CLASS] / q.sum())
+            else:
+                e = s - lex.vocabulary
+                total += math.log10(p[lex.classes + e]) + math.log10(n.get(w, 0) + 1) - lex.leaf[e]
+            last = s
+        assert abs(total - got[i]) < 1e-3 * abs(total)
 
 
 def test_quality(spark, sf):
