@@ -127,3 +127,26 @@ def lenient_json(t: Column) -> Column:
     inner = F.regexp_extract(whole, r"(?s)\{.*\}", 0)
     ok = lambda c: F.try_parse_json(c).isNotNull()
     return F.when((whole != "") & ok(whole), whole).when((inner != "") & ok(inner), inner)
+
+
+#: Named character references that links and plain markup use.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def decode_references(text: Column) -> Column:
+    """Character references by number, and the named ones of ``NAMED``, decoded
+    once; others stay."""
+
+    def one(p: Column) -> Column:
+        """A part that came after an ampersand."""
+        ten, sixteen = F.regexp_extract(p, r"^#([0-9]{1,7});", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.coalesce(F.when(ten != "", ten.cast("int")), F.when(sixteen != "", F.conv(sixteen, 16, 10).cast("int")))
+        rest = F.regexp_replace(p, r"^[^;]*;", "")
+        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(fits, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), rest))
+        for name, c in NAMED.items():
+            out = out.when(p.startswith(name + ";"), F.concat(F.lit(c), rest))
+        return out.otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)

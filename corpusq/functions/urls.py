@@ -11,11 +11,16 @@ from pyspark.sql import types as T
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
-#: First and last address of the ranges that are not public.
+#: First and last address of the ranges that are not public, of
+#: those inside them that are, and (first bits) of the address ranges of version 6.
 PRIVATE = (
     ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
-    ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.168.0.0", "192.168.255.255"), ("224.0.0.0", "255.255.255.255"),
+    ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"),
+    ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("224.0.0.0", "255.255.255.255"),
 )
+PUBLIC = (("192.0.0.9", "192.0.0.10"),)
+PRIVATE_6 = "::/8 100::/8 200::/7 400::/6 800::/5 1000::/4 2001::/23 2001:db8::/32 2002::/16 3fff::/20 4000::/3 6000::/3 8000::/3 a000::/3 c000::/3 e000::/4 f000::/5 f800::/6 fc00::/7 fe00::/9 fe80::/10 fec0::/10 ff00::/8".split()
+PUBLIC_6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
 
 
 def part(url: Column, k: int) -> Column:
@@ -95,17 +100,48 @@ def address(h: Column) -> Column:
     return n
 
 
+def bits_6(h: Column) -> Column:
+    """The 128 bits of an address of version 6 in brackets, as text, or null."""
+    inner = F.regexp_replace(F.regexp_extract(h, r"^\[([0-9a-fA-F:]+(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?)(?:%[^\]]*)?\]$", 1), r"^:$", "")
+    old = F.regexp_extract(inner, r"([0-9]{1,3}\.[0-9.]+)$", 1)
+    n = address(old)
+    group = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
+    plain = F.when(old == "", inner).otherwise(F.concat(F.regexp_replace(inner, r"[0-9]{1,3}\.[0-9.]+$", ""), group(F.floor(n / 65536)), F.lit(":"), group(n % 65536)))
+    side = lambda k: F.filter(F.split(F.get(F.split(plain, "::"), F.lit(k)), ":"), lambda x: x != "")
+    head, tail = F.coalesce(side(0), F.array().cast("array<string>")), F.coalesce(side(1), F.array().cast("array<string>"))
+    missing = 8 - F.size(head) - F.size(tail)
+    gap = F.when(F.contains(plain, F.lit("::")) & (missing > 0), F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(head, gap, tail)
+    fits = (inner != "") & (F.size(whole) == 8) & F.forall(whole, lambda x: F.length(x) <= 4)
+    return F.when(fits, F.array_join(F.transform(whole, lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")), ""))
+
+
+def in_ranges_6(bits: Column, ranges: list[str]) -> Column:
+    from ipaddress import IPv6Network
+
+    found = F.lit(False)
+    for r in ranges:
+        net = IPv6Network(r)
+        found = found | bits.startswith(f"{int(net.network_address):0128b}"[: net.prefixlen])
+    return found
+
+
 def is_private(h: Column) -> Column:
-    """The host is written as an address that is not public."""
+    """The host is written as an address that is not public (an address of
+    version 4 inside one of version 6 counts as the latter)."""
 
     def number(text: str) -> int:
         a, b, c, d = map(int, text.split("."))
         return ((a * 256 + b) * 256 + c) * 256 + d
 
-    n, found = address(h), h.isin("localhost", "[::1]")
+    n, found, spared = address(h), h == "localhost", F.lit(False)
     for low, high in PRIVATE:
         found = found | n.between(number(low), number(high))
-    return F.coalesce(found, F.lit(False))
+    for low, high in PUBLIC:
+        spared = spared | n.between(number(low), number(high))
+    bits = bits_6(h)
+    six = in_ranges_6(bits, PRIVATE_6) & ~in_ranges_6(bits, PUBLIC_6)
+    return F.coalesce(F.when(bits.isNotNull(), six).otherwise(found & ~F.coalesce(spared, F.lit(False))), F.lit(False))
 
 
 def is_document(url: Column, extensions: list[str]) -> Column:

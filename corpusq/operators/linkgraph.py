@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import urls as U
-from corpusq.functions.text import sniff_mime
+from corpusq.functions.text import decode_references, sniff_mime
 from corpusq.shared import stored
 
-HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"']"
+#: An anchor from its name to the value of its first href attribute: other
+#: attributes, whose values may be quoted and hold a >, come before it.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+HREF = rf"""(?is)<a(?=[\s/])(?:[\s/]++(?!href[\s=])[^\s=>/]++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]++href\s*+=\s*+({_VALUE})"""
+#: What holds no anchors: comments, scripts and styles
+HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template)\b.*?(?:</\1\s*>|$)"
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, href, pos)`` of every anchor of a page, in order."""
-    return pages.select(F.col(url).alias("src"), F.posexplode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), F.lit(1))).alias("pos", "href"))
+    """``(src, href, pos)`` of every anchor of a page, in order: its first href,
+    quoted or not, with character references decoded.  Comments, scripts and
+    styles hold none."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+    each = pages.select(F.col(url).alias("src"), F.posexplode(F.regexp_extract_all(shown, F.lit(HREF), F.lit(1))).alias("pos", "raw"))
+    bare = F.regexp_replace("raw", r"""^(["'])(.*)\1$""".replace("^", "(?s)^"), "$2")
+    return each.select("src", decode_references(bare).alias("href"), "pos")
 
 
 def scoped_links(links: DataFrame, domains: list[str]) -> DataFrame:
@@ -85,16 +95,16 @@ def crawl_report(log: DataFrame, errors: int = 100) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "url"))
     shown = log.where("outcome = 'failed'").select("run_id", "ts", "url").withColumn("n", first).where(F.col("n") <= errors)
     texts = shown.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "url"))), lambda x: x["url"]), "\n").alias("errors"))
-    return counts.join(texts, "run_id", "left").withColumn("errors", F.coalesce("errors", F.lit("")))
+    return counts.join(texts.hint("merge"), "run_id", "left").withColumn("errors", F.coalesce("errors", F.lit("")))
 
 
 def allowed_by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``allowed``: the first rule of the URL's host (by ``rule_ord``) whose
     prefix begins its path decides; without one it is allowed."""
     keyed = urls.withColumn("__h", U.host(F.col("url"))).withColumn("__p", F.when(U.path(F.col("url")) == "", F.lit("/")).otherwise(U.path(F.col("url"))))
-    hit = keyed.join(rules.select(F.col("host").alias("__h"), "prefix", "allow", "rule_ord"), "__h").where(F.col("__p").startswith(F.col("prefix")))
+    hit = keyed.join(rules.select(F.col("host").alias("__h"), "prefix", "allow", "rule_ord").hint("merge"), "__h").where(F.col("__p").startswith(F.col("prefix")))
     first = hit.groupBy("url").agg(F.min_by("allow", "rule_ord").alias("allow"))
-    return urls.join(first, "url", "left").select(*urls.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))
+    return urls.join(first.hint("merge"), "url", "left").select(*urls.columns, F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
 def politeness_gaps(log: DataFrame, per_second: float) -> DataFrame:
@@ -102,3 +112,37 @@ def politeness_gaps(log: DataFrame, per_second: float) -> DataFrame:
     w = Window.partitionBy("host").orderBy("ts", "url")
     gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6
     return log.withColumn("gap_seconds", gap).where(F.col("gap_seconds") < 1 / per_second)
+
+
+def crawl_runs(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add ``seeds``, ``status`` and ``note`` to requests ``(run_id, source_key,
+    seed_urls)``: the seeds given, or else (null) those of the source; a run
+    without any is skipped."""
+    own = sources.select("source_key", F.col("seed_urls").alias("__own"))
+    seeds = F.coalesce("seed_urls", "__own", F.array().cast("array<string>"))
+    none = F.size(seeds) == 0
+    return requests.join(own.hint("merge"), "source_key", "left").select(
+        "run_id", "source_key", seeds.alias("seeds"), F.when(none, "skipped").otherwise("running").alias("status"), F.when(none, F.lit("no seed URLs configured — nothing crawled")).alias("note")
+    )
+
+
+def ingested_items(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """Crawl items ``(run_id, url, outcome, reason, ingest_error)`` with the key of
+    the document that a download became (by ``sha256``).  A download whose
+    ingest failed is failed, with the reason; no other item is touched."""
+    got = F.col("outcome") == "downloaded"
+    broken = got & F.col("ingest_error").isNotNull()
+    first = documents.groupBy("sha256").agg(F.min("doc_pk").alias("__doc"))
+    joined = items.join(first.hint("merge"), "sha256", "left")
+    return joined.select(
+        "run_id",
+        "url",
+        F.when(broken, "failed").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(broken, F.concat(F.lit("ingest error: "), "ingest_error")).otherwise(F.col("reason")).alias("reason"),
+        F.when(got & ~broken, F.col("__doc")).alias("doc_pk"),
+    )
+
+
+def run_items(runs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every run with its items; a run without any stays, with nulls."""
+    return runs.join(items.hint("merge"), "run_id", "left")

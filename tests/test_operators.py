@@ -103,9 +103,41 @@ def test_scope(spark, url, want):
     assert one(spark, U.scope(F.col("c0"), ["a.org"]), url) == want
 
 
-@pytest.mark.parametrize("host,want", [("127.0.0.1", True), ("10.9.8.7", True), ("172.32.0.1", False), ("192.168.0.1", True), ("8.8.8.8", False), ("example.org", False), ("169.254.1.1", True)])
-def test_private(spark, host, want):
-    assert one(spark, U.is_private(F.col("c0")), host) == want
+HOSTS = "127.0.0.1 10.9.8.7 172.32.0.1 192.168.0.1 8.8.8.8 169.254.1.1 198.18.0.1 198.20.0.1 192.0.2.5 198.51.100.7 203.0.113.9 192.0.0.9 100.64.0.1 240.0.0.1 :: ::1 fe80::1 fe80::1%eth0 2001:db8::5 2606:4700::1111 fc00::1 ff02::1 2001:4860:4860::8888 ::ffff:8.8.8.8 64:ff9b::1 2001:20::1 1:2:3:4:5:6:7:8".split()
+
+
+def test_private(spark):
+    """Against the standard library's tables."""
+    from ipaddress import ip_address
+
+    rows = [(f"[{h}]" if ":" in h else h, h) for h in HOSTS]
+    got = {r.h: r.p for r in spark.createDataFrame(rows, "x string, h string").select("h", U.is_private(F.col("x")).alias("p")).collect()}
+    for h in HOSTS:
+        a = ip_address(h)
+        if h != "::ffff:8.8.8.8":
+            assert got[h] == (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified), h
+    odd = [("example.org", False), ("localhost", True), ("[zz::1]", False), ("[1:2]", False), ("999.1.1.1", False)]
+    assert [r[0] for r in spark.createDataFrame(odd, "x string, w boolean").select(U.is_private(F.col("x"))).collect()] == [w for _, w in odd]
+
+
+MARKUP = """<a href=/x>1</a><a data-href="/no" class='y'>2</a><A class="b > c" HREF='/q?a=1&amp;b=2#t'>3</A><!-- <a href="/gone">4</a> --><a
+ title=z href = "two words">5</a><abbr href="/no2"></abbr><script>"<a href='/js'>"</script><a href="">6</a><a href="/&#233;&#x41;&unknown;&amp;amp;">7</a><a title="href=/no3">8</a><a href="/1" href="/2">9</a><a/href=/s>10</a>"""
+
+
+def test_links_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    found = []
+
+    class Anchors(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a" and any(k == "href" for k, _ in attrs):
+                found.append(next(v or "" for k, v in attrs if k == "href"))
+
+    Anchors().feed(MARKUP)
+    df = spark.createDataFrame([("u", MARKUP), ("v", None), ("w", "<a href='open"), ("x", "<a " * 20000)], "url string, html string")
+    got = [r.href for r in C.extract_links(df).orderBy("pos").collect()]
+    assert got == found and len(got) == 7
 
 
 def test_cosine(spark):
@@ -322,3 +354,15 @@ def test_breadth_first_deep_without_a_cap(spark):
     edges = spark.range(9).selectExpr("id AS src", "id + 1 AS dst", "15 AS pos")
     got = C.breadth_first(edges, spark.createDataFrame([(0, 12)], "node long, pos int"), 7).collect()
     assert {(r.node, r.depth) for r in got} == {(i, i) for i in range(8)}
+
+
+def test_crawl_runs_and_items(spark):
+    sources = spark.createDataFrame([("a", ["u1"]), ("b", None)], "source_key string, seed_urls array<string>")
+    asked = spark.createDataFrame([(1, "a", None), (2, "a", ["x"]), (3, "b", None), (4, "a", [])], "run_id int, source_key string, seed_urls array<string>")
+    got = {r.run_id: (r.seeds, r.status) for r in C.crawl_runs(asked, sources).collect()}
+    assert got == {1: (["u1"], "running"), 2: (["x"], "running"), 3: ([], "skipped"), 4: ([], "skipped")}
+    items = spark.createDataFrame([(1, "u", "downloaded", None, None, "h"), (1, "v", "downloaded", None, "bad bytes", "h2"), (1, "w", "page", None, None, None)], "run_id int, url string, outcome string, reason string, ingest_error string, sha256 string")
+    docs = spark.createDataFrame([(7, "h"), (9, "h")], "doc_pk long, sha256 string")
+    got = {r.url: (r.outcome, r.reason, r.doc_pk) for r in C.ingested_items(items, docs).collect()}
+    assert got == {"u": ("downloaded", None, 7), "v": ("failed", "ingest error: bad bytes", None), "w": ("page", None, None)}
+    assert C.run_items(asked.where("run_id <= 2").select("run_id"), items.drop("run_id").withColumn("run_id", F.lit(1))).count() == 4
