@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ SECRET_KEYS = (
     "api_key", "apikey", "authorization", "auth", "token", "access_token", "secret", "password", "groq_api_key",
     "openai_api_key", "anthropic_api_key", "embedding_api_key", "x-api-key", "app_secret_key",
 )
+#: Patterns of secrets, and what takes their place.
 BEARER = r"(?i)bearer\s+[A-Za-z0-9._\-]+"
 KEY_LIKE = r"\b(sk|gsk|xai|or)-[A-Za-z0-9._\-]{8,}\b"
 REDACTED = "[REDACTED]"
@@ -55,6 +57,26 @@ def query_terms(q: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(q, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(values: Column) -> Column:
+    """Array of (value, n): each value of an array in order, with its number."""
+
+    def pairs(ordered: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+
+        def ends(first: Column) -> Column:
+            after = lambda k: F.coalesce(F.get(first, k + 1), F.size(ordered) + 1)
+            return F.transform(first, lambda i, k: F.struct(F.get(ordered, i - 1).alias("value"), (after(k) - i).cast("long").alias("n")))
+
+        return F.when(F.size(ordered) > 0, let(places, ends))
+
+    return let(F.array_sort(values), pairs)
+
+
 def safe_filename(name: Column, default: str = "file") -> Column:
     """Only letters, digits, dot, underscore and dash; at most 200 characters."""
     clean = F.regexp_replace(F.replace(strip(name), F.lit("\x00"), F.lit("")), r"[^A-Za-z0-9._-]+", "_")
@@ -106,7 +128,8 @@ def highlight(t: Column, phrase: str, before: str = "<mark>", after: str = "</ma
 def md5_bucket(token: Column, size: int) -> Column:
     """The md5 of a token as a 128-bit number, modulo ``size``."""
     digest, rest = F.md5(token.cast("binary")), F.lit(0).cast("long")
-    for k in range(4):
+    # where the size divides 2**32, the last eight digits decide
+    for k in range(3 if (1 << 32) % size == 0 else 0, 4):
         part = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
         rest = (rest * ((1 << 32) % size) + part) % size
     return rest.cast("int")
@@ -137,16 +160,20 @@ def decode_references(text: Column) -> Column:
     """Character references by number, and the named ones of ``NAMED``, decoded
     once; others stay."""
 
+    def by_number(p: Column, code: Column) -> Column:
+        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(fits, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.regexp_replace(p, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), p))
+
     def one(p: Column) -> Column:
         """A part that came after an ampersand."""
-        ten, sixteen = F.regexp_extract(p, r"^#([0-9]{1,7});", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.coalesce(F.when(ten != "", ten.cast("int")), F.when(sixteen != "", F.conv(sixteen, 16, 10).cast("int")))
-        rest = F.regexp_replace(p, r"^[^;]*;", "")
-        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        out = F.when(fits, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), rest))
+        ten = let(F.regexp_extract(p, r"^#([0-9]{1,7});", 1).try_cast("int"), lambda c: by_number(p, c))
+        sixteen = let(F.conv(F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1), 16, 10).try_cast("int"), lambda c: by_number(p, c))
+        out = F.when(p.rlike(r"^#[0-9]"), ten).when(p.rlike(r"^#[xX]"), sixteen)
         for name, c in NAMED.items():
-            out = out.when(p.startswith(name + ";"), F.concat(F.lit(c), rest))
+            out = out.when(p.startswith(name + ";"), F.concat(F.lit(c), F.substring(p, len(name) + 2, 1 << 30)))
         return out.otherwise(F.concat(F.lit("&"), p))
 
-    parts = F.split(text, "&")
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
+    def whole(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+    return F.when(F.contains(text, F.lit("&")), let(F.split(text, "&"), whole)).otherwise(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -9,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 #: First and last address of the ranges that are not public, of
@@ -102,28 +106,33 @@ def address(h: Column) -> Column:
 
 def bits_6(h: Column) -> Column:
     """The 128 bits of an address of version 6 in brackets, as text, or null."""
-    inner = F.regexp_replace(F.regexp_extract(h, r"^\[([0-9a-fA-F:]+(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?)(?:%[^\]]*)?\]$", 1), r"^:$", "")
-    old = F.regexp_extract(inner, r"([0-9]{1,3}\.[0-9.]+)$", 1)
-    n = address(old)
-    group = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
-    plain = F.when(old == "", inner).otherwise(F.concat(F.regexp_replace(inner, r"[0-9]{1,3}\.[0-9.]+$", ""), group(F.floor(n / 65536)), F.lit(":"), group(n % 65536)))
-    side = lambda k: F.filter(F.split(F.get(F.split(plain, "::"), F.lit(k)), ":"), lambda x: x != "")
-    head, tail = F.coalesce(side(0), F.array().cast("array<string>")), F.coalesce(side(1), F.array().cast("array<string>"))
-    missing = 8 - F.size(head) - F.size(tail)
-    gap = F.when(F.contains(plain, F.lit("::")) & (missing > 0), F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>"))
-    whole = F.concat(head, gap, tail)
-    fits = (inner != "") & (F.size(whole) == 8) & F.forall(whole, lambda x: F.length(x) <= 4)
-    return F.when(fits, F.array_join(F.transform(whole, lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")), ""))
-
-
-def in_ranges_6(bits: Column, ranges: list[str]) -> Column:
+    none = F.array().cast("array<string>")
+
+    def grouped(inner: Column) -> Column:
+        """An address of version 4 at the end as two groups."""
+        old = F.regexp_extract(inner, r"([0-9]{1,3}\.[0-9.]+)$", 1)
+        group = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
+        two = let(address(old), lambda n: F.concat(F.regexp_replace(inner, r"[0-9]{1,3}\.[0-9.]+$", ""), group(F.floor(n / 65536)), F.lit(":"), group(n % 65536)))
+        return F.when(old == "", inner).otherwise(two)
+
+    def groups(plain: Column) -> Column:
+        """Eight groups, with zeros where :: stands."""
+        side = lambda k: F.coalesce(F.filter(F.split(F.get(F.split(plain, "::"), F.lit(k)), ":"), lambda x: x != ""), none)
+        short = lambda a, b: F.contains(plain, F.lit("::")) & (F.size(a) + F.size(b) < 8)
+        return let(side(0), lambda a: let(side(1), lambda b: F.when(short(a, b), F.concat(a, F.array_repeat(F.lit("0"), 8 - F.size(a) - F.size(b)), b)).otherwise(F.concat(a, b))))
+
+    def bits(whole: Column) -> Column:
+        fits = (F.size(whole) == 8) & F.forall(whole, lambda x: F.length(x) <= 4)
+        return F.when(fits, F.array_join(F.transform(whole, lambda x: F.lpad(F.conv(x, 16, 2), 16, "0")), ""))
+
+    inner = F.regexp_extract(h, r"^\[([0-9a-fA-F:]+(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3})?)(?:%[^\]]*)?\]$", 1)
+    return F.when(h.startswith("["), let(let(inner, grouped), lambda plain: F.when(plain != "", let(groups(plain), bits))))
+
+
+def prefixes_6(ranges: list[str]) -> Column:
     from ipaddress import IPv6Network
 
-    found = F.lit(False)
-    for r in ranges:
-        net = IPv6Network(r)
-        found = found | bits.startswith(f"{int(net.network_address):0128b}"[: net.prefixlen])
-    return found
+    return F.array(*[F.lit(f"{int(net.network_address):0128b}"[: net.prefixlen]) for net in map(IPv6Network, ranges)])
 
 
 def is_private(h: Column) -> Column:
@@ -134,14 +143,15 @@ def is_private(h: Column) -> Column:
         a, b, c, d = map(int, text.split("."))
         return ((a * 256 + b) * 256 + c) * 256 + d
 
-    n, found, spared = address(h), h == "localhost", F.lit(False)
-    for low, high in PRIVATE:
-        found = found | n.between(number(low), number(high))
-    for low, high in PUBLIC:
-        spared = spared | n.between(number(low), number(high))
-    bits = bits_6(h)
-    six = in_ranges_6(bits, PRIVATE_6) & ~in_ranges_6(bits, PUBLIC_6)
-    return F.coalesce(F.when(bits.isNotNull(), six).otherwise(found & ~F.coalesce(spared, F.lit(False))), F.lit(False))
+    def inside(n: Column, ranges) -> Column:
+        return reduce(or_, [n.between(number(low), number(high)) for low, high in ranges])
+
+    def six(bits: Column) -> Column:
+        among = lambda ranges: F.exists(prefixes_6(ranges), lambda p: bits.startswith(p))
+        return among(PRIVATE_6) & ~among(PUBLIC_6)
+
+    four = let(address(h), lambda n: inside(n, PRIVATE) & ~inside(n, PUBLIC))
+    return F.coalesce(F.when(h == "localhost", True).when(h.startswith("["), let(bits_6(h), six)).otherwise(four), F.lit(False))
 
 
 def is_document(url: Column, extensions: list[str]) -> Column:

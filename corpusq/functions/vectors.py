@@ -23,8 +23,3 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     n = norm(a)
     return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
-
-
-def hybrid_score(keyword: Column, semantic: Column, weight: float) -> Column:
-    """(1 - w) * keyword + w * semantic, the latter not below 0."""
-    return (1 - weight) * keyword + weight * F.greatest(semantic, F.lit(0.0))

@@ -71,9 +71,3 @@ def fixity_audit(recorded: DataFrame, found: DataFrame) -> DataFrame:
     both = recorded.select("path", F.col("sha256").alias("wanted")).join(found.select("path", F.col("sha256").alias("seen")), "path", "full_outer")
     state = F.when(F.col("seen").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("wanted") == F.col("seen"), "ok").otherwise("changed")
     return both.select("path", state.alias("state"))
-
-
-def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
-    """Last row of each key (last write wins)."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -12,7 +12,7 @@ from corpusq.functions.text import safe_filename, sniff_mime, strip, title_from_
 def new_sources(configured: DataFrame, existing: DataFrame) -> DataFrame:
     """Existing sources as they are, and configured ones that were missing; the
     prefix is the key in capitals, eight characters at most."""
-    fresh = configured.join(existing.select("source_key"), "source_key", "left_anti")
+    fresh = configured.join(existing.select("source_key").hint("merge"), "source_key", "left_anti")
     return existing.unionByName(fresh.withColumn("doc_prefix", F.substring(F.upper("source_key"), 1, 8)).withColumn("next_seq", F.lit(1)), allowMissingColumns=True)
 
 
@@ -27,7 +27,7 @@ def document_ids(docs: DataFrame, sources: DataFrame, order: str = "doc_pk", buc
     before = Window.partitionBy("source_key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source_key", "__b").agg(F.count("*").alias("__n")).select("source_key", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     own = F.row_number().over(Window.partitionBy("source_key", "__b").orderBy(order))
-    numbered = keyed.withColumn("__own", own).join(offsets.hint("merge"), ["source_key", "__b"]).join(sources.select("source_key", "doc_prefix", "next_seq"), "source_key")
+    numbered = keyed.withColumn("__own", own).join(offsets.hint("merge"), ["source_key", "__b"]).join(sources.select("source_key", "doc_prefix", "next_seq").hint("merge"), "source_key")
     number = F.col("__off") + F.col("__own") + F.col("next_seq") - 1
     return numbered.withColumn("document_id", F.format_string("%s-%05d", "doc_prefix", number)).drop("__b", "__own", "__off")
 

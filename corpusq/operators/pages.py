@@ -34,7 +34,7 @@ def merge_ocr(pages: DataFrame, recognised: DataFrame, forced: bool = False) ->
     their own (or always, if forced); ``recognised`` has doc_pk, page_number,
     ocr_text and confidence."""
     size = lambda c: F.length(strip(F.coalesce(c, F.lit(""))))
-    joined = pages.join(recognised, ["doc_pk", "page_number"], "left")
+    joined = pages.join(recognised.hint("merge"), ["doc_pk", "page_number"], "left")
     take = F.col("ocr_text").isNotNull() & needs_ocr(F.col("text"), forced)
     if not forced:
         take = take & (size(F.col("ocr_text")) > size(F.col("text")))

@@ -13,14 +13,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusq.functions.dates import within
-from corpusq.functions.text import occurrences, query_terms
+from corpusq.functions.text import counted, occurrences, query_terms
+from corpusq.functions.vectors import dot, unit
 from corpusq.shared import stored
 
+from .embed import DIMENSIONS, has_embedding
+
 MOST_QUESTIONS = 4096
+#: Distinct asked terms that are sent to the tasks, at most; more are joined
+MOST_TERMS = 200_000
 #: Words too common to search for.
 STOP_WORDS = tuple("a an and are as at be but by for from if in into is it no not of on or such that the their then there these they this to was will with".split())
 WORD = r"[\p{L}\p{N}]+"
@@ -38,6 +46,7 @@ class Filters:
     date_to: str | None = None
     document_id: int | None = None
     source_key: str | None = None
+    collection_key: str | None = None
     topic_key: str | None = None
     entity_name: str | None = None
 
@@ -53,7 +62,7 @@ def eligible(docs: DataFrame, f: Filters, topics: DataFrame | None = None, entit
     ok = F.lit(True) if f.include_demo else ~F.col("is_demo")
     if f.author:
         ok = ok & contains_text(F.col("author"), f.author)
-    for name in ("document_type", "language", "source_key"):
+    for name in ("document_type", "language", "source_key", "collection_key"):
         if getattr(f, name):
             ok = ok & (F.col(name) == getattr(f, name))
     if f.date_from or f.date_to:
@@ -62,9 +71,9 @@ def eligible(docs: DataFrame, f: Filters, topics: DataFrame | None = None, entit
         ok = ok & (F.col("doc_pk") == f.document_id)
     found = docs.where(ok).select("doc_pk")
     if f.topic_key:
-        found = found.join(topics.where(F.col("topic_key") == f.topic_key).select("doc_pk"), "doc_pk", "left_semi")
+        found = found.join(topics.where(F.col("topic_key") == f.topic_key).select("doc_pk").hint("merge"), "doc_pk", "left_semi")
     if f.entity_name:
-        found = found.join(entities.where(contains_text(F.col("name"), f.entity_name)).select("doc_pk"), "doc_pk", "left_semi")
+        found = found.join(entities.where(contains_text(F.col("name"), f.entity_name)).select("doc_pk").hint("merge"), "doc_pk", "left_semi")
     return found
 
 
@@ -103,12 +112,20 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10) -> Data
     return top.withColumn("keyword_score", F.col("hits") / most)
 
 
+def index_words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
+
+
 def inverted_index(chunks: DataFrame) -> DataFrame:
     """``(term, chunk_id, tf, dl)``: how often each word stands in each chunk,
-    and the chunk's words."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
-    each = chunks.select("chunk_id", words.alias("words")).select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    and the chunk's words.  Counted inside the row, nothing is shuffled."""
+    each = chunks.select("chunk_id", index_words(F.col("text")).alias("words"))
+    return each.select("chunk_id", F.size("words").alias("dl"), F.explode(counted(F.col("words"))).alias("w")).select(F.col("w.value").alias("term"), "chunk_id", F.col("w.n").alias("tf"), "dl")
+
+
+def small_or_merged(df: DataFrame, most: int) -> DataFrame:
+    """A stored table with the join hint that its number of rows calls for."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def parse_web_query(text: str) -> dict[str, list]:
@@ -165,90 +182,168 @@ def fulltext_search(questions: DataFrame | list[tuple[int, str]], chunks: DataFr
     """Web-style questions, one for each ``question_id``, over the inverted
     index, ranked by BM25, over the question's best.  Words are not stemmed.
     Any number of questions: their terms are joined."""
-    spark, index = chunks.sparkSession, inverted_index(chunks)
+    spark = chunks.sparkSession
     if isinstance(questions, list):
         questions = spark.createDataFrame(questions, "question_id long, question string")
     parsed = stored(parsed_questions(questions))
     asked = parsed.where("kind <> 'phrase'").select("question_id", "part", "term", (F.col("kind") == "out").alias("minus"))
     wanted = asked.groupBy("question_id").agg((F.max("part") + 1).alias("parts"))
-    size = chunks.agg(F.count("*").alias("total"))
-    length = index.select("chunk_id", "dl").distinct().agg(F.avg("dl").alias("mean"))
-    found = index.join(asked, "term")
-    df = index.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
+    terms = stored(asked.select("term").distinct())
+    # the postings of what is asked for, written once: they count the documents of a term as well
+    postings = stored(inverted_index(chunks).join(small_or_merged(terms, MOST_TERMS), "term"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    length = F.size(index_words(F.col("text")))
+    size = chunks.agg(F.count("*").alias("total"), F.avg(F.when(length > 0, length)).alias("mean"))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    # one row each: corpus size, mean length
-    joined = found.join(df, "term").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(length))
+    # one row: corpus size and mean length
+    weights = stored(df.crossJoin(F.broadcast(size)).select("term", "df", "total", "mean"))
+    joined = postings.join(weights.hint("merge"), "term").join(asked.hint("merge"), "term")
     scored = joined.groupBy("question_id", "chunk_id").agg(
         F.sum(F.when(~F.col("minus"), weight)).alias("score"), F.count_distinct(F.when(~F.col("minus"), F.col("part"))).alias("have"), F.bool_or("minus").alias("bad")
     )
-    kept = scored.join(wanted, "question_id").where("have = parts and not bad and parts > 0")
+    kept = scored.join(wanted.hint("merge"), "question_id").where("have = parts and not bad and parts > 0")
     needed = parsed.where("kind = 'phrase'").select("question_id", F.col("term").alias("phrase"))
     if not needed.isEmpty():
+        # phrases are looked for in the chunks that hold all their words
         text = chunks.select("chunk_id", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), " "), F.lit(" ")).alias("words"))
-        pairs = kept.select("question_id", "chunk_id").join(needed, "question_id").join(text, "chunk_id")
-        miss = pairs.where(~F.contains("words", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("question_id", "chunk_id")
-        kept = kept.join(miss, ["question_id", "chunk_id"], "left_anti")
+        phrases = needed.groupBy("question_id").agg(F.collect_set("phrase").alias("phrases"))
+        kept = kept.join(phrases.hint("merge"), "question_id", "left").join(text.hint("merge"), "chunk_id")
+        kept = kept.where(F.coalesce(F.forall("phrases", lambda p: F.contains(F.col("words"), F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(True)))
     top = best(kept.select("question_id", "chunk_id", F.round("score", 9).alias("score")), k, F.desc("score"), F.col("chunk_id"))
     return top.withColumn("fulltext_score", F.col("score") / F.max("score").over(Window.partitionBy("question_id")))
 
 
-def sparse_topk(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Best chunks by inner product of sparse unit vectors ``(key, idx, weight)``:
-    an equi-join on the dimension."""
+class Top:
+    """The k best rows of each question, of one task; ties: smaller key first."""
+
+    def __init__(self, questions: list, k: int):
+        self.questions, self.k = questions, k
+        self.held: list[list[tuple[float, object]]] = [[] for _ in questions]
+        self.least = np.full(len(questions), -np.inf)
+
+    def add(self, score: np.ndarray, keys: list) -> None:
+        """``score``: a row for each question, a column for each key."""
+        score = np.round(score, 9)
+        may = score >= self.least[:, None]
+        for q in np.flatnonzero(may.any(1)).tolist():
+            at, row, k = np.flatnonzero(may[q]), score[q], self.k
+            if len(at) > k:
+                at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+            best_ = self.held[q] + [(-row[i], keys[i]) for i in at.tolist()]
+            self.held[q] = sorted(best_)[:k]
+            if len(self.held[q]) == k:
+                self.least[q] = -self.held[q][-1][0]
+
+    def rows(self) -> Iterator[tuple]:
+        for q, held in zip(self.questions, self.held):
+            for score, key in held:
+                yield q, key, -score
+
+
+def matrix_topk(questions: DataFrame, rows: DataFrame, k: int, pack: Callable[[pa.Array], dict[int, tuple[np.ndarray, np.ndarray]]], score: str, rank: str, block: int = MOST_QUESTIONS) -> DataFrame:
+    """The k rows ``(key, vector)`` with the largest inner product with each
+    question ``(question_id, vector)``, exactly.
+
+    Questions are read in blocks, each sent to the tasks as a file of the
+    session's broadcasts; a task compares a block with its rows as matrices.
+    ``pack`` makes matrices of a column of vectors, by their length: where each
+    row stood, and its unit vector.
+    """
+    spark, (qid, key) = rows.sparkSession, (questions.columns[0], rows.columns[0])
+    blocks, found = max(1, math.ceil(questions.count() / block)), None
+    kinds = [questions.schema[qid].dataType.simpleString(), rows.schema[key].dataType.simpleString()]
+    for n in range(blocks):
+        part = questions.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == n).toArrow().combine_chunks()
+        held = spark.sparkContext.broadcast((part.column(0).to_pylist(), part.column(1).combine_chunks() if part.num_rows else None))
 
-    def search(asked):
-        scored = chunks.join(asked, "idx").groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("semantic_score"))
-        return best(scored.withColumn("semantic_score", F.round("semantic_score", 9)), k, F.desc("semantic_score"), F.col("chunk_id"), rank="semantic_rank")
+        def run(batches, held=held):
+            ids, vectors = held.value
+            asked = pack(vectors) if ids else {}
+            tops = {d: Top([ids[i] for i in at.tolist()], k) for d, (at, _) in asked.items()}
+            for b in batches:
+                keys = b.column(0).to_pylist()
+                for d, (at, m) in pack(b.column(1)).items():
+                    if d in tops:
+                        tops[d].add(asked[d][1] @ m.T, [keys[i] for i in at.tolist()])
+            out = [r for t in tops.values() for r in t.rows()]
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind_q), pa.array(columns[1], kind_k), pa.array(columns[2], pa.float64())], names=[qid, key, score])
+
+        kind_q, kind_k = (to_arrow_type(df.schema[c].dataType) for df, c in ((questions, qid), (rows, key)))
+        here = rows.mapInArrow(run, f"{qid} {kinds[0]}, {key} {kinds[1]}, {score} double")
+        found = here if found is None else found.unionByName(here)
+    return best(found, k, F.desc(score), F.col(key), rank=rank)
+
+
+def pack_dense(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors by length; a zero vector stays zero, null and empty ones are left out."""
+    flat, size = np.asarray(column.flatten(), float), np.array([len(x) if x.is_valid else 0 for x in column])
+    stop, out = np.cumsum(size), {}
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        x = flat[(stop[at] - d)[:, None] + np.arange(d)]
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        out[d] = at, x / np.where(n == 0, 1, n)
+    return out
 
-    return in_blocks(questions.select("question_id", "idx", F.col("weight").alias("qw")), search)
+
+def pack_sparse(dims: int) -> Callable[[pa.Array], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    def pack(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        size, flat = np.diff(column.offsets.to_numpy()), column.flatten()
+        x = np.zeros((len(column), dims))
+        x[np.repeat(np.arange(len(column)), size), flat.field("idx").to_numpy()] = flat.field("weight").to_numpy()
+        return {dims: (np.arange(len(column)), x)}
+
+    return pack
+
+
+def sparse_topk(questions: DataFrame, chunks: DataFrame, k: int, dims: int = DIMENSIONS) -> DataFrame:
+    """Best chunks by inner product of sparse unit vectors: of ``(question_id,
+    vector)`` with ``(chunk_id, vector)``.  Only chunks that share a dimension
+    with the question count."""
+    found = matrix_topk(questions.select("question_id", "vector"), chunks.select("chunk_id", "vector"), k, pack_sparse(dims), "semantic_score", "semantic_rank")
+    return found.where("semantic_score > 0")
 
 
 def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = MOST_QUESTIONS) -> DataFrame:
     """``(question_id, key, score)``: the k rows most similar by cosine to every
-    question vector, exactly.
+    question vector, exactly.  Vectors of another length than the question's are
+    passed over; a zero vector scores 0."""
+    part = lambda df, name, c: df.select(name, F.col(c).cast("array<double>").alias("vector")).where(has_embedding(F.col("vector")))
+    return matrix_topk(part(questions, "question_id", "embedding"), part(vectors, key, column), k, pack_dense, "score", "rank", block)
 
-    Questions are sent to the tasks in blocks; a task compares a block with its
-    own rows as matrices and keeps k of them for each question.  Vectors of
-    another length than the question's are passed over; a zero vector scores 0.
-    """
-    spark, total = vectors.sparkSession, questions.count()
-    blocks, out = max(1, math.ceil(total / block)), None
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("size(v) > 0")
-    for n in range(blocks):
-        part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == n).select("question_id", F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0").collect()
-        held = spark.sparkContext.broadcast([(r.question_id, r.v) for r in part])
 
-        def run(batches, held=held):
-            by: dict[int, list] = {}
-            for q, v in held.value:
-                by.setdefault(len(v), []).append((q, v))
-            asked = {d: (np.array([q for q, _ in x]), _unit(np.array([v for _, v in x]))) for d, x in by.items()}
-            best_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, seed: int = 5) -> DataFrame:
+    """``(question_id, key, score, rank)``: about what ``vector_topk`` finds, from
+    the ``probes`` cells nearest to the question.
+
+    Cells are those of ``cells`` centres, by k-means over at most ``sample`` rows
+    (those whose key hashes lowest); every row is then indexed in its nearest
+    cell.  Questions join their cells, and what shares one is compared exactly.
+    Fewer cells or more probes find more; with as many probes as cells the
+    result is exact.
+    """
+    ready = lambda df, name, c: df.select(F.col(name), unit(F.col(c)).alias("vector")).where(has_embedding(F.col("vector")))
+    rows, asked = ready(vectors, key, column), ready(questions, "question_id", "embedding")
+    chosen = rows.orderBy(F.xxhash64(key), key).limit(sample).select(array_to_vector("vector").alias("features"))
+    fitted = KMeans(k=cells, seed=seed, maxIter=8).fit(chosen)
+    centre = np.array(fitted.clusterCenters())
+
+    def nearest(n: int):
+        def run(batches):
             for b in batches:
-                ids, vs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-                sizes = np.array([len(v) for v in vs])
-                for d, (q, m) in asked.items():
-                    at = np.flatnonzero(sizes == d)
-                    if not len(at):
-                        continue
-                    score, own = m @ _unit(np.array([vs[i] for i in at], float)).T, np.broadcast_to(ids[at], (len(q), len(at)))
-                    if d in best_of:
-                        score, own = np.concatenate([best_of[d][0], score], 1), np.concatenate([best_of[d][1], own], 1)
-                    order = np.lexsort((own, -np.round(score, 9)))[:, :k] if score.ndim == 2 else None
-                    best_of[d] = np.take_along_axis(score, order, 1), np.take_along_axis(own, order, 1)
-            for d, (score, own) in best_of.items():
-                q = np.repeat(asked[d][0], score.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(own.ravel(), pa.int64()), pa.array(score.ravel())], names=["question_id", key, "score"])
-
-        found = rows.mapInArrow(run, f"question_id long, {key} long, score double")
-        out = found if out is None else out.unionByName(found)
-    return best(out.withColumn("score", F.round("score", 9)), k, F.desc("score"), F.col(key))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n == 0, 1, n)
+                x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+                far = ((centre**2).sum(1) - 2 * x @ centre.T) if b.num_rows else np.zeros((0, len(centre)))
+                near = np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+
+        return run
+
+    put = lambda df, n: stored(df.mapInArrow(nearest(n), f"{df.columns[0]} {df.schema[0].dataType.simpleString()}, vector array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
+    both = put(rows, 1).join(put(asked, min(probes, len(centre))).withColumnRenamed("vector", "asked").hint("merge"), "cell")
+    scored = both.select("question_id", key, F.round(dot(F.col("vector"), F.col("asked")), 9).alias("score"))
+    return best(scored, k, F.desc("score"), F.col(key))
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, question_weights: DataFrame | None, chunk_weights: DataFrame | None, k: int = 10, weight: float = 0.5, mode: str = "hybrid", allowed: DataFrame | None = None, strict_filters: bool = True) -> DataFrame:
@@ -259,17 +354,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, question_weights: Dat
     """
     effective = "keyword" if question_weights is None or chunk_weights is None else mode
     pool = max(3 * k, 30)
-    mine = chunks if allowed is None else chunks.join(allowed, "doc_pk", "left_semi")
+    mine = chunks if allowed is None else chunks.join(allowed.hint("merge"), "doc_pk", "left_semi")
     keyword = keyword_search(questions, mine, pool).select("question_id", "chunk_id", "keyword_score", F.col("rank").alias("keyword_rank"))
     if effective == "keyword":
         merged = keyword.withColumn("semantic_score", F.lit(0.0)).withColumn("semantic_rank", F.lit(None).cast("int"))
     else:
-        near = chunk_weights if allowed is None or not strict_filters else chunk_weights.join(mine.select("chunk_id"), "chunk_id", "left_semi")
+        near = chunk_weights if allowed is None or not strict_filters else chunk_weights.join(mine.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
         vector = sparse_topk(question_weights, near, pool)
         if mode == "semantic":
             merged = vector.withColumn("keyword_score", F.lit(0.0)).withColumn("keyword_rank", F.lit(None).cast("int"))
         else:
-            merged = keyword.join(vector, ["question_id", "chunk_id"], "full_outer")
+            merged = keyword.join(vector.hint("merge"), ["question_id", "chunk_id"], "full_outer")
     kw, sem = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0))
     combined = {"keyword": kw, "semantic": sem}.get(effective, (1 - weight) * kw + weight * F.greatest(sem, F.lit(0.0)))
     scored = merged.select("question_id", "chunk_id", kw.alias("keyword_score"), sem.alias("semantic_score"), F.round(combined, 9).alias("combined_score"), "keyword_rank", "semantic_rank")

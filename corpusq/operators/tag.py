@@ -47,5 +47,5 @@ def tag_entities(pages: DataFrame, names: Names, key: str = "doc_pk", text: str
 
 def dimension(tags: DataFrame, existing: DataFrame, *key: str) -> DataFrame:
     """Existing rows and those that tags bring in, each key once."""
-    fresh = tags.select(*key).distinct().join(existing.select(*key), list(key), "left_anti")
+    fresh = tags.select(*key).distinct().join(existing.select(*key).hint("merge"), list(key), "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)

@@ -88,7 +88,7 @@ def dashboard_stats(spark, sf):
     docs = fx.documents(spark, sf)
     pages = A.child_counts(fx.pages(spark, sf), docs).withColumnRenamed("n", "pages")
     sources = docs.agg(F.count_distinct("source_key").alias("sources"))
-    return A.document_counts(docs).crossJoin(pages).crossJoin(sources)  # three frames of one row
+    return A.document_counts(docs).crossJoin(F.broadcast(pages)).crossJoin(F.broadcast(sources))  # three frames of one row
 
 
 @query("SELECT substr(doc_date, 1, 4) AS label, count(*) AS n FROM fx_documents WHERE NOT is_demo AND doc_date IS NOT NULL GROUP BY 1")
@@ -166,11 +166,136 @@ def document_page(spark, sf):
     return A.page_of(d.select("doc_pk", "title"), "doc_pk", 50, 20)
 
 
-@query("SELECT n_nationkey AS entity_id, n_name AS name, n_nationkey * 1.5 AS latitude, n_nationkey * 2.5 AS longitude FROM nation WHERE n_nationkey < 2")
+@query("SELECT n_nationkey AS entity_id, n_name AS name, n_nationkey < 4 AS placed, CASE WHEN n_nationkey < 4 THEN n_nationkey * 1.5 END AS latitude, CASE WHEN n_nationkey < 2 THEN n_nationkey * 2.5 END AS longitude FROM nation")
 def map_entities(spark, sf):
     k = F.col("n_nationkey")
-    d = table(spark, sf, "nation").select(k.alias("entity_id"), F.col("n_name").alias("name"), F.when(k < 2, k * 1.5).alias("latitude"), F.when(k < 5, F.when(k < 2, k * 2.5)).alias("longitude"))
-    return E.coordinates(d).select("entity_id", "name", "coordinates.latitude", "coordinates.longitude")
+    d = table(spark, sf, "nation").select(k.alias("entity_id"), F.col("n_name").alias("name"), F.when(k < 4, k * 1.5).alias("latitude"), F.when(k < 2, k * 2.5).alias("longitude"))
+    return E.coordinates(d).select("entity_id", "name", F.col("coordinates").isNotNull().alias("placed"), "coordinates.latitude", "coordinates.longitude")
+
+
+@query("""WITH m AS (SELECT doc_pk, title FROM fx_documents WHERE NOT is_demo AND (contains(lower(title), 'doc 1') OR contains(lower(coalesce(author, '')), 'author 2') OR contains(lower(coalesce(description, '')), 'in fr')) AND doc_pk IN (SELECT doc_pk FROM fx_topic_tags WHERE topic_key = 'english'))
+SELECT doc_pk, title, (SELECT count(*) FROM m) AS total FROM m ORDER BY doc_pk DESC LIMIT 50 OFFSET 20""")
+def document_listing(spark, sf):
+    """A page of documents beside the number of all that pass."""
+    mine = fx.documents(spark, sf).where(~F.col("is_demo")).where(A.search_fields("Doc 1", "title") | A.search_fields("author 2", "author") | A.search_fields("in fr", "description"))
+    topic = fx.topic_tags(spark, sf).where("topic_key = 'english'").select("doc_pk")
+    return A.listing(mine.join(topic.hint("merge"), "doc_pk", "left_semi").select("doc_pk", "title"), "doc_pk", 50, 20)
+
+
+@query("SELECT doc_pk, title FROM fx_documents WHERE doc_pk < 150 ORDER BY doc_pk DESC LIMIT 30")
+def document_next_page(spark, sf):
+    """The page after a row, without an offset."""
+    return A.page_after(fx.documents(spark, sf).select("doc_pk", "title"), "doc_pk", 30, last=150)
+
+
+@query("SELECT c.collection_key, count(d.doc_pk) AS n FROM (SELECT DISTINCT collection_key FROM fx_documents WHERE collection_key IS NOT NULL UNION SELECT 'empty') c LEFT JOIN fx_documents d USING (collection_key) GROUP BY 1")
+def collections_with_counts(spark, sf):
+    docs = fx.documents(spark, sf).select("doc_pk", "collection_key")
+    keys = docs.where("collection_key is not null").select("collection_key").union(spark.createDataFrame([("empty",)], "collection_key string")).distinct()
+    return A.counts_with_zero(keys, docs, "collection_key", "doc_pk")
+
+
+@query("""SELECT (SELECT count(DISTINCT collection_key) FROM fx_documents) AS collections, (SELECT count(DISTINCT source_key) FROM fx_documents) AS sources, (SELECT count(DISTINCT topic_key) FROM fx_topic_tags) AS topics,
+(SELECT count(*) FROM (SELECT DISTINCT entity_type, name FROM fx_entity_tags)) AS entities, (SELECT count(DISTINCT run_id) FROM fx_fetches) AS crawl_runs""")
+def table_counts(spark, sf):
+    docs = fx.documents(spark, sf)
+    one = lambda df, *c: df.select(*c).where(F.col(c[0]).isNotNull()).distinct()
+    return A.table_counts(
+        collections=one(docs, "collection_key"), sources=one(docs, "source_key"), topics=one(fx.topic_tags(spark, sf), "topic_key"),
+        entities=one(fx.entity_tags(spark, sf), "entity_type", "name"), crawl_runs=one(fx.fetches(spark, sf), "run_id"),
+    )
+
+
+@query("SELECT entity_type, name, count(*) AS n FROM fx_entity_tags WHERE entity_type = 'WORD' AND contains(lower(name), 'e') GROUP BY 1, 2")
+def entity_list(spark, sf):
+    return A.list_entities(fx.entity_tags(spark, sf), "WORD", "E")
+
+
+@query("SELECT count(*) AS chunks, CAST(count(*) FILTER (WHERE doc_pk % 3 = 1) AS BIGINT) AS embedded_chunks FROM fx_chunks JOIN fx_documents USING (doc_pk) WHERE NOT is_demo")
+def embedded_chunks(spark, sf):
+    k = F.col("doc_pk")
+    vector = F.when(k % 3 == 1, F.array(F.lit(1.0))).when(k % 3 == 2, F.array().cast("array<double>"))
+    return A.embedded_counts(fx.chunks(spark, sf).select("doc_pk", vector.alias("embedding")), fx.documents(spark, sf))
+
+
+@query("SELECT doc_pk, coalesce(r.event_type, 'unreviewed') AS review_status FROM fx_documents LEFT JOIN (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) r ON r.user_id = doc_pk AND n = 1")
+def review_overlay(spark, sf):
+    docs = fx.documents(spark, sf).select("doc_pk", F.lit(REVIEW[0]).alias("review_status"))
+    reviews = table(spark, sf, "events").select(F.col("user_id").alias("doc_pk"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq"))
+    return A.with_latest_review(docs, reviews)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 < 2 THEN page_id * 2 END AS pages, CASE WHEN page_id % 4 = 1 THEN 'late' END AS note FROM pages")
+def run_statistics(spark, sf):
+    k = F.col("page_id")
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"pages": '), k * 2, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit('{"pages": '), k * 2, F.lit(', "note": "late"}'))).when(k % 4 == 2, F.lit("not json"))
+    found = A.run_stats(table(spark, sf, "pages").select("page_id", text.alias("stats")), "pages long, note string")
+    return found.select("page_id", "stats.pages", "stats.note")
+
+
+@query("SELECT 'documents' AS part, count(*) AS n FROM fx_documents WHERE NOT is_demo UNION ALL SELECT 'chunks', count(*) FROM fx_chunks WHERE doc_pk % 10 <> 0 UNION ALL SELECT 'pages', count(*) FROM fx_pages WHERE doc_pk % 10 <> 0")
+def without_demo(spark, sf):
+    docs, rest = E.without_demo(fx.documents(spark, sf), chunks=fx.chunks(spark, sf), pages=fx.pages(spark, sf))
+    n = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+    return n("documents", docs).union(n("chunks", rest["chunks"])).union(n("pages", rest["pages"]))
+
+
+@query("SELECT doc_pk, doc_pk % 7 <> 0 AND doc_pk % 5 > 1 AS servable FROM fx_documents")
+def servable(spark, sf):
+    k = F.col("doc_pk")
+    path = F.when(k % 5 == 0, F.lit("")).when(k % 5 > 1, F.concat(F.lit("/files/"), k))
+    return fx.documents(spark, sf).select("doc_pk", E.is_servable(F.when(k % 7 == 0, True).when(k % 2 == 0, False), path).alias("servable"))
+
+
+@query("SELECT doc_pk, subtitle IS NULL AS no_subtitle, description, file_size, topics FROM (SELECT doc_pk, NULL AS subtitle, description, file_size FROM fx_documents) d LEFT JOIN (SELECT doc_pk AS k, count(*) AS topics FROM fx_topic_tags GROUP BY 1) t ON t.k = d.doc_pk")
+def detail_fields(spark, sf):
+    """The fields beyond the summary; what the archive lacks is null."""
+    d = E.document_detail(fx.documents(spark, sf).drop("text"), fx.topic_tags(spark, sf), fx.entity_tags(spark, sf))
+    return d.select("doc_pk", F.col("subtitle").isNull().alias("no_subtitle"), "description", "file_size", F.size("topics").cast("long").alias("topics"))
+
+
+@query("SELECT page_id AS run_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END ELSE 0 END AS seeds, CASE WHEN page_id % 3 = 0 OR (page_id % 3 = 1 AND page_id % 5 = 0) THEN 'running' ELSE 'skipped' END AS status FROM pages")
+def crawl_runs(spark, sf):
+    """Seeds given, or those of the source, or none."""
+    p, k = table(spark, sf, "pages"), F.col("page_id")
+    none = F.array().cast("array<string>")
+    asked = p.select(k.alias("run_id"), F.concat(F.lit("s"), k % 5).alias("source_key"), F.when(k % 3 == 0, F.array("url")).when(k % 3 == 2, none).alias("seed_urls"))
+    sources = p.where("page_id < 5").select(F.concat(F.lit("s"), k % 5).alias("source_key"), F.when(k == 0, F.array(F.lit("a"), F.lit("b"))).alias("seed_urls"))
+    return C.crawl_runs(asked, sources).select("run_id", F.size("seeds").alias("seeds"), "status")
+
+
+@query("""WITH i AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'page' ELSE 'skipped' END AS outcome FROM pages), d AS (SELECT sha256(text) AS h, min(doc_id) AS doc FROM documents GROUP BY 1), x AS (SELECT i.*, d.doc FROM i LEFT JOIN documents t ON t.doc_id = page_id LEFT JOIN d ON d.h = sha256(t.text))
+SELECT r.run_id, url, CASE WHEN outcome = 'downloaded' AND page_id % 12 = 0 THEN 'failed' ELSE outcome END AS outcome, CASE WHEN outcome = 'downloaded' AND page_id % 12 = 0 THEN 'ingest error: bad bytes' END AS reason, CASE WHEN outcome = 'downloaded' AND page_id % 12 <> 0 THEN doc END AS doc_pk
+FROM (SELECT unnest(range(0, 7)) AS run_id) r LEFT JOIN x ON x.page_id % 5 = r.run_id""")
+def crawl_items(spark, sf):
+    """Runs with their items, joined to the documents that downloads became."""
+    k = F.col("page_id")
+    hashes = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.sha2("text", 256).alias("sha256"))
+    items = table(spark, sf, "pages").join(hashes.hint("merge"), "page_id", "left").select(
+        (k % 5).alias("run_id"), "url", F.when(k % 3 == 0, "downloaded").when(k % 3 == 1, "page").otherwise("skipped").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.when(k % 12 == 0, "bad bytes").alias("ingest_error"), "sha256"
+    )
+    return C.run_items(spark.range(7).withColumnRenamed("id", "run_id"), C.ingested_items(items, fx.documents(spark, sf)))
+
+
+@query("""SELECT url AS src, href, CAST(pos AS INTEGER) AS pos FROM (SELECT url, unnest(['/u' || page_id, '/q?a=' || page_id || '&b=2', '/two words', '']) AS href, unnest([0, 1, 2, 3]) AS pos FROM pages)""")
+def extract_links_markup(spark, sf):
+    """Anchors written in other ways: bare and odd values, references, comments, look-alikes."""
+    k = F.col("page_id").cast("string")
+    text = F.concat(
+        F.lit('<p data-href="/no"><a title="a > b" href=/u'), k, F.lit('>x</a><!-- <a href="/gone">y</a> --><A\n HREF=\'/q?a='), k, F.lit("&amp;b=2'>z</A><abbr href='/no2'>"),
+        F.lit('<a data-href="/no3" class=b>w</a><a id=c href = "/two&#32;words">v</a><script>"<a href=/js>"</script><a href="">u</a>'),
+    )
+    return C.extract_links(table(spark, sf, "pages").select("url", text.alias("html")))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 8 < 5 THEN 'address not public' END AS why FROM pages""")
+def address_scope(spark, sf):
+    """Hosts written as addresses, of both versions, public or not."""
+    k = F.col("page_id")
+    tail = (k % 200).cast("string")
+    host = F.when(k % 8 == 0, F.concat(F.lit("198.18.0."), tail)).when(k % 8 == 1, F.concat(F.lit("203.0.113."), tail)).when(k % 8 == 2, F.concat(F.lit("[fe80::"), tail, F.lit("]")))
+    host = host.when(k % 8 == 3, F.concat(F.lit("[2001:db8::"), tail, F.lit("]"))).when(k % 8 == 4, F.concat(F.lit("192.0.2."), tail)).when(k % 8 == 5, F.concat(F.lit("100.64.0."), tail)).when(k % 8 == 6, F.concat(F.lit("[2606:4700::"), tail, F.lit("]"))).otherwise(F.concat(F.lit("8.8.4."), tail))
+    return table(spark, sf, "pages").select("page_id", U.scope(F.concat(F.lit("https://"), host, F.lit(":8080/x")), []).alias("why"))
 
 
 @query(r"""WITH p AS (SELECT page_id, url, lower(split_part(url, '://', 1)) AS s, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 1) AS a, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 2) AS path, regexp_extract(url, '^[^:]+://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS q FROM pages)
@@ -244,6 +369,15 @@ def crawl_report(spark, sf):
     return C.crawl_report(_classified(spark, sf), errors=5)
 
 
+@query(f"""WITH r AS ({STATEMENTS["crawl_report"].replace("n <= 5 ", "n <= 100 ")})
+SELECT run_id, md5('# Crawl ' || run_id || chr(10) || '- urls_seen: ' || urls_seen || chr(10) || '- urls_blocked: ' || urls_blocked || chr(10) || '- urls_failed: ' || urls_failed || chr(10) || '- urls_downloaded: ' || urls_downloaded || chr(10) || '- urls_skipped: ' || urls_skipped || chr(10)
+|| '- pages_read: ' || pages_read || chr(10) || '- duration_seconds: ' || duration_seconds || chr(10) || '## Errors' || CASE WHEN errors = '' THEN '' ELSE chr(10) || '- ' || array_to_string(list_slice(string_split(errors, chr(10)), 1, 50), chr(10) || '- ') END) AS markdown_md5 FROM r""")
+def crawl_report_markdown(spark, sf):
+    """Counters and the first 50 errors as Markdown."""
+    found = S.report_markdown(C.crawl_report(_classified(spark, sf)))
+    return found.select("run_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
+
+
 @query(STATEMENTS["crawl_report"].replace("n <= 5 ", "n <= 100 "))
 def crawl_report_100(spark, sf):
     """With the reference's limit of 100 errors a report."""

@@ -34,7 +34,8 @@ SELECT d.doc_id AS doc_pk, upper(substr(d.source, 1, 8)) || '-' || printf('%05d'
   CASE d.doc_id % 5 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' WHEN 3 THEN 'not_applicable' END AS ocr_status,
   CASE d.doc_id % 9 WHEN 0 THEN 'failed' ELSE 'succeeded' END AS text_extraction_status,
   CASE d.doc_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'pending' ELSE 'failed' END AS index_status,
-  CASE d.doc_id % 2 WHEN 0 THEN 'succeeded' ELSE 'skipped' END AS embedding_status, d.text
+  CASE d.doc_id % 2 WHEN 0 THEN 'succeeded' ELSE 'skipped' END AS embedding_status,
+  CASE WHEN d.doc_id % 3 > 0 THEN 'Paper in ' || d.lang END AS description, CASE WHEN d.doc_id % 6 > 0 THEN 'col' || (d.doc_id % 4) END AS collection_key, d.text
 FROM documents d""",
     "fx_pages": """
 SELECT doc_pk, CAST(k + 1 AS INTEGER) AS page_number, array_to_string(list_slice(parts, k * 10 + 1, k * 10 + 10), chr(10) || chr(10)) AS text
@@ -102,6 +103,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 9 == 0, "failed").otherwise("succeeded").alias("text_extraction_status"),
         pick(3, "succeeded", "pending", "failed").alias("index_status"),
         pick(2, "succeeded", "skipped").alias("embedding_status"),
+        F.when(k % 3 > 0, F.concat(F.lit("Paper in "), "lang")).alias("description"),
+        F.when(k % 6 > 0, F.concat(F.lit("col"), k % 4)).alias("collection_key"),
         "text",
     )
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusq.functions.vectors import cosine
 from corpusq.operators import evidence as V
 from corpusq.operators import search as R
-from corpusq.operators.embed import hash_weights
+from corpusq.operators.embed import hash_vectors
 from corpusq.shared import table
+from corpusq.sources import export as S
 
 from . import fixtures as fx
 from .registry import query, query_over
@@ -30,7 +32,7 @@ def keyword_search(spark, sf, ask=fx.questions):
   AND doc_pk IN (SELECT doc_pk FROM fx_topic_tags WHERE topic_key = 'english')), {_HITS} {_KEYWORD}""")
 def filtered_keyword_search(spark, sf, ask=fx.questions):
     allowed = R.eligible(fx.documents(spark, sf), R.Filters(author="Author 1", language="en", date_from="1962", date_to="1990", topic_key="english"), topics=fx.topic_tags(spark, sf))
-    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf).join(allowed, "doc_pk", "left_semi"))
+    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf).join(allowed.hint("merge"), "doc_pk", "left_semi"))
     return found.select("question_id", "chunk_id", "hits", "matched", "rank", F.round("keyword_score", 6).alias("keyword_score"))
 
 
@@ -45,8 +47,7 @@ semtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id
 
 @query(f"WITH {_BUCKET} SELECT question_id, chunk_id, round(semantic_score, 6) AS semantic_score, CAST(sr AS INTEGER) AS semantic_rank FROM semtop WHERE sr <= 10")
 def vector_topk_sparse(spark, sf, ask=fx.questions):
-    weights = hash_weights(fx.chunks(spark, sf), "chunk_id")
-    found = R.sparse_topk(hash_weights(ask(spark, sf), "question_id", "question"), weights, 10)
+    found = R.sparse_topk(hash_vectors(ask(spark, sf), "question_id", "question"), hash_vectors(fx.chunks(spark, sf), "chunk_id"), 10)
     return found.select("question_id", "chunk_id", F.round("semantic_score", 6).alias("semantic_score"), "semantic_rank")
 
 
@@ -74,7 +75,7 @@ def hybrid_search(spark, sf, ask=fx.questions):
 
 def _hybrid(spark, sf, ask, k=10):
     c, q = fx.chunks(spark, sf), ask(spark, sf)
-    return R.hybrid_search(q, c, hash_weights(q, "question_id", "question"), hash_weights(c, "chunk_id"), k)
+    return R.hybrid_search(q, c, hash_vectors(q, "question_id", "question"), hash_vectors(c, "chunk_id"), k)
 
 
 _STOPS = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
@@ -112,15 +113,15 @@ SELECT question_id, md5('{V.BEGIN}' || chr(10) || string_agg(piece, chr(10) ORDE
 def evidence_block(spark, sf, ask=fx.questions):
     c = fx.chunks(spark, sf).select("chunk_id", "doc_pk", "page_number", "text")
     d = fx.documents(spark, sf).select("doc_pk", "document_id", "title")
-    e = _evidence(spark, sf, ask).select("question_id", "rank", "ref", "chunk_id").join(c, "chunk_id").join(d, "doc_pk")
+    e = _evidence(spark, sf, ask).select("question_id", "rank", "ref", "chunk_id").join(c.hint("merge"), "chunk_id").join(d.hint("merge"), "doc_pk")
     return V.evidence_block(e).select("question_id", F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
 @query(f"""{_EVIDENCE}, n AS (SELECT question_id, count(*) AS chunks, count(DISTINCT split_part(chunk_id, '-', 1)) AS docs FROM e GROUP BY 1)
-SELECT q.question_id, CASE WHEN chunks IS NULL THEN 'insufficient' ELSE 'answer' END AS route, coalesce(docs, 0) AS documents_retrieved, coalesce(chunks, 0) AS chunks_retrieved FROM fx_questions q LEFT JOIN n USING (question_id)""")
+SELECT q.question_id, CASE WHEN chunks IS NULL THEN 'insufficient' ELSE 'answer' END AS route, coalesce(docs, 0) AS documents_retrieved, coalesce(chunks, 0) AS chunks_retrieved, CAST(CASE WHEN chunks IS NULL THEN 3 ELSE 0 END AS INTEGER) AS suggestions FROM fx_questions q LEFT JOIN n USING (question_id)""")
 def question_routes(spark, sf, ask=fx.questions):
     e = _evidence(spark, sf, ask).withColumn("doc_pk", F.split_part("chunk_id", F.lit("-"), F.lit(1)))
-    return V.route(ask(spark, sf), e, configured=True)
+    return V.route(ask(spark, sf), e, configured=True).drop("message").withColumn("suggestions", F.coalesce(F.size("suggestions"), F.lit(0)))
 
 
 _VALID = f"""WITH pc AS (SELECT doc_pk, count(*) AS page_count FROM fx_pages GROUP BY 1), nz AS (SELECT c.*, k.doc_pk, k.page_number AS kp, trim(regexp_replace(lower(k.text), '\\s+', ' ', 'g')) AS kt, trim(regexp_replace(lower(coalesce(c.quote, '')), '\\s+', ' ', 'g')) AS nq, coalesce(c.page, k.page_number) AS resolved
@@ -168,23 +169,84 @@ FROM k JOIN fx_chunks c USING (chunk_id) LEFT JOIN fx_documents d ON d.doc_pk =
 def search_results(spark, sf, ask=fx.questions):
     """Hits with their document's fields; a document may be missing."""
     docs = fx.documents(spark, sf).select("doc_pk", "document_id", "title", F.col("doc_date").alias("date"))
-    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf)).join(docs, "doc_pk", "left")
+    found = R.keyword_search(ask(spark, sf), fx.chunks(spark, sf)).join(docs.hint("merge"), "doc_pk", "left")
     passage = F.md5(F.substring("text", 1, 500).cast("binary"))
     return found.select("question_id", "chunk_id", "rank", "document_id", "title", "date", "page_number", passage.alias("passage_md5"), F.concat(F.lit("Keyword match: "), "matched").alias("reason"))
 
 
-@query(f"{_EVIDENCE} SELECT question_id, ref, e.chunk_id, round(keyword_score, 4) AS keyword_score, md5(substr(c.text, 1, 600)) AS passage_md5 FROM e JOIN fx_chunks c USING (chunk_id)")
+@query(f"{_EVIDENCE} SELECT question_id, ref, e.chunk_id, round(keyword_score, 4) AS keyword_score, round(semantic_score, 4) AS semantic_score, round(combined_score, 4) AS combined_score, md5(substr(c.text, 1, 600)) AS passage_md5 FROM e JOIN fx_chunks c USING (chunk_id)")
 def source_rows(spark, sf, ask=fx.questions):
     """The sources shown beside an answer."""
-    c = fx.chunks(spark, sf).select("chunk_id", F.md5(F.substring("text", 1, 600).cast("binary")).alias("passage_md5"))
-    return _evidence(spark, sf, ask).join(c, "chunk_id").select("question_id", "ref", "chunk_id", F.round("keyword_score", 4).alias("keyword_score"), "passage_md5")
+    found = V.source_rows(_evidence(spark, sf, ask), fx.chunks(spark, sf))
+    return found.withColumn("passage_md5", F.md5(F.col("passage").cast("binary"))).drop("passage")
 
 
-@query("""SELECT conv_id, turn, substr(text, 1, 120) AS title, '[{"conv_id":' || conv_id || ',"turn":' || turn || '}]' AS citations_json FROM conversations WHERE role = 'user'""")
+@query(f"""{_HYBRID} SELECT question_id, rank, t.chunk_id, d.document_id, d.title, d.doc_date AS date, c.page_number, md5(substr(c.text, 1, 500)) AS passage_md5, round(keyword_score, 4) AS keyword_score, round(semantic_score, 4) AS semantic_score, round(combined_score, 4) AS combined_score,
+concat_ws('; ', CASE WHEN keyword_score > 0 THEN 'Keyword match ' || printf('%.2f', round(keyword_score, 2)) END, CASE WHEN semantic_score > 0 THEN 'Semantic similarity ' || printf('%.2f', round(semantic_score, 2)) END) AS reason
+FROM top t JOIN fx_chunks c USING (chunk_id) LEFT JOIN fx_documents d ON d.doc_pk = c.doc_pk WHERE rank <= 10""")
+def hybrid_results(spark, sf):
+    """Hybrid hits as they are shown, with all three scores and the reason."""
+    found = V.search_rows(_hybrid(spark, sf, fx.questions), fx.chunks(spark, sf), fx.documents(spark, sf))
+    return found.withColumn("passage_md5", F.md5(F.col("passage").cast("binary"))).drop("passage")
+
+
+@query("""SELECT doc_pk AS question_id, document_id, doc_pk, is_demo AS include_demo, CASE WHEN doc_pk % 2 = 0 THEN 12 ELSE 8 END AS top_k, CASE WHEN doc_pk % 2 = 0 THEN 'Summarize' ELSE 'What' END AS first_word FROM fx_documents WHERE doc_pk % 20 = 1 OR doc_pk % 20 = 10""")
+def document_questions(spark, sf):
+    """Questions about one document, and summaries."""
+    d, k = fx.documents(spark, sf), F.col("doc_pk")
+    asked = d.where((k % 20 == 1) | (k % 20 == 10)).select(k.alias("question_id"), "document_id", F.lit("What is it?").alias("question"), (k % 2 == 0).alias("summarize"))
+    unknown = asked.select("question_id", F.lit("NOWHERE-1").alias("document_id"), "question", "summarize")
+    found = V.document_questions(asked.union(unknown), d)
+    return found.withColumn("first_word", F.split_part("question", F.lit(" "), F.lit(1))).drop("question")
+
+
+@query("""SELECT run_id, CASE WHEN run_id % 9 = 0 THEN '' ELSE 'x' END AS answer, CAST(CASE WHEN run_id % 9 = 0 THEN 0 ELSE 2 END AS INTEGER) AS claims, CASE WHEN run_id % 9 > 0 THEN 'supported' END AS confidence FROM fx_citations WHERE citation_ref = 'c1'""")
+def answer_parts(spark, sf):
+    """Answer, claims and confidence out of an answer's JSON."""
+    k = F.col("run_id")
+    body = F.concat(F.lit('Here: {"answer":"x","claims":["one","two '), k, F.lit('"],"confidence":"supported","citations":[]}'))
+    text = F.when(k % 9 == 0, F.substring(body, 1, 30)).otherwise(body)
+    found = V.answer_parts(fx.citations(spark, sf).where("citation_ref = 'c1'").select(k, text.alias("answer_text")))
+    return found.withColumn("claims", F.size("claims"))
+
+
+@query(f"""{_VALID} SELECT run_id, CAST(count(*) FILTER (WHERE note <> '') AS VARCHAR) || ' citation(s) failed validation and are flagged: ' || string_agg(CASE WHEN note <> '' THEN citation_ref END, ', ' ORDER BY citation_ref) || '.' AS warning FROM v GROUP BY run_id HAVING count(*) FILTER (WHERE note <> '') > 0""")
+def citation_warnings(spark, sf):
+    runs = table(spark, sf, "documents").select(F.col("doc_id").alias("run_id"))
+    return V.warnings(V.answer_confidence(_validated(spark, sf), runs)).where("warning is not null").select("run_id", "warning")
+
+
+@query("SELECT a.vec_id, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosines(spark, sf):
+    """Each vector with the one after it."""
+    v = table(spark, sf, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(after.hint("merge"), "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query()
+def vector_topk_cells(spark, sf):
+    """Approximate; a test measures its recall against ``vector_topk``."""
+    v = table(spark, sf, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return R.cells_topk(asked, v, 5)
+
+
+@query("SELECT chunk_id FROM fx_chunks WHERE doc_pk IN (SELECT doc_pk FROM fx_documents WHERE NOT is_demo AND collection_key = 'col1')")
+def collection_chunks(spark, sf):
+    """Chunks of the documents of a collection."""
+    allowed = R.eligible(fx.documents(spark, sf), R.Filters(collection_key="col1"))
+    return fx.chunks(spark, sf).join(allowed.hint("merge"), "doc_pk", "left_semi").select("chunk_id")
+
+
+@query("""SELECT substr(text, 1, 120) AS title, md5(text) AS question_md5, '[{"conv_id":' || conv_id || ',"turn":' || turn || '}]' AS citations_json, CAST(1 AS INTEGER) AS sources_back FROM conversations WHERE role = 'user'""")
 def research_sessions(spark, sf):
-    """Saved questions: title and citations as JSON."""
+    """Saved questions, with citations and sources as JSON and read back."""
     c = table(spark, sf, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", F.substring("text", 1, 120).alias("title"), F.to_json(F.array(F.struct("conv_id", "turn"))).alias("citations_json"))
+    one = F.array(F.struct("conv_id", "turn"))
+    saved = S.session_rows(c.select(F.col("text").alias("question"), F.lit("").alias("answer"), one.alias("citations"), one.alias("sources")))
+    back = S.read_sessions(saved, "array<struct<conv_id: long, turn: long>>", "array<struct<conv_id: long, turn: long>>")
+    return back.select("title", F.md5(F.col("question").cast("binary")).alias("question_md5"), F.to_json("citations").alias("citations_json"), F.size("sources").alias("sources_back"))
 
 
 @query(f"""{_VALID} SELECT run_id, CAST(1 AS BIGINT) AS runs, count(*) AS citations, CAST(sum(CASE WHEN note = '' THEN 1 ELSE 0 END) AS BIGINT) AS validated, string_agg(citation_ref || '=' || CASE WHEN note = '' THEN 'ok' ELSE note END, '|' ORDER BY citation_ref) AS notes FROM v GROUP BY run_id""")

@@ -71,3 +71,9 @@ def report_markdown(report: DataFrame, errors: int = 50) -> DataFrame:
 def session_rows(answers: DataFrame) -> DataFrame:
     """Research sessions: the question's first 120 characters, citations and sources as JSON."""
     return answers.select(F.substring("question", 1, 120).alias("title"), "question", "answer", F.to_json("citations").alias("citations_json"), F.to_json("sources").alias("sources_json"))
+
+
+def read_sessions(sessions: DataFrame, citations: str, sources: str) -> DataFrame:
+    """Saved sessions with their JSON parsed again, to the DDL types given; null
+    where it is broken."""
+    return sessions.select("title", "question", "answer", F.from_json("citations_json", citations).alias("citations"), F.from_json("sources_json", sources).alias("sources"))

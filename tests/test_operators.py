@@ -244,11 +244,11 @@ def test_keyword_search(spark):
 
 
 def test_hybrid_modes(spark):
-    from corpusq.operators.embed import hash_weights
+    from corpusq.operators.embed import hash_vectors
 
     c = chunks(spark, [("a", 1, 1, "red fox"), ("b", 2, 1, "red red dog"), ("c", 3, 1, "blue fox")])
     q = spark.createDataFrame([(1, "red fox")], "question_id long, question string")
-    qw, cw = hash_weights(q, "question_id", "question"), hash_weights(c, "chunk_id")
+    qw, cw = hash_vectors(q, "question_id", "question"), hash_vectors(c, "chunk_id")
     assert {r.effective_mode for r in R.hybrid_search(q, c, None, None, mode="semantic").collect()} == {"keyword"}
     top = R.hybrid_search(q, c, qw, cw).orderBy("rank").collect()
     assert top[0].chunk_id == "a" and abs(top[0].semantic_score - 1) < 1e-9
