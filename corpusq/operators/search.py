@@ -314,7 +314,7 @@ def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "ve
     return matrix_topk(part(questions, "question_id", "embedding"), part(vectors, key, column), k, pack_dense, "score", "rank", block)
 
 
-def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 16, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, seed: int = 5) -> DataFrame:
+def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 24, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, seed: int = 5) -> DataFrame:
     """``(question_id, key, score, rank)``: about what ``vector_topk`` finds, from
     the ``probes`` cells nearest to the question.
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SOURCE = "source_key string, name string, base_url string, allowed_domains array<string>, file_extensions array<string>, max_pages int, max_depth int, requests_per_second double, rights_status string, access_status string"
+RULES = "struct<max_pages: int, max_depth: int, requests_per_second: double, respect_robots: boolean>"
+RIGHTS = "struct<status: string, access: string, notes: string>"
+SOURCE = f"source_key string, name string, base_url string, seed_urls array<string>, allowed_domains array<string>, file_extensions array<string>, crawl_rules {RULES}, rights {RIGHTS}"
 
 
 def source_table(spark: SparkSession, configured: list[dict]) -> DataFrame:
-    """Configured sources as rows; missing entries are null."""
-    names = [x.split()[0] for x in SOURCE.split(", ")]
-    return spark.createDataFrame([tuple(s.get(n) for n in names) for s in configured], SOURCE)
+    """Configured sources as rows, crawl rules and rights nested; missing entries are null."""
+    schema = spark.createDataFrame([], SOURCE).schema
+
+    def value(given: dict | None, kind: T.StructType):
+        return None if given is None else tuple(value(given.get(f.name), f.dataType) if isinstance(f.dataType, T.StructType) else given.get(f.name) for f in kind.fields)
+
+    return spark.createDataFrame([value(s, schema) for s in configured], schema)
 
 
 def taxonomy_tables(spark: SparkSession, topics: list[tuple[str, str, list[str]]], names: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:

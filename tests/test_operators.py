@@ -255,7 +255,7 @@ def test_hybrid_modes(spark):
     allowed = spark.createDataFrame([(3,)], "doc_pk long")
     assert {r.chunk_id for r in R.hybrid_search(q, c, qw, cw, allowed=allowed).collect()} == {"c"}
     assert {r.chunk_id for r in R.hybrid_search(q, c, qw, cw, allowed=allowed, strict_filters=False).collect()} == {"a", "b", "c"}
-    norms = cw.groupBy("chunk_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    norms = cw.select(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-9 for r in norms)
 
 
@@ -269,8 +269,8 @@ def test_many_questions(spark, monkeypatch):
     for i in range(11):
         hits = sorted((-sum(t.count(w) for w in (f"w{i}", "the")), k) for k, t in text.items())[:2]
         assert [(-r.hits, r.chunk_id) for r in sorted((r for r in got if r.question_id == i), key=lambda r: r.rank)] == hits
-    weights = spark.createDataFrame([(i, i % 3, 1.0) for i in range(11)], "question_id int, idx int, weight double")
-    held = spark.createDataFrame([(f"c{i}", i, 0.5) for i in range(3)], "chunk_id string, idx int, weight double")
+    weights = spark.createDataFrame([(i, [(i % 3, 1.0)]) for i in range(11)], "question_id int, vector array<struct<idx: int, weight: double>>")
+    held = spark.createDataFrame([(f"c{i}", [(i, 0.5)]) for i in range(3)], "chunk_id string, vector array<struct<idx: int, weight: double>>")
     assert {(r.question_id, r.chunk_id) for r in R.sparse_topk(weights, held, 1).collect()} == {(i, f"c{i % 3}") for i in range(11)}
 
 
@@ -366,3 +366,69 @@ def test_crawl_runs_and_items(spark):
     got = {r.url: (r.outcome, r.reason, r.doc_pk) for r in C.ingested_items(items, docs).collect()}
     assert got == {"u": ("downloaded", None, 7), "v": ("failed", "ingest error: bad bytes", None), "w": ("page", None, None)}
     assert C.run_items(asked.where("run_id <= 2").select("run_id"), items.drop("run_id").withColumn("run_id", F.lit(1))).count() == 4
+
+
+def test_source_table_is_nested(spark):
+    from corpusq.sources.catalogue import source_table, taxonomy_tables
+
+    got = source_table(spark, [{"source_key": "a", "crawl_rules": {"max_depth": 2}, "rights": {"status": "open"}, "allowed_domains": ["x.org"]}, {"source_key": "b"}]).orderBy("source_key").collect()
+    assert got[0].crawl_rules.max_depth == 2 and got[0].crawl_rules.max_pages is None and got[0].rights.status == "open" and got[1].crawl_rules is None
+    topics, names = taxonomy_tables(spark, [("k", "L", ["b", "a"])], [("T", "n")])
+    assert [(r.kw_ord, r.keyword) for r in topics.orderBy("kw_ord").collect()] == [(0, "b"), (1, "a")] and names.count() == 1
+
+
+def test_overlapping_names(spark):
+    text = "New York City, the York City mayor; new york's. Newark. NEW YORK CITY"
+    names = [("CITY", "New York"), ("CITY", "New York City"), ("CITY", "York City"), ("TOWN", "York"), ("X", "york"), ("CITY", "ark")]
+    got = {(r.entity_type, r.name, r.mention) for r in tag_entities(pages(spark, [(1, 1, text), (2, 1, None)]), names).collect()}
+    assert got == {("CITY", "New York", "New York"), ("CITY", "New York City", "New York City"), ("CITY", "York City", "York City"), ("TOWN", "York", "York"), ("X", "york", "York")}
+    assert tag_entities(pages(spark, [(1, 1, text)]), []).count() == 0
+
+
+def test_audit_sinks(spark, tmp_path):
+    validated = spark.createDataFrame([(1, "c1", "d", "k", 2, "q", True, "ok"), (1, "c2", "d", "k", 2, "q", False, "bad")], "run_id long, citation_ref string, document_id string, chunk_id string, page_number int, quote string, valid boolean, note string")
+    runs = spark.createDataFrame([(1, "what"), (2, "why")], "run_id long, question string")
+    for n in (1, 2):
+        V.append_audit(validated, runs, f"{tmp_path}/runs", f"{tmp_path}/citations")
+        assert spark.read.parquet(f"{tmp_path}/runs").count() == 2 * n and spark.read.parquet(f"{tmp_path}/citations").count() == 2 * n
+    got = spark.read.parquet(f"{tmp_path}/runs").where("run_id = 1").first()
+    assert (got.total, got.good, got.confidence, got.invalid_refs) == (2, 1, "partially_supported", "c2")
+    assert {r.document_id for r in spark.read.parquet(f"{tmp_path}/citations").collect()} == {"d"}
+
+
+def test_sessions_with_broken_json(spark):
+    from corpusq.sources.export import read_sessions
+
+    df = spark.createDataFrame([("t", "q", "a", '[{"x": 1}]', "oops"), ("t", "q", "a", None, "")], "title string, question string, answer string, citations_json string, sources_json string")
+    got = read_sessions(df, "array<struct<x: long>>", "array<struct<x: long>>").collect()
+    assert got[0].citations[0].x == 1 and got[0].sources is None and got[1].citations is None and got[1].sources is None
+
+
+def test_embed_by_a_users_function(spark):
+    from corpusq.operators.embed import document_embedding_status, embed
+
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "bb")], "doc_pk long, text string")
+    got = embed(df, lambda t: F.when(t.isNotNull(), F.array(F.length(t).cast("double"), F.lit(1.0))), "m")
+    assert sorted((r.doc_pk, r.embedding_model, r.embedding_dims, r.embedding_status) for r in got.where("text is not null").collect()) == [(1, "m", 2, "succeeded"), (2, "m", 2, "succeeded")]
+    assert {r.doc_pk: r.embedding_status for r in document_embedding_status(got).collect()} == {1: "failed", 2: "succeeded"}
+
+
+def test_listing_limits(spark):
+    from corpusq.operators import stats as A
+
+    df = spark.range(500)
+    for limit, offset in ((0, 0), (201, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            A.page_of(df, "id", limit, offset)
+    assert {r.total for r in A.listing(df, "id", 3, unfiltered=spark.range(900)).collect()} == {900}
+    assert [r.id for r in A.page_after(df, "id", 2, last=10).collect()] == [9, 8]
+
+
+def test_cells_recall(spark):
+    """At least 0.9 of what the exact search finds; all of it with every cell."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    exact = {(r.question_id, r.vec_id) for r in R.vector_topk(asked, v, 5).collect()}
+    for cells, probes, least in ((64, 24, 0.9), (8, 8, 1.0)):
+        got = {(r.question_id, r.vec_id) for r in R.cells_topk(asked, v, 5, cells, probes).collect()}
+        assert len(exact & got) >= least * len(exact), len(exact & got) / len(exact)
