@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, quoted
+from .common import fresh, map_text, quoted, stored
 
 #: Characters of a q-gram, edits allowed for each character of an item
 Q = 12
@@ -202,24 +202,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ke
     than ``q`` characters after normalising cannot be told from ordinary text
     and never matches.  Items that repeat an id are searched for one by one.
 
-    The benchmark is read in blocks of about ``block_chars`` characters, each
-    sent to the tasks; the documents are never shuffled.
+    A text of any length is searched whole; repeated rows give repeated results,
+    an empty table an empty one; a ``keep`` column named ``leaks`` is replaced.
+
+    The benchmark is read in blocks of about ``block_chars`` characters.  One
+    block is held at a time: with more of them, what each finds is written out
+    by place of the row, and put together at the end; the texts are never
+    shuffled.
     """
     items = benchmark.select(F.col(quoted(item_col)).cast("long").alias("item_id"), F.col(quoted(item_text)).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
-    spark, keep = docs.sparkSession, ["doc_id"] if keep is None else keep
-    found = docs
-    for k in range(blocks):
+    spark, keep = docs.sparkSession, [c for c in (["doc_id"] if keep is None else keep) if c.lower() != "leaks"]
+
+    def block(k: int):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
-        last, more = k == blocks - 1, f"__leaks_{k}"
-        through = [c for c in found.columns if c.startswith("__leaks_")]
+        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
 
-        def make(block=block):
-            index = Index(block.value, q, edits)
+        def make():
+            index = Index(held.value, q, edits)
             return lambda texts: [pa.array([index.find(t) for t in texts], pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())])))]
 
-        found = map_text(found, text_col, [*keep, *through] if last else [*dict.fromkeys([*keep, text_col]), *through], [(more, LEAKS)], make)
-    every = F.concat(*[F.col(f"__leaks_{k}") for k in range(blocks)])
-    return found.select(*[F.col(quoted(c)) for c in keep if c.lower() != "leaks"], F.array_sort(every).alias("leaks"))
+        return held, make
+
+    if blocks == 1:
+        return map_text(docs, text_col, keep, [("leaks", LEAKS)], block(0)[1])
+    # rows get a place; a written table keeps it the same for every block
+    row = fresh("__row", docs.columns)
+    rows = stored(docs.select(*dict.fromkeys([*map(quoted, keep), quoted(text_col)])).withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for k in range(blocks):
+        held, make = block(k)
+        here = stored(map_text(rows, text_col, [row], [("leaks", LEAKS)], make).where(F.size("leaks") > 0))
+        held.destroy()
+        found = here if found is None else found.unionByName(here)
+    leaks = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return rows.join(leaks.hint("merge"), row, "left").select(*[F.col(quoted(c)) for c in keep], F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))

@@ -191,7 +191,9 @@ def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str] | Non
     ``und`` with score 0 where the text is null or has no letter, or nothing
     was learned.  A tie goes to the language first in alphabetical order.
     Profiles are at most ``size`` rows for each language, so they are sent to
-    every task.
+    every task.  A text of any length is read whole; repeated rows give repeated
+    results, an empty table an empty one.  A ``keep`` column named like an added
+    one is replaced.
     """
     rows = [(r.lang, r.gram, r.place) for r in profiles.collect()]
 

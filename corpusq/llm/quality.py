@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, map_text, quoted
+from .common import drop_stored, lowest, map_text, quoted, stored
 
 #: Labelled rows that a model is fitted on, at most: those whose id hashes lowest
 FIT_ROWS = 20_000
@@ -181,18 +181,27 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     """Fit on the labelled documents, at most ``rows`` of them (lowest hash of the id).
 
     Labels other than 0 and 1 and ids with contrary labels are left out; a
-    repeated label counts once.  Without labelled rows every score is 0.5.
+    repeated label counts once.  Without labelled rows every score is 0.5.  Null
+    and empty texts count like others; rows that repeat an id count each.
     """
     label = F.col(quoted(label_col)).cast("int")
     known = labels.where(label.isin(0, 1)).groupBy(F.col(quoted(id_col)).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     x = add_features(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), ["id"])
-    fit = lowest(x.join(known.hint("merge"), "id"), "id", "features", limit=rows, total=known.count()).collect()
+    # written once: counted, and then drawn from
+    labelled = stored(x.join(known.hint("merge"), "id"))
+    fit = lowest(labelled, "id", "features", limit=rows, total=labelled.count()).collect()
+    drop_stored(labelled)
     return Model(np.array([r.features for r in fit], float).reshape(-1, len(FEATURES)), np.array([r.y for r in fit], float))
 
 
 def score_quality(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1, null and empty texts too) and ``predicted``
-    (1 if the score is at least 0.5)."""
+    (1 if the score is at least 0.5).
+
+    Each row stands alone: repeated rows and ties give repeated results, an empty
+    table an empty one, a text of any length is read whole.  A ``keep`` column
+    named like an added one is replaced.
+    """
 
     def make():
         def work(texts):

@@ -83,6 +83,43 @@ def test_empty_tables(spark, tmp_path):
     assert token_count(none, BYTE).count() == 0
 
 
+def test_special_strings_made_by_case_and_unknown_characters():
+    t, e = Tokenizer.from_file(WORD), ChunkEncoder(WORD)
+    texts = ["<|ENDOFTEXT|> x", "a<|EndOfText|>b <|endoftext|>", "<|STARTOFTEXT|>", *(f"a{chr(c)}B 1{chr(c)} {chr(c)}\u00cb" for c in (0x558, 0x88F, 0xC5C, 0x1C89, 0xA7CB, 0x10D50, 0x1E5D0, 0xE000, 0x2FE0))]
+    texts += [f"x{chr(c)}Y {chr(c)}9" for c in range(0x80, 0x30000, 37) if not 0xD800 <= c < 0xE000]
+    for text, ids in zip(texts, e.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_odd_rows_and_clashes(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, "it's"), (5, "<|endoftext|>"), (6, "word " * 30000)]
+    d = spark.createDataFrame([(*r, "old", "old", 1) for r in rows], "doc_id long, text string, IDS string, decoded string, n_tokens int")
+    t = Tokenizer.from_file(BYTE)
+    coded = bpe_encode(d, BYTE, keep=["doc_id", "text", "IDS", "decoded", "n_tokens"])
+    assert coded.columns == ["doc_id", "text", "decoded", "n_tokens", "ids"]
+    back = bpe_decode(coded, BYTE)
+    assert back.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"] and all(r.decoded == (r.text or "") for r in back.collect())
+    both = bpe_encode(d, BYTE, keep=["doc_id", "decoded"], decoded="decoded").collect()
+    assert sorted(r.decoded for r in both) == sorted(x or "" for _, x in rows)
+    counted = token_count(d, BYTE, keep=["doc_id", "text", "n_tokens"])
+    assert counted.columns == ["doc_id", "text", "n_bytes", "n_tokens", "over_limit"] and counted.count() == len(rows)
+    assert all(r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids) for r in counted.collect())
+
+
+def test_memory_is_bounded(monkeypatch):
+    from corpusq.llm import bpe, token_store
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 3000)
+    monkeypatch.setattr(token_store, "REMEMBERED", 3000)
+    c, e, t = bpe.Codec(BYTE), ChunkEncoder(WORD), Tokenizer.from_file(BYTE)
+    rng = random.Random(9)
+    for _ in range(30):
+        text = " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(40))
+        assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        e.encode([text])
+        assert len(c.known) < 120 and len(c.older) < 120 and len(e) < 120 and len(e.old) < 120
+
+
 def test_queries(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     t, w = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusq.llm import queries as Q
 from corpusq.llm import simhash as S
@@ -162,3 +163,23 @@ def test_pipeline_odd(spark, sf):
         assert stage(spark, d, sf).count() <= len(rows)
         assert stage(spark, d.limit(0), sf).count() == 0
     assert P.near_duplicates(spark, d, sf).count() == 2
+
+
+def test_embedding_ties_repeats_and_doubles(spark):
+    a = [1.0, 0.0]
+    edge = [0.93, (1 - 0.93**2) ** 0.5]
+    cosine = np.dot(a, edge) / np.linalg.norm(edge)
+    rows = [(1, a, 1), (1, a, 1), (2, edge, 1), (3, [0.0, -1.0], 1), (None, [5.0, 5.0], 2)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit("clash"))
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_links(d, threshold=float(cosine)).collect())
+    assert got == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    near = [0.93 - 1e-9, (1 - (0.93 - 1e-9) ** 2) ** 0.5]
+    close = spark.createDataFrame([(1, a, 1), (2, near, 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.n_links for r in embedding_links(close).collect()} == {0}
+
+
+def test_hot_component_stays_where_it_is(spark):
+    """A star with most of the links, and small ones beside it."""
+    edges = [(0, k) for k in range(1, 700)] + [(k, k + 1) for k in range(1000, 1400, 2)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == least({x for e in edges for x in e}, edges)

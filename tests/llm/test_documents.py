@@ -227,6 +227,59 @@ def test_quality_learns_an_interaction():
     assert ((Model(x, y).score(x) > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_clashing_columns_are_replaced(spark):
+    """A kept column named like an added one gives way to it."""
+    d = odd(spark)
+    rows = L.predict_language(d, L.learn_profiles(d), keep=["doc_id", "lang_pred", "score", "text"])
+    assert rows.columns == ["doc_id", "text", "lang_pred", "score"] and {r.lang_pred for r in rows.collect()} <= {"de", "en", "und"}
+    labels = spark.createDataFrame([(2, 1), (3, 0), (6, 0)], "doc_id long, quality int")
+    rows = score_quality(d, learn_quality(d, labels), keep=["doc_id", "SCORE", "text"])
+    assert rows.columns == ["doc_id", "text", "score", "predicted"] and all(r.score != 0.5 or r.predicted == 1 for r in rows.collect())
+    pages = spark.createDataFrame([(1, "<article><p>Some text here.</p></article>", "old", 7)], "page_id long, html string, text string, n_chars int")
+    rows = H.extract_text(pages, H.learn_pages(pages), keep=["page_id", "text", "n_chars"])
+    assert rows.columns == ["page_id", "text", "n_chars"] and rows.first().n_chars == len(rows.first().text)
+
+
+def test_quality_query_by_plain_loops(spark, sf, monkeypatch):
+    """The query's scores against bins found and tables added up one by one."""
+    held = []
+    monkeypatch.setattr(Q, "learn_quality", lambda *a, **b: held.append(learn_quality(*a, **b)) or held[-1])
+    rows = {r.doc_id: r.score for r in Q.op7_quality(spark, sf).collect()}
+    m = held[0]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for d in sorted(rows)[::5]:
+        x = features([texts[d]])[0]
+        bin_of = lambda v, edges: sum(1 for e in edges if v > e)
+        total = m.base
+        for j, edges in enumerate(m.edges):
+            total += m.table[j][bin_of(x[j], edges)]
+        for (i, j), t in zip(m.pairs, m.square):
+            total += t[bin_of(x[i], m.coarse[i]), bin_of(x[j], m.coarse[j])]
+        assert abs(rows[d] - 1 / (1 + math.exp(-total))) < 1e-9
+    assert len(m.pairs) > 0
+
+
+def test_one_boosting_step_by_hand():
+    """The best depth-two tree over a row of bins, against all of them."""
+    from corpusq.llm import quality as G
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        g, h = rng.standard_normal(6), rng.random(6) + 0.1
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + G.RIDGE)
+        mid = max(range(1, 6), key=lambda k: gain(0, k) + gain(k, 6))
+        want = np.zeros(6)
+        if gain(0, mid) + gain(mid, 6) - gain(0, 6) > 1e-9:
+            for a, b in ((0, mid), (mid, 6)):
+                cut = max(range(a + 1, b), key=lambda k: gain(a, k) + gain(k, b), default=None)
+                parts = [(a, b)] if cut is None or gain(a, cut) + gain(cut, b) - gain(a, b) <= 1e-9 else [(a, cut), (cut, b)]
+                for p, q in parts:
+                    want[p:q] = g[p:q].sum() / (h[p:q].sum() + G.RIDGE)
+        else:
+            want[:] = g.sum() / (h.sum() + G.RIDGE)
+        assert np.allclose(G.shallow(g, h), want)
+
+
 def edit(rng, text, n):
     t = list(text)
     for _ in range(n):
@@ -292,17 +345,67 @@ def test_decontaminate_odd(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "a passage that is long enough"), (4, "A  passage that is long ENOUGH")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x a passage that\nis long enough y", 0), (3, "short", 0)], "doc_id long, text string, leaks int")
     for block in (10, 10**6):
-        got = find_leaks(docs, bench, block_chars=block).collect()
-        assert sorted(len(r.leaks) for r in got) == [0, 0, 0, 2]
+        got = find_leaks(docs, bench, keep=["doc_id", "leaks", "text"], block_chars=block).collect()
+        assert sorted((len(r.leaks), r.doc_id) for r in got) == [(0, 1), (0, 2), (0, 3), (2, 3)]
+        assert [x.item_id for r in got for x in r.leaks] == [4, 4] and got[0].__fields__ == ["doc_id", "text", "leaks"]
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 4
 
 
+def article_text(page):
+    """The text of a page's article by the standard parser, block by block."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.now = [], [], []
+
+        def flush(self):
+            if whole := " ".join("".join(self.now).split()):
+                self.out.append(whole)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+            if tag in ("br", "img"):
+                self.now.append(" ")
+            if tag not in H.INLINE:
+                self.flush()
+            if tag not in H.VOID:
+                self.open.append((tag, tag in H.ASIDE_TAGS or tag in ("script", "style") or bool(set(re.findall("[a-z]+", named)) & H.ASIDE_WORDS)))
+
+        def handle_endtag(self, tag):
+            if tag not in H.INLINE:
+                self.flush()
+            if any(t == tag for t, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if any(t in ("article", "main") for t, _ in self.open) and not any(a for _, a in self.open):
+                self.now.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.flush()
+    return "\n\n".join(r.out)
+
+
 def test_pages_query(spark, sf):
+    """Against a reading of the pages' articles that shares no code with the operator."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in Q.op8_html_text(spark, sf).collect():
-        found = H.blocks(pages[r.page_id] or "")
-        want = "\n\n".join(b.text for b, y in zip(found, H.landmark_labels(found) or []) if y)
-        assert r.text == want and r.n_chars == len(want)
+        assert r.text == article_text(pages[r.page_id] or "") and r.n_chars == len(r.text)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for part in ("<a ", '<a "', "<a \"> ", "<p><li>", "<textarea>", "<!-- ", "<a<a", "</textarea", "<ul><li><ul>", "&amp", "<"):
+        page = part * (1_000_000 // len(part))
+        start = time.process_time()
+        H.blocks(page)
+        assert time.process_time() - start < 30, part
 
 
 def test_unseen_layouts():
