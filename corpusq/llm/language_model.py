@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, quoted, stored
+from .common import lowest, pieces, quoted, stored
 
 #: Words whose count every task holds; the others' counts are joined
 HEAD = 200_000
@@ -104,12 +104,35 @@ class Lexicon:
         return self.vocabulary + self.ending.get(word.decode()[-2:], len(self.leaf) - 1)
 
 
+def most_frequent(counts: DataFrame, head: int) -> list[tuple[str, int]]:
+    """``END`` and the most frequent words, at most ``head`` in all, by frequency.
+
+    A long list is drawn by classes of nearly equal counts, so that no task gets
+    the longest lists of all others: whole classes from the top, and of the class
+    that does not fit the words with the lowest hashes.
+    """
+    order = [(F.col("word") != END).cast("int"), F.desc("c"), "word"]
+    if head <= VOCABULARY:
+        return [(r.word, r.c) for r in counts.orderBy(*order).limit(head).collect()]
+    words, near = counts.where(F.col("word") != END), F.floor(F.log2("c") * 64)
+    left, last, size = head - 1, -1, 0
+    # at most 64 classes for each power of two
+    for r in sorted(words.groupBy(near.alias("k")).count().collect(), key=lambda r: -r.k):
+        if r["count"] > left:
+            last, size = r.k, r["count"]
+            break
+        left -= r["count"]
+    parts = [counts.where(F.col("word") == END), words.where(near > last)]
+    if size:
+        parts.append(lowest(words.where(near == last), "word", limit=left, total=size))
+    found = [(w, c) for p in parts for t in [p.select("word", "c").toArrow()] for w, c in zip(t.column(0).to_pylist(), t.column(1).to_pylist())]
+    return sorted(found, key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def learn_lexicon(counts: DataFrame, head: int = HEAD) -> Lexicon:
     """Gather what is bounded from stored ``counts``: the head and the endings."""
-    ranked = counts.orderBy((F.col("word") != END).cast("int"), F.desc("c"), "word").limit(head).toArrow()
-    words, c = ranked.column("word").to_pylist(), ranked.column("c").to_numpy().astype(np.int64)
-    if not words:
-        words, c = [END], np.zeros(1, np.int64)
+    ranked = most_frequent(counts, head) or [(END, 0)]
+    words, c = [w for w, _ in ranked], np.array([n for _, n in ranked], np.int64)
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     k = min(VOCABULARY, len(words))
     last = F.struct(F.lit(int(c[k - 1])).alias("c"), F.lit(words[k - 1]).alias("w"))

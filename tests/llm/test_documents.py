@@ -155,6 +155,18 @@ def test_language_model_predicts_every_symbol():
     assert (seen["v"][0][:, 9] > 1e-2).any() and np.isfinite(m.x).all()
 
 
+def test_most_frequent_words_by_classes(spark, monkeypatch):
+    monkeypatch.setattr(M, "VOCABULARY", 10)
+    counts = spark.createDataFrame([(M.END, 7)] + [(f"w{k}", 1 + 1000 // (k + 1)) for k in range(1500)], "word string, c long").repartition(5)
+    for head in (40, 300, 5000):
+        got = M.most_frequent(counts, head)
+        assert got[0] == (M.END, 7) and len(got) == min(head, 1501) == len(set(got))
+        assert got[1:] == sorted(got[1:], key=lambda x: (-x[1], x[0]))
+        least = got[-1][1]
+        assert {f"w{k}" for k in range(1500) if 1 + 1000 // (k + 1) > 1.02 * least + 1} <= {w for w, _ in got}
+    assert M.most_frequent(counts.limit(0), 40) == []
+
+
 def test_language_model_odd(spark):
     d = odd(spark).withColumn("row", F.lit(1)).withColumn("__filler", F.lit(2))
     keep = ["doc_id", "score", "row", "__filler"]
