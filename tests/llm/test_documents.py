@@ -68,6 +68,24 @@ def test_language_query(spark, sf):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.97
 
 
+def test_language_query_by_plain_loops(spark, sf):
+    """Profiles learnt and distances added up one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    seen: dict[str, Counter] = {}
+    for d in docs:
+        if zlib.crc32(str(d.doc_id).encode()) % 4 != 2 and d.lang is not None:
+            seen.setdefault(d.lang, Counter()).update(grams(d.text or ""))
+    by_rank = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:400]]
+    place = {lang: {g: k for k, g in enumerate(by_rank(c))} for lang, c in seen.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in Q.op2_language_id(spark, sf).collect()}
+    for d in docs[::7]:
+        own = by_rank(grams(d.text or ""))
+        far = {lang: sum(abs(p[g] - r) if g in p else 400 for r, g in enumerate(own)) for lang, p in place.items()}
+        best = min(sorted(far), key=far.get)
+        want = ("und", 0.0) if not own else (best, 1 - far[best] / (400 * len(own)))
+        assert got[d.doc_id][0] == want[0] and abs(got[d.doc_id][1] - want[1]) < 1e-9
+
+
 def test_language_odd(spark):
     d = odd(spark)
     got = L.predict_language(d, L.learn_profiles(d)).collect()
