@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
-from urllib.parse import urljoin
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import let
 
@@ -53,36 +50,44 @@ def normalize_url(url: Column) -> Column:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """The address that a link on a page leads to.  Links with dot segments,
-    parameters or an odd scheme go to Python in Arrow batches."""
-    root = F.concat(scheme(base), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    bare = F.regexp_replace(base, r"#.*$", "")
-    return (
-        F.when(href.rlike(r"(^|/)\.\.?(/|$|[?#])|^[A-Za-z][A-Za-z0-9+.\-]*:(?!//)"), _join(base, href))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), href)
-        .when(href == "", base)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("#"), F.concat(bare, href))
-        .when(href.startswith("?"), F.concat(root, path(base), href))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+    """The address that a link on a page leads to (RFC 3986, 5.2; segments of
+    dots that lead above the root are dropped)."""
+    root, folder = F.concat(scheme(base), F.lit("://"), part(base, 2)), F.split(path(base), "/")
+    bare, own = F.regexp_replace(base, r"#.*$", ""), F.lower(F.regexp_extract(href, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+
+    def joined(rel: Column) -> Column:
+        """A link with a path: its segments after those of the page's folder."""
+        p = F.regexp_extract(rel, r"^[^?#]*", 0)
+
+        def beside(given: Column, up: Column) -> Column:
+            above = F.when(F.element_at(up, -1) != "", F.slice(up, 1, F.size(up) - 1)).otherwise(up)
+            every = lambda a: F.concat(F.slice(a, 1, 1), F.filter(F.slice(a, 2, F.size(a) - 2), lambda x: x != ""), F.slice(a, F.size(a), 1))
+            return F.when(p.startswith("/"), given).otherwise(let(F.concat(above, given), every))
+
+        def without_dots(given: Column) -> Column:
+            up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+            step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+            left = F.aggregate(given, F.array().cast("array<string>"), step)
+            return F.concat(left, F.when(F.element_at(given, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+
+        def text(segments: Column) -> Column:
+            line = F.array_join(segments, "/")
+            return F.when(line.startswith("/"), line).otherwise(F.concat(F.lit("/"), line))
+
+        segments = let(F.split(p, "/"), lambda given: let(folder, lambda up: beside(given, up)))
+        flat = let(segments, lambda given: F.when(F.exists(given, lambda x: x.isin(".", "..")), without_dots(given)).otherwise(given))
+        return F.concat(root, let(flat, text), F.regexp_extract(rel, r"^[^?#]*(.*)$".replace("^", "(?s)^", 1), 1))
+
+    same = (own != "") & (own == scheme(base)) & ~href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    whole = let(
+        F.when(same, F.regexp_replace(href, r"^[^:]*:", "")).otherwise(href),
+        lambda rel: F.when(rel == "", base)
+        .when(rel.startswith("//"), F.concat(scheme(base), F.lit(":"), rel))
+        .when(rel.startswith("#"), F.concat(bare, rel))
+        .when(rel.startswith("?"), F.concat(root, path(base), rel))
+        .otherwise(joined(rel)),
     )
-
-
-def _join(base: Column, href: Column) -> Column:
-    # made when it is used: a user function needs a session
-    return F.arrow_udf(_joined, T.StringType())(base, href)
-
-
-def _joined(base: pa.Array, href: pa.Array) -> pa.Array:
-    def one(b, h):
-        try:
-            return None if b is None or h is None else urljoin(b, h)
-        except ValueError:
-            return h
-
-    return pa.array([one(b, h) for b, h in zip(base.to_pylist(), href.to_pylist())], pa.string())
+    return F.when((own != "") & ~same, href).otherwise(whole)
 
 
 def host_allowed(h: Column, domains: list[str]) -> Column:

