@@ -44,9 +44,14 @@ def path(url: Column) -> Column:
 def normalize_url(url: Column) -> Column:
     """Scheme and authority in lower case, no fragment, no slashes at the end of
     a longer path; an empty path becomes /."""
-    p = F.when(path(url) == "", F.lit("/")).when(path(url) == "/", F.lit("/")).otherwise(F.regexp_replace(path(url), r"/+$", ""))
-    s, a, q = scheme(url), F.lower(part(url, 2)), part(url, 4)
-    return F.concat(F.when(s != "", F.concat(s, F.lit(":"))).otherwise(""), F.when(a != "", F.concat(F.lit("//"), a)).otherwise(""), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+    def whole(u: Column) -> Column:
+        p = let(path(u), lambda x: F.when(x.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(x, r"/+$", "")))
+        before = lambda mark, c: let(c, lambda x: F.when(x != "", F.concat(F.lit(mark), x)).otherwise(""))
+        s = let(scheme(u), lambda x: F.when(x != "", F.concat(x, F.lit(":"))).otherwise(""))
+        return F.concat(s, before("//", F.lower(part(u, 2))), p, before("?", part(u, 4)))
+
+    return let(url, whole)
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -95,10 +100,7 @@ def host_allowed(h: Column, domains: list[str]) -> Column:
     wanted = [d.lower().strip() for d in domains if d.strip()]
     if not domains:
         return F.lit(True)
-    ok = F.lit(False)
-    for d in wanted:
-        ok = ok | (h == d) | h.endswith("." + d)
-    return ok
+    return F.exists(F.array(*map(F.lit, wanted)), lambda d: (h == d) | h.endswith(F.concat(F.lit("."), d))) if wanted else F.lit(False)
 
 
 def address(h: Column) -> Column:
@@ -168,10 +170,14 @@ def is_document(url: Column, extensions: list[str]) -> Column:
 
 def scope(url: Column, domains: list[str]) -> Column:
     """Why a URL may not be fetched, or null: scheme, host, domain, address."""
-    h = host(url)
-    return (
-        F.when(~F.coalesce(scheme(url).isin("http", "https"), F.lit(False)), F.lit("scheme not allowed"))
-        .when(h == "", F.lit("no host"))
-        .when(~host_allowed(h, domains), F.lit("host not in allowed domains"))
-        .when(is_private(h), F.lit("address not public"))
-    )
+
+    def why(u: Column) -> Column:
+        bad = F.when(~F.coalesce(scheme(u).isin("http", "https"), F.lit(False)), F.lit("scheme not allowed"))
+        return bad.otherwise(
+            let(
+                host(u),
+                lambda h: F.when(h == "", F.lit("no host")).when(~host_allowed(h, domains), F.lit("host not in allowed domains")).when(is_private(h), F.lit("address not public")),
+            )
+        )
+
+    return F.coalesce(let(url, why), F.when(url.isNull(), F.lit("scheme not allowed")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions import urls as U
-from corpusq.functions.text import decode_references, sniff_mime
+from corpusq.functions.text import decode_references, let, sniff_mime
 from corpusq.shared import stored
 
 #: An anchor from its name to the value of its first href attribute: other
@@ -31,7 +31,7 @@ def scoped_links(links: DataFrame, domains: list[str]) -> DataFrame:
     """``(src, dst, pos)``: links resolved and normalised, in scope, the first of
     each target on a page."""
     full = links.select("src", U.normalize_url(U.resolve(F.col("src"), F.col("href"))).alias("dst"), "pos")
-    return full.where(U.host_allowed(U.host(F.col("dst")), domains)).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    return full.where(let(U.host(F.col("dst")), lambda h: U.host_allowed(h, domains))).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
