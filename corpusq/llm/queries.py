@@ -13,9 +13,15 @@ from .bpe import bpe_encode
 from .common import crc_bucket, prepare, scratch, stored, table
 from .decontaminate import find_leaks
 from .embedding_dedup import embedding_links
+from .filter_audit import SQL as FILTER_SQL
+from .filter_audit import filter_audit
 from .html_text import extract_text, learn_pages
+from .importance import SQL as IMPORTANCE_SQL
+from .importance import importance_resample
 from .language_id import learn_profiles, predict_language
 from .language_model import code_documents, count_words, learn_lexicon, learn_model, score_documents
+from .line_dedup import SQL as LINE_SQL
+from .line_dedup import apply_bitmaps, keep_bitmaps
 from .quality import learn_quality, score_quality
 from .simhash import simhash_groups
 from .token_count import token_count
@@ -105,6 +111,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source, over all documents."""
+    prepare(spark)
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them share, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    left = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their importance for the benchmark; a twentieth is drawn."""
+    prepare(spark)
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -118,8 +143,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_embedding_dedup,
         op10_simhash,
+        op11_filter_audit,
+        op12_line_dedup,
+        op13_importance,
     )
 }
 
 #: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": FILTER_SQL, "op12_line_dedup": LINE_SQL, "op13_importance": IMPORTANCE_SQL}
