@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from corpusq.shared import stored
 
+from .fulltext import small_or_merged
 
-def dedup_archive(arrivals: DataFrame, seq: str = "seq", sha: str = "sha256", url: str = "url") -> DataFrame:
-    """``(seq, accepted, duplicate_of, reason)`` for arrivals with distinct ``seq``.
+
+def dedup_archive(arrivals: DataFrame, archive: DataFrame | None = None, seq: str = "seq", sha: str = "sha256", url: str = "url") -> DataFrame:
+    """``(seq, accepted, duplicate_of, in_archive, reason)`` for arrivals with
+    distinct ``seq``.
 
     A row is rejected if a row accepted before it has its hash, or else its URL;
-    rejected rows reject nobody.  Empty and null values never match.
+    rejected rows reject nobody.  Empty and null values never match.  All rows
+    of ``archive`` (the same columns) were accepted before; ``duplicate_of`` is
+    the smallest of them that match, and ``in_archive`` says so.  What the
+    archive holds of the arrivals' hashes and URLs is all that is read of it.
 
     Rounds: a row that is the first of the open rows with its hash and with its
     URL is accepted; open rows that match an accepted one are rejected.  Two or
     three rounds settle ordinary tables.
     """
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
-    rows = stored(arrivals.select(F.col(seq).alias("seq"), blank(sha).alias("h"), blank(url).alias("u")))
-    undecided, accepted = rows, None
+    keyed = lambda df: df.select(F.col(seq).alias("seq"), blank(sha).alias("h"), blank(url).alias("u"))
+    rows = stored(_in_archive(keyed(arrivals), None if archive is None else keyed(archive)))
+    undecided, accepted = rows.where("old_h is null and old_u is null").select("seq", "h", "u"), None
     while True:
         first_h = undecided.where("h is not null").groupBy("h").agg(F.min("seq").alias("first_h"))
         first_u = undecided.where("u is not null").groupBy("u").agg(F.min("seq").alias("first_u"))
@@ -33,16 +40,33 @@ def dedup_archive(arrivals: DataFrame, seq: str = "seq", sha: str = "sha256", ur
             break
     # which row a rejected one repeats is known when all accepted ones are
     own = accepted.select("seq", F.lit(True).alias("accepted"))
-    judged = _matched(rows, accepted).join(own.hint("merge"), "seq", "left")
+    old = rows.select("seq", "old_h", "old_u")
+    judged = _matched(rows, accepted).join(own.hint("merge"), "seq", "left").join(old.hint("merge"), "seq")
     lost = F.col("accepted").isNull()
+    by_h, by_u = F.coalesce("old_h", "by_h"), F.coalesce("old_u", "by_u")
+    from_old = F.when(by_h.isNotNull(), F.col("old_h").isNotNull()).otherwise(F.col("old_u").isNotNull())
     return judged.select(
         "seq",
         (~lost).alias("accepted"),
-        F.when(lost, F.coalesce("by_h", "by_u")).alias("duplicate_of"),
-        F.when(lost, F.when(F.col("by_h").isNotNull(), "sha256").otherwise("url")).alias("reason"),
+        F.when(lost, F.coalesce(by_h, by_u)).alias("duplicate_of"),
+        F.when(lost, from_old).alias("in_archive"),
+        F.when(lost, F.when(by_h.isNotNull(), "sha256").otherwise("url")).alias("reason"),
     )
 
 
+def _in_archive(rows: DataFrame, archive: DataFrame | None) -> DataFrame:
+    """Rows with the smallest row of an archive that has their hash (``old_h``),
+    and their URL (``old_u``)."""
+    if archive is None:
+        none = F.lit(None).cast(rows.schema["seq"].dataType)
+        return rows.withColumn("old_h", none).withColumn("old_u", none)
+    for key in ("h", "u"):
+        wanted = small_or_merged(stored(rows.where(F.col(key).isNotNull()).select(key).distinct()))
+        held = archive.join(wanted, key, "left_semi").groupBy(key).agg(F.min("seq").alias(f"old_{key}"))
+        rows = rows.join(held.hint("merge"), key, "left")
+    return rows
+
+
 def _matched(rows: DataFrame, accepted: DataFrame) -> DataFrame:
     """Rows with the earlier accepted rows of their hash and of their URL; among
     accepted rows each hash and each URL stands once."""

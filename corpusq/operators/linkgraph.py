@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions import urls as U
 from corpusq.functions.text import decode_references, let, sniff_mime
+from corpusq.operators.places import places
 from corpusq.shared import stored
 
 #: An anchor from its name to the value of its first href attribute: other
@@ -46,9 +47,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages:
     seen, depth, left = None, 0, max_pages
     while True:
         if left is not None:
-            front = front.orderBy("first", "node").limit(left)  # no more rows than the cap
-            order = F.row_number().over(Window.orderBy("first", "node"))
-            front = front.withColumn("place", order.cast("long"))
+            front = places(front, "first.place", "first.pos", "node").where(F.col("place") <= left)
         else:
             front = front.withColumn("place", F.lit(0).cast("long"))  # without a cap the order inside a level is not asked for
         front = stored(front.select("node", "depth", "place"))

@@ -1,15 +1,13 @@
-"""Retrieval for a table of questions: keyword, full-text, vector, hybrid.
+"""Retrieval for a table of questions: filters, keyword, vector, hybrid.
 
-Where questions are sent to every task, their table is read in blocks of about
-``MOST_QUESTIONS`` rows.  ``fulltext_search`` joins their terms instead.
+A question may bring its own limits as columns: ``top_k`` (how many hits),
+``doc_pk`` (only of that document), ``pool`` (which filters bind it) and ``mode``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +15,24 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusq.functions.dates import within
-from corpusq.functions.text import counted, occurrences, query_terms
+from corpusq.functions.text import query_terms
 from corpusq.functions.vectors import dot, unit
 from corpusq.shared import stored
 
 from .embed import DIMENSIONS, has_embedding
+from .fulltext import small_or_merged
+from .scan import MOST_QUESTIONS, Dense, Sparse, Terms, best, scan_topk
+
+#: What vectors of real meaning, and of hashed words, find.
+SEMANTIC, LEXICAL = "Semantic similarity", "Lexical-hash similarity (test/demo embedder)"
+#: Fixed value: what is said where a search by meaning was asked for and not had.
+NO_VECTORS = "Semantic search unavailable (no embedding provider configured); results are keyword-only."
+#: Columns by which a question may limit its own search
+LIMITS = ("doc_pk", "pool", "top_k")
+
 
-MOST_QUESTIONS = 4096
-#: Distinct asked terms that are sent to the tasks, at most; more are joined
-MOST_TERMS = 200_000
-#: Words too common to search for.
-STOP_WORDS = tuple("a an and are as at be but by for from if in into is it no not of on or such that the their then there these they this to was will with".split())
-WORD = r"[\p{L}\p{N}]+"
 
 
 @dataclass
@@ -77,233 +78,51 @@ def eligible(docs: DataFrame, f: Filters, topics: DataFrame | None = None, entit
     return found
 
 
-def in_blocks(questions: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``search`` finds for blocks of questions that every task gets; a
-    question's rows are all in one block."""
-    blocks = max(1, math.ceil(questions.select("question_id").distinct().count() / MOST_QUESTIONS))
-    of = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [search(F.broadcast(questions.where(of == n))) for n in range(blocks)])
+def pools(docs: DataFrame, filters: dict[str, Filters], topics: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """``(doc_pk, pools)``: the names of the filters that each document passes.
+    A question names one of them in its column ``pool``; null asks all."""
+    passed = [eligible(docs, f, topics, entities).select("doc_pk", F.lit(name).alias("pool")) for name, f in filters.items()]
+    return reduce(DataFrame.unionByName, passed).groupBy("doc_pk").agg(F.collect_set("pool").alias("pools"))
 
 
-def best(scored: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFrame:
-    """The first k rows of each question.  Every task keeps k of its own first."""
-    w = Window.partitionBy("question_id").orderBy(*order)
-    return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+def limited(chunks: DataFrame, questions: DataFrame, passed: DataFrame | None) -> DataFrame:
+    """Chunks with the ``pools`` of their document, if a question asks for one."""
+    if "pool" not in questions.columns:
+        return chunks
+    return chunks.drop("pools").join(passed.hint("merge"), "doc_pk", "left")
 
 
-def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10, passed: DataFrame | None = None) -> DataFrame:
     """Chunks that contain a term of the question, by how often terms occur
     (a repeated term counts again), over the question's best.
 
-    Blank questions find nothing.  Ties: smaller chunk id first.
+    Blank questions find nothing.  Ties: smaller chunk id first.  Any number of
+    questions: a pass over the chunks for each block of them, in which a chunk
+    is searched for the terms that its trigrams lead to (see ``Terms``).  Texts
+    are fetched for the hits alone.  Questions may have the ``LIMITS``;
+    ``passed`` is the table of ``pools``.
     """
-    every = questions.select("question_id", query_terms(F.col("question")).alias("terms")).where("size(terms) > 0")
-    low = chunks.select("chunk_id", "doc_pk", "page_number", "text", F.lower("text").alias("low"))
-    count = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + occurrences(F.col("low"), t))
-    matched = F.array_join(F.filter("terms", lambda t: F.contains(F.col("low"), t)), ", ")
-
-    def search(asked):
-        hit = low.join(asked, F.exists("terms", lambda t: F.contains(F.col("low"), t)))
-        scored = hit.select("question_id", "chunk_id", "doc_pk", "page_number", "text", count.alias("hits"), matched.alias("matched"))
-        return best(scored, k, F.desc("hits"), F.col("chunk_id"))
-
-    top = in_blocks(every, search)
+    mine = [c for c in LIMITS if c in questions.columns]
+    asked = stored(questions.select("question_id", query_terms(F.col("question")).alias("terms"), *mine).where("size(terms) > 0"))
+    rows = limited(chunks, questions, passed)
+    low = rows.where("text is not null").select("chunk_id", F.lower("text").alias("low"), *[c for c in ("doc_pk", "pools") if c in rows.columns])
+    top = stored(scan_topk(asked, low, Terms, k, "hits", "rank"))
+    shown = chunks.select("chunk_id", "doc_pk", "page_number", "text").join(small_or_merged(top), "chunk_id")
+    matched = F.array_join(F.filter("terms", lambda t: F.contains(F.lower("text"), t)), ", ")
+    found = shown.join(small_or_merged(asked.select("question_id", "terms")), "question_id")
     most = F.max("hits").over(Window.partitionBy("question_id"))
-    return top.withColumn("keyword_score", F.col("hits") / most)
-
-
-def index_words(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
-
-
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """``(term, chunk_id, tf, dl)``: how often each word stands in each chunk,
-    and the chunk's words.  Counted inside the row, nothing is shuffled."""
-    each = chunks.select("chunk_id", index_words(F.col("text")).alias("words"))
-    return each.select("chunk_id", F.size("words").alias("dl"), F.explode(counted(F.col("words"))).alias("w")).select(F.col("w.value").alias("term"), "chunk_id", F.col("w.n").alias("tf"), "dl")
-
-
-def small_or_merged(df: DataFrame, most: int) -> DataFrame:
-    """A stored table with the join hint that its number of rows calls for."""
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
-
-
-def parse_web_query(text: str) -> dict[str, list]:
-    """Words (all), alternatives (any), phrases and words to leave out."""
-    import re
-
-    out: dict[str, list] = {"words": [], "phrases": [], "out": [], "any": []}
-    parts = re.findall(r'(-?)"([^"]*)"|(-?)(\S+)', text.lower())
-    words = [(a or c, b or d, bool(b)) for a, b, c, d in parts]
-    skip = False
-    for i, (minus, word, phrase) in enumerate(words):
-        if word == "or" and not phrase:
-            continue
-        tokens = [t for t in re.findall(r"\w+", word) if t not in STOP_WORDS]
-        if not tokens or skip:
-            skip = False
-            continue
-        if minus:
-            out["out"] += tokens
-        elif phrase:
-            out["phrases"].append(" ".join(re.findall(r"\w+", word)))
-            out["words"] += tokens
-        elif i + 2 < len(words) and words[i + 1][1] == "or":
-            other = [t for t in re.findall(r"\w+", words[i + 2][1]) if t not in STOP_WORDS]
-            out["any"].append(tokens + other)
-            skip = True
-        else:
-            out["words"] += tokens
-    return out
-
-
-def parsed_questions(questions: DataFrame) -> DataFrame:
-    """``(question_id, kind, part, term)``: the alternatives of each part of a
-    question (``word``), words to leave out (``out``) and phrases (``phrase``)."""
-    asked = questions.select("question_id", F.coalesce("question", F.lit("")).alias("question"))
-    kind = asked.schema["question_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, rows = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                p = parse_web_query(text)
-                groups = [[w] for w in dict.fromkeys(p["words"])] + p["any"]
-                found = [("word", n, w) for n, g in enumerate(groups) for w in dict.fromkeys(g)] + [("out", -1, w) for w in dict.fromkeys(p["out"])] + [("phrase", -1, x) for x in dict.fromkeys(p["phrases"])]
-                at += [i] * len(found)
-                rows += found
-            columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=["question_id", "kind", "part", "term"])
-
-    return asked.mapInArrow(run, f"question_id {kind.simpleString()}, kind string, part int, term string")
-
-
-def fulltext_search(questions: DataFrame | list[tuple[int, str]], chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Web-style questions, one for each ``question_id``, over the inverted
-    index, ranked by BM25, over the question's best.  Words are not stemmed.
-    Any number of questions: their terms are joined."""
-    spark = chunks.sparkSession
-    if isinstance(questions, list):
-        questions = spark.createDataFrame(questions, "question_id long, question string")
-    parsed = stored(parsed_questions(questions))
-    asked = parsed.where("kind <> 'phrase'").select("question_id", "part", "term", (F.col("kind") == "out").alias("minus"))
-    wanted = asked.groupBy("question_id").agg((F.max("part") + 1).alias("parts"))
-    terms = stored(asked.select("term").distinct())
-    # the postings of what is asked for, written once: they count the documents of a term as well
-    postings = stored(inverted_index(chunks).join(small_or_merged(terms, MOST_TERMS), "term"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    length = F.size(index_words(F.col("text")))
-    size = chunks.agg(F.count("*").alias("total"), F.avg(F.when(length > 0, length)).alias("mean"))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    # one row: corpus size and mean length
-    weights = stored(df.crossJoin(F.broadcast(size)).select("term", "df", "total", "mean"))
-    joined = postings.join(weights.hint("merge"), "term").join(asked.hint("merge"), "term")
-    scored = joined.groupBy("question_id", "chunk_id").agg(
-        F.sum(F.when(~F.col("minus"), weight)).alias("score"), F.count_distinct(F.when(~F.col("minus"), F.col("part"))).alias("have"), F.bool_or("minus").alias("bad")
-    )
-    kept = scored.join(wanted.hint("merge"), "question_id").where("have = parts and not bad and parts > 0")
-    needed = parsed.where("kind = 'phrase'").select("question_id", F.col("term").alias("phrase"))
-    if not needed.isEmpty():
-        # phrases are looked for in the chunks that hold all their words
-        text = chunks.select("chunk_id", F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), " "), F.lit(" ")).alias("words"))
-        phrases = needed.groupBy("question_id").agg(F.collect_set("phrase").alias("phrases"))
-        kept = kept.join(phrases.hint("merge"), "question_id", "left").join(text.hint("merge"), "chunk_id")
-        kept = kept.where(F.coalesce(F.forall("phrases", lambda p: F.contains(F.col("words"), F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(True)))
-    top = best(kept.select("question_id", "chunk_id", F.round("score", 9).alias("score")), k, F.desc("score"), F.col("chunk_id"))
-    return top.withColumn("fulltext_score", F.col("score") / F.max("score").over(Window.partitionBy("question_id")))
-
-
-class Top:
-    """The k best rows of each question, of one task; ties: smaller key first."""
-
-    def __init__(self, questions: list, k: int):
-        self.questions, self.k = questions, k
-        self.held: list[list[tuple[float, object]]] = [[] for _ in questions]
-        self.least = np.full(len(questions), -np.inf)
-
-    def add(self, score: np.ndarray, keys: list) -> None:
-        """``score``: a row for each question, a column for each key."""
-        score = np.round(score, 9)
-        may = score >= self.least[:, None]
-        for q in np.flatnonzero(may.any(1)).tolist():
-            at, row, k = np.flatnonzero(may[q]), score[q], self.k
-            if len(at) > k:
-                at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
-            best_ = self.held[q] + [(-row[i], keys[i]) for i in at.tolist()]
-            self.held[q] = sorted(best_)[:k]
-            if len(self.held[q]) == k:
-                self.least[q] = -self.held[q][-1][0]
-
-    def rows(self) -> Iterator[tuple]:
-        for q, held in zip(self.questions, self.held):
-            for score, key in held:
-                yield q, key, -score
-
-
-def matrix_topk(questions: DataFrame, rows: DataFrame, k: int, pack: Callable[[pa.Array], dict[int, tuple[np.ndarray, np.ndarray]]], score: str, rank: str, block: int = MOST_QUESTIONS) -> DataFrame:
-    """The k rows ``(key, vector)`` with the largest inner product with each
-    question ``(question_id, vector)``, exactly.
-
-    Questions are read in blocks, each sent to the tasks as a file of the
-    session's broadcasts; a task compares a block with its rows as matrices.
-    ``pack`` makes matrices of a column of vectors, by their length: where each
-    row stood, and its unit vector.
-    """
-    spark, (qid, key) = rows.sparkSession, (questions.columns[0], rows.columns[0])
-    blocks, found = max(1, math.ceil(questions.count() / block)), None
-    kinds = [questions.schema[qid].dataType.simpleString(), rows.schema[key].dataType.simpleString()]
-    for n in range(blocks):
-        part = questions.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == n).toArrow().combine_chunks()
-        held = spark.sparkContext.broadcast((part.column(0).to_pylist(), part.column(1).combine_chunks() if part.num_rows else None))
-
-        def run(batches, held=held):
-            ids, vectors = held.value
-            asked = pack(vectors) if ids else {}
-            tops = {d: Top([ids[i] for i in at.tolist()], k) for d, (at, _) in asked.items()}
-            for b in batches:
-                keys = b.column(0).to_pylist()
-                for d, (at, m) in pack(b.column(1)).items():
-                    if d in tops:
-                        tops[d].add(asked[d][1] @ m.T, [keys[i] for i in at.tolist()])
-            out = [r for t in tops.values() for r in t.rows()]
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind_q), pa.array(columns[1], kind_k), pa.array(columns[2], pa.float64())], names=[qid, key, score])
-
-        kind_q, kind_k = (to_arrow_type(df.schema[c].dataType) for df, c in ((questions, qid), (rows, key)))
-        here = rows.mapInArrow(run, f"{qid} {kinds[0]}, {key} {kinds[1]}, {score} double")
-        found = here if found is None else found.unionByName(here)
-    return best(found, k, F.desc(score), F.col(key), rank=rank)
-
-
-def pack_dense(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Unit vectors by length; a zero vector stays zero, null and empty ones are left out."""
-    flat, size = np.asarray(column.flatten(), float), np.array([len(x) if x.is_valid else 0 for x in column])
-    stop, out = np.cumsum(size), {}
-    for d in np.unique(size[size > 0]).tolist():
-        at = np.flatnonzero(size == d)
-        x = flat[(stop[at] - d)[:, None] + np.arange(d)]
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        out[d] = at, x / np.where(n == 0, 1, n)
-    return out
-
-
-def pack_sparse(dims: int) -> Callable[[pa.Array], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    def pack(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        size, flat = np.diff(column.offsets.to_numpy()), column.flatten()
-        x = np.zeros((len(column), dims))
-        x[np.repeat(np.arange(len(column)), size), flat.field("idx").to_numpy()] = flat.field("weight").to_numpy()
-        return {dims: (np.arange(len(column)), x)}
-
-    return pack
+    hits = found.select("question_id", "chunk_id", "doc_pk", "page_number", "text", F.col("hits").cast("long").alias("hits"), matched.alias("matched"), "rank")
+    return hits.withColumn("keyword_score", F.col("hits") / most)
 
 
 def sparse_topk(questions: DataFrame, chunks: DataFrame, k: int, dims: int = DIMENSIONS) -> DataFrame:
     """Best chunks by inner product of sparse unit vectors: of ``(question_id,
     vector)`` with ``(chunk_id, vector)``.  Only chunks that share a dimension
-    with the question count."""
-    found = matrix_topk(questions.select("question_id", "vector"), chunks.select("chunk_id", "vector"), k, pack_sparse(dims), "semantic_score", "semantic_rank")
-    return found.where("semantic_score > 0")
+    with the question count.  Questions may have the ``LIMITS``, and chunks then
+    ``doc_pk`` and ``pools``."""
+    mine = [c for c in LIMITS if c in questions.columns]
+    limits = [c for c in ("doc_pk", "pools") if c in chunks.columns]
+    return scan_topk(questions.select("question_id", "vector", *mine), chunks.select("chunk_id", "vector", *limits), partial(Sparse, dims=dims), k, "semantic_score", "semantic_rank")
 
 
 def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = MOST_QUESTIONS) -> DataFrame:
@@ -311,7 +130,7 @@ def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "ve
     question vector, exactly.  Vectors of another length than the question's are
     passed over; a zero vector scores 0."""
     part = lambda df, name, c: df.select(name, F.col(c).cast("array<double>").alias("vector")).where(has_embedding(F.col("vector")))
-    return matrix_topk(part(questions, "question_id", "embedding"), part(vectors, key, column), k, pack_dense, "score", "rank", block)
+    return scan_topk(part(questions, "question_id", "embedding"), part(vectors, key, column), Dense, k, block=block)
 
 
 def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 24, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, seed: int = 5) -> DataFrame:
@@ -346,27 +165,79 @@ def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64
     return best(scored, k, F.desc("score"), F.col(key))
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, question_weights: DataFrame | None, chunk_weights: DataFrame | None, k: int = 10, weight: float = 0.5, mode: str = "hybrid", allowed: DataFrame | None = None, strict_filters: bool = True) -> DataFrame:
-    """Keyword and vector candidates, max(3k, 30) of each, merged by chunk.
-
-    Without vectors the effective mode is keyword.  ``allowed`` limits the
-    documents; with ``strict_filters=False`` it binds keyword candidates only.
+def hybrid_search(
+    questions: DataFrame,
+    chunks: DataFrame,
+    question_vectors: DataFrame | None,
+    chunk_vectors: DataFrame | None,
+    k: int = 10,
+    weight: float = 0.5,
+    mode: str = "hybrid",
+    allowed: DataFrame | None = None,
+    strict_filters: bool = True,
+    passed: DataFrame | None = None,
+    meaning: str = LEXICAL,
+) -> DataFrame:
+    """Keyword and vector candidates, max(3k, 30) of each, merged by chunk, with
+    the reasons why each was found (``meaning`` names the vectors' similarity).
+
+    Without vectors the effective mode is keyword.  A question may have a
+    ``mode`` of its own, and the ``LIMITS``.  If vectors are there but its own
+    is missing, that question alone falls back: a semantic one finds nothing, in
+    mode keyword; a hybrid one keeps its keyword share.  ``allowed`` limits the
+    documents of all questions, ``pool`` those of one; with
+    ``strict_filters=False`` both bind keyword candidates only.
     """
-    effective = "keyword" if question_weights is None or chunk_weights is None else mode
-    pool = max(3 * k, 30)
+    asked_mode = F.coalesce(F.col("mode"), F.lit(mode)) if "mode" in questions.columns else F.lit(mode)
+    own_k = F.coalesce(F.col("top_k"), F.lit(k)) if "top_k" in questions.columns else F.lit(k)
+    some = question_vectors is not None and chunk_vectors is not None
+    asked = questions.withColumn("__k", own_k).withColumn("mode", asked_mode if some else F.lit("keyword"))
+    if some:
+        have = question_vectors.select("question_id", F.lit(True).alias("__vector"))
+        asked = asked.join(have.hint("merge"), "question_id", "left")
+    else:
+        asked = asked.withColumn("__vector", F.lit(None).cast("boolean"))
+    lost = F.col("__vector").isNull() & (F.col("mode") == "semantic")
+    effective = F.when(lost, "keyword").otherwise(F.col("mode"))
+    # a question that lost its vector finds nothing, though its mode is keyword
+    asked = stored(asked.withColumn("effective_mode", effective).withColumn("__words", (effective != "semantic") & ~lost).withColumn("top_k", F.greatest(3 * F.col("__k"), F.lit(30))))
     mine = chunks if allowed is None else chunks.join(allowed.hint("merge"), "doc_pk", "left_semi")
-    keyword = keyword_search(questions, mine, pool).select("question_id", "chunk_id", "keyword_score", F.col("rank").alias("keyword_rank"))
-    if effective == "keyword":
-        merged = keyword.withColumn("semantic_score", F.lit(0.0)).withColumn("semantic_rank", F.lit(None).cast("int"))
+    limits = [c for c in LIMITS if c in asked.columns]
+
+    keyword = keyword_search(asked.where("__words").select("question_id", "question", *limits), mine, passed=passed)
+    merged = keyword.select("question_id", "chunk_id", "keyword_score", F.col("rank").alias("keyword_rank"), "matched")
+    if some:
+        near = chunk_vectors
+        if not strict_filters:
+            limits = [c for c in limits if c != "pool"]
+        elif allowed is not None:
+            near = near.join(mine.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
+        if "pool" in limits or "doc_pk" in limits:
+            near = near.select("chunk_id", "vector").join(chunks.select("chunk_id", "doc_pk").hint("merge"), "chunk_id")
+            near = limited(near, asked.select(*limits), passed)
+        open_ = asked.where("__vector and effective_mode in ('semantic', 'hybrid')").select("question_id", *limits)
+        vectors = question_vectors.select("question_id", "vector").join(open_.hint("merge"), "question_id").select("question_id", "vector", *limits)
+        merged = merged.join(sparse_topk(vectors, near, k).hint("merge"), ["question_id", "chunk_id"], "full_outer")
     else:
-        near = chunk_weights if allowed is None or not strict_filters else chunk_weights.join(mine.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
-        vector = sparse_topk(question_weights, near, pool)
-        if mode == "semantic":
-            merged = vector.withColumn("keyword_score", F.lit(0.0)).withColumn("keyword_rank", F.lit(None).cast("int"))
-        else:
-            merged = keyword.join(vector.hint("merge"), ["question_id", "chunk_id"], "full_outer")
-    kw, sem = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0))
-    combined = {"keyword": kw, "semantic": sem}.get(effective, (1 - weight) * kw + weight * F.greatest(sem, F.lit(0.0)))
-    scored = merged.select("question_id", "chunk_id", kw.alias("keyword_score"), sem.alias("semantic_score"), F.round(combined, 9).alias("combined_score"), "keyword_rank", "semantic_rank")
-    top = best(scored, k, F.desc("combined_score"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank"), F.col("chunk_id"))
-    return top.drop("keyword_rank", "semantic_rank").withColumn("effective_mode", F.lit(effective))
+        merged = merged.withColumn("semantic_score", F.lit(None).cast("double")).withColumn("semantic_rank", F.lit(None).cast("int"))
+
+    kw, sem, how = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0)), F.col("effective_mode")
+    combined = F.when(how == "keyword", kw).when(how == "semantic", sem).otherwise((1 - weight) * kw + weight * F.greatest(sem, F.lit(0.0)))
+    words = F.when(F.col("keyword_rank").isNotNull(), F.concat(F.lit("Keyword match: "), "matched"))
+    near_ = F.when(F.col("semantic_rank").isNotNull(), F.concat(F.lit(meaning + ": "), F.format_string("%.2f", "semantic_score")))
+    modes = asked.select("question_id", "effective_mode", F.col("__k").alias("__own_k"))
+    scored = merged.join(modes.hint("merge"), "question_id").select(
+        "question_id", "chunk_id", kw.alias("keyword_score"), sem.alias("semantic_score"), F.round(combined, 9).alias("combined_score"), "keyword_rank", "semantic_rank", "effective_mode", "__own_k", F.array_compact(F.array(words, near_)).alias("match_reasons")
+    )
+    w = Window.partitionBy("question_id").orderBy(F.desc("combined_score"), F.asc_nulls_last("keyword_rank"), F.asc_nulls_last("semantic_rank"), "chunk_id")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("__own_k"))
+    return top.select("question_id", "chunk_id", "keyword_score", "semantic_score", "combined_score", "rank", "effective_mode", "match_reasons")
+
+
+def mode_notes(questions: DataFrame, available: Column, mode: str = "hybrid") -> DataFrame:
+    """``(question_id, requested_mode, effective_mode, note)`` of every question
+    (with a ``mode`` of its own or without): without vectors all are keyword
+    searches, and those that asked for more get a note."""
+    asked = F.coalesce(F.col("mode"), F.lit(mode)) if "mode" in questions.columns else F.lit(mode)
+    note = F.when((asked != "keyword") & ~available, F.lit(NO_VECTORS))
+    return questions.select("question_id", asked.alias("requested_mode"), F.when(available, asked).otherwise("keyword").alias("effective_mode"), note.alias("note"))

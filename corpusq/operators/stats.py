@@ -65,25 +65,30 @@ def bars(counts: DataFrame, floor: float = 3.0) -> DataFrame:
 MOST_ROWS = 200
 
 
-def page_of(docs: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
-    """Newest rows first: one page of a listing, of 1 to ``MOST_ROWS`` rows."""
+def page_of(docs: DataFrame, order: str, limit: int, offset: int = 0, key: str | None = None) -> DataFrame:
+    """Newest rows first: one page of a listing, of 1 to ``MOST_ROWS`` rows.
+    Rows of one ``order`` value stand by ``key``, smaller first; null values last."""
     if not 1 <= limit <= MOST_ROWS or offset < 0:
         raise ValueError(f"limit is 1 to {MOST_ROWS}, offset at least 0")
-    return docs.orderBy(F.desc(order)).offset(offset).limit(limit)
+    return docs.orderBy(F.desc(order), *([F.asc(key)] if key else [])).offset(offset).limit(limit)
 
 
-def page_after(docs: DataFrame, order: str, limit: int, last=None) -> DataFrame:
-    """The page that follows the row whose ``order`` value is ``last``: without an
-    offset no row before it is read again."""
-    return page_of(docs if last is None else docs.where(F.col(order) < F.lit(last)), order, limit)
+def page_after(docs: DataFrame, order: str, limit: int, last: tuple | None = None, key: str = "doc_pk") -> DataFrame:
+    """The page that follows the row whose ``(order, key)`` is ``last``: without an
+    offset no row before it is read again, and none of its ties is lost."""
+    if last is not None:
+        value, own = F.col(order), last[1]
+        tie = value.eqNullSafe(F.lit(last[0])) & (F.col(key) > F.lit(own))
+        docs = docs.where(tie if last[0] is None else F.coalesce(value < F.lit(last[0]), F.lit(True)) | tie)
+    return page_of(docs, order, limit, key=key)
 
 
-def listing(docs: DataFrame, order: str, limit: int, offset: int = 0, unfiltered: DataFrame | None = None) -> DataFrame:
+def listing(docs: DataFrame, order: str, limit: int, offset: int = 0, unfiltered: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """A page of rows, each beside ``total``, the number of all that pass the
     filters.  ``unfiltered``: rows counted instead (the reference leaves the
     topic filter out of its total)."""
     total = (docs if unfiltered is None else unfiltered).agg(F.count("*").alias("total"))
-    return page_of(docs, order, limit, offset).crossJoin(F.broadcast(total))  # one row
+    return page_of(docs, order, limit, offset, key).crossJoin(F.broadcast(total))  # one row
 
 
 def search_fields(wanted: str, *columns: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,14 +12,16 @@ from corpusq.operators import explore as E
 from corpusq.operators import ingest as I
 from corpusq.operators import linkgraph as C
 from corpusq.operators import stats as A
+from corpusq.operators.gazetteer import tag_entities_by, tag_topics_by
 from corpusq.schema import REVIEW, foreign_key_violations, split_by_set
 from corpusq.schema import key_violations as violations
 from corpusq.shared import table
 from corpusq.sources import export as S
+from corpusq.sources.catalogue import taxonomy_tables
 from corpusq.streaming import ingest as Z
 
 from . import fixtures as fx
-from .registry import STATEMENTS, query
+from .registry import query
 
 
 @query("SELECT doc_pk, n = 1 AS accepted, CASE WHEN n > 1 THEN first END AS duplicate_of FROM (SELECT doc_pk, row_number() OVER w AS n, min(doc_pk) OVER (PARTITION BY sha256) AS first FROM fx_documents WINDOW w AS (PARTITION BY sha256 ORDER BY doc_pk))")
@@ -28,15 +31,36 @@ def dedup_exact(spark, sf):
 
 @query("SELECT doc_pk AS seq, n = 1 AS accepted, CASE WHEN n > 1 THEN first END AS duplicate_of, CASE WHEN n > 1 THEN 'sha256' END AS reason FROM (SELECT doc_pk, row_number() OVER (PARTITION BY sha256 ORDER BY doc_pk) AS n, min(doc_pk) OVER (PARTITION BY sha256) AS first FROM fx_documents)")
 def dedup_rounds(spark, sf):
-    return D.dedup_archive(fx.documents(spark, sf).select(F.col("doc_pk").alias("seq"), "sha256", F.lit(None).cast("string").alias("url")))
+    found = D.dedup_archive(fx.documents(spark, sf).select(F.col("doc_pk").alias("seq"), "sha256", F.lit(None).cast("string").alias("url")))
+    return found.drop("in_archive")
 
 
-@query()
+#: The rule, one arrival after the other, over the accepted rows so far.
+_SEQUENTIAL = """WITH d AS (SELECT doc_pk AS seq, sha256 AS h, source_key || '/' || (doc_pk % 97) AS u, {old} AS old FROM fx_documents),
+f AS (SELECT list_reduce((SELECT list({{'s': seq, 'h': h, 'u': u}} ORDER BY seq) FROM d WHERE NOT old), lambda s, x: CASE
+    WHEN list_contains(s.hs, x.h) THEN {{'hs': s.hs, 'us': s.us, 'ids': s.ids, 'out': list_append(s.out, {{'seq': x.s, 'dup': s.ids[list_position(s.hs, x.h)], 'reason': 'sha256'}})}}
+    WHEN list_contains(s.us, x.u) THEN {{'hs': s.hs, 'us': s.us, 'ids': s.ids, 'out': list_append(s.out, {{'seq': x.s, 'dup': s.ids[list_position(s.us, x.u)], 'reason': 'url'}})}}
+    ELSE {{'hs': list_append(s.hs, x.h), 'us': list_append(s.us, x.u), 'ids': list_append(s.ids, x.s), 'out': list_append(s.out, {{'seq': x.s, 'dup': NULL::BIGINT, 'reason': NULL::VARCHAR}})}} END,
+  (SELECT {{'hs': coalesce(list(h ORDER BY seq), []::VARCHAR[]), 'us': coalesce(list(u ORDER BY seq), []::VARCHAR[]), 'ids': coalesce(list(seq ORDER BY seq), []::BIGINT[]), 'out': []::STRUCT(seq BIGINT, dup BIGINT, reason VARCHAR)[]}} FROM d WHERE old)) AS s),
+o AS (SELECT unnest(s.out) AS r FROM f)
+SELECT r.seq AS seq, r.reason IS NULL AS accepted, r.dup AS duplicate_of, CASE WHEN r.dup IS NOT NULL THEN r.dup IN (SELECT seq FROM d WHERE old) END AS in_archive, r.reason AS reason FROM o"""
+
+
+def _arrivals(spark, sf):
+    return fx.documents(spark, sf).select(F.col("doc_pk").alias("seq"), "sha256", F.concat("source_key", F.lit("/"), F.col("doc_pk") % 97).alias("url"))
+
+
+@query(_SEQUENTIAL.format(old="false"))
 def dedup_archive(spark, sf):
-    """Hashes and URLs together depend on the order of arrival; tests compare
-    with the sequential rule."""
-    d = fx.documents(spark, sf).select(F.col("doc_pk").alias("seq"), "sha256", F.concat("source_key", F.lit("/"), F.col("doc_pk") % 701).alias("url"))
-    return D.dedup_archive(d)
+    """Hashes, else URLs, in order of arrival."""
+    return D.dedup_archive(_arrivals(spark, sf))
+
+
+@query(_SEQUENTIAL.format(old="doc_pk % 3 = 0"))
+def dedup_with_archive(spark, sf):
+    """The same, where every third document is there before."""
+    d = _arrivals(spark, sf)
+    return D.dedup_archive(d.where("seq % 3 <> 0"), d.where("seq % 3 = 0"))
 
 
 @query("SELECT first AS kept, count(*) - 1 AS copies FROM (SELECT min(doc_pk) OVER (PARTITION BY sha256) AS first FROM fx_documents) GROUP BY first HAVING count(*) > 1")
@@ -74,10 +98,19 @@ def step_statuses(spark, sf):
     return d.select("doc_pk", *I.step_states(k % 6 != 0, k % 9 == 0, k % 2 == 0, F.col("file_size") >= 40, True, k % 23 == 0))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS file_size, 'application/octet-stream' AS mime_type, false AS is_pdf FROM documents")
+@query("""SELECT doc_id, sha256(from_hex(CASE doc_id % 6 WHEN 0 THEN '255044462D' WHEN 1 THEN '89504E470D0A1A0A' WHEN 2 THEN 'FFD8FF' WHEN 3 THEN '49492A00' WHEN 4 THEN '4D4D002A' ELSE '' END || hex(encode(text)))) AS sha256,
+CAST(strlen(text) + CASE doc_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 ELSE 0 END AS BIGINT) AS file_size,
+CASE doc_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 5 THEN CASE WHEN doc_id % 4 = 1 THEN 'text/plain' ELSE 'application/octet-stream' END ELSE 'image/tiff' END AS mime_type, doc_id % 6 = 0 AS is_pdf FROM documents""")
 def file_facts(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("declared_mime"))
-    return I.file_facts(d).select("doc_id", "sha256", "file_size", "mime_type", "is_pdf")
+    """Bytes with the beginnings of known types before them, declared types that
+    are wrong, and unknown ones."""
+    k = F.col("doc_id")
+    start = F.lit("")
+    for n, first in enumerate(("255044462D", "89504E470D0A1A0A", "FFD8FF", "49492A00", "4D4D002A")):
+        start = F.when(k % 6 == n, F.lit(first)).otherwise(start)
+    content = F.concat(F.unhex(start), F.col("text").cast("binary"))
+    declared = F.when(k % 4 == 1, F.lit("text/plain"))
+    return I.file_facts(table(spark, sf, "documents").select("doc_id", content.alias("content"), declared.alias("declared_mime"))).select("doc_id", "sha256", "file_size", "mime_type", "is_pdf")
 
 
 @query("""SELECT (SELECT count(*) FROM fx_documents WHERE NOT is_demo) AS documents, (SELECT count(*) FROM fx_documents WHERE NOT is_demo AND ocr_status = 'succeeded') AS ocr_succeeded,
@@ -182,10 +215,16 @@ def document_listing(spark, sf):
     return A.listing(mine.join(topic.hint("merge"), "doc_pk", "left_semi").select("doc_pk", "title"), "doc_pk", 50, 20)
 
 
-@query("SELECT doc_pk, title FROM fx_documents WHERE doc_pk < 150 ORDER BY doc_pk DESC LIMIT 30")
+@query("SELECT doc_pk, doc_date FROM fx_documents WHERE doc_date < '1975' OR (doc_date = '1975' AND doc_pk > 125) OR doc_date IS NULL ORDER BY doc_date DESC NULLS LAST, doc_pk LIMIT 60")
 def document_next_page(spark, sf):
-    """The page after a row, without an offset."""
-    return A.page_after(fx.documents(spark, sf).select("doc_pk", "title"), "doc_pk", 30, last=150)
+    """The page after a row, without an offset: many documents share a date."""
+    return A.page_after(fx.documents(spark, sf).select("doc_pk", "doc_date"), "doc_date", 60, last=("1975", 125))
+
+
+@query("SELECT doc_pk, doc_date FROM fx_documents ORDER BY doc_date DESC NULLS LAST, doc_pk LIMIT 60 OFFSET 45")
+def document_offset_page(spark, sf):
+    """A page by its offset, ties by key."""
+    return A.page_of(fx.documents(spark, sf).select("doc_pk", "doc_date"), "doc_date", 60, 45, key="doc_pk")
 
 
 @query("SELECT c.collection_key, count(d.doc_pk) AS n FROM (SELECT DISTINCT collection_key FROM fx_documents WHERE collection_key IS NOT NULL UNION SELECT 'empty') c LEFT JOIN fx_documents d USING (collection_key) GROUP BY 1")
@@ -363,13 +402,17 @@ def _classified(spark, sf):
     return C.classify_fetches(fx.fetches(spark, sf), ["org", "com"], [".pdf"])
 
 
-@query(f"""{_OUTCOMES} SELECT run_id, count(*) AS urls_seen, count(*) FILTER (WHERE outcome = 'blocked') AS urls_blocked, count(*) FILTER (WHERE outcome = 'failed') AS urls_failed, count(*) FILTER (WHERE outcome = 'downloaded') AS urls_downloaded,
-count(*) FILTER (WHERE outcome = 'skipped') AS urls_skipped, count(*) FILTER (WHERE outcome = 'page') AS pages_read, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_seconds, coalesce(string_agg(CASE WHEN outcome = 'failed' AND n <= 5 THEN url END, chr(10) ORDER BY ts, url), '') AS errors FROM (SELECT *, row_number() OVER (PARTITION BY run_id, outcome ORDER BY ts, url) AS n FROM o) GROUP BY run_id""")
+_REPORT = f"""{_OUTCOMES} SELECT run_id, count(*) AS urls_seen, count(*) FILTER (WHERE outcome = 'blocked') AS urls_blocked, count(*) FILTER (WHERE outcome = 'failed') AS urls_failed, count(*) FILTER (WHERE outcome = 'downloaded') AS urls_downloaded,
+count(*) FILTER (WHERE outcome = 'skipped') AS urls_skipped, count(*) FILTER (WHERE outcome = 'page') AS pages_read, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_seconds, coalesce(string_agg(CASE WHEN outcome = 'failed' AND n <= 100 THEN url END, chr(10) ORDER BY ts, url), '') AS errors FROM (SELECT *, row_number() OVER (PARTITION BY run_id, outcome ORDER BY ts, url) AS n FROM o) GROUP BY run_id"""
+
+
+@query(_REPORT)
 def crawl_report(spark, sf):
-    return C.crawl_report(_classified(spark, sf), errors=5)
+    """With the reference's limit of 100 errors a report."""
+    return C.crawl_report(_classified(spark, sf))
 
 
-@query(f"""WITH r AS ({STATEMENTS["crawl_report"].replace("n <= 5 ", "n <= 100 ")})
+@query(f"""WITH r AS ({_REPORT})
 SELECT run_id, md5('# Crawl ' || run_id || chr(10) || '- urls_seen: ' || urls_seen || chr(10) || '- urls_blocked: ' || urls_blocked || chr(10) || '- urls_failed: ' || urls_failed || chr(10) || '- urls_downloaded: ' || urls_downloaded || chr(10) || '- urls_skipped: ' || urls_skipped || chr(10)
 || '- pages_read: ' || pages_read || chr(10) || '- duration_seconds: ' || duration_seconds || chr(10) || '## Errors' || CASE WHEN errors = '' THEN '' ELSE chr(10) || '- ' || array_to_string(list_slice(string_split(errors, chr(10)), 1, 50), chr(10) || '- ') END) AS markdown_md5 FROM r""")
 def crawl_report_markdown(spark, sf):
@@ -378,12 +421,6 @@ def crawl_report_markdown(spark, sf):
     return found.select("run_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
 
 
-@query(STATEMENTS["crawl_report"].replace("n <= 5 ", "n <= 100 "))
-def crawl_report_100(spark, sf):
-    """With the reference's limit of 100 errors a report."""
-    return C.crawl_report(_classified(spark, sf))
-
-
 @query("SELECT page_id, gap_seconds FROM (SELECT page_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts, url)) / 1e6 AS gap_seconds FROM fx_fetches) WHERE gap_seconds < 20")
 def politeness_gaps(spark, sf):
     return C.politeness_gaps(fx.fetches(spark, sf), 0.05).select("page_id", "gap_seconds")
@@ -402,10 +439,26 @@ def manifest(spark, sf):
     return S.manifest(fx.documents(spark, sf))
 
 
-@query("SELECT doc_pk AS id, document_id, title, author, doc_date AS date, date_precision, language, sha256, is_demo, ocr_status, text_extraction_status, index_status, embedding_status FROM fx_documents")
+@query("""SELECT doc_pk AS id, document_id, title, author, doc_date AS date, date_precision, document_type, CAST(1 + doc_pk % 9 AS INTEGER) AS page_count, language, source_url, CASE WHEN doc_pk % 4 = 0 THEN 'https://web.example.org/' || doc_pk END AS archived_url,
+'unknown' AS rights_status, 'open' AS access_status, sha256, is_demo, ocr_status, text_extraction_status, index_status, embedding_status, 'pdf' AS metadata_source, 'unreviewed' AS review_status, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_pk), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS retrieved_at FROM fx_documents""")
 def catalogue(spark, sf):
-    kept = "id document_id title author date date_precision language sha256 is_demo ocr_status text_extraction_status index_status embedding_status".split()
-    return S.catalogue(fx.documents(spark, sf), include_demo=True).select(*kept)
+    """All 22 fields of the summary."""
+    return S.catalogue(_described(spark, sf), include_demo=True)
+
+
+def _described(spark, sf):
+    k = F.col("doc_pk")
+    return fx.documents(spark, sf).select(
+        "*", (1 + k % 9).cast("int").alias("page_count"), F.when(k % 4 == 0, F.concat(F.lit("https://web.example.org/"), k)).alias("archived_url"), F.lit("unknown").alias("rights_status"), F.lit("open").alias("access_status"),
+        F.lit("pdf").alias("metadata_source"), F.lit("unreviewed").alias("review_status"), F.timestamp_seconds(F.lit(1704067200) + k).alias("retrieved_at"), F.concat(F.lit("/files/"), "document_id").alias("local_path"), F.lit("application/pdf").alias("mime_type"),
+    )
+
+
+@query("""SELECT document_id, title, author, doc_date AS date, document_type AS "type", source_url, CASE WHEN doc_pk % 4 = 0 THEN 'https://web.example.org/' || doc_pk END AS archived_url, '/files/' || document_id AS local_path, sha256, 'application/pdf' AS mime_type, file_size,
+CAST(1 + doc_pk % 9 AS INTEGER) AS page_count, ocr_status, index_status, 'unknown' AS rights_status, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_pk), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS retrieved_at FROM fx_documents""")
+def manifest_by_script(spark, sf):
+    """The script's manifest: demo documents too, and a type of its own name."""
+    return S.manifest(_described(spark, sf), include_demo=True, type_name="type")
 
 
 @query("""SELECT document_id, '@misc{' || replace(document_id, '-', '') || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {' || title || '}', '  author = {' || author || '}', '  year = {' || substr(doc_date, 1, 4) || '}', '  url = {' || source_url || '}', '  note = {Document ID ' || document_id || '; SHA256 ' || sha256 || '}') || chr(10) || '}' AS entry FROM fx_documents WHERE NOT is_demo""")
@@ -423,12 +476,57 @@ def fk_violations(spark, sf):
     return foreign_key_violations(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", table(spark, sf, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey")
 
 
-@query("SELECT c.chunk_id, c.page_number, md5(c.text) AS text_md5 FROM fx_chunks c WHERE c.doc_pk IN (SELECT min(doc_id) FROM documents GROUP BY sha256(text))")
+def _streamed(spark, sf, outputs=None):
+    k = F.col("doc_id")
+    prepare = lambda df: df.select(
+        k.alias("doc_pk"), F.sha2("text", 256).alias("sha256"), "text", F.timestamp_seconds(F.lit(1704067200) + k).alias("retrieved_at"), F.concat("source", F.lit("/"), k % 97).alias("source_url")
+    )
+    return Z.ingest_folder(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema, prepare, outputs)
+
+
+_ACCEPTED = "WITH " + _SEQUENTIAL.format(old="false").removeprefix("WITH ").split("SELECT r.seq AS seq")[0] + ", accepted AS (SELECT r.seq AS doc_pk FROM o WHERE r.reason IS NULL)"
+
+
+@query(f"{_ACCEPTED} SELECT c.chunk_id, c.page_number, md5(c.text) AS text_md5 FROM fx_chunks c WHERE c.doc_pk IN (SELECT doc_pk FROM accepted)")
 def stream_ingest(spark, sf):
-    source = table(spark, sf, "documents")
-    prepare = lambda df: df.select(F.col("doc_id").alias("doc_pk"), F.sha2("text", 256).alias("sha256"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("retrieved_at"))
-    _, chunks = Z.ingest_folder(spark, f"{sf}/documents.parquet", source.schema, prepare)
-    return chunks.select("chunk_id", "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """Chunks of what a stream of documents brings in, by hash, else URL."""
+    return _streamed(spark, sf)("chunks").select("chunk_id", "page_number", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"{_ACCEPTED} SELECT doc_pk, topic_key, label, keyword, md5(evidence) AS evidence_md5 FROM fx_topic_tags WHERE doc_pk IN (SELECT doc_pk FROM accepted)")
+def stream_tags(spark, sf):
+    """Topics of what the stream brings in, tagged as it arrives."""
+    topics, _ = taxonomy_tables(spark, fx.TOPICS, fx.NAMES)
+    found = _streamed(spark, sf, {"topic_tags": lambda docs: tag_topics_by(docs, topics)})("topic_tags")
+    return found.select("doc_pk", "topic_key", "label", "keyword", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
+
+
+#: A taxonomy from the data: words of the benchmark as names and as keywords.
+_WORDS = r"""WITH w AS (SELECT DISTINCT item_id, x AS word FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS x FROM benchmark)), v AS (SELECT word, min(item_id) AS item_id FROM w GROUP BY 1)"""
+
+
+def _benchmark_words(spark, sf):
+    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.min("item_id").alias("item_id"))
+
+
+@query(rf"""{_WORDS}, p AS (SELECT DISTINCT doc_pk, page_number, t FROM (SELECT doc_pk, page_number, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS t FROM fx_pages))
+SELECT doc_pk, page_number, 'ITEM' || (item_id % 4) AS entity_type, word AS name FROM p JOIN v ON t = word""")
+def entity_tags_by_table(spark, sf):
+    """Thousands of names in one pass over the pages."""
+    names = _benchmark_words(spark, sf).select(F.concat(F.lit("ITEM"), F.col("item_id") % 4).alias("entity_type"), F.col("word").alias("name"))
+    return tag_entities_by(fx.pages(spark, sf), names).drop("mention")
+
+
+@query(f"""{_WORDS}, t AS (SELECT 'item' || item_id AS topic_key, word AS keyword, row_number() OVER (PARTITION BY item_id ORDER BY word DESC) AS kw_ord FROM v),
+h AS (SELECT doc_id AS doc_pk, text, topic_key, keyword, instr(lower(text), keyword) AS pos, row_number() OVER (PARTITION BY doc_id, topic_key ORDER BY kw_ord) AS n FROM documents JOIN t ON contains(lower(text), keyword))
+SELECT doc_pk, topic_key, keyword, md5(trim(substr(text, greatest(1, pos - 40), pos + length(keyword) + 40 - greatest(1, pos - 40)), chr(10) || ' ')) AS evidence_md5 FROM h WHERE n = 1""")
+def topic_tags_by_table(spark, sf):
+    """As many topics as the benchmark has items, by their words."""
+    order = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("word")))
+    topics = _benchmark_words(spark, sf).select(F.concat(F.lit("item"), "item_id").alias("topic_key"), F.lit("Item").alias("label"), order.alias("kw_ord"), F.col("word").alias("keyword"))
+    found = tag_topics_by(table(spark, sf, "documents").select(F.col("doc_id").alias("doc_pk"), "text"), topics)
+    return found.select("doc_pk", "topic_key", "keyword", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
 
 
 @query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusq.operators.chunk import chunk_pages
 from corpusq.operators.pages import line_pages, segment_pages
 from corpusq.operators.tag import tag_entities, tag_topics
-from corpusq.shared import table
+from corpusq.shared import stored, table
 
 TOPICS = [
     ("license", "License", ["license"]),
@@ -19,7 +19,8 @@ TOPICS = [
     ("absent", "Absent", ["war", "map"]),
 ]
 NAMES = [("TERM", "License"), ("TERM", "token"), ("WORD", "that"), ("WORD", "die"), ("WORD", "les")]
-QUESTIONS = [(1, "license"), (2, "token"), (3, "tion the"), (4, "   "), (5, "zzzunknownzzz"), (6, "the the")]
+#: Questions that are blank, unknown or repeat a word, beside those of the user turns
+ODD_QUESTIONS = [("q1", "license"), ("q2", "token"), ("q3", "tion the"), ("q4", "   "), ("q5", "zzzunknownzzz"), ("q6", "the the")]
 
 SQL_VIEWS: dict[str, str] = {
     "fx_documents": """
@@ -55,10 +56,9 @@ SELECT doc_pk || '-c' || printf('%04d', base + i - 1) AS chunk_id, doc_pk, page_
   CAST(cuts[i].s AS INTEGER) AS char_start, CAST(cuts[i].e AS INTEGER) AS char_end, CAST(greatest(1, length(cuts[i].t) // 4) AS INTEGER) AS token_estimate
 FROM (SELECT doc_pk, page_number, cuts, base, unnest(range(1, len(cuts) + 1)) AS i FROM (
   SELECT *, CAST(coalesce(sum(len(cuts)) OVER (PARTITION BY doc_pk ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM fx_cuts))""",
-    "fx_questions": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") AS q(question_id, question)",
-    "fx_turns": r"""
-SELECT conv_id || '-' || turn AS question_id, array_to_string(list_slice(list_filter(regexp_split_to_array(min(text), '\s+'), lambda x: x <> ''), 1, 3), ' ') AS question
-FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY conv_id, turn""",
+    "fx_questions": "SELECT conv_id || '-' || turn AS question_id, min(text) AS question FROM conversations WHERE role = 'user' AND conv_id % 20 = 0 GROUP BY conv_id, turn UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"('{i}', '{q}')" for i, q in ODD_QUESTIONS)
+    + ") AS q(question_id, question)",
     "fx_topics": "SELECT * FROM (VALUES " + ", ".join(f"({o}, '{k}', '{label}', {j}, '{w}')" for o, (k, label, ws) in enumerate(TOPICS) for j, w in enumerate(ws)) + ") AS t(topic_ord, topic_key, label, kw_ord, keyword)",
     "fx_topic_tags": """
 SELECT doc_pk, topic_key, label, keyword, trim(substr(text, greatest(1, pos - 40), pos + length(keyword) + 40 - greatest(1, pos - 40)), chr(10) || ' ') AS evidence
@@ -125,15 +125,16 @@ def chunks(spark: SparkSession, sf: str, native: bool = False) -> DataFrame:
     return chunk_pages(pages(spark, sf), native=native)
 
 
-def questions(spark: SparkSession, sf: str = "") -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "question_id int, question string")
+def kept_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks, written once for what reads them several times."""
+    return stored(chunks(spark, sf))
 
 
-def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """First three words of the user turns of every 20th conversation."""
-    asked = table(spark, sf, "conversations").where("role = 'user' and conv_id % 20 = 0").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return asked.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.array_join(F.slice(words, 1, 3), " ").alias("question"))
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole user turns of every 20th conversation, and the odd ones."""
+    asked = table(spark, sf, "conversations").where("role = 'user' and conv_id % 20 = 0").groupBy("conv_id", "turn").agg(F.min("text").alias("question"))
+    turns = asked.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), "question")
+    return turns.unionByName(spark.createDataFrame(ODD_QUESTIONS, "question_id string, question string"))
 
 
 def topic_tags(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,8 +12,6 @@ from .fixtures import SQL_VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The SQL without its views
-STATEMENTS: dict[str, str] = {}
 
 
 def with_views(sql: str) -> str:
@@ -48,18 +46,7 @@ def query(sql: str | None = None):
 
         QUERIES[f.__name__] = run
         if sql:
-            STATEMENTS[f.__name__] = sql
             ORACLES[f.__name__] = with_views(sql)
         return f
 
     return add
-
-
-def query_over(f, ending: str, ask) -> None:
-    """Register ``f`` once more, over another question table and its view."""
-
-    def again(spark, sf):
-        return f(spark, sf, ask)
-
-    again.__name__, again.__doc__ = f"{f.__name__}_{ending}", f.__doc__
-    query(STATEMENTS[f.__name__].replace("fx_questions", f"fx_{ending}"))(again)

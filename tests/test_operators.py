@@ -272,7 +272,9 @@ def test_hybrid_modes(spark):
 
 def test_many_questions(spark, monkeypatch):
     """More questions than go to the tasks at once: as if each were alone."""
-    monkeypatch.setattr(R, "MOST_QUESTIONS", 4)
+    from corpusq.operators import scan
+
+    monkeypatch.setattr(scan.scan_topk, "__defaults__", ("score", "rank", 4))
     q = spark.createDataFrame([(i, f"w{i} the") for i in range(11)], "question_id int, question string")
     c = spark.createDataFrame([(f"c{i:02}", i, 1, f"the w{i} and w{i + 1}") for i in range(12)], "chunk_id string, doc_pk long, page_number int, text string")
     got = R.keyword_search(q, c, 2).collect()
@@ -285,17 +287,73 @@ def test_many_questions(spark, monkeypatch):
     assert {(r.question_id, r.chunk_id) for r in R.sparse_topk(weights, held, 1).collect()} == {(i, f"c{i % 3}") for i in range(11)}
 
 
-def test_fulltext_over_a_table(spark):
-    q = spark.createDataFrame([("a", '"quick brown"'), ("b", "quick -fox"), ("c", None)], "question_id string, question string")
-    c = spark.createDataFrame([("c1", "the quick brown fox"), ("c2", "brown quick bear")], "chunk_id string, text string")
-    assert {(r.question_id, r.chunk_id) for r in R.fulltext_search(q, c, 5).collect()} == {("a", "c1"), ("b", "c2")}
+def test_terms_are_parts_of_texts(spark):
+    """Short terms, repeated and overlapping ones, against counting."""
+    rng = random.Random(3)
+    text = {f"c{i:03}": "".join(rng.choice("ab cé🤣") for _ in range(rng.randrange(60))) for i in range(80)} | {"c900": None, "c901": ""}
+    asked = {i: " ".join("".join(rng.choice("abcé🤣") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(5))) for i in range(60)} | {70: None, 71: " \t "}
+    c = chunks(spark, [(k, 1, 1, t) for k, t in text.items()]).repartition(3)
+    got = R.keyword_search(spark.createDataFrame(list(asked.items()), "question_id int, question string"), c, 4).collect()
+    for i, q in asked.items():
+        terms = (q or "").lower().split()
+        hits = sorted((-sum((t or "").count(w) for w in terms), k) for k, t in text.items())
+        mine = sorted((r for r in got if r.question_id == i), key=lambda r: r.rank)
+        assert [(-r.hits, r.chunk_id) for r in mine] == [h for h in hits if h[0]][:4]
+        assert all(r.matched == ", ".join(w for w in terms if w in text[r.chunk_id]) for r in mine)
+
+
+def test_questions_with_limits_of_their_own(spark):
+    c = chunks(spark, [(f"c{i}", i % 3, 1, "red fox " * (i + 1)) for i in range(9)])
+    q = spark.createDataFrame([(1, "fox", None, None, 4), (2, "fox", 1, None, 9), (3, "fox", None, "odd", 1), (4, "fox", 0, "odd", 9), (5, "fox", None, None, 0)], "question_id int, question string, doc_pk long, pool string, top_k int")
+    passed = spark.createDataFrame([(1, ["odd", "other"]), (2, None)], "doc_pk long, pools array<string>")
+    got = R.keyword_search(q, c, 2, passed=passed).collect()
+    by = {i: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.question_id == i] for i in range(1, 6)}
+    assert by == {1: ["c8", "c7", "c6", "c5"], 2: ["c7", "c4", "c1"], 3: ["c7"], 4: [], 5: []}
+
+
+def test_modes_of_single_questions(spark):
+    from corpusq.operators.embed import hash_vectors
+
+    c = chunks(spark, [("a", 1, 1, "red fox"), ("b", 2, 1, "red red dog"), ("c", 3, 1, "blue fox")])
+    q = spark.createDataFrame([(1, "red", "keyword"), (2, "red", "semantic"), (3, "red", None), (4, "red", "semantic"), (5, "red", "hybrid")], "question_id long, question string, mode string")
+    vectors = hash_vectors(q.where("question_id < 4"), "question_id", "question")
+    got = R.hybrid_search(q, c, vectors, hash_vectors(c, "chunk_id"), weight=0.5).collect()
+    modes = {i: {r.effective_mode for r in got if r.question_id == i} for i in range(1, 6)}
+    assert modes == {1: {"keyword"}, 2: {"semantic"}, 3: {"hybrid"}, 4: set(), 5: {"hybrid"}}
+    best = {i: next(r for r in got if r.question_id == i and r.rank == 1) for i in (1, 2, 3, 5)}
+    assert best[1].match_reasons == ["Keyword match: red"] and best[2].match_reasons[0].startswith(R.LEXICAL + ": 0.") and len(best[3].match_reasons) == 2
+    assert best[5].combined_score == 0.5 and best[5].semantic_score == 0 and best[1].combined_score == 1
+    real = R.hybrid_search(q.where("question_id = 2"), c, vectors, hash_vectors(c, "chunk_id"), meaning=R.SEMANTIC).collect()
+    assert all(r.match_reasons == [f"Semantic similarity: {r.semantic_score:.2f}"] for r in real)
+
+
+def test_web_questions():
+    from corpusq.operators.fulltext import parse_web_query as parse
+
+    word = lambda w, minus=False: (minus, [(w, 0)])
+    assert parse("a b") == [[word("b")]] and parse("the") == [] and parse("") == []
+    assert parse("x or y or z") == [[word("x")], [word("y")], [word("z")]]
+    assert parse('"x y" or z') == [[(False, [("x", 0), ("y", 1)])], [word("z")]]
+    assert parse("x or -y") == [[word("x")], [word("y", True)]]
+    assert parse('x -"y z"') == [[word("x"), (True, [("y", 0), ("z", 1)])]]
+    assert parse("foo_bar x") == [[(False, [("foo", 0), ("bar", 1)]), word("x")]]
+    assert parse('"the x of the y"') == [[(False, [("x", 0), ("y", 3)])]]
+    assert parse("x y or z w") == [[word("x"), word("y")], [word("z"), word("w")]]
+    assert parse("or x or or the or") == [[word("x")]] and parse('"x') == [[word("x")]] and parse("-") == []
 
 
 def test_fulltext(spark):
-    c = chunks(spark, [("a", 1, 1, "the quick brown fox"), ("b", 2, 1, "brown quick fox"), ("c", 3, 1, "quick snail"), ("d", 4, 1, "brown bear")])
-    got = R.fulltext_search([(1, '"quick brown"'), (2, "quick -fox"), (3, "fox OR bear"), (4, "the"), (5, "quick brown")], c).collect()
-    by = {k: {r.chunk_id for r in got if r.question_id == k} for k in range(1, 6)}
-    assert by == {1: {"a"}, 2: {"c"}, 3: {"a", "b", "d"}, 4: set(), 5: {"a", "b"}}
+    from corpusq.operators.fulltext import fulltext_search
+
+    c = chunks(spark, [("a", 1, 1, "the quick brown fox"), ("b", 2, 1, "brown quick fox"), ("c", 3, 1, "quick snail"), ("d", 4, 1, "brown bear"), ("e", 5, 1, None), ("f", 6, 1, "the")])
+    asked = {
+        1: ('"quick brown"', "a"), 2: ("quick -fox", "c"), 3: ("snail OR bear or nowhere", "cd"), 4: ("the", ""), 5: ("quick brown", "ab"), 6: ('"brown quick" or bear', "bd"), 7: ("snail or -brown", "cf"),
+        8: ('fox -"quick brown"', "b"), 9: ("quick_brown", "a"), 10: ("quick snail or brown bear", "cd"), 11: ("-quick", "df"), 12: (None, ""), 13: ("quick nowhere", ""), 14: ("-nowhere", "abcdf"), 15: ('"the quick the fox"', "a"), 16: ("quick -quick", ""),
+    }
+    q = spark.createDataFrame([(i, text) for i, (text, _) in asked.items()], "question_id long, question string")
+    got = fulltext_search(q, c).collect()
+    assert {i: "".join(sorted(r.chunk_id for r in got if r.question_id == i)) for i in asked} == {i: want for i, (_, want) in asked.items()}
+    assert all(r.score == 0 and r.fulltext_score == 0 for r in got if r.question_id in (11, 14))
 
 
 def test_citations(spark):
@@ -342,8 +400,106 @@ def test_stream_dedup_with_state(spark, tmp_path):
         spark.createDataFrame([(k * 10 + j, f"h{j % 2}", "some text", f"2024-01-01 00:0{k}:00") for j in range(4)], "doc_pk long, sha256 string, text string, at string").selectExpr("doc_pk", "sha256", "text", "timestamp(at) AS retrieved_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     landing = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest_stream(landing, str(tmp_path / "a"), str(tmp_path / "c"), str(tmp_path / "s"), watermark="1 hour")
-    assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "a")).collect()) == ["h0", "h1"]
+    ingest_stream(landing, str(tmp_path / "a"), str(tmp_path / "s"), watermark="1 hour")
+    assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "a" / "documents")).collect()) == ["h0", "h1"]
+    assert spark.read.parquet(str(tmp_path / "a" / "chunks")).count() == 2
+
+
+def test_stream_is_sequential_over_batches(spark, tmp_path):
+    """Three batches by hash, else URL, each with the buckets of its own keys."""
+    from corpusq.streaming import ingest as Z
+
+    rng = random.Random(7)
+    rows = [(k, rng.choice("abcdefgh") + str(k // 12), f"text {k}", "2024-01-01 00:00:00", rng.choice(["u1", "u2", "u3", f"v{k}", "", None])) for k in range(60)]
+    rows += [(100 + k, *r[1:]) for k, r in enumerate(rows[:20])]
+    ddl = "doc_pk long, sha256 string, text string, at string, source_url string"
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        spark.createDataFrame(part, ddl).selectExpr("doc_pk", "sha256", "text", "timestamp(at) AS retrieved_at", "source_url").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    landing = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    Z.ingest_stream(landing, str(tmp_path / "a"), str(tmp_path / "s"), {"lengths": lambda d: d.selectExpr("doc_pk", "length(text) AS n")}, buckets=8)
+    order = {r.doc_pk: r.epoch for r in spark.read.parquet(str(tmp_path / "a" / "documents")).collect()}
+    want = {i for i, v in sequential([(i, h, u) for i, h, _, _, u in rows]).items() if v[0]}
+    assert set(order) == want and set(order.values()) <= {0, 1, 2}
+    assert {r.doc_pk for r in spark.read.parquet(str(tmp_path / "a" / "lengths")).collect()} == want
+    held = spark.read.parquet(str(tmp_path / "a" / "hashes"))
+    assert {(r.seq, r.key) for r in held.collect()} == {(i, h) for i, h, *_ in rows if i in want} and held.where("bucket not between 0 and 7").count() == 0
+
+
+def test_dedup_against_an_archive(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = [(k, rng.choice(["a", "b", "c", "d", "e", "", None]), rng.choice(["p", "q", "r", "s", "t", None])) for k in range(30)]
+        old = [r for r in rows if r[0] < 8]
+        want = {}
+        hs, us = {}, {}
+        for seq, h, u in old:
+            hs.setdefault(h, seq), us.setdefault(u, seq)
+        for seq, h, u in rows[8:]:
+            if h and h in hs:
+                want[seq] = (False, hs[h], "sha256")
+            elif u and u in us:
+                want[seq] = (False, us[u], "url")
+            else:
+                want[seq] = (True, None, None)
+                hs.setdefault(h, seq), us.setdefault(u, seq)
+        ddl = "seq long, sha256 string, url string"
+        got = D.dedup_archive(spark.createDataFrame(rows[8:], ddl), spark.createDataFrame(old, ddl)).collect()
+        assert {r.seq: (r.accepted, r.duplicate_of, r.reason) for r in got} == want
+        assert all(r.in_archive == (r.duplicate_of < 8) for r in got if not r.accepted)
+
+
+def test_names_from_a_table(spark):
+    """50,000 names and 1,200 topics against plain search."""
+    from corpusq.operators import gazetteer as G
+
+    rng = random.Random(9)
+    letters = "abcdeé"
+    words = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(90_000)))[:50_000]
+    names = [(f"T{i % 3}", w.title() if i % 2 else w) for i, w in enumerate(words)] + [("T0", words[0]), ("X", "a.b_"), ("X", "")]
+    texts = [(i, 1, " ".join(rng.choice(words).upper() if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randrange(30))) + rng.choice([" a.b_", "_a.b_", " İa.b_x", ""])) for i in range(40)] + [(99, 1, None), (98, 1, "")]
+    got = {tuple(r) for r in G.tag_entities_by(pages(spark, texts), spark.createDataFrame(names, "entity_type string, name string")).collect()}
+    want = set()
+    for i, p, t in texts:
+        for kind, name in set(names):
+            if name and t and name.lower() in t.lower() and (m := re.search(rf"(?i)(?<![^\W_])(?<!_){re.escape(name)}(?![^\W_])(?!_)", t)):
+                want.add((i, p, kind, name, m.group()))
+    assert got == want and len(got) > 300
+    topics = [(f"k{n // 3}", "L", n % 3, w) for n, w in enumerate(words[:3600])]
+    docs = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_pk long, text string")
+    by = {(r.doc_pk, r.topic_key): (r.keyword, r.evidence) for r in G.tag_topics_by(docs, spark.createDataFrame(topics, "topic_key string, label string, kw_ord int, keyword string")).collect()}
+    want = {}
+    for i, _, t in texts:
+        for key, _, _, w in topics:
+            at = (t or "").lower().find(w)
+            if at >= 0:
+                want.setdefault((i, key), (w, t[max(0, at - 40) : at + len(w) + 40].strip()))
+    assert by == want
+
+
+def test_names_in_blocks(spark, monkeypatch):
+    from corpusq.operators import gazetteer as G
+
+    monkeypatch.setattr(G, "MOST_ENTRIES", 2)
+    names = spark.createDataFrame([("A", "red"), ("B", "red"), ("A", "fox"), ("A", "den"), ("A", "sky")], "entity_type string, name string")
+    got = {tuple(r)[2:] for r in G.tag_entities_by(pages(spark, [(1, 1, "A red fox, Red sky")]), names).collect()}
+    assert got == {("A", "red", "red"), ("B", "red", "red"), ("A", "fox", "fox"), ("A", "sky", "sky")}
+
+
+def test_many_pages_with_a_cap(spark):
+    """Places by ranges: the cap cuts a level where one queue would."""
+    edges = [(0, i, i) for i in range(1, 400)] + [(i, 1000 + i * 7 % 400, 0) for i in range(1, 400)]
+    seeds = spark.createDataFrame([(0, 0)], "node long, pos int")
+    order, queue, seen = [], [0], {0}
+    while queue:
+        node = queue.pop(0)
+        order.append(node)
+        for s, d, _ in edges:
+            if s == node and d not in seen:
+                seen.add(d)
+                queue.append(d)
+    for cap in (1, 250, 650):
+        got = C.breadth_first(spark.createDataFrame(edges, "src long, dst long, pos int").repartition(5), seeds, 5, max_pages=cap)
+        assert {r.node for r in got.collect()} == set(order[:cap])
 
 
 def test_exports(spark, tmp_path):
@@ -399,8 +555,8 @@ def test_overlapping_names(spark):
 def test_audit_sinks(spark, tmp_path):
     validated = spark.createDataFrame([(1, "c1", "d", "k", 2, "q", True, "ok"), (1, "c2", "d", "k", 2, "q", False, "bad")], "run_id long, citation_ref string, document_id string, chunk_id string, page_number int, quote string, valid boolean, note string")
     runs = spark.createDataFrame([(1, "what"), (2, "why")], "run_id long, question string")
-    for n in (1, 2):
-        V.append_audit(validated, runs, f"{tmp_path}/runs", f"{tmp_path}/citations")
+    for commit, n in (("run 1/a", 1), ("run 1/a", 1), ("run 2", 2), ("run 1/a", 2)):
+        V.append_audit(validated, runs, f"{tmp_path}/runs", f"{tmp_path}/citations", commit)
         assert spark.read.parquet(f"{tmp_path}/runs").count() == 2 * n and spark.read.parquet(f"{tmp_path}/citations").count() == 2 * n
     got = spark.read.parquet(f"{tmp_path}/runs").where("run_id = 1").first()
     assert (got.total, got.good, got.confidence, got.invalid_refs) == (2, 1, "partially_supported", "c2")
@@ -432,7 +588,18 @@ def test_listing_limits(spark):
         with pytest.raises(ValueError):
             A.page_of(df, "id", limit, offset)
     assert {r.total for r in A.listing(df, "id", 3, unfiltered=spark.range(900)).collect()} == {900}
-    assert [r.id for r in A.page_after(df, "id", 2, last=10).collect()] == [9, 8]
+    assert [r.id for r in A.page_after(df, "id", 2, last=(10, 10), key="id").collect()] == [9, 8]
+
+
+def test_pages_by_key_lose_no_ties(spark):
+    from corpusq.operators import stats as A
+
+    rows = [(i, [None, "a", "b", "b", "b"][i % 5]) for i in range(83)]
+    df, last, seen = spark.createDataFrame(rows, "doc_pk long, d string"), None, []
+    while got := A.page_after(df, "d", 7, last).collect():
+        seen += [(r.doc_pk, r.d) for r in got]
+        last = (got[-1].d, got[-1].doc_pk)
+    assert seen == sorted(rows, key=lambda r: (r[1] is None, -ord(r[1] or "a"), r[0]))
 
 
 def test_cells_recall(spark):
@@ -443,3 +610,13 @@ def test_cells_recall(spark):
     for cells, probes, least in ((64, 24, 0.9), (8, 8, 1.0)):
         got = {(r.question_id, r.vec_id) for r in R.cells_topk(asked, v, 5, cells, probes).collect()}
         assert len(exact & got) >= least * len(exact), len(exact & got) / len(exact)
+
+
+def test_places(spark):
+    from corpusq.operators.places import places
+
+    values = [(i % 7, i) for i in range(500)] + [(None, 1000)]
+    rows = places(spark.createDataFrame(values, "a int, b int").repartition(6), "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(rows, key=lambda r: r.place)] == sorted(values, key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+    assert sorted(r.place for r in rows) == list(range(1, 502))
+    assert places(spark.createDataFrame([], "a int"), "a").count() == 0

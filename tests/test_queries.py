@@ -46,11 +46,11 @@ def test_entry(spark):
 
 
 def test_crawl_report_lists_up_to_100_errors(spark):
-    rows = QUERIES["crawl_report_100"](spark, "/root/testdata/sf0.1").collect()
+    rows = QUERIES["crawl_report"](spark, "/root/testdata/sf0.1").collect()
     assert max(r.urls_failed for r in rows) > 5
     assert all(len(r.errors.split("\n")) == min(100, r.urls_failed) for r in rows)
 
 
 def test_safe_filename_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "é" * 400 + " name.txt"), (2, "a" + " " * 500 + "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.safe_name for r in QUERIES["safe_filename_whole"](spark, str(tmp_path)).collect()} == {1: "name.txt", 2: "a_b"}
+    assert {r.doc_id: r.safe_name for r in QUERIES["safe_filename"](spark, str(tmp_path)).collect()} == {1: "name.txt", 2: "a_b"}
