@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.functions.text import let
 from corpusq.shared import ship, stored
 
-from .scan import MOST_QUESTIONS, best
+from .scan import scan_topk
 
 #: Rows of a table that is sent to the tasks, at most; a larger one is joined
 MOST_ROWS = 200_000
@@ -72,84 +74,107 @@ def parsed_questions(questions: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, f"question_id {kind}, tree {_TREE}")
 
 
-def located(words: Column) -> Column:
-    """Map of each word, but stop words, to its places, from an array of words."""
-    pairs = F.array_sort(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: ~p["w"].isin(*STOP_WORDS)))
-
-    def grouped(p: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(p)), lambda n: (n == 1) | (F.get(p, n - 1)["w"] != F.get(p, n - 2)["w"]))
-
-        def entries(s: Column) -> Column:
-            after = lambda k: F.coalesce(F.get(s, k + 1), F.size(p) + 1)
-            return F.transform(s, lambda n, k: F.struct(F.get(p, n - 1)["w"].alias("key"), F.transform(F.slice(p, n, after(k) - n), lambda x: x["i"]).alias("value")))
-
-        return F.when(F.size(p) > 0, F.map_from_entries(let(starts, entries))).otherwise(F.create_map().cast("map<string, array<int>>"))
-
-    return let(pairs, grouped)
-
-
-def positional_index(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, dl, places)``: how many words each chunk has, and where each
-    stands, but stop words.  Made inside the row, nothing is shuffled."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    index = chunks.where("text is not null").select("chunk_id", located(words).alias("places"))
-    return index.select("chunk_id", F.aggregate(F.map_values("places"), F.lit(0), lambda s, p: s + F.size(p)).alias("dl"), "places")
-
-
-def holds(places: Column, part: Column) -> Column:
-    """Whether a part's words stand in the chunk at their places to each other."""
-    first = F.element_at(places, part["words"][0]["term"])
-    rest = lambda at: F.forall(part["words"], lambda w: F.coalesce(F.array_contains(F.element_at(places, w["term"]), at + w["place"]), F.lit(False)))
-    found = F.when(F.size(part["words"]) == 1, first.isNotNull()).otherwise(F.coalesce(F.exists(first, rest), F.lit(False)))
-    return found != part["minus"]
+class Web:
+    """Scores of chunks, given as their words, for parsed questions.
 
+    Words that some question asks for become postings with their places, by
+    term, for a batch of chunks at once; the parts of a question are looked up in
+    them.  A chunk for which no alternative holds is no hit.
+    """
 
-def fulltext_search(questions: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+    def __init__(self, asked: pa.Array, mean: float, k1: float, b: float):
+        self.mean, self.k1, self.b = mean, k1, b
+        self.ids: dict[str, int] = {}
+        number = lambda t: self.ids.setdefault(t, len(self.ids))
+        self.trees, self.weights = [], []
+        for q in asked.to_pylist():
+            self.trees.append([[(p["minus"], tuple((number(w["term"]), w["place"]) for w in p["words"])) for p in alternative] for alternative in q["tree"]])
+            self.weights.append([(number(w["term"]), w["idf"]) for w in q["weights"] or []])
+        self.known = self.ids | {w: -2 for w in STOP_WORDS}
+
+    def rows(self, column: pa.Array) -> Postings:
+        sizes = np.diff(column.offsets.to_numpy())
+        words = column.flatten().to_pylist()
+        term = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        length = sizes - np.bincount(row[term == -2], minlength=len(sizes))
+        return Postings(term, row, place, length, len(self.ids), self)
+
+    def scores(self, rows: Postings, lo: int, hi: int) -> np.ndarray:
+        out = np.full((hi - lo, rows.n), -np.inf)
+        for q in range(lo, hi):
+            held = np.zeros(rows.n, bool)
+            for alternative in self.trees[q]:
+                every = np.ones(rows.n, bool)
+                for minus, words in alternative:
+                    found = rows.part(words)
+                    every &= ~found if minus else found
+                held |= every
+            if held.any():
+                score = np.zeros(rows.n)
+                for t, idf in self.weights[q]:
+                    at, weight = rows.weights(t)
+                    score[at] += idf * weight
+                out[q - lo, held] = score[held]
+        return out
+
+
+class Postings:
+    """Where the asked terms stand in a batch of ``n`` chunks."""
+
+    def __init__(self, term: np.ndarray, row: np.ndarray, place: np.ndarray, length: np.ndarray, terms: int, by: Web):
+        self.n, asked = len(length), np.flatnonzero(term >= 0)
+        order = asked[np.argsort(term[asked], kind="stable")]
+        self.row, self.place, self.starts = row[order], place[order], np.searchsorted(term[order], np.arange(terms + 1))
+        # one entry for each term and chunk: how often, and its share of the score
+        new = np.flatnonzero(np.diff(np.stack([term[order], self.row]), axis=1, prepend=-1).any(0)) if len(order) else order
+        tf = np.diff(np.append(new, len(order)))
+        self.once, self.once_starts = self.row[new], np.searchsorted(term[order][new], np.arange(terms + 1))
+        self.weight = tf * (by.k1 + 1) / (tf + by.k1 * (1 - by.b + by.b * length[self.once] / by.mean))
+        self.parts: dict[tuple, np.ndarray] = {}
+
+    def weights(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.once_starts[t], self.once_starts[t + 1])
+        return self.once[own], self.weight[own]
+
+    def part(self, words: tuple[tuple[int, int], ...]) -> np.ndarray:
+        """Which chunks hold the words at their places to each other."""
+        if words not in self.parts:
+            starts = None
+            for t, off in words:
+                own = slice(self.starts[t], self.starts[t + 1])
+                here = (self.row[own] << 40) + self.place[own] - off
+                starts = here if starts is None else starts[np.isin(starts, here)]
+            found = np.zeros(self.n, bool)
+            # a phrase that would begin before the text borders on the row before
+            found[(starts + (1 << 20)) >> 40] = True
+            self.parts[words] = found
+        return self.parts[words]
+
+
+def fulltext_search(questions: DataFrame, chunks: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(question_id, chunk_id, score, rank, fulltext_score)``: chunks for which
     an alternative of the question holds, by BM25 over all words it wants, and
     that over the question's best.  Ties: smaller chunk id first.
 
-    ``index``: a stored ``positional_index``, made here if it is not given.  An
-    alternative is looked up by its rarest wanted word, and the whole of it is
-    tested where that stands.  One that only leaves out holds for every chunk
-    without its words; its chunks score by the other words of the question.
+    One pass counts the chunks of each asked word, another scores all questions
+    (see ``scan_topk``).  An alternative that only leaves out holds for every
+    chunk without its words; its chunks score by the other words of the question.
+    Chunks without text are passed over.
     """
-    index = stored(positional_index(chunks)) if index is None else index
     parsed = stored(parsed_questions(questions))
-    alternatives = parsed.select("question_id", F.posexplode("tree").alias("alt", "parts"))
-    wanted_of = lambda parts: F.flatten(F.transform(F.filter(parts, lambda p: ~p["minus"]), lambda p: F.transform(p["words"], lambda w: w["term"])))
-    each = alternatives.select("question_id", "alt", F.explode(F.array_distinct(wanted_of(F.col("parts")))).alias("term"))
-    terms = stored(each.select("term").distinct())
-    in_chunks = index.select(F.explode(F.map_keys("places")).alias("term"))
-    df = stored(in_chunks.join(small_or_merged(terms), "term").groupBy("term").agg(F.count("*").alias("df")))
+    wanted = F.flatten(F.transform("tree", lambda a: F.flatten(F.transform(F.filter(a, lambda p: ~p["minus"]), lambda p: F.transform(p["words"], lambda w: w["term"])))))
+    asked = stored(parsed.select("question_id", F.explode(F.array_distinct(wanted)).alias("term")))
+    words = chunks.where("text is not null").select("chunk_id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    in_chunks = words.select(F.explode(F.array_distinct("words")).alias("term"))
+    df = in_chunks.join(small_or_merged(stored(asked.select("term").distinct())), "term").groupBy("term").agg(F.count("*").alias("df"))
+    kept = F.size(F.filter("words", lambda w: ~w.isin(*STOP_WORDS)))
     # one row: corpus size and mean length
-    total, mean = index.agg(F.count("*"), F.avg(F.when(F.col("dl") > 0, F.col("dl")))).first()
+    total, mean = words.agg(F.count("*"), F.avg(F.when(kept > 0, kept))).first()
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = stored(each.join(df.hint("merge"), "term", "left").withColumn("idf", idf))
-    weights = known.where("df is not null").select("question_id", "term", "idf").distinct().groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("weights"))
-    # an alternative with a word that no chunk holds can't hold
-    leads = known.groupBy("question_id", "alt").agg(F.min(F.struct("df", "term")).alias("least"), F.bool_and(F.col("df").isNotNull()).alias("can")).where("can")
-    full = alternatives.join(weights.hint("merge"), "question_id", "left").withColumn("weights", F.coalesce("weights", F.array().cast("array<struct<term: string, idf: double>>")))
-    led = stored(full.join(leads.select("question_id", "alt", F.col("least.term").alias("term")).hint("merge"), ["question_id", "alt"]))
-
-    places, length = F.col("places"), b * F.col("dl") / F.lit(mean or 1.0) + (1 - b)
-
-    def weight(w: Column) -> Column:
-        tf = F.size(F.element_at(places, w["term"]))
-        return F.when(tf > 0, w["idf"] * tf * (k1 + 1) / (tf + k1 * length)).otherwise(0.0)
-
-    score = F.round(F.aggregate("weights", F.lit(0.0), lambda s, w: s + weight(w)), 9).alias("score")
-    every = F.forall("parts", lambda p: holds(places, p))
-    hits = index.select("chunk_id", "dl", "places", F.explode(F.map_keys("places")).alias("term")).join(small_or_merged(led), "term").where(every).select("question_id", "chunk_id", score)
-
-    # alternatives that only leave out: all chunks, in blocks of questions
-    bare = stored(full.where(F.forall("parts", lambda p: p["minus"])))
-    blocks = -(-bare.count() // MOST_QUESTIONS)
-    for n in range(blocks):
-        some = F.broadcast(bare.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == n))
-        open_ = index.join(some, every).select("question_id", "chunk_id", score)
-        hits = hits.unionByName(best(open_, k, F.desc("score"), F.col("chunk_id")).drop("rank"))
-    found = hits.groupBy("question_id", "chunk_id").agg(F.first("score").alias("score"))
-    top = best(found, k, F.desc("score"), F.col("chunk_id"))
+    weights = asked.join(df.hint("merge"), "term").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("weights"))
+    ready = parsed.where("size(tree) > 0").join(weights.hint("merge"), "question_id", "left").select("question_id", F.struct("tree", "weights").alias("value"))
+    top = scan_topk(stored(ready), words, partial(Web, mean=mean or 1.0, k1=k1, b=b), k)
     most = F.max("score").over(Window.partitionBy("question_id"))
     return top.withColumn("fulltext_score", F.when(most > 0, F.col("score") / most).otherwise(0.0))

@@ -11,7 +11,9 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -106,17 +108,18 @@ class Sparse(Dense):
         return out
 
 
-def trigrams(text: str) -> set[str]:
-    return {text[i : i + 3] for i in range(len(text) - 2)}
+def overlaps_itself(term: str) -> bool:
+    """Whether two occurrences of a term can share characters."""
+    return any(term.startswith(term[i:]) for i in range(1, len(term)))
 
 
 class Terms:
     """How often the terms of a question stand in a text, as parts of it.
 
-    Of each asked term, the trigram that fewest asked terms share leads to it; a
-    text is searched for the terms that its own trigrams lead to, and for those
-    under three characters.  What is found is kept as postings by term, and a
-    question adds up the postings of its terms.
+    An automaton over all asked terms, of any length, reads a text once and
+    counts each; terms that can overlap themselves are then counted without
+    overlap.  What is found is kept as postings by term, and a question adds up
+    the postings of its terms.
     """
 
     def __init__(self, asked: pa.Array):
@@ -126,27 +129,23 @@ class Terms:
             own = Counter(terms or [])
             self.asked.append(([every.setdefault(t, len(every)) for t in own], list(own.values())))
         self.terms, self.n = list(every), len(asked)
-        grams = {t: trigrams(t) for t in every}
-        shared = Counter(g for own in grams.values() for g in own)
-        self.short, self.led = [], {}
-        for i, t in enumerate(self.terms):
-            if grams[t]:
-                self.led.setdefault(min(grams[t], key=lambda g: (shared[g], g)), []).append(i)
-            else:
-                self.short.append(i)
+        self.twice = {n for t, n in every.items() if overlaps_itself(t)}
+        self.tree = ahocorasick.Automaton()
+        for t, n in every.items():
+            self.tree.add_word(t, n)
+        if every:
+            self.tree.make_automaton()
 
     def rows(self, column: pa.Array):
         """Postings: rows and counts, by term, and where each term's begin."""
-        at, of, counts = [], [], []
+        at, of, counts, term = [], [], [], itemgetter(1)
         for n, low in enumerate(column.to_pylist()):
-            low = low or ""
-            for t in self.short:
-                if c := low.count(self.terms[t]):
-                    at.append(n), of.append(t), counts.append(c)
-            for g in self.led.keys() & trigrams(low):
-                for t in self.led[g]:
-                    if c := low.count(self.terms[t]):
-                        at.append(n), of.append(t), counts.append(c)
+            found = Counter(map(term, self.tree.iter(low))) if low and self.terms else {}
+            for t in found.keys() & self.twice:
+                found[t] = low.count(self.terms[t])
+            at += [n] * len(found)
+            of += found.keys()
+            counts += found.values()
         of_ = np.array(of, np.int64)
         order = np.argsort(of_, kind="stable")
         starts = np.searchsorted(of_[order], np.arange(len(self.terms) + 1)).tolist()

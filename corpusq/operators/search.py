@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.dates import within
-from corpusq.functions.text import query_terms
+from corpusq.functions.text import let, query_terms
 from corpusq.functions.vectors import dot, unit
 from corpusq.shared import stored
 
@@ -97,9 +97,9 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10, passed:
     (a repeated term counts again), over the question's best.
 
     Blank questions find nothing.  Ties: smaller chunk id first.  Any number of
-    questions: a pass over the chunks for each block of them, in which a chunk
-    is searched for the terms that its trigrams lead to (see ``Terms``).  Texts
-    are fetched for the hits alone.  Questions may have the ``LIMITS``;
+    questions: a pass over the chunks for each block of them, in which an
+    automaton over their terms reads each chunk once (see ``Terms``).  Texts are
+    fetched for the hits alone.  Questions may have the ``LIMITS``;
     ``passed`` is the table of ``pools``.
     """
     mine = [c for c in LIMITS if c in questions.columns]
@@ -108,7 +108,7 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = 10, passed:
     low = rows.where("text is not null").select("chunk_id", F.lower("text").alias("low"), *[c for c in ("doc_pk", "pools") if c in rows.columns])
     top = stored(scan_topk(asked, low, Terms, k, "hits", "rank"))
     shown = chunks.select("chunk_id", "doc_pk", "page_number", "text").join(small_or_merged(top), "chunk_id")
-    matched = F.array_join(F.filter("terms", lambda t: F.contains(F.lower("text"), t)), ", ")
+    matched = let(F.lower("text"), lambda low: F.array_join(F.filter("terms", lambda t: F.contains(low, t)), ", "))
     found = shown.join(small_or_merged(asked.select("question_id", "terms")), "question_id")
     most = F.max("hits").over(Window.partitionBy("question_id"))
     hits = found.select("question_id", "chunk_id", "doc_pk", "page_number", "text", F.col("hits").cast("long").alias("hits"), matched.alias("matched"), "rank")
