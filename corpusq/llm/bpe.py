@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 import struct
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -49,6 +50,16 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def unassigned(first: int, stop: int) -> re.Pattern:
+    """Characters of a range that this Python's Unicode tables do not know; the library's may."""
+    known = [unicodedata.category(chr(c)) != "Cn" for c in range(first, stop)]
+    edges = [first + k for k in range(len(known)) if known[k] != (k == 0 or known[k - 1])] + [stop]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
+_unknown, _unknown_far = unassigned(0, 0x10000).search, unassigned(0x10000, 0x110000).search
+
+
 class Vocabulary:
     """Tables of a byte-level vocabulary file (tokenizers' JSON layout)."""
 
@@ -57,6 +68,7 @@ class Vocabulary:
             spec = json.load(f)
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level vocabulary without normaliser or prefix space is needed")
+        self.path, self.library = path, None
         symbol = byte_symbols()
         back = {c: b for b, c in symbol.items()}
         vocab, model = spec["model"]["vocab"], spec["model"]
@@ -78,6 +90,17 @@ class Vocabulary:
             self.merged.append(vocab[a + b])
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def pre_tokens(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit.  Where it has a character that Python's
+        Unicode tables lack, the library cuts it, as it may know the character."""
+        if unit.isascii() or not (_unknown(unit) or max(unit) > "\uffff" and _unknown_far(unit)):
+            return _pre_token.findall(unit)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [unit[a:b] for _, (a, b) in self.library.pre_tokenize_str(unit)]
+
     def units(self, text: str) -> list[str]:
         """Cut a text at white space only: a unit is a run of other characters
         with the blank before it, or white space.  No pre-token spans two
@@ -234,7 +257,7 @@ class Codec:
 
     def learn(self, units: set[str]) -> dict[str, bytes]:
         """Ids of units that are not remembered."""
-        parts = [(u, [u.encode()] if u.lstrip(" ").isalpha() else [p.encode() for p in _pre_token.findall(u)]) for u in units]
+        parts = [(u, [u.encode()] if u.lstrip(" ").isalpha() else [p.encode() for p in self.v.pre_tokens(u)]) for u in units]
         words = list({w for _, ps in parts for w in ps})
         done: dict[bytes, list[int]] = {}
         guesses = [self.propose(w) if self.proposes else None for w in words]

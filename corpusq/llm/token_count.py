@@ -8,7 +8,7 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import LONGEST, REMEMBERED, Vocabulary, _pre_token, vocabulary
+from .bpe import LONGEST, REMEMBERED, Vocabulary, vocabulary
 from .common import map_text
 
 
@@ -26,7 +26,7 @@ class Counter(dict):
         if (n := self.old.pop(unit, None)) is None:
             if unit in self.v.special:
                 n = 1
-            elif unit.lstrip(" ").isalpha() or len(parts := _pre_token.findall(unit)) == 1:
+            elif unit.lstrip(" ").isalpha() or len(parts := self.v.pre_tokens(unit)) == 1:
                 n = self.count(unit.encode())
             else:
                 n = sum(map(self.__getitem__, parts))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bpe import SPACE, byte_symbols, spaced
+from .bpe import SPACE, byte_symbols, spaced, unassigned
 from .common import pieces, quoted
 
 #: ids in a segment, about
@@ -37,13 +37,6 @@ _symbol = byte_symbols()
 _blank = re.compile(f"[{SPACE}]+")
 
 
-def unassigned(first: int, stop: int) -> re.Pattern:
-    """Characters of a range that this Python's Unicode tables do not know; the library's may."""
-    known = [unicodedata.category(chr(c)) != "Cn" for c in range(first, stop)]
-    edges = [first + k for k in range(len(known)) if known[k] != (k == 0 or known[k - 1])] + [stop]
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in zip(edges[::2], edges[1::2])) + "]")
-
-
 class ChunkEncoder(dict):
     """Ids of texts by the tokenizers library, for a lower-casing vocabulary whose
     pre-tokeniser drops white space.  The ids of a text are then those of its

@@ -37,6 +37,22 @@ def test_byte_codec_equals_library():
         assert sum(map(count.__getitem__, c.v.units(text))) == len(want)
 
 
+def test_every_character_between_neighbours():
+    """Each code point after and before others that merge with its bytes."""
+    t, c = Tokenizer.from_file(BYTE), codec(BYTE)
+    count = Counter(c.v)
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    rng = random.Random(2)
+    near = ["a", "é", "\u9812", "1", "!", "的"]
+    for first in range(0, len(points), 4000):
+        text = " ".join(rng.choice(near) + chr(p) + rng.choice(near) for p in points[first : first + 4000])
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == want
+        assert sum(map(count.__getitem__, c.v.units(text))) == len(want)
+    odd = "\U00018cda\u9812"
+    assert np.frombuffer(c.encode([odd])[0], "<u4").tolist() == t.encode(odd, add_special_tokens=False).ids
+
+
 def test_proposals_are_verified():
     """Words whose greedy tokens are not what merging gives are merged exactly."""
     c = codec(BYTE)
