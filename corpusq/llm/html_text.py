@@ -14,7 +14,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ from .common import lowest, map_text, quoted
 
 #: Labelled pages of the table that the model is trained on, at most, and made-up ones
 FIT_PAGES, MADE_PAGES = 200, 240
-EPOCHS, RATE, DECAY, SEED = 10, 0.3, 1e-4, 8
+EPOCHS, RATE, DECAY, SEED = 20, 0.3, 1e-4, 8
 
 #: Elements whose content is not text; elements without an end;
 #: elements inside a line of text; and what an opening tag closes by itself.
@@ -41,15 +41,8 @@ LANDMARKS = frozenset(("article", "main"))
 ASIDE_TAGS = frozenset("nav aside footer header form button menu dialog".split())
 ASIDE_WORDS = frozenset("comment comments reply replies respond sidebar advert ad ads promo share related cookie newsletter breadcrumb".split())
 
-#: A quoted value may hold a >; after this many tags whose quotes never close, a
-#: page's tags end at their first >, so that a page is read in linear time
-UNCLOSED = 8
-#: Elements below this depth, and names of an element beyond this many, describe
-#: no block (their text stays)
-DEPTH, NAMES = 256, 24
-
 _open = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
-_attributes = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>")
+_special = re.compile(r"[>\"']")
 _named = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _word = re.compile(r"[a-z]+")
 
@@ -69,7 +62,25 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     leaves open: a tag without > is text, and a comment or declaration without
     its end takes the rest.
     """
-    at, n, last, unclosed = 0, len(page), page.rfind(">"), 0
+    at, n, last = 0, len(page), page.rfind(">")
+    #: quotes from which no end of a tag is reached outside quotes
+    dead: set[int] = set()
+
+    def tag_end(place: int) -> int:
+        """The > that is not inside a quoted value, or else the first one."""
+        seen, here = [], place
+        while m := _special.search(page, here):
+            i = m.start()
+            if page[i] == ">":
+                return i
+            if i in dead:
+                break
+            seen.append(i)
+            if (here := page.find(page[i], i + 1) + 1) == 0:
+                break
+        dead.update(seen)
+        return page.index(">", place)
+
     while m := _open.search(page, at):
         start = m.start()
         if m[1]:
@@ -85,32 +96,36 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 return
             tag = rest.start(), n, "", False, ""
         else:
-            whole = _attributes.match(page, m.end()) if unclosed < UNCLOSED else None
-            if whole:
-                attributes, stop = whole[1], whole.end()
-            else:
-                unclosed += 1
-                stop = page.index(">", m.end()) + 1
-                attributes = page[m.end() : stop - 1]
-            tag = start, stop, m[4].lower(), m[3] == "/", attributes
+            stop = tag_end(m.end())
+            tag = start, stop + 1, m[4].lower(), m[3] == "/", page[m.end() : stop]
         on = yield tag
         at = tag[1] if on is None else on
         if on is not None:
             yield tag
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, with white space made single blanks."""
+def blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, with white space made single blanks.
+
+    ``known``: features of a model; elements and words that it does not know are
+    then left out of what describes a block, which bounds it however deep a page
+    is nested.
+    """
     out: list[Block] = []
     #: open elements: name, words of class, id and role, made-up main text
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     tags: Counter = Counter()
     words: Counter = Counter()
+    #: where each element stands on the stack
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     linked, in_link, marked = 0, False, 0
     own = ""
     endless: set[str] = set()
 
+    def shown(name: str) -> bool:
+        return known is None or f"tag {name}" in known
+
     def flush():
         nonlocal linked
         if text:
@@ -123,7 +138,8 @@ def blocks(page: str) -> list[Block]:
     def pop():
         nonlocal marked, own
         name, named, mark = stack.pop()
-        for box, keys in ((tags, (name,)), (words, named)):
+        places[name].pop()
+        for box, keys in ((tags, (name,) if shown(name) else ()), (words, named)):
             for k in keys:
                 box[k] -= 1
                 if not box[k]:
@@ -132,14 +148,11 @@ def blocks(page: str) -> list[Block]:
         own = stack[-1][0] if stack else ""
 
     def close(names: str, barrier: tuple[str, ...]):
-        wanted = [w for w in names.split() if tags[w]]
-        for i in range(len(stack) - 1, -1, -1) if wanted else ():
-            if stack[i][0] in barrier:
-                return
-            if stack[i][0] in wanted:
-                while len(stack) > i:
-                    pop()
-                return
+        near = lambda some: max((places[w][-1] for w in some if places.get(w)), default=-1)
+        at = near(names.split())
+        if at > near(barrier):
+            while len(stack) > at:
+                pop()
 
     def find(pattern: str, at: int) -> re.Match | None:
         """The first match, unless there was none before."""
@@ -185,20 +198,20 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if ends:
-            if tags[name]:
-                while stack[-1][0] != name:
+            if places.get(name):
+                while len(stack) > places[name][-1] + 1:
                     pop()
                 pop()
             continue
-        if tags["p"]:
+        if places.get("p"):
             close("p", ())
         if name in CLOSES:
             close(*CLOSES[name])
-        if len(stack) >= DEPTH:
-            continue
-        named = tuple(dict.fromkeys(w for g in _named.findall(attributes) for w in _word.findall(" ".join(g).lower())))[:NAMES] if "=" in attributes else ()
+        named = tuple(dict.fromkeys(w for g in _named.findall(attributes) for w in _word.findall(" ".join(g).lower()) if known is None or f"word {w}" in known)) if "=" in attributes else ()
         stack.append((name, named, mark := "data-main" in attributes))
-        tags[name] += 1
+        places.setdefault(name, []).append(len(stack) - 1)
+        if shown(name):
+            tags[name] += 1
         words.update(named)
         marked += mark
         own = name
@@ -368,7 +381,7 @@ def made_pages(n: int, seed: int = SEED) -> list[str]:
         body = [f"<h1 data-main>{sentence(3, 9)}</h1>"]
         for _ in range(rng.randint(1, 10)):
             body.append(rng.choice((f"<p data-main>{prose()}</p>", f"<p data-main>{prose()}<br>{sentence(3, 8)}", f"<p data-main>{sentence(1, 4)}</p>", f"<h2 data-main>{sentence(2, 5)}</h2><p data-main>{prose()}</p>", f"<ul data-main><li>{sentence(3, 9)}</li><li>{sentence(3, 9)}</li></ul>", f"<blockquote data-main><p>{prose()}</p></blockquote>")))
-        if rng.random() < 0.3:
+        while rng.random() < 0.5:
             body.insert(rng.randint(1, len(body)), aside())
         kind = rng.randrange(5)
         inner = "".join(body)
@@ -407,7 +420,7 @@ def learn_pages(pages: DataFrame, html_col: str = "html", limit: int = FIT_PAGES
 
 def extract(page: str, chain: Chain) -> str:
     """Main text: the chosen blocks, two line ends between them."""
-    found = blocks(page)
+    found = blocks(page, chain.weight.keys())
     return "\n\n".join(b.text for b, s in zip(found, chain.decode(describe(found))) if s)
 
 

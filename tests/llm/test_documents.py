@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusq.llm import html_text as H
@@ -381,6 +382,13 @@ def test_decontaminate_odd(spark):
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 4
 
 
+#: What the given pages use, written down for this test
+IN_LINE = {"a", "b", "em", "i", "span", "strong", "br", "img", "code", "sub", "sup", "small"}
+NO_END = {"br", "img", "hr", "input", "meta", "link"}
+BESIDE = {"nav", "aside", "footer", "header", "form", "button", "script", "style"}
+BESIDE_NAMES = {"comment", "comments", "sidebar", "ad", "ads", "advert", "cookie", "related", "share", "promo", "newsletter", "breadcrumb"}
+
+
 def article_text(page):
     """The text of a page's article by the standard parser, block by block."""
     from html.parser import HTMLParser
@@ -399,13 +407,13 @@ def article_text(page):
             named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
             if tag in ("br", "img"):
                 self.now.append(" ")
-            if tag not in H.INLINE:
+            if tag not in IN_LINE:
                 self.flush()
-            if tag not in H.VOID:
-                self.open.append((tag, tag in H.ASIDE_TAGS or tag in ("script", "style") or bool(set(re.findall("[a-z]+", named)) & H.ASIDE_WORDS)))
+            if tag not in NO_END:
+                self.open.append((tag, tag in BESIDE or bool(set(re.findall("[a-z]+", named)) & BESIDE_NAMES)))
 
         def handle_endtag(self, tag):
-            if tag not in H.INLINE:
+            if tag not in IN_LINE:
                 self.flush()
             if any(t == tag for t, _ in self.open):
                 while self.open.pop()[0] != tag:
@@ -438,6 +446,41 @@ def test_malformed_pages_take_linear_time():
         assert time.process_time() - start < 30, part
 
 
+@pytest.mark.parametrize("depth", [300, 5000])
+def test_deep_pages_lose_nothing(spark, depth):
+    """Articles around and inside many elements, with names that no model knows."""
+    deep = "".join(f"<div class='{' '.join(f'n{chr(97 + k % 26)}{chr(97 + i % 26)}' for k in range(30))}'>" for i in range(depth))
+    page = f"<nav><a href=1>One</a></nav><div>{deep}</div><div class=wrap>{'<div>' * depth}{'</div>' * depth}<article><p>First part of it, as it stands here.</p>{deep}<p>Inside of it all, a longer sentence, too.</p>{'</div>' * depth}<p>Last part of it, after the others.</p></article></div><footer>foot</footer>"
+    found = H.blocks(page)[1:]
+    assert [b.text for b in found] == ["First part of it, as it stands here.", "Inside of it all, a longer sentence, too.", "Last part of it, after the others.", "foot"]
+    assert all("article" in b.tags and "p" in b.tags for b in found[:3])
+    d = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert H.extract_text(d, H.learn_pages(pages)).first().text == "\n\n".join(b.text for b in found[:3])
+
+
+def test_names_and_quotes_without_a_cap():
+    page = f"<div class='{' '.join(f'x{chr(97 + i % 26)}{chr(97 + i // 26)}' for i in range(60))} comments'><p>one</p></div>" + '<p title="open>two</p>' * 21 + "<p title='a > b'>three</p>"
+    found = H.blocks(page)
+    assert "comments" in found[0].words and found[-1].text == "three" and sum(b.text.endswith("two") for b in found) >= 1
+    assert [b.text for b in H.blocks('<p a=">x</p><p b="y">z</p>')] == ["x", "z"] and [b.text for b in H.blocks('<p a=">x</p><p b="">z</p>')] == ["x", "z"]
+    assert [b.text for b in H.blocks("<p a='>x</p><p>y</p>" * 9)][-2:] == ["x", "y"]
+
+
+#: Pages written by hand, in other ways than the made-up ones: what is the article, and what is not
+OTHERS = [
+    ("<body><div id=page><div class='navbar'><a href=/>Home</a> <a href=/b>About us</a></div><article><h1>A day out</h1><p>We went to the sea, and it rained, as it does.</p><p>Then we came home.</p></article><div class='sidebar'><ul><li><a href=/x>More</a></li></ul></div></div>", ["A day out", "We went to the sea, and it rained, as it does.", "Then we came home."]),
+    ("<nav><a href=1>One</a><a href=2>Two</a></nav><main><h2>Report</h2><p>The council met on Monday, and agreed on little. Nobody minded.</p><aside><p>Subscribe now</p></aside><p>It will meet again in May, when all are back.</p></main><footer>&copy; Them</footer>", ["Report", "The council met on Monday, and agreed on little. Nobody minded.", "It will meet again in May, when all are back."]),
+    ("<header><h3>Site</h3></header><main><p>Bread is flour, water, salt and time. The rest is patience.</p><ul><li>Mix it well, then wait.</li><li>Bake it hot, then wait again.</li></ul></main><div class=comments><div class=comment><p>Lovely, thank you, will try.</p></div></div><footer>All rights reserved</footer>", ["Bread is flour, water, salt and time. The rest is patience.", "Mix it well, then wait.", "Bake it hot, then wait again."]),
+]
+
+
+def test_layouts_written_by_hand(spark):
+    chain = H.learn_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for page, article in OTHERS:
+        assert H.extract(page, chain) == "\n\n".join(article)
+
+
 def test_unseen_layouts():
     chain, train = H.Chain(), []
     for page in map(H.blocks, H.made_pages(150)):
