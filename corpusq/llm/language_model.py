@@ -34,11 +34,11 @@ from .common import lowest, pieces, quoted, stored
 
 #: Words whose count every task holds; the others' counts are joined
 HEAD = 200_000
-VOCABULARY, CLASS, ENDINGS = 1024, 32, 32
-UNITS, WINDOW, LANES, BLOCK = 16, 16, 384, 256
+VOCABULARY, CLASS, ENDINGS = 8192, 64, 64
+UNITS, WINDOW, LANES, BLOCK = 32, 16, 384, 256
 #: Where the rounds of training end, in shares of the documents
 ROUNDS = (1 / 16, 6 / 16, 1)
-FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 16, 48, 384, 0.1, 3
+FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 24, 48, 384, 0.1, 3
 #: Tokens trained on together in a task, about; floats in a row of averaged weights
 FIT_POOL, ROW = 1_000_000, 8192
 #: Tokens scored together in a task, about
@@ -453,7 +453,7 @@ def learn_model(coded: DataFrame, lexicon: Lexicon) -> Model:
             parts, size, total = [np.zeros(1, "<i2")], 0, 0
 
             def fit():
-                m.fit(np.concatenate(parts), max(FIT_LANES, min(MOST_LANES, size // 2048)), seen=seen)
+                m.fit(np.concatenate(parts), max(FIT_LANES, min(MOST_LANES, size // 6144)), seen=seen)
 
             for b in batches:
                 for x in b.column(0):
