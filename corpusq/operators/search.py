@@ -9,16 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import partial, reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.functions.dates import within
 from corpusq.functions.text import let, query_terms
-from corpusq.functions.vectors import dot, unit
 from corpusq.shared import stored
 
 from .embed import DIMENSIONS, has_embedding
@@ -133,38 +128,6 @@ def vector_topk(questions: DataFrame, vectors: DataFrame, k: int, key: str = "ve
     return scan_topk(part(questions, "question_id", "embedding"), part(vectors, key, column), Dense, k, block=block)
 
 
-def cells_topk(questions: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probes: int = 24, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, seed: int = 5) -> DataFrame:
-    """``(question_id, key, score, rank)``: about what ``vector_topk`` finds, from
-    the ``probes`` cells nearest to the question.
-
-    Cells are those of ``cells`` centres, by k-means over at most ``sample`` rows
-    (those whose key hashes lowest); every row is then indexed in its nearest
-    cell.  Questions join their cells, and what shares one is compared exactly.
-    Fewer cells or more probes find more; with as many probes as cells the
-    result is exact.
-    """
-    ready = lambda df, name, c: df.select(F.col(name), unit(F.col(c)).alias("vector")).where(has_embedding(F.col("vector")))
-    rows, asked = ready(vectors, key, column), ready(questions, "question_id", "embedding")
-    chosen = rows.orderBy(F.xxhash64(key), key).limit(sample).select(array_to_vector("vector").alias("features"))
-    fitted = KMeans(k=cells, seed=seed, maxIter=8).fit(chosen)
-    centre = np.array(fitted.clusterCenters())
-
-    def nearest(n: int):
-        def run(batches):
-            for b in batches:
-                x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-                far = ((centre**2).sum(1) - 2 * x @ centre.T) if b.num_rows else np.zeros((0, len(centre)))
-                near = np.argsort(far, axis=1, kind="stable")[:, :n].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
-
-        return run
-
-    put = lambda df, n: stored(df.mapInArrow(nearest(n), f"{df.columns[0]} {df.schema[0].dataType.simpleString()}, vector array<double>, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells"))
-    both = put(rows, 1).join(put(asked, min(probes, len(centre))).withColumnRenamed("vector", "asked").hint("merge"), "cell")
-    scored = both.select("question_id", key, F.round(dot(F.col("vector"), F.col("asked")), 9).alias("score"))
-    return best(scored, k, F.desc("score"), F.col(key))
-
-
 def hybrid_search(
     questions: DataFrame,
     chunks: DataFrame,

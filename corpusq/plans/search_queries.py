@@ -8,6 +8,7 @@ from corpusq.functions.vectors import cosine
 from corpusq.operators import evidence as V
 from corpusq.operators import fulltext as T
 from corpusq.operators import search as R
+from corpusq.operators.cells import cells_topk
 from corpusq.operators.embed import hash_vectors
 from corpusq.shared import scratch, stored, table
 from corpusq.sources import export as S
@@ -279,7 +280,7 @@ def vector_topk_cells(spark, sf):
     """Approximate; a test measures its recall against ``vector_topk``."""
     v = table(spark, sf, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
-    return R.cells_topk(asked, v, 5)
+    return cells_topk(asked, v, 5)
 
 
 @query("SELECT chunk_id FROM fx_chunks WHERE doc_pk IN (SELECT doc_pk FROM fx_documents WHERE NOT is_demo AND collection_key = 'col1')")
