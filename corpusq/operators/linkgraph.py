@@ -127,18 +127,22 @@ def crawl_runs(requests: DataFrame, sources: DataFrame) -> DataFrame:
 
 def ingested_items(items: DataFrame, documents: DataFrame) -> DataFrame:
     """Crawl items ``(run_id, url, outcome, reason, ingest_error)`` with the key of
-    the document that a download became (by ``sha256``).  A download whose
-    ingest failed is failed, with the reason; no other item is touched."""
+    the document that a download became: by ``sha256``, else by its URL where
+    documents have a ``source_url``.  A download whose ingest failed is failed,
+    with the reason; no other item is touched."""
     got = F.col("outcome") == "downloaded"
     broken = got & F.col("ingest_error").isNotNull()
     first = documents.groupBy("sha256").agg(F.min("doc_pk").alias("__doc"))
-    joined = items.join(first.hint("merge"), "sha256", "left")
+    joined, doc = items.join(first.hint("merge"), "sha256", "left"), F.col("__doc")
+    if "source_url" in documents.columns:
+        by_url = documents.where("source_url <> ''").groupBy(F.col("source_url").alias("url")).agg(F.min("doc_pk").alias("__by_url"))
+        joined, doc = joined.join(by_url.hint("merge"), "url", "left"), F.coalesce("__doc", "__by_url")
     return joined.select(
         "run_id",
         "url",
         F.when(broken, "failed").otherwise(F.col("outcome")).alias("outcome"),
         F.when(broken, F.concat(F.lit("ingest error: "), "ingest_error")).otherwise(F.col("reason")).alias("reason"),
-        F.when(got & ~broken, F.col("__doc")).alias("doc_pk"),
+        F.when(got & ~broken, doc).alias("doc_pk"),
     )
 
 

@@ -303,17 +303,20 @@ def crawl_runs(spark, sf):
     return C.crawl_runs(asked, sources).select("run_id", F.size("seeds").alias("seeds"), "status")
 
 
-@query("""WITH i AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'page' ELSE 'skipped' END AS outcome FROM pages), d AS (SELECT sha256(text) AS h, min(doc_id) AS doc FROM documents GROUP BY 1), x AS (SELECT i.*, d.doc FROM i LEFT JOIN documents t ON t.doc_id = page_id LEFT JOIN d ON d.h = sha256(t.text))
+@query("""WITH i AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'page' ELSE 'skipped' END AS outcome FROM pages), d AS (SELECT sha256(text) AS h, min(doc_id) AS doc FROM documents GROUP BY 1), u AS (SELECT url, min(page_id) AS doc FROM pages WHERE page_id % 2 = 0 GROUP BY 1), x AS (SELECT i.*, coalesce(CASE WHEN page_id % 4 <> 0 THEN d.doc END, u.doc) AS doc FROM i LEFT JOIN documents t ON t.doc_id = page_id LEFT JOIN d ON d.h = sha256(t.text) LEFT JOIN u USING (url))
 SELECT r.run_id, url, CASE WHEN outcome = 'downloaded' AND page_id % 12 = 0 THEN 'failed' ELSE outcome END AS outcome, CASE WHEN outcome = 'downloaded' AND page_id % 12 = 0 THEN 'ingest error: bad bytes' END AS reason, CASE WHEN outcome = 'downloaded' AND page_id % 12 <> 0 THEN doc END AS doc_pk
 FROM (SELECT unnest(range(0, 7)) AS run_id) r LEFT JOIN x ON x.page_id % 5 = r.run_id""")
 def crawl_items(spark, sf):
-    """Runs with their items, joined to the documents that downloads became."""
+    """Runs with their items, joined to the documents that downloads became, by
+    their bytes, else by their URL."""
     k = F.col("page_id")
-    hashes = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.sha2("text", 256).alias("sha256"))
+    hashes = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 4 == 0, F.lit("elsewhere")).otherwise(F.sha2("text", 256)).alias("sha256"))
+    urls = table(spark, sf, "pages").where("page_id % 2 = 0").select(k.alias("doc_pk"), F.concat(F.lit("bytes "), k).alias("sha256"), F.col("url").alias("source_url"))
+    docs = fx.documents(spark, sf).select("doc_pk", "sha256", F.lit(None).cast("string").alias("source_url")).unionByName(urls)
     items = table(spark, sf, "pages").join(hashes.hint("merge"), "page_id", "left").select(
         (k % 5).alias("run_id"), "url", F.when(k % 3 == 0, "downloaded").when(k % 3 == 1, "page").otherwise("skipped").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.when(k % 12 == 0, "bad bytes").alias("ingest_error"), "sha256"
     )
-    return C.run_items(spark.range(7).withColumnRenamed("id", "run_id"), C.ingested_items(items, fx.documents(spark, sf)))
+    return C.run_items(spark.range(7).withColumnRenamed("id", "run_id"), C.ingested_items(items, docs))
 
 
 @query("""SELECT url AS src, href, CAST(pos AS INTEGER) AS pos FROM (SELECT url, unnest(['/u' || page_id, '/q?a=' || page_id || '&b=2', '/two words', '']) AS href, unnest([0, 1, 2, 3]) AS pos FROM pages)""")

@@ -532,6 +532,8 @@ def test_crawl_runs_and_items(spark):
     docs = spark.createDataFrame([(7, "h"), (9, "h")], "doc_pk long, sha256 string")
     got = {r.url: (r.outcome, r.reason, r.doc_pk) for r in C.ingested_items(items, docs).collect()}
     assert got == {"u": ("downloaded", None, 7), "v": ("failed", "ingest error: bad bytes", None), "w": ("page", None, None)}
+    by_url = C.ingested_items(items, docs.where("false").withColumn("source_url", F.lit("x")).union(spark.createDataFrame([(4, "zz", "u"), (3, "yy", "u"), (2, "xx", "")], "doc_pk long, sha256 string, source_url string")))
+    assert {r.url: r.doc_pk for r in by_url.collect()} == {"u": 3, "v": None, "w": None}
     assert C.run_items(asked.where("run_id <= 2").select("run_id"), items.drop("run_id").withColumn("run_id", F.lit(1))).count() == 4
 
 
