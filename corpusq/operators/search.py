@@ -187,7 +187,9 @@ def hybrid_search(
     kw, sem, how = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0)), F.col("effective_mode")
     combined = F.when(how == "keyword", kw).when(how == "semantic", sem).otherwise((1 - weight) * kw + weight * F.greatest(sem, F.lit(0.0)))
     words = F.when(F.col("keyword_rank").isNotNull(), F.concat(F.lit("Keyword match: "), "matched"))
-    near_ = F.when(F.col("semantic_rank").isNotNull(), F.concat(F.lit(meaning + ": "), F.format_string("%.2f", "semantic_score")))
+    # ties that a double holds exactly (eighths) go to the even digit
+    shown = F.when(F.col("semantic_score") * 8 == F.floor(F.col("semantic_score") * 8), F.bround("semantic_score", 2)).otherwise(F.col("semantic_score"))
+    near_ = F.when(F.col("semantic_rank").isNotNull(), F.concat(F.lit(meaning + ": "), F.format_string("%.2f", shown)))
     modes = asked.select("question_id", "effective_mode", F.col("__k").alias("__own_k"))
     scored = merged.join(modes.hint("merge"), "question_id").select(
         "question_id", "chunk_id", kw.alias("keyword_score"), sem.alias("semantic_score"), F.round(combined, 9).alias("combined_score"), "keyword_rank", "semantic_rank", "effective_mode", "__own_k", F.array_compact(F.array(words, near_)).alias("match_reasons")
