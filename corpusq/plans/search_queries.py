@@ -205,13 +205,16 @@ def answer_confidence(spark, sf):
     return V.answer_confidence(_validated(spark, sf), runs)
 
 
-@query("""SELECT run_id, CASE WHEN run_id % 4 = 0 THEN 'c1' ELSE citation_ref END AS citation_ref, chunk_id, page FROM fx_citations WHERE run_id % 9 <> 0 AND citation_ref = 'c1'""")
+@query("""SELECT run_id, citation_ref, chunk_id, page FROM fx_citations WHERE run_id % 9 <> 0""")
 def parse_answers(spark, sf):
-    c, k = fx.citations(spark, sf).where("citation_ref = 'c1'"), F.col("run_id")
-    ref = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit('"id":"'), "citation_ref", F.lit('",')))
-    body = F.concat(F.lit('{"answer":"x","citations":[{'), ref, F.lit('"chunk_id":"'), "chunk_id", F.lit('"'), F.coalesce(F.concat(F.lit(',"page":'), "page"), F.lit("")), F.lit("}]}"))
+    """All citations out of the answers of all runs: some without ids, some with
+    words around their JSON, some broken."""
+    k = F.col("run_id")
+    of = fx.citations(spark, sf).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("citation_ref", "chunk_id", "page"))).alias("cited"))
+    one = lambda c: F.struct(F.when(k % 4 != 0, c["citation_ref"]).otherwise("").alias("id"), c["chunk_id"].alias("chunk_id"), c["page"].alias("page"))
+    body = F.to_json(F.struct(F.lit("x").alias("answer"), F.transform("cited", one).alias("citations")))
     text = F.when(k % 9 == 0, F.concat(F.lit("oops "), F.substring(body, 1, 20))).when(k % 2 == 1, F.concat(F.lit("Sure! Here it is:\n"), body, F.lit("\nDone."))).otherwise(body)
-    return V.parse_answers(c.select("run_id", text.alias("answer_text"))).select("run_id", "citation_ref", "chunk_id", "page")
+    return V.parse_answers(of.select("run_id", text.alias("answer_text"))).select("run_id", "citation_ref", "chunk_id", "page")
 
 
 @query(f"""WITH pool AS (SELECT * FROM fx_chunks), {_HITS}, k AS ({_KEYWORD})
