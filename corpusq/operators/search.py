@@ -84,6 +84,8 @@ def limited(chunks: DataFrame, questions: DataFrame, passed: DataFrame | None) -
     """Chunks with the ``pools`` of their document, if a question asks for one."""
     if "pool" not in questions.columns:
         return chunks
+    if passed is None:
+        raise ValueError("questions name a pool: the table of pools is needed")
     return chunks.drop("pools").join(passed.hint("merge"), "doc_pk", "left")
 
 
