@@ -4,7 +4,8 @@ An occurrence of an item of m characters with at most e edits shares at least
 m + 1 - q - q*e of its q-grams with the text, on diagonals (text position minus
 item position) no more than e apart.  Shared q-grams are counted in overlapping
 bands of diagonals, twice e + 1 wide; bands that reach the bound are verified by
-alignment inside the band.
+alignment inside the band.  Items shorter than a q-gram have none to share; they
+are looked up as they stand, as whole words.
 """
 
 from __future__ import annotations
@@ -19,37 +20,37 @@ from pyspark.sql import functions as F
 from .common import fresh, map_text, quoted, stored
 
 #: Characters of a q-gram, edits allowed for each character of an item
-Q = 12
-EDITS = 0.07
+Q = 8
+EDITS = 0.1
 #: Characters of benchmark text indexed at once
 BLOCK_CHARS = 4_000_000
 
 LEAKS = "array<struct<item_id: long, start: long, stop: long, edits: int>>"
 
 _step = np.uint64(0x9E3779B97F4A7C15)
-_tables: tuple[np.ndarray, np.ndarray] | None = None
+_tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its lower case (where that is one character), and
-    whether it is white space."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point its lower case (where that is one character), whether
+    it is white space, and whether it is a letter or a digit."""
     global _tables
     if _tables is None:
-        low, blank = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+        low, blank, word = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
         for c in range(0x110000):
             s = chr(c)
             if len(x := s.lower()) == 1:
                 low[c] = ord(x)
-            blank[c] = s.isspace()
+            blank[c], word[c] = s.isspace(), s.isalnum()
         low[blank] = 32
-        _tables = low, blank
+        _tables = low, blank, word
     return _tables
 
 
 def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Lower case, white space as single blanks, none at the ends; and the place
     in the text of each character kept."""
-    low, blank = tables()
+    low, blank, _ = tables()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     space = blank[code]
     keep = ~space
@@ -83,14 +84,18 @@ def qgram_hashes(code: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of a block of items; and the items shorter than one, by length."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = EDITS):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = EDITS, short_items: bool = True):
         self.q, self.id, self.code = q, [], []
         hashes, owner, place = [], [], []
+        #: length -> what an item of that length reads as -> the ids of such items
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for i, text in items:
             code, _ = normal(text or "")
             if len(code) < q:
+                if short_items and len(code):
+                    self.short.setdefault(len(code), {}).setdefault(code.tobytes(), []).append(i)
                 continue
             h = qgram_hashes(code, q)
             hashes.append(h)
@@ -110,10 +115,41 @@ class Index:
         self.place = np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        self.short_hash = {n: np.unique(np.concatenate([qgram_hashes(np.frombuffer(x, np.uint32), n) for x in some])) for n, some in self.short.items()}
 
     def find(self, text: str) -> list[dict]:
         """Items that occur in the text: best place of each."""
         code, at = normal(text)
+        return sorted(self.find_short(code, at) + self.find_long(code, at), key=lambda x: (x["item_id"], x["start"]))
+
+    def find_short(self, code: np.ndarray, at: np.ndarray) -> list[dict]:
+        """First place of each item shorter than a q-gram: all of its characters,
+        with no letter or digit going on before its first or after its last."""
+        _, _, word = tables()
+        out = []
+        for n, some in self.short.items():
+            h = qgram_hashes(code, n)
+            pos = np.flatnonzero(np.isin(h, self.short_hash[n]))
+            inside = word[code]
+            before = (pos > 0) & inside[pos - 1] & inside[pos] if len(pos) else np.zeros(0, bool)
+            after = (pos + n < len(code)) & inside[np.minimum(pos + n, len(code) - 1)] & inside[pos + n - 1] if len(pos) else before
+            pos = pos[~(before | after)]
+            found: dict[bytes, int] = {}
+            # a hash stands for one text but for chance; every other place of it is looked at then
+            _, first = np.unique(h[pos], return_index=True)
+            for p in pos[first].tolist():
+                if (x := code[p : p + n].tobytes()) in some:
+                    found[x] = p
+                else:
+                    for p2 in pos[h[pos] == h[p]].tolist():
+                        if (x := code[p2 : p2 + n].tobytes()) in some:
+                            found.setdefault(x, p2)
+            for x, p in found.items():
+                out += [{"item_id": i, "start": int(at[p]), "stop": int(at[p + n - 1]) + 1, "edits": 0} for i in some[x]]
+        return out
+
+    def find_long(self, code: np.ndarray, at: np.ndarray) -> list[dict]:
+        """Items of a q-gram or more, by counting in bands and alignment."""
         if not len(self.hash) or len(code) < self.q:
             return []
         h = qgram_hashes(code, self.q)
@@ -146,7 +182,7 @@ class Index:
             if hit and (i not in out or hit[0] < out[i]["edits"]):
                 edits, start, stop = hit
                 out[i] = {"item_id": self.id[i], "start": int(at[start]), "stop": int(at[stop - 1]) + 1 if stop > start else int(at[start]), "edits": edits}
-        return sorted(out.values(), key=lambda x: (x["item_id"], x["start"]))
+        return list(out.values())
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -194,13 +230,15 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return int(last[d]), int(starts[best].max()), stop
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS, short_items: bool = True) -> DataFrame:
     """Add ``leaks``: the benchmark items that occur in each text, with place
     (in characters of the text) and edits, by item; one entry for an item.
 
-    Null and empty texts hold none.  An item whose text is null or has fewer
-    than ``q`` characters after normalising cannot be told from ordinary text
-    and never matches.  Items that repeat an id are searched for one by one.
+    Null and empty texts hold none.  An item whose text is null or blank never
+    matches.  One with fewer than ``q`` characters after normalising is found
+    where it stands unchanged as whole words; such strings stand in ordinary
+    text as well, so ``short_items=False`` leaves them out.  Items that repeat an
+    id are searched for one by one.
 
     A text of any length is searched whole; repeated rows give repeated results,
     an empty table an empty one; a ``keep`` column named ``leaks`` is replaced.
@@ -220,7 +258,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ke
         held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
 
         def make():
-            index = Index(held.value, q, edits)
+            index = Index(held.value, q, edits, short_items)
             return lambda texts: [pa.array([index.find(t) for t in texts], pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())])))]
 
         return held, make

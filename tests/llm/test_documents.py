@@ -363,6 +363,26 @@ def test_planted_items_are_found():
     assert index.find(" ".join(word() for _ in range(500))) == []
 
 
+def test_short_items_as_whole_words():
+    rng = random.Random(5)
+    items = [(k, "".join(rng.choice("ab ,") for _ in range(rng.randrange(1, 5)))) for k in range(60)] + [(90, "42"), (90, "x,"), (91, "")]
+    index = Index(items)
+    norm = lambda s: " ".join(s.split()).lower()
+    for _ in range(300):
+        text = "".join(rng.choice("abA ,x\n4") for _ in range(rng.randrange(25))) + rng.choice(["", "42", "142", " 42."])
+        t, want = norm(text), []
+        for i, x in items:
+            if x := norm(x):
+                left = r"(?<![^\W_])" if x[0].isalnum() else ""
+                right = r"(?![^\W_])" if x[-1].isalnum() else ""
+                if re.search(left + re.escape(x) + right, t):
+                    want.append((i, x))
+        got = index.find(text)
+        assert sorted((g["item_id"], norm(text[g["start"] : g["stop"]])) for g in got) == sorted(want)
+        assert all(g["edits"] == 0 for g in got)
+    assert Index(items, short_items=False).find("42 a b") == []
+
+
 def test_decontaminate_query(spark, sf):
     norm = lambda s: re.sub(r"\s+", " ", s).strip().lower()
     docs = {r.doc_id: norm(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -374,12 +394,12 @@ def test_decontaminate_query(spark, sf):
 
 def test_decontaminate_odd(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "a passage that is long enough"), (4, "A  passage that is long ENOUGH")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x a passage that\nis long enough y", 0), (3, "short", 0)], "doc_id long, text string, leaks int")
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "x a passage that\nis long enough y", 0), (3, "shorter", 0), (5, "in Short.", 0)], "doc_id long, text string, leaks int")
     for block in (10, 10**6):
         got = find_leaks(docs, bench, keep=["doc_id", "leaks", "text"], block_chars=block).collect()
-        assert sorted((len(r.leaks), r.doc_id) for r in got) == [(0, 1), (0, 2), (0, 3), (2, 3)]
-        assert [x.item_id for r in got for x in r.leaks] == [4, 4] and got[0].__fields__ == ["doc_id", "text", "leaks"]
-    assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 4
+        assert sorted((len(r.leaks), r.doc_id) for r in got) == [(0, 1), (0, 2), (0, 3), (1, 5), (2, 3)]
+        assert sorted(x.item_id for r in got for x in r.leaks) == [3, 4, 4] and got[0].__fields__ == ["doc_id", "text", "leaks"]
+    assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 5
 
 
 #: What the given pages use, written down for this test
