@@ -62,9 +62,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs.  Null and empty texts hold
-    none and stay; repeated rows share their fate; an empty table stays empty."""
+    none and stay; repeated rows share their fate; an empty table stays empty.
+    Items shorter than a q-gram stand in clean documents as well, so they reject
+    none (``find_leaks`` reports them)."""
     prepare(spark)
-    return find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).where(F.size("leaks") == 0).select(*docs.columns)
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns, short_items=False).where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
