@@ -37,13 +37,15 @@ MISS = 1e-5
 LEAST = 12
 #: Shards over a tile of vectors that are broadcast, at most; more are joined
 MOST_LARGE = 100_000
-#: Other vectors of a label expected at a filter
-CROWD = 48
+#: Other vectors of a label expected at a filter, and the share of them that pass it, at most
+CROWD, SHARE = 48, 0.01
+#: Distinct vectors up to which labels have the same filters
+SMALL = round(CROWD / SHARE)
 SEED = 9
 
 
 class Caps:
-    """Filters for ``dim`` dimensions, for a label of ``n`` distinct vectors.
+    """Filters for ``dim`` dimensions, for a label of about ``n`` distinct vectors.
 
     More vectors get narrower caps, and more of them, so that a filter's crowd
     stays the same.
@@ -51,7 +53,7 @@ class Caps:
 
     def __init__(self, dim: int, n: int, threshold: float):
         normal = NormalDist()
-        passing = min(0.01, CROWD / max(n, 1))
+        passing = min(SHARE, CROWD / max(n, 1))
         z = normal.inv_cdf(1 - passing)
         # chance that a vector passes a filter that its partner passes
         tail = [normal.inv_cdf(1 - passing * (k + 0.5) / 64) for k in range(64)]
@@ -107,23 +109,41 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def pass_filters(vectors: DataFrame, crowd: int, threshold: float) -> DataFrame:
-    """``(node, label, dim, copies, embedding, shards)`` for distinct vectors."""
+def with_crowd(vectors: DataFrame) -> DataFrame:
+    """Add ``crowd``, for how many vectors the filters of a row's label are laid
+    out.  A label over ``SMALL`` has its own, in steps of half a power of two,
+    so that few layouts are made; all others have that of the largest of them."""
+    sizes = stored(vectors.groupBy("label").agg(F.count("*").alias("n")))
+    usual = sizes.where(F.col("n") <= SMALL).agg(F.max("n")).first()[0] or 0
+    step = F.ceil(F.pow(F.lit(2.0), F.ceil(F.log2("n") * 2) / 2))
+    large = sizes.where(F.col("n") > SMALL).select("label", step.cast("long").alias("crowd"))
+    few = large.count() <= MOST_LARGE
+    joined = vectors.join(F.broadcast(large) if few else large.hint("merge"), "label", "left")
+    return joined.withColumn("crowd", F.coalesce("crowd", F.lit(usual).cast("long")))
+
+
+def pass_filters(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``(node, label, dim, copies, embedding, shards)`` for distinct vectors with
+    their ``crowd``."""
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    names = ["node", "label", "dim", "copies", "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caps: dict[int, Caps] = {}
+        caps: dict[tuple[int, int], Caps] = {}
         for b in batches:
-            dims = b.column(2).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                part = b.filter(pa.array(dims == dim))
-                c = caps.setdefault(int(dim), Caps(int(dim), crowd, threshold))
+            layouts = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 5)])
+            for layout in np.unique(layouts, axis=1).T:
+                part = b.filter(pa.array((layouts == layout[:, None]).all(0))).select(names)
+                key = (int(layout[0]), int(layout[1]))
+                if key not in caps:
+                    caps[key] = Caps(*key, threshold)
+                c = caps[key]
                 row, code = c.decode(matrix(part.column(4)))
                 pair = np.unique(np.stack([row, code // c.shard]), axis=1)
                 offsets = np.searchsorted(pair[0], np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair[1]))], names=[*part.schema.names, "shards"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair[1]))], names=[*names, "shards"])
 
-    return vectors.mapInArrow(run, f"node long, label {kind['label']}, dim int, copies long, embedding {kind['embedding']}, shards array<long>")
+    return vectors.select(*names, "crowd").mapInArrow(run, f"node long, label {kind['label']}, dim int, copies long, embedding {kind['embedding']}, shards array<long>")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -258,8 +278,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    crowd = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passed = stored(pass_filters(distinct.select("node", "label", F.size("embedding").alias("dim"), "copies", "embedding"), crowd, threshold))
+    sized = with_crowd(distinct.select("node", "label", F.size("embedding").alias("dim"), "copies", "embedding"))
+    passed = stored(pass_filters(sized, threshold))
     found = stored(compare(passed, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

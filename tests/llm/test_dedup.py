@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from corpusq.llm import embedding_dedup as E
 from corpusq.llm import queries as Q
 from corpusq.llm import simhash as S
 from corpusq.llm.components import connected_components
@@ -120,6 +121,30 @@ def test_embedding_links(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_a_large_label_beside_small_ones(spark):
+    """Labels over ``SMALL`` get filters of their own, the others share theirs."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for label, n in ((1, 5200), (2, 300), (3, 40)):
+        x = rng.standard_normal((n, 24))
+        x[n // 2 :] = x[rng.integers(0, n // 2, n - n // 2)] + rng.standard_normal((n - n // 2, 24)) * 0.2
+        rows += [(len(rows) + i, v, label) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {(r.label, r.crowd) for r in E.with_crowd(df).select("label", "crowd").distinct().collect()} == {(1, 5793), (2, 300), (3, 300)}
+    got, all_links = {r.vec_id: r for r in E.embedding_links(df).collect()}, []
+    for label in (1, 2, 3):
+        ids = [r[0] for r in rows if r[2] == label]
+        x = np.array([r[1] for r in rows if r[2] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+        n = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+        assert len(a) > len(ids) // 4 and all(got[i].n_links <= k for i, k in zip(ids, n.tolist()))
+        assert sum(got[i].n_links for i in ids) >= 0.99 * n.sum()
+        all_links += [(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist())]
+    want = least([r[0] for r in rows], all_links)
+    assert np.mean([got[i].component_id == want[i] for i in want]) > 0.98
+
+
 def test_embedding_recall(spark):
     sf = "/root/testdata/sf0.01"
     d = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
