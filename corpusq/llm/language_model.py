@@ -41,6 +41,8 @@ ROUNDS = (1 / 16, 6 / 16, 1)
 FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 24, 48, 384, 0.1, 3
 #: Tokens trained on together in a task, about; floats in a row of averaged weights
 FIT_POOL, ROW = 1_000_000, 8192
+#: Tokens of a partition in a round of training, about, at least: smaller ones are put together
+FIT_LEAST = 500_000
 #: Tokens scored together in a task, about
 POOL = 3_000_000
 END = "\n"
@@ -438,7 +440,8 @@ def learn_model(coded: DataFrame, lexicon: Lexicon) -> Model:
     """Train the recurrent weights on all coded documents, inside their partitions.
 
     Each document belongs to one round, by its hash, and is read there from its
-    first symbol to its last.
+    first symbol to its last.  Partitions that are small for a round are put
+    together, as weights that saw few tokens say little when they are averaged.
     """
     share = F.pmod(F.xxhash64("symbols"), F.lit(1 << 20))
     sc = coded.sparkSession.sparkContext
@@ -472,7 +475,8 @@ def learn_model(coded: DataFrame, lexicon: Lexicon) -> Model:
                     arrays = [pa.array([i // ROW for i in rows], pa.int32()), pa.array([total] * len(rows), pa.int64()), pa.array([flat[i : i + ROW].tobytes() for i in rows], pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["row", "tokens", "weights"])
 
-        trained = coded.where((share >= low) & (share < high)).select("symbols").mapInArrow(run, "row int, tokens long, weights binary")
+        tasks = max(1, (high - low) * lexicon.total // (FIT_LEAST << 20))
+        trained = coded.where((share >= low) & (share < high)).select("symbols").coalesce(tasks).mapInArrow(run, "row int, tokens long, weights binary")
         averaged = stored(trained.repartition("row").mapInArrow(add_weights, "row int, tokens long, weights binary")).orderBy("row").collect()
         if averaged:
             put_weights(model, seen, np.concatenate([np.frombuffer(r.weights, np.int64) / (r.tokens * POINT) for r in averaged]))
