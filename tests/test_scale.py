@@ -10,6 +10,7 @@ import pyarrow as pa
 
 from corpusq.operators import scan
 from corpusq.operators import search as R
+from corpusq.operators.chunk import cut_batches, cut_page
 from corpusq.operators.embed import hash_vectors
 
 
@@ -47,3 +48,13 @@ def test_pieces_bound_rows_and_bytes():
     b = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * 10000] * 3000)], names=["k", "t"])
     cut = list(scan.pieces([b]))
     assert sum(x.num_rows for x in cut) == 3000 and all(x.num_rows <= scan.PIECE and x.num_rows * 10000 <= scan.PIECE_BYTES for x in cut)
+
+
+def test_pages_are_cut_a_few_at_a_time():
+    """A full Arrow batch is not held as Python objects as a whole."""
+    texts = [f"page {n}\n\n" + "\n\n".join("word " * 40 for _ in range(n % 9)) for n in range(5000)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([1] * 5000, pa.int32()), pa.array(texts)], names=["doc_pk", "page_number", "text"])
+    out = list(cut_batches(iter([b])))
+    assert len(out) >= 5 and max(x.num_rows for x in out) <= scan.PIECE
+    got = [[(c["text"], c["char_start"], c["char_end"]) for c in r] for x in out for r in x.column(2).to_pylist()]
+    assert got == [cut_page(t) for t in texts]
