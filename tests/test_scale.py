@@ -58,3 +58,45 @@ def test_pages_are_cut_a_few_at_a_time():
     assert len(out) >= 5 and max(x.num_rows for x in out) <= scan.PIECE
     got = [[(c["text"], c["char_start"], c["char_end"]) for c in r] for x in out for r in x.column(2).to_pylist()]
     assert got == [cut_page(t) for t in texts]
+
+
+def test_words_are_read_once_and_terms_counted_without_overlap():
+    """Counts of a few texts against counting; the words that a task remembers are bounded."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(rng.randrange(1, n)))
+    asked = [[word(5) for _ in range(4)] for _ in range(30)]
+    by = scan.Terms(pa.array(asked))
+    texts = [" ".join(word(9) for _ in range(rng.randrange(40))) for _ in range(300)] + [None, "", "aaaa\taaaa"]
+    rows = by.rows(pa.array(texts))
+    got = by.scores(rows, 0, 30)
+    assert got.tolist() == [[sum((t or "").count(w) for w in q) for t in texts] for q in asked]
+    assert len(by.found) == len({w for t in texts for w in (t or "").split()})
+
+
+def test_large_batches_are_cut():
+    b = pa.RecordBatch.from_arrays([pa.array(range(3 * scan.ROWS + 5))], names=["k"])
+    assert [x.num_rows for x in scan.gathered(iter([b]))] == [scan.ROWS] * 3 + [5]
+
+
+def test_rows_are_made_once_for_all_blocks(spark, monkeypatch):
+    """With several blocks of questions, vectors are hashed and texts prepared
+    once, and tasks are no more than twice the cores."""
+    kept = []
+    monkeypatch.setattr(scan, "stored", lambda df, f=scan.stored: kept.append(df.columns) or f(df))
+    monkeypatch.setattr(scan.scan_topk, "__defaults__", ("score", "rank", 4))
+    q = spark.createDataFrame([(i, f"w{i} the") for i in range(9)], "question_id int, question string")
+    c = spark.createDataFrame([(f"c{i:02}", f"the w{i}") for i in range(12)], "chunk_id string, text string").repartition(200)
+    found = R.sparse_topk(hash_vectors(q, "question_id", "question"), hash_vectors(c, "chunk_id"), 2)
+    assert kept[0] == ["chunk_id", "vector"] and len(kept) == 4
+    assert found.where("semantic_rank = 1 and question_id < 9").count() == 9
+
+
+def test_only_left_out_words_keep_the_smallest_keys(spark):
+    """Ties of all chunks, in several batches of a task."""
+    from corpusq.operators.fulltext import fulltext_search
+
+    c = spark.createDataFrame([(f"c{(i * 7919) % 20000:05}", "x y" if i % 3 else "x z") for i in range(20000)], "chunk_id string, text string").coalesce(1)
+    got = fulltext_search(spark.createDataFrame([(1, "-z"), (2, "w or -y")], "question_id int, question string"), c).collect()
+    rows = [(f"c{(i * 7919) % 20000:05}", i % 3) for i in range(20000)]
+    want = {1: sorted(k for k, m in rows if m)[:10], 2: sorted(k for k, m in rows if not m)[:10]}
+    assert {n: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.question_id == n] for n in want} == want
