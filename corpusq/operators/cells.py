@@ -24,8 +24,10 @@ from corpusq.shared import ship, stored
 
 from .embed import has_embedding
 from .fulltext import small_or_merged
-from .scan import MOST_QUESTIONS, best
+from .scan import best
 
+#: Questions of a pass
+MOST_QUESTIONS = 4096
 #: Rows that cells and codes are learnt from, at most; rows of a cell, and of its sample, at least
 SAMPLE, CODE_SAMPLE, LEAST = 50_000, 10_000, 8
 #: Codes of a cell that are compared in one task, about; larger cells are cut

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
 from corpusq.operators import scan
@@ -100,3 +101,42 @@ def test_only_left_out_words_keep_the_smallest_keys(spark):
     rows = [(f"c{(i * 7919) % 20000:05}", i % 3) for i in range(20000)]
     want = {1: sorted(k for k, m in rows if m)[:10], 2: sorted(k for k, m in rows if not m)[:10]}
     assert {n: [r.chunk_id for r in sorted(got, key=lambda r: r.rank) if r.question_id == n] for n in want} == want
+
+
+def test_short_rows_are_passed_over_by_bounds(monkeypatch):
+    """Only rows that may be among the best are scored, and the best are those
+    of counting, ties by key, over groups and batches; all questions go in one pass."""
+    scored = []
+    monkeypatch.setattr(scan.Terms, "scored", lambda self, seen, counts, q, f=scan.Terms.scored: scored.append(len(q) * counts.shape[1]) or f(self, seen, counts, q))
+    monkeypatch.setattr(scan, "ROWS", 2000)
+    rng = random.Random(7)
+    words = ["the", "tha", "thath", "that", "aa", "aaa", "é"]
+    texts = {f"c{i:04}": " ".join(rng.choice(words) for _ in range(200 if i % 97 == 0 else rng.randrange(12))) for i in range(6000)}
+    asked = {i: [rng.choice(["th", "that", "aa", "a", "h", "é", "zz"]) for _ in range(4)] for i in range(50)}
+    rows = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["k", "t"])
+    ids, keys, scores = scan.score_rows(pa.table({"q": list(asked), "t": list(asked.values())}), scan.gathered(iter([rows])), scan.Terms, 3)
+    got: dict[int, list] = {}
+    for q, k, s in zip(ids, keys, scores):
+        got.setdefault(q, []).append((-s, k))
+    for q, terms in asked.items():
+        hits = sorted((-sum(t.count(w) for w in terms), k) for k, t in texts.items())[:3]
+        assert got.get(q, []) == [h for h in hits if h[0]]
+    assert sum(scored) < len(asked) * len(texts) // 4
+    assert scan.scan_topk.__defaults__[-1] >= 30_000
+
+
+def test_hits_are_put_in_order_at_once():
+    """Against sorting: several batches, questions with limits of their own, equal scores."""
+    rng = random.Random(2)
+    k = [rng.randrange(4) for _ in range(30)]
+    top, every = scan.Top(k), []
+    for b in range(5):
+        names = [f"{rng.randrange(10**6)}-{b}" for _ in range(40)]
+        hits = [(rng.randrange(30), rng.randrange(40), rng.randrange(3) / 2) for _ in range(300)]
+        hits = list({(q, at): (q, at, s) for q, at, s in hits}.values())
+        q, at, s = (np.array(x) for x in zip(*hits))
+        top.add(q, at, s, scan.Keys(names))
+        top.fold()
+        every += [(q, -s, names[at]) for q, at, s in hits]
+    want = [x for q in range(30) for x in sorted(e for e in every if e[0] == q)[: k[q]]]
+    assert list(zip(top.q.tolist(), (-top.score).tolist(), top.key.tolist())) == want
