@@ -64,23 +64,32 @@ class ChunkEncoder(dict):
         self.cut = regex.compile(spaced(cut["pattern"]["Regex"])).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.merge = self.tokenizer.model.tokenize
+        # the four bytes of every id
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.id_bytes = [struct.pack("<I", i) for i in range(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)))]
 
     def piece(self, piece: str) -> bytes:
         """Ids of a normalised pre-token by the library's model."""
         if not (piece.isascii() and piece.isprintable()):
             piece = "".join(map(_symbol.__getitem__, piece.encode()))
-        ids = [t.id for t in self.merge(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        coded = self.id_bytes
+        return b"".join([coded[t.id] for t in self.merge(piece)])
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
+        # most words are letters of ASCII, and need no look at anything else
         if (ids := self.old.pop(chunk, None)) is None:
-            ids = self.coded(chunk)
-        if len(chunk) <= LONGEST:
-            self.size += len(chunk) + len(ids) + 190
+            if chunk.isascii() and chunk.isalpha():
+                coded = self.id_bytes
+                ids = b"".join([coded[t.id] for t in self.merge(chunk.lower())])
+            else:
+                ids = self.coded(chunk)
+        n = len(chunk)
+        if n <= LONGEST:
+            self.size += n + len(ids) + 190
             if self.size > REMEMBERED:
                 self.old, self.size = dict(self), 0
                 self.clear()
@@ -107,8 +116,9 @@ class ChunkEncoder(dict):
             raw = t
             # words that differ in case only are remembered once; a special-token
             # string counts only as it stands, not where lower-casing makes one
-            if plain(t) and not any(s in (low := t.lower()) for s in self.special):
-                t = low
+            if plain(t):
+                low = t.lower()
+                t = t if any(s in low for s in self.special) else low
             # str.split() also cuts at the four information separators, which are not White_Space
             words = filter(None, _blank.split(t)) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
             try:

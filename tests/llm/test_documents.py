@@ -557,3 +557,19 @@ def test_html_formulas_fallbacks_and_unclosed_elements():
     for name in ("object", "math", "noscript", "select", "video", "template"):
         assert text(f"<p>One.</p><{name}><p>Two.</p>") == ["One.", "Two."]
     assert text("<p>One.</p><script>var two") == ["One."]
+
+
+def test_new_words_of_letters_go_straight_to_the_model(monkeypatch):
+    """Ids are the library's, and words of ASCII letters are not looked at twice."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusq.llm.token_store import ChunkEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library, slow = ChunkEncoder(path), Tokenizer.from_file(path), []
+    monkeypatch.setattr(ChunkEncoder, "coded", lambda self, chunk, f=ChunkEncoder.coded: slow.append(chunk) or f(self, chunk))
+    texts = ["The thouhein of Thouhein, é Été 12 x", "ΑΣ THE <|startoftext|> the", "", "a\x1cb  c"]
+    got = encoder.encode(texts)
+    assert [list(memoryview(x).cast("I")) for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert slow and not any(w.isascii() and w.isalpha() for w in slow)
