@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -107,6 +108,20 @@ def test_special_strings_made_by_case_and_unknown_characters():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_texts_are_cut_as_arrays(monkeypatch):
+    """Ids are the library's, and no word of a Latin text is looked at on its own."""
+    t, e, slow = Tokenizer.from_file(WORD), ChunkEncoder(WORD), []
+    monkeypatch.setattr(ChunkEncoder, "__missing__", lambda self, chunk, f=ChunkEncoder.__missing__: slow.append(chunk) or f(self, chunk))
+    rng = random.Random(4)
+    texts = ["It's I'LL we've they'RE ''s ,'s a's's 'd'm 't\n", "", "'", "l", "'", "re", "été,&&& ÀÖØÞß ÿ12 3é4\x00\x1c\x7f $$$a"]
+    texts += ["".join(rng.choice("''''strevlmdaE É9 ,\n\x0b\x1c!") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert [list(memoryview(x).cast("I")) for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not slow
+    mixed = ["a×b", "it's", "x÷", "“it's”", "", "e\u0301", "<|endoftext|>", "naïve²", "日本", "ok"]
+    part = pa.array(["skip", *mixed])[1:]
+    assert [list(memoryview(x).cast("I")) for x in e.encode_column(part)] == [t.encode(x, add_special_tokens=False).ids for x in mixed]
+
+
 def test_odd_rows_and_clashes(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "it's"), (5, "<|endoftext|>"), (6, "word " * 30000)]
     d = spark.createDataFrame([(*r, "old", "old", 1) for r in rows], "doc_id long, text string, IDS string, decoded string, n_tokens int")
