@@ -35,7 +35,9 @@ from .common import lowest, pieces, quoted, stored
 #: Words whose count every task holds; the others' counts are joined
 HEAD = 200_000
 VOCABULARY, CLASS, ENDINGS = 8192, 64, 64
-UNITS, WINDOW, LANES, BLOCK = 32, 16, 384, 256
+UNITS, WINDOW, LANES, BLOCK = 32, 16, 384, 512
+#: Windows whose symbols are laid out at once for scoring; rows of a symbol, at most, that are added for all symbols at once
+AHEAD, FEW = 32, 5
 #: Where the rounds of training end, in shares of the documents
 ROUNDS = (1 / 16, 6 / 16, 1)
 FIT_WINDOW, FIT_LANES, MOST_LANES, RATE, SEED = 24, 48, 384, 0.1, 3
@@ -54,6 +56,34 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+#: Bytes of text coded at once, about
+PIECE = 4_000_000
+
+_lower = np.arange(256, dtype=np.uint8)
+_lower[0x41:0x5B] += 0x20
+_white = np.zeros(256, bool)
+_white[np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8)] = True
+
+
+def cut_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of an Arrow array of texts without nulls, one after the other,
+    and for each text, and the end, how many words stand before it."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    low = _lower[np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]]
+    edges, white = edges - edges[0], _white[low]
+    first = np.zeros(len(low) + 1, bool)
+    first[edges] = True
+    first[1:] |= white
+    start = np.flatnonzero(~white & first[:-1])
+    first[:-1] |= white
+    stop = np.flatnonzero(~white & first[1:]) + 1
+    kept = low[~white]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(stop - start))), pa.py_buffer(kept)])
+    return words, np.searchsorted(start, edges)
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, c)`` over all rows, and the number of rows under the word ``END``."""
     src = docs.select(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
@@ -182,22 +212,28 @@ class Model:
         """States (with a 1) after each row of ``given`` symbols, from ``h`` on, as
         rows in order; and the last ones.  ``kept`` gets what going back needs.
 
-        Inside, units come first and lanes are next to each other in memory.
+        Each gate is an array of its own, a row for each lane, so that no step
+        goes over parts of rows.
         """
         k, (width, lanes) = UNITS, given.shape
-        gain = np.ascontiguousarray((self.x + self.b).take(given, axis=0).transpose(0, 2, 1))
-        live, u = (given != 0).astype(np.float32), np.ascontiguousarray(self.u.T)
-        out = np.empty((width, k, lanes), np.float32)
+        gain = self.x.take(given.ravel(), axis=0)
+        gain += self.b
+        gain = np.ascontiguousarray(gain.reshape(width, lanes, 3, k).transpose(0, 2, 1, 3))
+        u, ends = by_gate(self.u), given == 0
+        ended, out = ends.any(1).tolist(), np.empty((width, lanes, k), np.float32)
         for t in range(width):
-            before = h * live[t]  # an end forgets the document
-            hu, zr, new = u @ before, gain[t, : 2 * k], gain[t, 2 * k :]
-            zr += hu[: 2 * k]
+            before = h
+            if ended[t]:  # an end forgets the document
+                before = h.copy()
+                before[ends[t]] = 0
+            hu, zr, new = before @ u, gain[t, :2], gain[t, 2]
+            zr += hu[:2]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:k], zr[k:]
-            h = np.multiply(r, hu[2 * k :], out=out[t])
+            z, r = zr
+            h = np.multiply(r, hu[2], out=out[t])
             new += h
             # tanh by the exponential, which is faster
             new *= 2
@@ -209,9 +245,9 @@ class Model:
             h *= z
             h += new
             if kept is not None:
-                kept.append((z, r, new, hu[2 * k :], before))
+                kept.append((z, r, new, hu[2], before))
         flat = np.ones((width, lanes, k + 1), np.float32)
-        flat[:, :, :k] = out.transpose(0, 2, 1)
+        flat[:, :, :k] = out
         return flat.reshape(-1, k + 1), h
 
     def by_class(self, cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -260,15 +296,18 @@ class Model:
         line = [np.concatenate([docs[d] for d in r]) for r in rows]
         owner = [np.repeat(np.array(r, np.int32), [len(docs[d]) for d in r]) for r in rows]
         sizes = np.array([len(x) for x in line])
-        h, last = np.zeros((UNITS, lanes), np.float32), np.zeros(lanes, np.int16)
+        h, last = np.zeros((lanes, UNITS), np.float32), np.zeros(lanes, np.int16)
         for start in range(0, int(sizes[0]), window):
             live = int(np.searchsorted(-sizes, -start))
-            h, last = np.ascontiguousarray(h[:, :live]), last[:live]
-            width = min(window, int(sizes[0]) - start)
-            symbol, mine = np.zeros((live, width), np.int16), np.full((live, width), -1, np.int32)
-            for i in range(live):
-                part = line[i][start : start + width]
-                symbol[i, : len(part)], mine[i, : len(part)] = part, owner[i][start : start + width]
+            h, last = h[:live], last[:live]
+            if start % (window * AHEAD) == 0:
+                begin, width = start, min(window * AHEAD, int(sizes[0]) - start)
+                symbols, owners = np.zeros((live, width), np.int16), np.full((live, width), -1, np.int32)
+                for i in range(live):
+                    part = line[i][start : start + width]
+                    symbols[i, : len(part)], owners[i, : len(part)] = part, owner[i][start : start + width]
+            at = slice(start - begin, start - begin + window)
+            symbol, mine = symbols[:live, at], owners[:live, at]
             given = np.concatenate([last[None], symbol.T[:-1]])
             flat, h = self.states(given, h)
             last, who, wanted = symbol[:, -1], mine.T.ravel(), symbol.T.ravel()
@@ -300,15 +339,19 @@ class Model:
 
         def move(p, s, g):
             np.clip(g, -1, 1, out=g)
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
+            part = g * g
+            s += part
+            np.sqrt(s, out=part)
+            g *= RATE
+            g /= part
+            p -= g
 
         def move_output(p, s, g):
             move(p, s, g)
             np.clip(p[..., :k, :], -MOST, MOST, out=p[..., :k, :])
             np.clip(p[..., k, :], -MOST_BIAS, MOST_BIAS, out=p[..., k, :])
 
-        h = np.zeros((k, lanes), np.float32)
+        h = np.zeros((lanes, k), np.float32)
         for start in range(0, length, window):
             given, wanted = grid[:, start : start + window]
             width, kept = len(given), []
@@ -317,7 +360,7 @@ class Model:
             cls = self.class_of(symbol)
             if not live.all():
                 cls[~live] = len(self.w[0])
-            dh, dw = np.empty((len(flat), k), np.float32), np.zeros_like(self.w)
+            dh, dw, out = np.empty((len(flat), k), np.float32), np.zeros(self.w.shape[::-1], np.float32), np.ascontiguousarray(self.w[:k].T)
             for i in range(0, len(flat), BLOCK):
                 part, own = flat[i : i + BLOCK], cls[i : i + BLOCK]
                 p = part @ self.w
@@ -329,8 +372,8 @@ class Model:
                     at = np.flatnonzero(live[i : i + BLOCK])
                     p[at, own[at]] -= scale
                     p[~live[i : i + BLOCK]] = 0
-                np.matmul(p, self.w[:k].T, out=dh[i : i + BLOCK])
-                dw += part.T @ p
+                np.matmul(p, out, out=dh[i : i + BLOCK])
+                dw += p.T @ part
             order, edge = self.by_class(cls)
             order = order[: edge[-1]]
             grouped, places, inner = flat[order], symbol[order] % CLASS, np.empty((len(order), k), np.float32)
@@ -345,19 +388,20 @@ class Model:
                     np.matmul(q, self.v[c, :k].T, out=inner[i:j])
                     np.matmul(grouped[i:j].T, q, out=dv[c])
             dh[order] += inner
-            move_output(self.w, seen["w"], dw)
+            move_output(self.w, seen["w"], dw.T)
             move_output(self.v, seen["v"], dv)
-            self.back(given, kept, np.ascontiguousarray(dh.reshape(width, lanes, k).transpose(0, 2, 1)), seen, move)
+            self.back(given, kept, dh.reshape(width, lanes, k), seen, move)
 
     def back(self, given: np.ndarray, kept: list, dh: np.ndarray, seen: dict[str, np.ndarray], move) -> None:
         """Gradients of the recurrent weights and inputs, from those of the states."""
         k, (width, lanes) = UNITS, given.shape
-        gate, over, part = np.empty((width, 3 * k, lanes), np.float32), np.zeros((k, lanes), np.float32), np.empty((k, lanes), np.float32)
-        live, du = (given != 0).astype(np.float32), np.zeros_like(self.u)
+        gate, over, part = np.empty((4, width, lanes, k), np.float32), np.zeros((lanes, k), np.float32), np.empty((lanes, k), np.float32)
+        ends, u = given == 0, np.ascontiguousarray(by_gate(self.u).transpose(0, 2, 1))
+        ended, all_before = ends.any(1).tolist(), np.empty((width, lanes, k), np.float32)
         for t in range(width - 1, -1, -1):
             z, r, new, hu, before = kept[t]
             over += dh[t]
-            gz, gr, dn = gate[t, :k], gate[t, k : 2 * k], gate[t, 2 * k :]
+            gz, gr, reach, dn = gate[:, t]  # reach: what gets to the recurrent part of new
             np.subtract(1, z, out=part)
             np.multiply(over, part, out=dn)
             part *= z
@@ -371,24 +415,46 @@ class Model:
             part *= r
             np.multiply(dn, hu, out=gr)
             gr *= part
-            np.multiply(dn, r, out=part)  # what reaches the recurrent part of new
-            du[:, : 2 * k] += before @ gate[t, : 2 * k].T
-            du[:, 2 * k :] += before @ part.T
+            np.multiply(dn, r, out=reach)
+            all_before[t] = before
             over *= z
-            over += self.u[:, : 2 * k] @ gate[t, : 2 * k]
-            over += self.u[:, 2 * k :] @ part
-            over *= live[t]
-        dx, flat = gate.transpose(0, 2, 1).reshape(-1, 3 * k), given.ravel()
+            for g, v in zip((gz, gr, reach), u):
+                over += np.matmul(g, v, out=part)
+            if ended[t]:
+                over[ends[t]] = 0
+        flat, gate = given.ravel(), gate.reshape(4, -1, k)
+        du = np.concatenate(all_before.reshape(-1, k).T @ gate[:3], axis=1)
+        dx = np.concatenate((gate[0], gate[1], gate[3]), axis=1)
         order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
+        ordered, dx_in_order = flat[order], dx.take(order, axis=0)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        rows, gx = ordered[first], np.clip(np.add.reduceat(dx[order], first), -1, 1)
+        rows, gx = ordered[first], sums_of_runs(dx_in_order, first)
+        np.clip(gx, -1, 1, out=gx)
         move(self.u, seen["u"], du)
         move(self.b, seen["b"], dx.sum(0))
         seen["x"][rows] += (gx * gx).mean(1, keepdims=True)
         self.x[rows] -= RATE * gx / np.sqrt(seen["x"][rows])
 
 
+def by_gate(u: np.ndarray) -> np.ndarray:
+    """Recurrent weights as a matrix for each gate."""
+    return np.ascontiguousarray(u.reshape(UNITS, 3, UNITS).transpose(1, 0, 2))
+
+
+def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows; a run begins at each of ``first``.  Short runs
+    are added row by row for all of them, long ones each on its own."""
+    n = np.diff(np.append(first, len(rows)))
+    out = rows.take(first, axis=0)
+    short = np.flatnonzero((n > 1) & (n <= FEW))
+    for j in range(1, FEW):
+        short = short[n[short] > j]
+        out[short] += rows.take(first[short] + j, axis=0)
+    for i in np.flatnonzero(n > FEW).tolist():
+        np.add.reduce(rows[first[i] : first[i] + n[i]], axis=0, out=out[i])
+    return out
+
+
 WEIGHTS = ("x", "u", "b", "w", "v")
 
 
@@ -420,18 +486,8 @@ def code_documents(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = N
     def run(batches):
         lex = shared.value
         for b in batches:
-            for part in pieces(b):
-                rows = []
-                for t in part.column(1).to_pylist():
-                    s, rank, rest = symbols(lex, words_of(t))
-                    held = rank[rank >= 0]
-                    leaf = s >= lex.vocabulary
-                    extra = -lex.leaf[s[leaf] - lex.vocabulary].sum() + lex.log_count[held[held >= lex.vocabulary]].sum()
-                    base = lex.log_count[held].sum() + lex.log_count[0] - lex.base * len(s)
-                    known = int((lex.count[held] > 0).sum()) + int(lex.count[0] > 0)
-                    rows.append((s.astype("<i2").tobytes(), len(s), known, float(base), float(extra), [(w.decode(), n) for w, n in Counter(rest).items()]))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+            for part in pieces(b, limit=PIECE):
+                yield pa.RecordBatch.from_arrays([part.column(0), *code_texts(lex, part.column(1))], names=names)
 
     return stored(src.mapInArrow(run, schema))
 
@@ -503,16 +559,39 @@ def add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["row", "tokens", "weights"])
 
 
-def symbols(lex: Lexicon, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Model symbols with the end, ranks of the words (-1: not held), words not held."""
-    rank = np.fromiter(map(lex.rank.get, words, repeat(-1)), np.int64, len(words))
-    out = np.zeros(len(words) + 1, np.int64)
-    out[:-1] = lex.of_rank[rank]
-    far = np.flatnonzero(rank < 0)
-    rest = [words[i] for i in far.tolist()]
-    if rest:
-        out[far] = [lex.symbol(w) for w in rest]
-    return out, rank, rest
+def code_texts(lex: Lexicon, texts: pa.Array) -> list[pa.Array]:
+    """Symbols (the end last), tokens, known, base, extra and rest of each text.
+    Each distinct word of the texts is looked up once."""
+    cut, before = cut_words(texts)
+    words, rows = cut.dictionary_encode(), len(texts)
+    kinds, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+    owner = np.repeat(np.arange(rows), np.diff(before))
+    rank = np.fromiter(map(lex.rank.get, kinds, repeat(-1)), np.int64, len(kinds))
+    held, symbol = rank >= 0, lex.of_rank[rank]
+    far = np.flatnonzero(~held)
+    symbol[far] = [lex.symbol(kinds[i]) for i in far.tolist()]
+    log = np.where(held, lex.log_count[rank], 0)
+    leaf = symbol >= lex.vocabulary
+    extra = np.where(leaf, log, 0)
+    extra[leaf] -= lex.leaf[symbol[leaf] - lex.vocabulary]
+
+    def by_text(of_word: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, of_word[which], rows).astype(float)
+
+    tokens, out = np.diff(before) + 1, np.zeros(len(which) + rows, "<i2")
+    out[np.arange(len(which)) + owner] = symbol[which]
+    ends = (before + np.arange(rows + 1)) * 2
+    pairs, n = np.unique((owner * max(1, len(kinds)) + which)[~held[which]], return_counts=True)
+    text, word = np.divmod(pairs, max(1, len(kinds)))
+    rest = words.dictionary.take(pa.array(word)).cast(pa.large_string()).cast(pa.string())
+    return [
+        pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)]),
+        pa.array(tokens),
+        pa.array(by_text(held & (lex.count[rank] > 0)).astype(np.int64) + int(lex.count[0] > 0)),
+        pa.array(by_text(log) + lex.log_count[0] - lex.base * tokens),
+        pa.array(by_text(extra)),
+        pa.MapArray.from_arrays(pa.array(np.searchsorted(text, np.arange(rows + 1)), pa.int32()), rest, pa.array(n, pa.int64())),
+    ]
 
 
 def score_documents(coded: DataFrame, counts: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:

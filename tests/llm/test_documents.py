@@ -174,6 +174,42 @@ def test_language_model_predicts_every_symbol():
     assert (seen["v"][0][:, 9] > 1e-2).any() and np.isfinite(m.x).all()
 
 
+def test_language_model_sums_of_runs():
+    """Gradients of a symbol's input are added over short and long runs alike."""
+    rng = np.random.default_rng(1)
+    n = np.array([1, 2, 3, M.FEW, M.FEW + 1, 40, 1, 1, 2])
+    rows = rng.standard_normal((n.sum(), 7)).astype(np.float32)
+    first = np.cumsum(n) - n
+    assert np.allclose(M.sums_of_runs(rows, first), np.add.reduceat(rows, first), atol=1e-5)
+    assert np.allclose(M.sums_of_runs(rows[:1], first[:1]), rows[:1])
+
+
+def test_language_model_long_documents_by_windows():
+    """What is laid out ahead for several windows gives the scores of one window."""
+    m, rng = M.Model(small_model()), np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, 10, n), 0) for n in (2000, 700, 513, 512, 511, 0, 3, 1200)]
+    whole = m.score(docs, lanes=8, window=3000)
+    for lanes, window in ((3, 16), (8, 2), (1, 7)):
+        assert np.allclose(whole, m.score(docs, lanes=lanes, window=window), rtol=1e-5)
+
+
+def test_language_model_codes_texts_as_arrays():
+    """Symbols, counts and parts of the scores against one word after the other."""
+    lex = small_model()
+    texts = ["a B zz", "", " ", "x\x1cy É9 É9\xa0q a", "\n\ta\x0bJ\r\n", "b" * 3000, ""]
+    got = M.code_texts(lex, pa.array(["skip", *texts])[1:])
+    for text, (s, tokens, known, base, extra, rest) in zip(texts, zip(*(x.to_pylist() for x in got))):
+        words = text.encode().lower().split()
+        held = [lex.rank.get(w, -1) for w in words]
+        want = [lex.of_rank[r] if r >= 0 else lex.symbol(w) for w, r in zip(words, held)]
+        assert np.frombuffer(s, "<i2").tolist() == [*want, 0] and tokens == len(words) + 1
+        assert known == 1 + sum(r >= 0 for r in held) and dict(rest) == Counter(w.decode() for w, r in zip(words, held) if r < 0)
+        assert math.isclose(base, lex.log_count[0] - lex.base * tokens + sum(lex.log_count[r] for r in held if r >= 0))
+        assert math.isclose(extra, -sum(lex.leaf[x - lex.vocabulary] for x in want if x >= lex.vocabulary), abs_tol=1e-12)
+    assert [x.type for x in M.code_texts(lex, pa.array([""]))] == [x.type for x in got]
+    assert [len(x) for x in M.code_texts(lex, pa.array([], pa.string()))] == [0] * 6
+
+
 def test_most_frequent_words_by_classes(spark, monkeypatch):
     monkeypatch.setattr(M, "VOCABULARY", 10)
     counts = spark.createDataFrame([(M.END, 7)] + [(f"w{k}", 1 + 1000 // (k + 1)) for k in range(1500)], "word string, c long").repartition(5)
