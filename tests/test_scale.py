@@ -140,3 +140,58 @@ def test_hits_are_put_in_order_at_once():
         every += [(q, -s, names[at]) for q, at, s in hits]
     want = [x for q in range(30) for x in sorted(e for e in every if e[0] == q)[: k[q]]]
     assert list(zip(top.q.tolist(), (-top.score).tolist(), top.key.tolist())) == want
+
+
+def test_full_text_reads_what_can_reach_the_best(spark, monkeypatch):
+    """Against counting: all forms of questions, batches of any size, with and
+    without a score that the rest must reach; few chunks of common words are scored."""
+    import math
+
+    from corpusq.operators import fulltext as T
+
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(40)]
+    text = {f"c{i:04}": [rng.choice(words[: rng.choice([3, 40])]) for _ in range(rng.randrange(1, 30))] for i in range(3000)}
+    forms = ["w0 or w1 or w30", "w30", "w30 w31 or w1 w35", '"w0 w1" or w39', "w38 or -w0", '-"w0 w1" -w2', 'w0 -"w1 w2"', "w0_w1", 'w33 "w0 w1"', "zz", "zz or -w1", "w0 or w1 or w2"]
+    asked = {n: T.parse_web_query(f) for n, f in enumerate(forms)}
+    df = Counter(t for ws in text.values() for t in set(ws))
+    idf = {t: math.log(1 + (len(text) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    mean = sum(map(len, text.values())) / len(text)
+
+    def holds(part, ws):
+        minus, at = part
+        return minus != any(all(0 <= i + p < len(ws) and ws[i + p] == w for w, p in at) for i in range(len(ws)))
+
+    want = {}
+    for q, tree in asked.items():
+        wanted = {w for a in tree for minus, at in a if not minus for w, _ in at}
+        score = lambda ws: sum(idf[t] * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t in wanted if t in ws)  # noqa: B023, E731
+        want[q] = sorted((-round(score(ws), 9), k) for k, ws in text.items() if any(all(holds(p, ws) for p in a) for a in tree))[:5]
+    value = [{"tree": [[{"minus": m, "words": [{"term": w, "place": p} for w, p in at]} for m, at in a] for a in tree], "weights": [{"term": t, "idf": idf[t]} for t in sorted({w for a in tree for m, at in a if not m for w, _ in at}) if t in idf]} for tree in asked.values()]
+    kind = pa.struct([("tree", pa.list_(pa.list_(T._PART))), ("weights", pa.list_(pa.struct([("term", pa.string()), ("idf", pa.float64())])))])
+    questions = pa.table({"q": list(asked), "v": pa.array(value, kind)})
+    rows = pa.RecordBatch.from_arrays([pa.array(list(text)), pa.array(list(text.values()))], names=["k", "w"])
+    read = []
+    monkeypatch.setattr(T.Postings, "totals", lambda self, terms, f=T.Postings.totals: read.append(self.size(terms)) or f(self, terms))
+
+    def found(size, least=None):
+        read.clear()
+        got: dict[int, list] = {}
+        for q, k, s in zip(*scan.score_rows(questions, scan.gathered(iter([rows]), size), lambda a: T.Web(a, mean=mean, k1=1.2, b=0.75), 5, least)):
+            got.setdefault(q, []).append((-round(s, 8), k))
+        return {q: [(round(s, 8), k) for s, k in want[q]] for q in got} == got and set(got) == {q for q in want if want[q]}, sum(read)
+
+    assert found(3000)[0] and found(77)[0]
+    reach = np.array([-want[q][-1][0] if len(want[q]) == 5 else np.finfo(float).min for q in asked])
+    same, size = found(3000, reach)
+    assert same and size < found(3000)[1]
+    # in Spark, a share of the chunks first
+    c = spark.createDataFrame([(k, " ".join(ws)) for k, ws in text.items()], "chunk_id string, text string")
+    monkeypatch.setattr(scan, "LEAST_ROWS", 1000)
+    monkeypatch.setattr(scan, "SHARE", 8)
+    kept = []
+    monkeypatch.setattr(scan, "stored", lambda df, f=scan.stored: kept.append(f(df)) or kept[-1])
+    got = T.fulltext_search(spark.createDataFrame(list(enumerate(forms)), "question_id int, question string"), c, 5).collect()
+    for q in want:
+        assert [r.chunk_id for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.rank)] == [k for _, k in want[q]]
+    assert len(kept) == 2 and "score" in kept[1].columns
