@@ -195,3 +195,35 @@ def test_full_text_reads_what_can_reach_the_best(spark, monkeypatch):
     for q in want:
         assert [r.chunk_id for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.rank)] == [k for _, k in want[q]]
     assert len(kept) == 2 and "score" in kept[1].columns
+
+
+def test_hits_fetch_their_chunks_alone(spark, sf, monkeypatch):
+    """Chunks are made once, and what is shown of the hits sorts no other chunk."""
+    from corpusq.operators import fulltext as T
+    from corpusq.plans import fixtures, search_queries  # noqa: F401
+    from corpusq.plans.registry import QUERIES
+
+    made = []
+    monkeypatch.setattr(fixtures, "chunks", lambda *a, f=fixtures.chunks, **k: made.append(1) or f(*a, **k))
+    for name in ("evidence_block", "hybrid_results", "source_rows"):
+        made.clear()
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert len(made) == 1 and "BroadcastHashJoin [chunk_id" in plan, name
+    hits = spark.createDataFrame([(i, f"c{i % 7}") for i in range(50)], "question_id int, chunk_id string")
+    c = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(1000)], "chunk_id string, text string")
+    few = sorted(T.of_hits(hits, c).select("question_id", "chunk_id", "text").collect())
+    monkeypatch.setattr(T, "MOST_ROWS", 49)
+    many = T.of_hits(hits, c).select("question_id", "chunk_id", "text")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(many.collect()) == few == [(i, f"c{i % 7}", f"text {i % 7}") for i in range(50)]
+    assert "LeftSemi, BuildRight" in plan and "SortMergeJoin" in plan
+
+
+def test_terms_are_looked_for_once_in_a_chunk(spark):
+    """Many questions with the same hits: a text meets each term once, in no row of a question."""
+    c = spark.createDataFrame([("a", 1, 1, "The cat, the DOG"), ("b", 2, 1, "dog é"), ("c", 3, 1, None)], "chunk_id string, doc_pk long, page_number int, text string")
+    q = spark.createDataFrame([(i, "dog CAT the dog É %") for i in range(40)], "question_id int, question string")
+    found = R.keyword_search(q, c)
+    assert sorted((r.question_id, r.chunk_id, r.matched) for r in found.collect()) == sorted(x for i in range(40) for x in [(i, "a", "dog, cat, the, dog"), (i, "b", "dog, dog, é")])
+    plan = found.select("matched")._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower() and plan.index("collect_list(term") > plan.lower().index("contains")
